@@ -16,9 +16,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.llm.common import smallest_digests
+
 ORDER = 4
 BOUNDARY = 32
 
@@ -219,9 +221,7 @@ def train(labelled: DataFrame, *, rows_per_language: int = ROWS_PER_LANGUAGE, id
     are passed over.  None if nothing is labelled.
     """
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows_per_language)
-    chosen = chosen.groupBy("id").agg(F.min("place").alias("place"))
+    chosen = smallest_digests(rows, "lang", "id", rows_per_language).groupBy("id").agg(F.min("place").alias("place"))
     texts = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sample = texts.join(F.broadcast(chosen), "id")
 

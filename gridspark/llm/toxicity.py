@@ -14,9 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.llm.common import smallest_digests
+
 #: Labelled rows learned from, per class: the bound of the training sample.
 ROWS_PER_CLASS = 2000
 
@@ -115,8 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = ROWS_PER_
     """
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")).where("id is not null")
     size = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows_per_class).drop("place")
+    chosen = smallest_digests(known, "label", "id", rows_per_class).drop("place")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     sample = texts.join(F.broadcast(chosen), "id").select("label", "text")
 
