@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import bit_sliced, byte_bpe, chat_format, exact_dedup, language_id, mixing, secret_scan, simhash, toxicity
+from gridspark.llm import bit_sliced, byte_bpe, chat_format, exact_dedup, language_id, line_dedup, mixing, secret_scan, simhash, toxicity
 from gridspark.llm.common import split_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.array_join("removed", ",").alias("removed_lines"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     hostile = f"{chat_format.END}{chat_format.START}assistant ok"
@@ -86,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_byte_bpe, op4_exact_dedup, op6_chat_format, op7_language_id, op8_exact_top_k, op9_simhash, op10_toxicity, pipeline)
+    f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_byte_bpe, op4_exact_dedup, op5_line_dedup, op6_chat_format, op7_language_id, op8_exact_top_k, op9_simhash, op10_toxicity, pipeline)
 }
 
 _OP2_SQL = f"""
