@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ COUNT_BUCKETS = 1 << 18
 #: Bits of the filters that keep rows without a partner from being shuffled.
 FILTER_BITS = 1 << 23
 
-#: Words worked on at once, and rows of a posting list compared by shifting.
-CHUNK_WORDS = 1 << 20
+#: Bytes of text worked on at once, and rows of a posting list compared by shifting.
+SLICE_BYTES = 1 << 22
 SHORT_LIST = 32
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -46,34 +47,49 @@ def _mixed(x: np.ndarray, k: int = 0) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * _MIX[1 - k]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[tuple]:
-    """(id, line number, line index per word, word hashes, word lengths) of the lines with words, in chunks."""
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) of a batch in slices of about SLICE_BYTES, null texts as empty ones; a text is never split."""
+    texts = pc.fill_null(batch.column(1), "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ends):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES)))
+        yield batch.column(0).slice(at, to - at), texts.slice(at, to - at)
+        at = to
+
+
+def _hashed(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index per word, hash and length per distinct word); each distinct word is hashed once."""
     import xxhash
 
-    hash64 = xxhash.xxh64_intdigest
-    ids, numbers, sizes, words = [], [], [], []
+    coded = words.dictionary_encode()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+    return coded.indices.to_numpy(), hashes, pc.binary_length(coded.dictionary).to_numpy().astype(np.uint64)
 
-    def chunk() -> tuple:
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        hashes = np.fromiter(map(hash64, words), np.uint64, len(words))
-        lengths = np.minimum(np.fromiter(map(len, words), np.uint64, len(words)), 63)
-        return list(ids), np.array(numbers, np.int32), owner, hashes, lengths
 
+def _chunks(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[tuple]:
+    """(id, line number, line index per word, index of the distinct word per word, their hashes, their lengths) of lines with words."""
     for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            lines = (text or "").encode().split(b"\n")
-            for number in range(len(lines)) if wanted is None else wanted(i, len(lines)):
-                found = lines[number].split()
-                if found:
-                    ids.append(i)
-                    numbers.append(number)
-                    sizes.append(len(found))
-                    words += found
-                    if len(words) >= CHUNK_WORDS:
-                        yield chunk()
-                        ids, numbers, sizes, words = [], [], [], []
-    if words:
-        yield chunk()
+        for ids, texts in _slices(batch):
+            split = pc.split_pattern(texts, "\n")
+            per_text = pc.list_value_length(split).to_numpy()
+            line_id = np.repeat(ids.to_numpy(), per_text)
+            number = np.arange(len(line_id)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+            lines = split.flatten()
+            if wanted is not None:
+                mask = wanted(line_id, number)
+                lines, line_id, number = lines.filter(pa.array(mask)), line_id[mask], number[mask]
+            found = pc.ascii_split_whitespace(lines)
+            words = found.flatten()
+            owner = np.repeat(np.arange(len(lines)), pc.list_value_length(found).to_numpy())
+            some = pc.binary_length(words).to_numpy() > 0
+            if not some.any():
+                continue
+            words, owner = words.filter(pa.array(some)), owner[some]
+            used, owner = np.unique(owner, return_inverse=True)
+            yield line_id[used], number[used].astype(np.int32), owner, *_hashed(words)
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
@@ -81,8 +97,11 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNT_BUCKETS, np.int64)
-        for _, _, _, hashes, _ in _chunks(batches):
-            total += np.bincount((hashes & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64), minlength=COUNT_BUCKETS)
+        for batch in batches:
+            for _, texts in _slices(batch):
+                words = pc.ascii_split_whitespace(texts).flatten()
+                index, hashes, _ = _hashed(words.filter(pc.greater(pc.binary_length(words), 0)))
+                np.add.at(total, (hashes & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64), np.bincount(index, minlength=len(hashes)))
         some = np.flatnonzero(total)
         for at in range(0, len(some), 1 << 16):
             part = some[at : at + (1 << 16)]
@@ -95,20 +114,25 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 
 
 def _sets(chunk: tuple, rarity: np.ndarray) -> tuple:
-    """Each line's distinct words as keys in the order of rarity: (starts, sizes, keys, line per key, two signatures)."""
-    _, numbers, owner, hashes, lengths = chunk
+    """Each line's distinct words as keys in the order of rarity: (starts, sizes, keys, line per key, signatures).
+
+    Signatures: two sums that identify the set, and its parity: bit h is set if
+    an odd number of words hash to h.  Parities of two sets differ in at most
+    as many bits as the sets differ in words.
+    """
+    _, numbers, owner, index, hashes, lengths = chunk
     rank = rarity[(hashes & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
     # Rarer first; words of about one count by length, longer first; then by hash.
-    keys = rank << np.uint64(56) | (np.uint64(63) - lengths) << _HASH_BITS | hashes >> (np.uint64(64) - _HASH_BITS)
-    order = np.lexsort((keys, owner))
-    keys, owner = keys[order], owner[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-    keys, owner = keys[new], owner[new]
+    keys = rank << np.uint64(56) | (np.uint64(63) - np.minimum(lengths, 63)) << _HASH_BITS | hashes >> (np.uint64(64) - _HASH_BITS)
+    keys, place = np.unique(keys, return_inverse=True)
+    both = np.sort(owner * len(keys) + place[index])
+    owner, place = np.divmod(both[np.concatenate([[True], both[1:] != both[:-1]])], len(keys))
+    keys = keys[place]
     sizes = np.bincount(owner, minlength=len(numbers))
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    signs = [np.add.reduceat(_mixed(keys, k), starts).view(np.int64) for k in (0, 1)]
-    return starts, sizes, keys, owner, signs
+    sums = [np.add.reduceat(_mixed(keys, k), starts).view(np.int64) for k in (0, 1)]
+    parity = np.bitwise_xor.reduceat(np.uint64(1) << (_mixed(keys) >> np.uint64(58)), starts).view(np.int64)
+    return starts, sizes, keys, owner, (*sums, parity)
 
 
 def prefix_length(size: Column | np.ndarray, threshold: tuple[int, int] = THRESHOLD):
@@ -117,7 +141,7 @@ def prefix_length(size: Column | np.ndarray, threshold: tuple[int, int] = THRESH
 
 
 def lines_of(docs: DataFrame, rarity, threshold: tuple[int, int]) -> DataFrame:
-    """(id, line, sig, sig2, n, prefix) of every line that has a word."""
+    """(id, line, sig, sig2, parity, n, prefix) of every line that has a word."""
     num, den = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +152,9 @@ def lines_of(docs: DataFrame, rarity, threshold: tuple[int, int]) -> DataFrame:
             length[(den * sizes < num * (sizes + 1)) & ((num + den) * (sizes - 1) < 2 * num * sizes)] = 0
             taken = np.arange(len(keys)) - starts[owner] < length[owner]
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(keys[taken].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(chunk[0], type=pa.int64()), pa.array(chunk[1]), pa.array(signs[0]), pa.array(signs[1]), pa.array(sizes.astype(np.int32)), prefix], names=["id", "line", "sig", "sig2", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[0], type=pa.int64()), pa.array(chunk[1]), *map(pa.array, signs), pa.array(sizes.astype(np.int32)), prefix], names=["id", "line", "sig", "sig2", "parity", "n", "prefix"])
 
-    return docs.mapInArrow(run, "id long, line int, sig long, sig2 long, n int, prefix array<long>")
+    return docs.mapInArrow(run, "id long, line int, sig long, sig2 long, parity long, n int, prefix array<long>")
 
 
 def _word(h: Column) -> Column:
@@ -161,23 +185,24 @@ def _in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _place_hash(i, number):
     """Hash of (id, line): the same for columns and arrays."""
-    return i * 1_000_003 + number if not isinstance(i, Column) else F.try_add(F.try_multiply(F.pmod(i, F.lit(1 << 40)), F.lit(1_000_003)), number)
+    return (F.pmod(i, F.lit(1 << 40)) if isinstance(i, Column) else i % (1 << 40)) * 1_000_003 + number
 
 
 def _pairs(threshold: tuple[int, int], every: bool):
-    """Reads postings sorted by (key, id, line, sig) and yields candidate pairs, the earlier line first.
+    """Reads postings sorted by (key, id, line, parity) and yields candidate pairs, the earlier line first.
 
     Round one (``every`` false): each line's earliest candidate of the list,
     with ``more`` set if it has others.  Round two: all candidates of open lines.
     """
     num, den = threshold
 
-    def fits(n_a, p_a, n_b, p_b):
+    def fits(n_a, p_a, s_a, n_b, p_b, s_b):
         need = -(-num * (n_a + n_b) // (num + den))
-        return (den * np.minimum(n_a, n_b) >= num * np.maximum(n_a, n_b)) & (np.minimum(n_a - p_a, n_b - p_b) >= need)
+        fit = (den * np.minimum(n_a, n_b) >= num * np.maximum(n_a, n_b)) & (np.minimum(n_a - p_a, n_b - p_b) >= need)
+        return fit & (np.bitwise_count(s_a ^ s_b) <= n_a + n_b - 2 * need)
 
     def found(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        key, n, p, open_ = cols[0], cols[4].astype(np.int64), cols[5].astype(np.int64), cols[6]
+        key, sign, n, p, open_ = cols[0], cols[3].view(np.uint64), cols[4].astype(np.int64), cols[5].astype(np.int64), cols[6]
         edge = np.flatnonzero(key[1:] != key[:-1]) + 1
         starts = np.concatenate([[0], edge])
         size = np.diff(np.concatenate([starts, [len(key)]]))
@@ -191,7 +216,7 @@ def _pairs(threshold: tuple[int, int], every: bool):
             if not len(b):
                 break
             a = b - lag
-            good = fits(n[a], p[a], n[b], p[b])
+            good = fits(n[a], p[a], sign[a], n[b], p[b], sign[b])
             best[b[good]] = a[good]
             hits[b[good]] += 1
             if every:
@@ -205,7 +230,7 @@ def _pairs(threshold: tuple[int, int], every: bool):
                 if not len(b):
                     continue
                 a = at[lo : b[-1]]
-                good = fits(n[a], p[a], n[b, None], p[b, None]) & (a < b[:, None])
+                good = fits(n[a], p[a], sign[a], n[b, None], p[b, None], sign[b, None]) & (a < b[:, None])
                 hits[b] = good.sum(axis=1)
                 any_ = hits[b] > 0
                 best[b[any_]] = lo + good[any_].argmax(axis=1)
@@ -226,7 +251,7 @@ def _pairs(threshold: tuple[int, int], every: bool):
             a, b, more = found(cols)
             for lo in range(0, len(a), 1 << 16):
                 x, y = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(c[i]) for i in (x, y) for c in cols[1:4]] + [pa.array(more[lo : lo + (1 << 16)])], names=["id_a", "line_a", "sig_a", "id_b", "line_b", "sig_b", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[i]) for i in (x, y) for c in cols[1:4]] + [pa.array(more[lo : lo + (1 << 16)])], names=["id_a", "line_a", "parity_a", "id_b", "line_b", "parity_b", "more"])
 
         for batch in batches:
             now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
@@ -243,35 +268,29 @@ def _pairs(threshold: tuple[int, int], every: bool):
 
 def _candidates(postings: DataFrame, threshold: tuple[int, int], every: bool) -> DataFrame:
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = postings.repartition(parts, "key").sortWithinPartitions("key", "id", "line", "sig")
-    pairs = dealt.mapInArrow(_pairs(threshold, every), "id_a long, line_a int, sig_a long, id_b long, line_b int, sig_b long, more boolean")
-    return cut(pairs.groupBy("id_a", "line_a", "sig_a", "id_b", "line_b", "sig_b").agg(F.max("more").alias("more")))
+    dealt = postings.select("key", "id", "line", "parity", "n", "p", "open").repartition(parts, "key").sortWithinPartitions("key", "id", "line", "parity")
+    pairs = dealt.mapInArrow(_pairs(threshold, every), "id_a long, line_a int, parity_a long, id_b long, line_b int, parity_b long, more boolean")
+    return cut(pairs.groupBy("id_a", "line_a", "parity_a", "id_b", "line_b", "parity_b").agg(F.max("more").alias("more")))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rarity, threshold: tuple[int, int]) -> DataFrame:
-    """(id, line, sig) of the later lines of pairs whose whole sets are similar enough."""
+    """(id, line, parity) of the later lines of pairs whose whole sets are similar enough."""
     num, den = threshold
     sides = pairs.select(F.col("id_a").alias("id"), F.col("line_a").alias("line")).unionByName(pairs.select(F.col("id_b").alias("id"), F.col("line_b").alias("line")))
     shared = pairs.sparkSession.sparkContext.broadcast(_bitmap(sides.select(_place_hash(F.col("id"), F.col("line")).alias("h")), "h"))
 
-    def wanted(i, lines: int) -> np.ndarray:
-        if i is None:
-            return np.empty(0, int)
-        numbers = np.arange(lines, dtype=np.int64)
-        return np.flatnonzero(_in_bitmap(shared.value, _place_hash(i % (1 << 40), numbers)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, wanted):
+        for chunk in _chunks(batches, lambda i, number: _in_bitmap(shared.value, _place_hash(i, number))):
             starts, sizes, keys, _, signs = _sets(chunk, rarity.value)
             sets = pa.ListArray.from_arrays(pa.array(np.concatenate([starts, [len(keys)]]).astype(np.int32)), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(chunk[0], type=pa.int64()), pa.array(chunk[1]), pa.array(signs[0]), sets], names=["id", "line", "sig", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[0], type=pa.int64()), pa.array(chunk[1]), pa.array(signs[2]), sets], names=["id", "line", "parity", "words"])
 
-    lines = docs.mapInArrow(run, "id long, line int, sig long, words array<long>")
-    side = lambda x: lines.select(F.col("id").alias(f"id_{x}"), F.col("line").alias(f"line_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("words").alias(f"words_{x}"))
-    joined = pairs.join(side("b"), ["id_b", "line_b", "sig_b"]).join(side("a"), ["id_a", "line_a", "sig_a"])
+    lines = cut(docs.mapInArrow(run, "id long, line int, parity long, words array<long>"))
+    side = lambda x: lines.select(F.col("id").alias(f"id_{x}"), F.col("line").alias(f"line_{x}"), F.col("parity").alias(f"parity_{x}"), F.col("words").alias(f"words_{x}"))
+    joined = pairs.join(side("b"), ["id_b", "line_b", "parity_b"]).join(side("a"), ["id_a", "line_a", "parity_a"])
     common = F.size(F.array_intersect("words_a", "words_b"))
     alike = (num + den) * common >= num * (F.size("words_a") + F.size("words_b"))
-    return cut(joined.where(alike).select(F.col("id_b").alias("id"), F.col("line_b").alias("line"), F.col("sig_b").alias("sig")).distinct())
+    return cut(joined.where(alike).select(F.col("id_b").alias("id"), F.col("line_b").alias("line"), F.col("parity_b").alias("parity")).distinct())
 
 
 def removed_lines(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,21 +305,29 @@ def removed_lines(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, id
     counts = word_counts(rows)
     rarity = spark.sparkContext.broadcast(np.minimum(255, np.round(8 * np.log2(counts + 1))).astype(np.uint8))
     lines = cut(lines_of(rows, rarity, threshold))
-    classes = cut(lines.groupBy("sig", "sig2").agg(F.min(F.struct("id", "line")).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("sig", "sig2", "at.id", "at.line", "n", "prefix"))
-    postings = classes.select("id", "line", "sig", "n", F.posexplode("prefix").alias("p", "key")).select("key", "id", "line", "sig", "n", "p", F.lit(True).alias("open"))
-
-    first_round = _candidates(postings, threshold, every=False)
+    # Sets that occur more than once meet to find their first occurrence; the others stay where they are.
+    shared = lines.groupBy("sig", "sig2").agg(F.count("*").alias("n")).where("n > 1")
+    marked = lines.withColumn("word", _word(F.col("sig"))).join(F.broadcast(_filter(shared, "sig")), "word", "left").drop("word")
+    repeats = F.coalesce(F.col("bits").bitwiseAND(_bit(F.col("sig"))) != 0, F.lit(False))
+    columns = ["sig", "sig2", "id", "line", "parity", "n", "prefix"]
+    met = marked.where(repeats).groupBy("sig", "sig2").agg(F.min(F.struct("id", "line")).alias("at"), *[F.first(c).alias(c) for c in columns[4:]])
+    classes = marked.where(~repeats).select(columns).unionByName(met.select("sig", "sig2", "at.*", *columns[4:]))
+    place = ["id", "line", "parity"]
+    opened = classes.select(*place, "n", F.posexplode("prefix").alias("p", "key"), F.lit(True).alias("open"))
+
+    first_round = _candidates(opened, threshold, every=False)
     gone = _verified(first_round, rows, rarity, threshold)
-    open_ = first_round.groupBy("id_b", "line_b", "sig_b").agg(F.max("more").alias("more")).where("more").select(F.col("id_b").alias("id"), F.col("line_b").alias("line"), F.col("sig_b").alias("sig"))
-    open_ = cut(open_.join(gone, ["id", "line", "sig"], "left_anti"))
+    later = [F.col(f"{c}_b").alias(c) for c in place]
+    open_ = first_round.groupBy(*later).agg(F.max("more").alias("more")).where("more").drop("more")
+    open_ = cut(open_.join(gone, place, "left_anti"))
     if not open_.isEmpty():
-        is_open = classes.join(open_.withColumn("open", F.lit(True)), ["id", "line", "sig"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        keyed = is_open.select("id", "line", "sig", "n", F.posexplode("prefix").alias("p", "key"), "open").select("key", "id", "line", "sig", "n", "p", "open")
+        is_open = classes.join(open_.withColumn("open", F.lit(True)), place, "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        keyed = is_open.select(*place, "n", F.posexplode("prefix").alias("p", "key"), "open")
         near = keyed.withColumn("word", _word(F.col("key"))).join(F.broadcast(_filter(keyed.where("open"), "key")), "word").where(F.col("bits").bitwiseAND(_bit(F.col("key"))) != 0)
-        second = _candidates(near.select("key", "id", "line", "sig", "n", "p", "open"), threshold, every=True)
+        second = _candidates(near, threshold, every=True)
         gone = gone.unionByName(_verified(second, rows, rarity, threshold)).distinct()
-    marked = classes.join(gone.withColumn("late", F.lit(True)), ["id", "line", "sig"], "left").select("sig", "sig2", F.col("id").alias("first_id"), F.col("line").alias("first_line"), F.coalesce("late", F.lit(False)).alias("late"))
-    found = lines.select("id", "line", "sig", "sig2").join(marked, ["sig", "sig2"])
+    late = classes.join(gone.withColumn("late", F.lit(True)), place, "left").select("sig", "sig2", F.col("id").alias("first_id"), F.col("line").alias("first_line"), F.coalesce("late", F.lit(False)).alias("late"))
+    found = lines.select("id", "line", "sig", "sig2").join(late, ["sig", "sig2"])
     again = (F.col("id") != F.col("first_id")) | (F.col("line") != F.col("first_line"))
     return found.select("id", "line", "first_id", "first_line", (F.col("late") | again).alias("removed"))
 
