@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 #: Cells of a matrix, pieces a worker remembers, characters split at once, and
 #: row length from which a round merges every occurrence of the minimum rank.
 MATRIX_CELLS = 1 << 21
-MEMO_PIECES = 150_000
-SPLIT_CHARS = 1 << 22
+MEMO_PIECES = 400_000
+SPLIT_CHARS = 1 << 21
 LONG_ROW = 64
 _NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -196,28 +196,45 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
 
         vocab, split = vocabulary(shared.value), regex.compile(pattern)
         token = vocab.tokens.__getitem__
+        def learn(pieces: set[str]) -> None:
+            new = [p for p in pieces if p not in memo]
+            if len(memo) + len(new) > MEMO_PIECES:
+                memo.clear()
+                new = list(pieces)
+            for piece, found in zip(new, vocab.encode([p.encode() for p in new]), strict=True):
+                memo[piece] = (" ".join(map(str, found)), tuple(found))
+
+        def coded(text: str, first: list[str] | None) -> tuple:
+            ids_hash, byte_hash, count, ids, started = hashlib.sha256(), hashlib.sha256(), 0, [], False
+            for pieces in [first] if first is not None else _pieces(split, text):
+                if first is None:
+                    learn(set(pieces))
+                known = [memo[p] for p in pieces]
+                flat = list(chain.from_iterable(c[1] for c in known))
+                if flat:
+                    ids_hash.update(((" " if started else "") + " ".join([c[0] for c in known])).encode())
+                    started = True
+                byte_hash.update(b"".join(map(token, flat)))
+                count += len(flat)
+                if with_ids:
+                    ids += flat
+            return count, ids_hash.hexdigest(), byte_hash.hexdigest(), byte_hash.digest() == hashlib.sha256(text.encode()).digest(), ids
+
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                text = text or ""
-                ids_hash, byte_hash, count, ids, started = hashlib.sha256(), hashlib.sha256(), 0, [], False
-                for pieces in _pieces(split, text):
-                    if new := [p for p in set(pieces) if p not in memo]:
-                        if len(memo) + len(new) > MEMO_PIECES:
-                            memo.clear()
-                            new = list(set(pieces))
-                        for piece, found in zip(new, vocab.encode([p.encode() for p in new]), strict=True):
-                            memo[piece] = (" ".join(map(str, found)), tuple(found))
-                    coded = [memo[p] for p in pieces]
-                    flat = list(chain.from_iterable(c[1] for c in coded))
-                    if flat:
-                        ids_hash.update(((" " if started else "") + " ".join([c[0] for c in coded])).encode())
-                        started = True
-                    byte_hash.update(b"".join(map(token, flat)))
-                    count += len(flat)
-                    if with_ids:
-                        ids += flat
-                out.append((count, ids_hash.hexdigest(), byte_hash.hexdigest(), byte_hash.digest() == hashlib.sha256(text.encode()).digest(), ids))
+            out, texts, at = [], [t or "" for t in batch["text"]], 0
+            while at < len(texts):
+                # Texts whose new pieces are merged together: about SPLIT_CHARS, or one long text in slices.
+                to, held = at + 1, len(texts[at])
+                while to < len(texts) and held + len(texts[to]) <= SPLIT_CHARS:
+                    held += len(texts[to])
+                    to += 1
+                if held > SPLIT_CHARS:
+                    out.append(coded(texts[at], None))
+                else:
+                    pieces = [split.findall(t) for t in texts[at:to]]
+                    learn(set(chain.from_iterable(pieces)))
+                    out += [coded(t, p) for t, p in zip(texts[at:to], pieces, strict=True)]
+                at = to
             frame = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", "identical", "ids"])
             frame.insert(0, "id", batch["id"].to_numpy())
             yield frame if with_ids else frame.drop(columns="ids")
