@@ -38,6 +38,10 @@ FILTER_BITS = 1 << 23
 SLICE_BYTES = 1 << 22
 SHORT_LIST = 32
 
+#: Sizes from which a line's parity is 2, 4, 8 and 16 words of 64 bits wide: about as many bits as words,
+#: since with fewer the parities of unlike lines differ in no more bits than those of lines that match.
+WIDER_FROM = (48, 112, 256, 512)
+
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _HASH_BITS = np.uint64(50)
 
@@ -116,9 +120,9 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 def _sets(chunk: tuple, rarity: np.ndarray) -> tuple:
     """Each line's distinct words as keys in the order of rarity: (starts, sizes, keys, line per key, signatures).
 
-    Signatures: two sums that identify the set, and its parity: bit h is set if
-    an odd number of words hash to h.  Parities of two sets differ in at most
-    as many bits as the sets differ in words.
+    Signatures: two sums that identify the set, and its parity in 64 bits: bit
+    h is set if an odd number of words hash to h.  Parities of two sets differ
+    in at most as many bits as the sets differ in words.
     """
     _, numbers, owner, index, hashes, lengths = chunk
     rank = rarity[(hashes & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
@@ -135,13 +139,24 @@ def _sets(chunk: tuple, rarity: np.ndarray) -> tuple:
     return starts, sizes, keys, owner, (*sums, parity)
 
 
+def _marks(keys: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Each line's parity in as many bits as its size asks for; its 64-bit words, combined by xor, give the parity of ``_sets``."""
+    width = 1 << np.searchsorted(WIDER_FROM, sizes, side="right")
+    ends = np.concatenate([[0], np.cumsum(width)])
+    mixed = _mixed(keys)
+    word = (mixed >> np.uint64(48)).astype(np.int64) & (width - 1)[owner]
+    out = np.zeros(ends[-1], np.uint64)
+    np.bitwise_xor.at(out, ends[owner] + word, np.uint64(1) << (mixed >> np.uint64(58)))
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(out)])
+
+
 def prefix_length(size: Column | np.ndarray, threshold: tuple[int, int] = THRESHOLD):
     num, den = threshold
     return size - (num * size + den - 1) // den + 1
 
 
 def lines_of(docs: DataFrame, rarity, threshold: tuple[int, int]) -> DataFrame:
-    """(id, line, sig, sig2, parity, n, prefix) of every line that has a word."""
+    """(id, line, sig, sig2, parity, n, marks, prefix) of every line that has a word."""
     num, den = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,9 +167,9 @@ def lines_of(docs: DataFrame, rarity, threshold: tuple[int, int]) -> DataFrame:
             length[(den * sizes < num * (sizes + 1)) & ((num + den) * (sizes - 1) < 2 * num * sizes)] = 0
             taken = np.arange(len(keys)) - starts[owner] < length[owner]
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(keys[taken].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(chunk[0], type=pa.int64()), pa.array(chunk[1]), *map(pa.array, signs), pa.array(sizes.astype(np.int32)), prefix], names=["id", "line", "sig", "sig2", "parity", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[0], type=pa.int64()), pa.array(chunk[1]), *map(pa.array, signs), pa.array(sizes.astype(np.int32)), _marks(keys, owner, sizes), prefix], names=["id", "line", "sig", "sig2", "parity", "n", "marks", "prefix"])
 
-    return docs.mapInArrow(run, "id long, line int, sig long, sig2 long, parity long, n int, prefix array<long>")
+    return docs.mapInArrow(run, "id long, line int, sig long, sig2 long, parity long, n int, marks binary, prefix array<long>")
 
 
 def _word(h: Column) -> Column:
@@ -188,8 +203,16 @@ def _place_hash(i, number):
     return (F.pmod(i, F.lit(1 << 40)) if isinstance(i, Column) else i % (1 << 40)) * 1_000_003 + number
 
 
+def _words(marks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, number of words per row, words) of wide parities."""
+    _, offsets, data = marks.buffers()
+    ends = np.frombuffer(offsets, np.int32)[marks.offset : marks.offset + len(marks) + 1].astype(np.int64) // 8
+    words = np.frombuffer(data, np.uint64, ends[-1]) if len(marks) else np.zeros(0, np.uint64)
+    return ends[:-1], np.diff(ends), words
+
+
 def _pairs(threshold: tuple[int, int], every: bool):
-    """Reads postings sorted by (key, id, line, parity) and yields candidate pairs, the earlier line first.
+    """Reads postings sorted by (key, id, line, marks) and yields candidate pairs, the earlier line first.
 
     Round one (``every`` false): each line's earliest candidate of the list,
     with ``more`` set if it has others.  Round two: all candidates of open lines.
@@ -201,8 +224,28 @@ def _pairs(threshold: tuple[int, int], every: bool):
         fit = (den * np.minimum(n_a, n_b) >= num * np.maximum(n_a, n_b)) & (np.minimum(n_a - p_a, n_b - p_b) >= need)
         return fit & (np.bitwise_count(s_a ^ s_b) <= n_a + n_b - 2 * need)
 
-    def found(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def found(cols: list[np.ndarray], marks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key, sign, n, p, open_ = cols[0], cols[3].view(np.uint64), cols[4].astype(np.int64), cols[5].astype(np.int64), cols[6]
+        base, width, words = _words(marks)
+
+        def folded(i: np.ndarray, to: int) -> np.ndarray:
+            out = words[base[i][:, None] + np.arange(to)]
+            for k in range(1, int(width[i].max()) // to):
+                more = width[i] > k * to
+                out[more] ^= words[base[i[more]][:, None] + k * to + np.arange(to)]
+            return out
+
+        def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Whether the wide parities of pairs that pass the narrow ones differ in few enough bits."""
+            good, both = np.ones(len(a), bool), np.minimum(width[a], width[b])
+            for to in np.unique(both[both > 1]):
+                at_ = np.flatnonzero(both == to)
+                for lo in range(0, len(at_), 1 << 16):
+                    x, y = a[at_[lo : lo + (1 << 16)]], b[at_[lo : lo + (1 << 16)]]
+                    need = -(-num * (n[x] + n[y]) // (num + den))
+                    good[at_[lo : lo + (1 << 16)]] = np.bitwise_count(folded(x, to) ^ folded(y, to)).sum(axis=1, dtype=np.int64) <= n[x] + n[y] - 2 * need
+            return good
+
         edge = np.flatnonzero(key[1:] != key[:-1]) + 1
         starts = np.concatenate([[0], edge])
         size = np.diff(np.concatenate([starts, [len(key)]]))
@@ -216,7 +259,8 @@ def _pairs(threshold: tuple[int, int], every: bool):
             if not len(b):
                 break
             a = b - lag
-            good = fits(n[a], p[a], sign[a], n[b], p[b], sign[b])
+            good = np.flatnonzero(fits(n[a], p[a], sign[a], n[b], p[b], sign[b]))
+            good = good[alike(a[good], b[good])]
             best[b[good]] = a[good]
             hits[b[good]] += 1
             if every:
@@ -231,6 +275,8 @@ def _pairs(threshold: tuple[int, int], every: bool):
                     continue
                 a = at[lo : b[-1]]
                 good = fits(n[a], p[a], sign[a], n[b, None], p[b, None], sign[b, None]) & (a < b[:, None])
+                x, y = np.nonzero(good)
+                good[x, y] = alike(a[y], b[x])
                 hits[b] = good.sum(axis=1)
                 any_ = hits[b] > 0
                 best[b[any_]] = lo + good[any_].argmax(axis=1)
@@ -245,30 +291,35 @@ def _pairs(threshold: tuple[int, int], every: bool):
         return best[b], b, hits[b] > 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, kept = None, []
 
-        def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            a, b, more = found(cols)
+        def out(cols: list[np.ndarray], marks: pa.Array) -> Iterator[pa.RecordBatch]:
+            a, b, more = found(cols, marks)
             for lo in range(0, len(a), 1 << 16):
                 x, y = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(c[i]) for i in (x, y) for c in cols[1:4]] + [pa.array(more[lo : lo + (1 << 16)])], names=["id_a", "line_a", "parity_a", "id_b", "line_b", "parity_b", "more"])
 
         for batch in batches:
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+            marks = batch.column(3).cast(pa.binary())
+            base, _, words = _words(marks)
+            parity = np.bitwise_xor.reduceat(words, base).view(np.int64) if len(base) else np.zeros(0, np.int64)
+            now = [parity if k == 3 else batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            kept.append(marks)
             last = np.flatnonzero(held[0] != held[0][-1]) if len(held[0]) else []
             if len(last):
-                yield from out([x[: last[-1] + 1] for x in held])
-                held = [x[last[-1] + 1 :] for x in held]
+                whole = pa.concat_arrays(kept)
+                yield from out([x[: last[-1] + 1] for x in held], whole[: last[-1] + 1])
+                held, kept = [x[last[-1] + 1 :] for x in held], [whole[last[-1] + 1 :]]
         if held is not None and len(held[0]):
-            yield from out(held)
+            yield from out(held, pa.concat_arrays(kept))
 
     return run
 
 
 def _candidates(postings: DataFrame, threshold: tuple[int, int], every: bool) -> DataFrame:
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = postings.select("key", "id", "line", "parity", "n", "p", "open").repartition(parts, "key").sortWithinPartitions("key", "id", "line", "parity")
+    dealt = postings.select("key", "id", "line", "marks", "n", "p", "open").repartition(parts, "key").sortWithinPartitions("key", "id", "line", "marks")
     pairs = dealt.mapInArrow(_pairs(threshold, every), "id_a long, line_a int, parity_a long, id_b long, line_b int, parity_b long, more boolean")
     return cut(pairs.groupBy("id_a", "line_a", "parity_a", "id_b", "line_b", "parity_b").agg(F.max("more").alias("more")))
 
@@ -309,11 +360,11 @@ def removed_lines(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, id
     shared = lines.groupBy("sig", "sig2").agg(F.count("*").alias("n")).where("n > 1")
     marked = lines.withColumn("word", _word(F.col("sig"))).join(F.broadcast(_filter(shared, "sig")), "word", "left").drop("word")
     repeats = F.coalesce(F.col("bits").bitwiseAND(_bit(F.col("sig"))) != 0, F.lit(False))
-    columns = ["sig", "sig2", "id", "line", "parity", "n", "prefix"]
+    columns = ["sig", "sig2", "id", "line", "parity", "n", "marks", "prefix"]
     met = marked.where(repeats).groupBy("sig", "sig2").agg(F.min(F.struct("id", "line")).alias("at"), *[F.first(c).alias(c) for c in columns[4:]])
     classes = marked.where(~repeats).select(columns).unionByName(met.select("sig", "sig2", "at.*", *columns[4:]))
     place = ["id", "line", "parity"]
-    opened = classes.select(*place, "n", F.posexplode("prefix").alias("p", "key"), F.lit(True).alias("open"))
+    opened = classes.select(*place, "n", "marks", F.posexplode("prefix").alias("p", "key"), F.lit(True).alias("open"))
 
     first_round = _candidates(opened, threshold, every=False)
     gone = _verified(first_round, rows, rarity, threshold)
@@ -322,7 +373,7 @@ def removed_lines(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, id
     open_ = cut(open_.join(gone, place, "left_anti"))
     if not open_.isEmpty():
         is_open = classes.join(open_.withColumn("open", F.lit(True)), place, "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        keyed = is_open.select(*place, "n", F.posexplode("prefix").alias("p", "key"), "open")
+        keyed = is_open.select(*place, "n", "marks", F.posexplode("prefix").alias("p", "key"), "open")
         near = keyed.withColumn("word", _word(F.col("key"))).join(F.broadcast(_filter(keyed.where("open"), "key")), "word").where(F.col("bits").bitwiseAND(_bit(F.col("key"))) != 0)
         second = _candidates(near, threshold, every=True)
         gone = gone.unionByName(_verified(second, rows, rarity, threshold)).distinct()
