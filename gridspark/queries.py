@@ -247,6 +247,13 @@ def serial_dates(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", F.floor(nf.serial_of(F.col("o_orderdate"))).cast("long").alias("serial"))
 
 
+@_query("""SELECT o_orderkey, CASE WHEN n = 8 THEN CAST(CAST(w + 1 AS BIGINT) AS VARCHAR) WHEN n = 0 THEN CAST(CAST(w AS BIGINT) AS VARCHAR)
+ELSE CAST(CAST(w AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(n AS BIGINT) AS VARCHAR) || '/8' END AS eighths
+FROM (SELECT o_orderkey, floor(o_totalprice) AS w, floor((o_totalprice - floor(o_totalprice)) * 8 + 0.5) AS n FROM orders)""")
+def numfmt_fraction(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", nf.format_code(F.col("o_totalprice"), "# ?/8")[0].alias("eighths"))
+
+
 @_query()
 def numfmt_scientific(spark, sf_dir):
     p = F.col("p_retailprice")

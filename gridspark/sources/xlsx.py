@@ -18,18 +18,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions.references import index_column
+from gridspark.operators import grid
 
 #: A part beyond this size, unpacked, is refused: packages are not trusted.
 MOST_BYTES = 512 << 20
 
 _CELL = "struct<_r:string,_t:string,_s:int,v:string,f:string,is:struct<t:string,r:array<struct<t:string>>>>"
-_SHEET = f"sheetData struct<row:array<struct<_r:int,_hidden:string,_ht:double,c:array<{_CELL}>>>>, mergeCells struct<mergeCell:array<struct<_ref:string>>>, cols struct<col:array<struct<_min:int,_max:int,_width:double,_hidden:string>>>, autoFilter struct<_ref:string>, dataValidations struct<dataValidation:array<struct<_type:string,_sqref:string,formula1:string>>>"
+_SHEET = f"sheetData struct<row:array<struct<_r:int,_hidden:string,_ht:double,c:array<{_CELL}>>>>, mergeCells struct<mergeCell:array<struct<_ref:string>>>, cols struct<col:array<struct<_min:int,_max:int,_width:double,_hidden:string>>>, autoFilter struct<_ref:string>, dataValidations struct<dataValidation:array<struct<_type:string,_sqref:string,formula1:string>>>, "
+_SHEET += "hyperlinks struct<hyperlink:array<struct<_ref:string,_id:string,_location:string,_tooltip:string,_display:string>>>, sheetViews struct<sheetView:array<struct<_showGridLines:string,_zoomScale:int,_rightToLeft:string,pane:struct<_state:string,_xSplit:double,_ySplit:double>>>>, "
+_SHEET += "rowBreaks struct<brk:array<struct<_id:int>>>, colBreaks struct<brk:array<struct<_id:int>>>, sheetProtection struct<_sheet:string>, headerFooter struct<oddHeader:string,oddFooter:string>"
 _STRINGS = "si array<struct<t:string,r:array<struct<t:string>>>>"
 _BOOK = "workbookPr struct<_date1904:string>, sheets struct<sheet:array<struct<_name:string,_id:string,_state:string>>>, definedNames struct<definedName:array<struct<_name:string,_localSheetId:int,_hidden:string,_VALUE:string>>>"
 _RELATIONS = "Relationship array<struct<_Id:string,_Target:string,_Type:string>>"
 _STYLES = "numFmts struct<numFmt:array<struct<_numFmtId:int,_formatCode:string>>>, cellXfs struct<xf:array<struct<_numFmtId:int,_fontId:int,_fillId:int,_borderId:int>>>"
 _TABLE = "_name string, _ref string, _headerRowCount int, _totalsRowCount int, tableColumns struct<tableColumn:array<struct<_name:string>>>"
 
+_RUNS = "t:string,r:array<struct<t:string>>"
+_COMMENTS = f"authors struct<author:array<string>>, commentList struct<comment:array<struct<_ref:string,_authorId:int,text:struct<{_RUNS}>>>>"
+_PERSONS = "person array<struct<_id:string,_displayName:string>>"
+_THREADED = "threadedComment array<struct<_ref:string,_id:string,_personId:string,_dT:string,_parentId:string,text:string>>"
+_SLICERS = "slicer array<struct<_name:string,_caption:string,_cache:string,_columnCount:int,_showCaption:string>>"
+_SLICER_CACHE = "_name string, _sourceName string, data struct<tabular:struct<items:struct<i:array<struct<_n:string,_s:string>>>>>"
+_POINTS = "ptLst struct<pt:array<struct<_modelId:string,_type:string,t:struct<p:array<struct<r:array<struct<t:string>>>>>>>>, cxnLst struct<cxn:array<struct<_type:string,_srcId:string,_destId:string,_srcOrd:int>>>"
+_CACHE = "pt:array<struct<_idx:int,v:string>>"
+_SERIES = f"ser:array<struct<idx:struct<_val:int>,tx:struct<strRef:struct<strCache:struct<{_CACHE}>>,v:string>,cat:struct<strRef:struct<strCache:struct<{_CACHE}>>,numRef:struct<numCache:struct<{_CACHE}>>>,xVal:struct<numRef:struct<numCache:struct<{_CACHE}>>>,val:struct<numRef:struct<numCache:struct<{_CACHE}>>>,yVal:struct<numRef:struct<numCache:struct<{_CACHE}>>>>>"
+
+# The chart elements of a plot area and the kinds they stand for.
+CHARTS = {"barChart": "bar", "lineChart": "line", "pieChart": "pie", "doughnutChart": "doughnut", "scatterChart": "scatter", "areaChart": "area", "radarChart": "radar"}
+_CHART = "chart struct<plotArea:struct<" + ",".join(f"{name}:struct<barDir:struct<_val:string>,grouping:struct<_val:string>,{_SERIES}>" for name in CHARTS) + ">>"
+
 
 def parts(spark: SparkSession, path: str, wanted: str = r"\.(xml|rels)$") -> DataFrame:
     """(workbook, part, content) of the parts whose name matches; an encrypted or broken file has one row with ``error``.
@@ -66,7 +83,7 @@ def parts(spark: SparkSession, path: str, wanted: str = r"\.(xml|rels)$") -> Dat
 def _read(part_rows: DataFrame, name: str, schema: str) -> DataFrame:
     """(workbook, part, x) for the parts whose name matches."""
     found = part_rows.where(F.col("part").rlike(name) & F.col("content").isNotNull())
-    return found.select("workbook", "part", F.from_xml("content", F.lit(schema), {"mode": "PERMISSIVE", "ignoreNamespace": "true"}).alias("x"))
+    return found.select("workbook", "part", F.from_xml("content", F.lit(schema), {"mode": "PERMISSIVE", "ignoreNamespace": "true", "ignoreSurroundingSpaces": "false"}).alias("x"))
 
 
 def _bounds(ref: Column) -> list[Column]:
@@ -170,6 +187,99 @@ class Workbooks:
         found = _read(self.parts, r"^xl/tables/[^/]+\.xml$", _TABLE)
         return found.select("workbook", "part", F.col("x._name").alias("table"), F.col("x._ref").alias("ref"), F.coalesce("x._headerRowCount", F.lit(1)).alias("header_rows"), F.coalesce("x._totalsRowCount", F.lit(0)).alias("totals_rows"), F.col("x.tableColumns.tableColumn._name").alias("columns"))
 
+    def relations(self) -> DataFrame:
+        """(workbook, source, id, type, target): what each part refers to, targets as names of parts."""
+        found = _read(self.parts, r"_rels/[^/]+\.rels$", _RELATIONS).select("workbook", F.regexp_replace("part", r"_rels/([^/]+)\.rels$", "$1").alias("source"), F.explode("x.Relationship").alias("r"))
+        target = F.concat(F.regexp_replace("source", r"[^/]*$", ""), F.regexp_replace("r._Target", r"^\./", ""))
+        for _ in range(6):  # no part lies deeper
+            target = F.regexp_replace(target, r"[^/]+/\.\./", "")
+        target = F.when(F.col("r._Target").startswith("/"), F.substring("r._Target", 2, 10_000)).when(F.col("r._Target").contains("://"), F.col("r._Target")).otherwise(target)
+        return found.select("workbook", "source", F.col("r._Id").alias("id"), F.regexp_extract("r._Type", "([^/]*)$", 1).alias("type"), target.alias("target"), F.col("r._Target").alias("written"))
+
+    def _of_sheets(self, found: DataFrame) -> DataFrame:
+        """``found`` (workbook, part, ...) with the sheet whose relations name the part."""
+        held = self.relations().select("workbook", F.col("source"), F.col("target").alias("part"))
+        sheets = self.sheets().select("workbook", F.col("part").alias("source"), "sheet_index", "sheet")
+        return found.join(held, ["workbook", "part"]).join(sheets, ["workbook", "source"]).drop("part", "source")
+
+    def comments(self) -> DataFrame:
+        """(workbook, sheet_index, sheet, col, row, author, text) of plain comments; an unknown or empty author is null."""
+        found = _read(self.parts, r"(^|/)comments?[^/]*\.xml$", _COMMENTS).select("workbook", "part", F.col("x.authors.author").alias("authors"), F.explode("x.commentList.comment").alias("c"))
+        author = F.nullif(F.get(F.col("authors"), F.col("c._authorId")), F.lit(""))
+        col, row = _bounds(F.col("c._ref"))[:2]
+        rows = found.select("workbook", "part", col, row, author.alias("author"), _text(F.col("c.text.t"), F.col("c.text.r")).alias("text"))
+        return self._of_sheets(rows).select("workbook", "sheet_index", "sheet", "col", "row", "author", "text")
+
+    def threaded_comments(self) -> DataFrame:
+        """(workbook, sheet_index, sheet, col, row, id, parent_id, date, author, text): the input of ``hierarchy.threads``."""
+        persons = _read(self.parts, r"(^|/)persons?/[^/]+\.xml$", _PERSONS).select("workbook", F.explode("x.person").alias("p")).select("workbook", F.col("p._id").alias("person"), F.col("p._displayName").alias("author")).dropDuplicates(["workbook", "person"])
+        found = _read(self.parts, r"(^|/)threadedComment[^/]*\.xml$", _THREADED).select("workbook", "part", F.explode("x.threadedComment").alias("c")).where("c._ref is not null and c._id is not null")
+        col, row = _bounds(F.col("c._ref"))[:2]
+        rows = found.select("workbook", "part", col, row, F.col("c._id").alias("id"), F.col("c._parentId").alias("parent_id"), F.col("c._dT").alias("date"), F.col("c._personId").alias("person"), F.coalesce("c.text", F.lit("")).alias("text"))
+        named = self._of_sheets(rows).join(persons, ["workbook", "person"], "left")
+        return named.select("workbook", "sheet_index", "sheet", "col", "row", "id", "parent_id", "date", F.nullif(F.col("author"), F.lit("")).alias("author"), "text")
+
+    def hyperlinks(self) -> DataFrame:
+        """(workbook, sheet_index, sheet, cell_col, cell_row, target, location, tooltip, display, safe), one row per linked cell."""
+        found = self._sheet_parts().select("workbook", "part", "sheet_index", "sheet", F.explode("x.hyperlinks.hyperlink").alias("h"))
+        ranges = found.withColumn("ref", F.explode(F.split(F.trim("h._ref"), r"\s+"))).select("workbook", F.col("part").alias("source"), "sheet_index", "sheet", *_bounds(F.col("ref")), F.col("h._id").alias("id"), *[F.nullif(F.col(f"h._{c}"), F.lit("")).alias(c) for c in ("location", "tooltip", "display")])
+        targets = self.relations().select("workbook", "source", "id", F.col("written").alias("target"))
+        cells = grid.expanded(ranges.join(targets, ["workbook", "source", "id"], "left"))
+        return cells.select("workbook", "sheet_index", "sheet", "cell_col", "cell_row", "target", "location", "tooltip", "display", grid.safe_link(F.col("target")).alias("safe"))
+
+    def views(self) -> DataFrame:
+        """One row a sheet: frozen rows and columns, grid lines, zoom, direction, page breaks, protection."""
+        view = F.get(F.col("x.sheetViews.sheetView"), 0)
+        frozen = lambda axis: F.when(view["pane"]["_state"].isin("frozen", "frozenSplit"), F.coalesce(view["pane"][axis], F.lit(0.0))).otherwise(F.lit(0.0)).cast("int")
+        on = lambda c, default: F.coalesce(c.isin("1", "true"), F.lit(default))
+        breaks = lambda c: F.coalesce(F.transform(c, lambda b: b["_id"]), F.array().cast("array<int>"))
+        return self._sheet_parts().select(
+            "workbook", "sheet_index", "sheet", frozen("_ySplit").alias("frozen_rows"), frozen("_xSplit").alias("frozen_cols"), on(view["_showGridLines"], True).alias("grid_lines"), view["_zoomScale"].alias("zoom"),
+            on(view["_rightToLeft"], False).alias("right_to_left"), breaks(F.col("x.rowBreaks.brk")).alias("row_breaks"), breaks(F.col("x.colBreaks.brk")).alias("col_breaks"), on(F.col("x.sheetProtection._sheet"), False).alias("protected"),
+        )
+
+    def header_footers(self) -> DataFrame:
+        """(workbook, sheet_index, sheet, header, footer): left, centre and right zones, null where there is none."""
+        zones = lambda c: F.when(c != "", grid.header_zones(c))
+        return self._sheet_parts().select("workbook", "sheet_index", "sheet", zones(F.col("x.headerFooter.oddHeader")).alias("header"), zones(F.col("x.headerFooter.oddFooter")).alias("footer")).where("header is not null or footer is not null")
+
+    def slicers(self) -> DataFrame:
+        """(workbook, sheet_index, sheet, slicer, caption, cache, source, columns, show_caption, items, selected)."""
+        named = lambda c: c["_n"].isNotNull() & (c["_n"] != "")
+        caches = _read(self.parts, r"(^|/)slicerCaches/[^/]+\.xml$", _SLICER_CACHE).select("workbook", F.col("x._name").alias("cache"), F.col("x._sourceName").alias("source"), F.coalesce(F.filter("x.data.tabular.items.i", named), F.array().cast("array<struct<_n:string,_s:string>>")).alias("i"))
+        found = _read(self.parts, r"(^|/)slicers/[^/]+\.xml$", _SLICERS).select("workbook", "part", F.explode("x.slicer").alias("s"))
+        rows = found.where("s._name is not null and s._cache is not null").select("workbook", "part", F.col("s._name").alias("slicer"), F.nullif(F.col("s._caption"), F.lit("")).alias("caption"), F.col("s._cache").alias("cache"), F.col("s._columnCount").alias("columns"), (~F.coalesce(F.col("s._showCaption").isin("0", "false"), F.lit(False))).alias("show_caption"))
+        joined = self._of_sheets(rows).join(caches, ["workbook", "cache"], "left")
+        texts = lambda c: F.coalesce(F.transform(c, lambda i: i["_n"]), F.array().cast("array<string>"))
+        return joined.select("workbook", "sheet_index", "sheet", "slicer", "caption", "cache", "source", "columns", "show_caption", texts(F.col("i")).alias("items"), texts(F.filter("i", lambda i: i["_s"].isin("1", "true"))).alias("selected"))
+
+    def diagram_nodes(self) -> DataFrame:
+        """(workbook, part, id, kind, text) of diagrams, without the points that only serve their layout."""
+        found = _read(self.parts, r"(^|/)diagrams/data[^/]*\.xml$", _POINTS).select("workbook", "part", F.explode("x.ptLst.pt").alias("p"))
+        lines = F.transform(F.col("p.t.p"), lambda p: F.array_join(F.transform(p["r"], lambda r: F.coalesce(r["t"], F.lit(""))), ""))
+        kept = F.col("p._modelId").isNotNull() & ~F.coalesce(F.col("p._type").isin("pres", "parTrans", "sibTrans"), F.lit(False))
+        return found.where(kept).select("workbook", "part", F.col("p._modelId").alias("id"), F.coalesce("p._type", F.lit("")).alias("kind"), F.coalesce(F.array_join(lines, "\n"), F.lit("")).alias("text"))
+
+    def diagram_edges(self) -> DataFrame:
+        """(workbook, part, src, dst, ord): parents and children of diagrams, with ``diagram_nodes`` the input of ``hierarchy.levels``."""
+        found = _read(self.parts, r"(^|/)diagrams/data[^/]*\.xml$", _POINTS).select("workbook", "part", F.explode("x.cxnLst.cxn").alias("c"))
+        return found.where(F.coalesce("c._type", F.lit("parOf")) == "parOf").select("workbook", "part", F.col("c._srcId").alias("src"), F.col("c._destId").alias("dst"), F.coalesce("c._srcOrd", F.lit(0)).alias("ord"))
+
+    def chart_points(self) -> DataFrame:
+        """(workbook, part, kind, grouping, series, name, idx, category, value): the cached points of charts; what is no number is null."""
+        read = _read(self.parts, r"(^|/)charts/chart[^/]*\.xml$", _CHART)
+        kinds = []
+        for element, kind in CHARTS.items():
+            plot = F.col("x.chart.plotArea")[element]
+            shown = F.when(plot["barDir"]["_val"] == "bar", F.lit("bar")).otherwise(F.lit("column")) if kind == "bar" else F.lit(kind)
+            kinds.append(F.struct(shown.alias("kind"), plot["grouping"]["_val"].alias("grouping"), plot["ser"].alias("ser")))
+        plots = read.select("workbook", "part", F.explode(F.array(*kinds)).alias("k")).select("workbook", "part", "k.kind", "k.grouping", F.posexplode("k.ser").alias("at", "s"))
+        first = lambda cache: F.get(cache["pt"], 0)["v"]
+        categories = F.coalesce(F.col("s.cat.strRef.strCache.pt"), F.col("s.cat.numRef.numCache.pt"), F.col("s.xVal.numRef.numCache.pt"))
+        values = F.coalesce(F.col("s.val.numRef.numCache.pt"), F.col("s.yVal.numRef.numCache.pt"))
+        named = plots.select("workbook", "part", "kind", "grouping", F.coalesce("s.idx._val", "at").alias("series"), F.coalesce(first(F.col("s.tx.strRef.strCache")), F.col("s.tx.v")).alias("name"), F.map_from_entries(F.transform(categories, lambda p: F.struct(p["_idx"], p["v"]))).alias("c"), F.explode(values).alias("v"))
+        return named.select("workbook", "part", "kind", "grouping", "series", "name", F.col("v._idx").alias("idx"), F.try_element_at("c", F.col("v._idx")).alias("category"), F.col("v.v").try_cast("double").alias("value"))
+
     def extents(self) -> DataFrame:
         """(workbook, sheet, max_row, max_col) over the cells present."""
         return self.cells().groupBy("workbook", "sheet_index", "sheet").agg(F.max("row").alias("max_row"), F.max("col").alias("max_col"))
