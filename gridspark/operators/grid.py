@@ -93,6 +93,10 @@ def html_rows(cells: DataFrame, *, by: list[str], value: str = "value", style: s
 
 
 def safe_link(href: Column) -> Column:
-    """Whether a link may be shown: http, https, mailto or a place in the document, with no control characters before the colon."""
-    bare = F.regexp_replace(href, r"[\x00-\x20\x7F]", "")
-    return F.coalesce(bare.rlike("(?i)^(https?:|mailto:|#)") | ~bare.contains(":"), F.lit(False))
+    """Whether a link may be shown: http, https, mailto, tel, a place in the document or a relative path, and no control character anywhere.
+
+    Nulls and blanks lead nowhere and may be shown.
+    """
+    bare = F.trim(href)
+    foreign = bare.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") & ~bare.rlike("(?i)^(https?|mailto|tel):")
+    return F.coalesce(~href.rlike(r"[\x00-\x1f\x7f]") & ~foreign, F.lit(True))
