@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,24 +37,39 @@ def font_family(raw: Column) -> Column:
     return F.when(name.rlike(r"^[A-Za-z0-9 .-]+\z"), F.concat(F.lit('"'), name, F.lit('"')))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once and named once: expressions stay small."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def tinted(colour: Column, tint: Column) -> Column:
     """``#rrggbb`` with its HSL lightness moved towards black (tint below 0) or white (above 0)."""
-    red, green, blue = (F.conv(F.substring(colour, at, 2), 16, 10).cast("double") / 255 for at in (2, 4, 6))
-    high, low = F.greatest(red, green, blue), F.least(red, green, blue)
-    spread, light = high - low, (high + low) / 2
-    share = F.when(spread == 0, F.lit(0.0)).otherwise(spread / (1 - F.abs(2 * light - 1)))
-    turn = F.when(spread == 0, F.lit(0.0)).when(high == red, (green - blue) / spread).when(high == green, (blue - red) / spread + 2).otherwise((red - green) / spread + 4)
-    by = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), tint))
-    moved = F.when(by < 0, light * (1 + by)).otherwise(light + (1 - light) * by)
-    reach = share * F.least(moved, 1 - moved)
-
-    def channel(sixths: float) -> Column:
-        place = F.pmod(turn + sixths, F.lit(6.0))
-        value = moved - reach * F.greatest(F.lit(-1.0), F.least(place / 0.5 - 3, 9 - place / 0.5, F.lit(1.0)))
-        return F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(value * 255 + 0.5)))), 2, "0")
-
-    whole = F.lower(F.concat(F.lit("#"), channel(0.0), channel(4.0), channel(2.0)))
-    return F.when(F.coalesce(tint, F.lit(0.0)) == 0, colour).when(colour.rlike("^#[0-9A-Fa-f]{6}$"), whole).otherwise(colour)
+
+    def shades(v: Column) -> Column:
+        red, green, blue, high, low = (v[x] for x in ("red", "green", "blue", "high", "low"))
+        spread, light = high - low, (high + low) / 2
+        share = F.when(spread == 0, F.lit(0.0)).otherwise(spread / (1 - F.abs(2 * light - 1)))
+        turn = F.when(spread == 0, F.lit(0.0)).when(high == red, (green - blue) / spread).when(high == green, (blue - red) / spread + 2).otherwise((red - green) / spread + 4)
+        moved = F.when(v["by"] < 0, light * (1 + v["by"])).otherwise(light + (1 - light) * v["by"])
+        return _let(F.struct(share.alias("share"), turn.alias("turn"), moved.alias("moved")), written)
+
+    def written(v: Column) -> Column:
+        reach = v["share"] * F.least(v["moved"], 1 - v["moved"])
+
+        def channel(sixths: float) -> Column:
+            value = _let(F.pmod(v["turn"] + sixths, F.lit(6.0)), lambda place: F.greatest(F.lit(-1.0), F.least(place / 0.5 - 3, 9 - place / 0.5, F.lit(1.0))))
+            return F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v["moved"] - reach * value) * 255 + 0.5)))), 2, "0")
+
+        return F.lower(F.concat(F.lit("#"), channel(0.0), channel(4.0), channel(2.0)))
+
+    def moved(v: Column) -> Column:
+        parts = F.transform(F.array(*map(F.lit, (2, 4, 6))), lambda at: F.conv(F.substring(v["colour"], at, F.lit(2)), 16, 10).cast("double") / 255)
+        by = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v["tint"]))
+        named = lambda p: F.struct(*[F.get(p, i).alias(n) for i, n in enumerate(("red", "green", "blue"))], F.array_max(p).alias("high"), F.array_min(p).alias("low"), by.alias("by"))
+        whole = _let(parts, lambda p: _let(named(p), shades))
+        return F.when((v["tint"] != 0) & v["colour"].rlike("^#[0-9A-Fa-f]{6}$"), whole).otherwise(v["colour"])
+
+    return _let(F.struct(colour.alias("colour"), F.coalesce(tint, F.lit(0.0)).alias("tint")), moved)
 
 
 def emu_to_pixels(emu: Column) -> Column:
