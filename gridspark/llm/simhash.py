@@ -13,7 +13,8 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import cut
@@ -47,15 +48,23 @@ def _fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(ones * 2 > total, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the 64-bit SimHash of 3-word shingles of each row, as a signed long.  No shuffle."""
+def _text_digest(text: Column) -> Column:
+    """SHA-256 of a text; empty for a null one, which differs from an empty text."""
+    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fp = np.array([_fingerprint(t) for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"id": batch["id"].to_numpy(), "fp": fp.view(np.int64)})
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {dict(docs.dtypes)[id_col]}, fp long")
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """(id, fp): the 64-bit SimHash of 3-word shingles of each row, as a signed long; with ``digests`` (id, digest, fp).  No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # as Arrow: pandas would turn ids beside nulls into floats
+            fp = np.array([_fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
+            kept = ["id", "digest"] if digests else ["id"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(fp.view(np.int64))], names=[*kept, "fp"])
+
+    more = [_text_digest(F.col(text_col)).alias("digest")] if digests else []
+    schema = f"id {dict(docs.dtypes)[id_col]}, " + ("digest binary, " if digests else "") + "fp long"
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *more).mapInArrow(run, schema)
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -181,6 +190,12 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
+def _placed(distinct: DataFrame, radius: int) -> DataFrame:
+    """Rows of distinct fingerprints with the ``root`` of their component."""
+    roots = components(links(distinct, radius=radius)).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_dedup(docs: DataFrame, *, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (id, fp, component_id, component_size).
 
@@ -192,16 +207,25 @@ def near_dedup(docs: DataFrame, *, radius: int = 3, id_col: str = "doc_id", text
     """
     marked = cut(fingerprints(docs, id_col=id_col, text_col=text_col))
     distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("rows")))
-    roots = components(links(distinct, radius=radius)).withColumnRenamed("node", "fp")
-    placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = _placed(distinct, radius)
     sums = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("rows").alias("component_size"))
     known = placed.select("fp", "root").join(sums, "root").drop("root")
     return marked.join(known, "fp").select("id", "fp", "component_id", "component_size")
 
 
 def keep_one(docs: DataFrame, *, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, columns unchanged, whose id is that of their component: one of each group."""
-    found = near_dedup(docs, radius=radius, id_col=id_col, text_col=text_col)
-    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__kept_id")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__kept_id"))
-    return docs.join(kept.hint("shuffle_hash"), same).dropDuplicates([id_col]).select(*docs.columns)
+    """The rows of ``docs``, columns unchanged, one of each component.
+
+    It is the one with the smallest id (a null id only where the component has
+    no other), then fingerprint, then digest of the text; ids need not be
+    unique.  Of rows that repeat id and text, one.
+    """
+    marked = fingerprints(docs, id_col=id_col, text_col=text_col, digests=True)
+    order = [F.col("id").isNull().alias("no_id"), F.col("id")]
+    distinct = cut(marked.groupBy("fp").agg(F.min(F.struct(*order, F.col("digest"))).alias("best")))
+    best = F.struct("best.no_id", "best.id", "fp", "best.digest")
+    chosen = _placed(distinct, radius).groupBy("root").agg(F.min(best).alias("best"))
+    kept = chosen.select(F.col("best.id").alias("__kept_id"), F.col("best.digest").alias("__kept_digest"))
+    keyed = docs.withColumn("__digest", _text_digest(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest"))
+    return keyed.join(kept.hint("shuffle_hash"), same).dropDuplicates([id_col, "__digest"]).select(*docs.columns)

@@ -98,6 +98,23 @@ def test_simhash_equals_brute_force(spark, documents):
     assert simhash.near_dedup(documents(*rows).where("false")).count() == 0
 
 
+def test_keep_one_where_ids_do_not_identify(spark, documents):
+    rng = random.Random(6)
+    unlike = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(60)) for _ in range(7)]
+    far = 2**60 + 1  # no float holds it
+    rows = [(None, unlike[0]), (None, unlike[1]), (None, unlike[2]), (None, unlike[2]), (far, unlike[3]), (far, unlike[4]), (far, unlike[4].upper())]
+    rows += [(9, unlike[5]), (None, unlike[5]), (9, unlike[3]), (8, unlike[6]), (8, None), (8, "")]
+    fps = [plain_fingerprint(t) for _, t in rows]
+    want = {}
+    for (i, t), f, k in zip(rows, fps, plain_components(fps), strict=True):
+        digest = b"" if t is None else hashlib.sha256(t.encode()).digest()
+        mine = (i is None, i or 0, f - 2**64 if f >> 63 else f, digest, t)
+        want[k] = min(want.get(k, mine), mine, key=lambda x: x[:4])
+    for parts in (1, 5):
+        got = simhash.keep_one(documents(*rows).repartition(parts)).collect()
+        assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(str((None if none else i, t)) for none, i, _, _, t in want.values())
+
+
 @pytest.mark.parametrize("bucket", [512, 4])
 def test_links_keep_components(spark, monkeypatch, bucket):
     """Balls of fingerprints around few centres: buckets are split when they are large, and no link is lost."""
