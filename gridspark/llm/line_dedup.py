@@ -10,6 +10,10 @@ Every occurrence of the same set of words is one class, so a line that a third
 of all documents share is one entry of the join.  A line is dropped once one
 earlier match is verified: round one tries each line's earliest candidates, and
 only lines that this leaves open meet all of theirs in round two.
+
+A word that very many lines have in their prefix has its list split into
+blocks.  Round one looks inside blocks; the lines that are left then meet the
+other blocks in cells of one block each, so that no task holds a whole list.
 """
 
 from __future__ import annotations
@@ -38,6 +42,12 @@ FILTER_BITS = 1 << 23
 SLICE_BYTES = 1 << 22
 SHORT_LIST = 32
 
+#: Lines from which a posting list is split, and about the lines of one of its blocks.
+SPLIT = 1 << 16
+
+#: What a posting is in the task that reads it: a later line that looks for earlier ones, an earlier line, or both.
+LATER, EARLIER = 1, 2
+
 #: Sizes from which a line's parity is 2, 4, 8 and 16 words of 64 bits wide: about as many bits as words,
 #: since with fewer the parities of unlike lines differ in no more bits than those of lines that match.
 WIDER_FROM = (48, 112, 256, 512)
@@ -215,7 +225,8 @@ def _pairs(threshold: tuple[int, int], every: bool):
     """Reads postings sorted by (key, id, line, marks) and yields candidate pairs, the earlier line first.
 
     Round one (``every`` false): each line's earliest candidate of the list,
-    with ``more`` set if it has others.  Round two: all candidates of open lines.
+    with ``more`` set if it may have others: a long list is read from its start
+    until every line has one.  Round two: all candidates of open lines.
     """
     num, den = threshold
 
@@ -225,7 +236,8 @@ def _pairs(threshold: tuple[int, int], every: bool):
         return fit & (np.bitwise_count(s_a ^ s_b) <= n_a + n_b - 2 * need)
 
     def found(cols: list[np.ndarray], marks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        key, sign, n, p, open_ = cols[0], cols[3].view(np.uint64), cols[4].astype(np.int64), cols[5].astype(np.int64), cols[6]
+        key, sign, n, p, open_ = cols[0], cols[3].view(np.uint64), cols[4].astype(np.int64), cols[5].astype(np.int64), cols[6] & LATER != 0
+        early = cols[6] & EARLIER != 0
         base, width, words = _words(marks)
 
         def folded(i: np.ndarray, to: int) -> np.ndarray:
@@ -246,6 +258,17 @@ def _pairs(threshold: tuple[int, int], every: bool):
                     good[at_[lo : lo + (1 << 16)]] = np.bitwise_count(folded(x, to) ^ folded(y, to)).sum(axis=1, dtype=np.int64) <= n[x] + n[y] - 2 * need
             return good
 
+        def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Whether pairs are of two lines: one that is both earlier and later may be there twice."""
+            return (cols[1][a] != cols[1][b]) | (cols[2][a] != cols[2][b]) | (sign[a] != sign[b])
+
+        def met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Rows b by columns a: the candidates."""
+            good = fits(n[a], p[a], sign[a], n[b, None], p[b, None], sign[b, None]) & (a < b[:, None])
+            x, y = np.nonzero(good)
+            good[x, y] = unlike(a[y], b[x]) & alike(a[y], b[x])
+            return good
+
         edge = np.flatnonzero(key[1:] != key[:-1]) + 1
         starts = np.concatenate([[0], edge])
         size = np.diff(np.concatenate([starts, [len(key)]]))
@@ -259,7 +282,7 @@ def _pairs(threshold: tuple[int, int], every: bool):
             if not len(b):
                 break
             a = b - lag
-            good = np.flatnonzero(fits(n[a], p[a], sign[a], n[b], p[b], sign[b]))
+            good = np.flatnonzero(early[a] & fits(n[a], p[a], sign[a], n[b], p[b], sign[b]) & unlike(a, b))
             good = good[alike(a[good], b[good])]
             best[b[good]] = a[good]
             hits[b[good]] += 1
@@ -267,23 +290,32 @@ def _pairs(threshold: tuple[int, int], every: bool):
                 a_all.append(a[good])
                 b_all.append(b[good])
         for lo, m in zip(starts[size > SHORT_LIST], size[size > SHORT_LIST], strict=True):
-            step = max(1, (1 << 20) // m)
-            for from_ in range(lo + 1, lo + m, step):
-                b = at[from_ : min(from_ + step, lo + m)]
-                b = b[open_[b]]
-                if not len(b):
-                    continue
-                a = at[lo : b[-1]]
-                good = fits(n[a], p[a], sign[a], n[b, None], p[b, None], sign[b, None]) & (a < b[:, None])
-                x, y = np.nonzero(good)
-                good[x, y] = alike(a[y], b[x])
-                hits[b] = good.sum(axis=1)
-                any_ = hits[b] > 0
-                best[b[any_]] = lo + good[any_].argmax(axis=1)
-                if every:
-                    x, y = np.nonzero(good)
+            firsts, open_rows = at[lo : lo + m][early[lo : lo + m]], at[lo : lo + m][open_[lo : lo + m]]
+            if every:
+                step = max(1, (1 << 20) // m)
+                for from_ in range(0, len(open_rows), step):
+                    b = open_rows[from_ : from_ + step]
+                    a = firsts[: np.searchsorted(firsts, b[-1])]
+                    x, y = np.nonzero(met(a, b))
                     a_all.append(a[y])
                     b_all.append(b[x])
+                continue
+            from_, width_ = 0, SHORT_LIST
+            while from_ < len(firsts) and len(open_rows):
+                a = firsts[from_ : from_ + width_]
+                from_ += len(a)
+                open_rows = open_rows[open_rows > a[0]]
+                step = max(1, (1 << 20) // len(a))
+                left = []
+                for part in range(0, len(open_rows), step):
+                    b = open_rows[part : part + step]
+                    good = met(a, b)
+                    any_ = good.any(axis=1)
+                    best[b[any_]] = a[good[any_].argmax(axis=1)]
+                    hits[b[any_]] = good[any_].sum(axis=1) + (firsts[from_] < b[any_] if from_ < len(firsts) else 0)
+                    left.append(b[~any_])
+                open_rows = np.concatenate([*left, at[:0]])
+                width_ = min(2 * width_, 1 << 12)
         if every:
             a, b = np.concatenate([*a_all, at[:0]]), np.concatenate([*b_all, at[:0]])
             return a, b, np.zeros(len(a), bool)
@@ -317,7 +349,60 @@ def _pairs(threshold: tuple[int, int], every: bool):
     return run
 
 
+def _heavy(lines: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(key, n, blocks, most) of the words whose lists are split, by size of set.
+
+    ``most`` is the last prefix place from which a line of that size can match
+    another of the list, by the sizes and places that the list has; -1 if none.
+    """
+    num, den = threshold
+    # A key starts with the rank of its word's count, which no list of it exceeds.
+    least = int(min(255, np.floor(8 * np.log2(SPLIT + 1))))
+    common = lines.select("sig", "n", F.posexplode("prefix").alias("p", "key")).where(F.shiftrightunsigned("key", 56) >= least)
+    large = cut(common.groupBy("key").agg(F.approx_count_distinct("sig").alias("rows")).where(F.col("rows") > SPLIT))
+    if large.isEmpty():
+        return large.select("key", F.lit(0).alias("n"), F.lit(0).cast("long").alias("blocks"), F.lit(0).alias("most"))
+    sizes = cut(common.join(F.broadcast(large), "key").groupBy("key", "n").agg(F.min("p").alias("p"), F.ceil(F.max("rows") / SPLIT).alias("blocks")))
+    other = sizes.select("key", F.col("n").alias("m"), F.col("p").alias("q"))
+    need = F.ceil(num * (F.col("n") + F.col("m")) / (num + den))
+    meets = (den * F.least("n", "m") >= num * F.greatest("n", "m")) & (F.col("m") - F.col("q") >= need)
+    return cut(sizes.join(other, "key").groupBy("key", "n", "blocks").agg(F.coalesce(F.max(F.when(meets, F.col("n") - need)), F.lit(-1)).cast("int").alias("most")))
+
+
+def _block(blocks: Column, seed: int = 0) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "id", "line", "parity"), blocks)
+
+
+def _cell(*parts: Column) -> Column:
+    """The key of a part of a list: a hash, as what meets by accident is verified like all else."""
+    return F.xxhash64("key", *parts).alias("key")
+
+
+_POSTING = ["id", "line", "parity", "marks", "n", "p"]
+
+
+def _parted(postings: DataFrame, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings of lists that stay whole, and those of split ones (with blocks) that can match anything."""
+    joined = postings.join(F.broadcast(heavy), ["key", "n"], "left")
+    return joined.where("blocks IS NULL").select(postings.columns), joined.where("p <= most").drop("most")
+
+
+def _cells(split: DataFrame) -> DataFrame:
+    """Postings of split lists, those that are open against all: each cell has one block of all and one of the open ones."""
+    opened = split.where("open").groupBy("key").agg(F.ceil(F.count("*") / SPLIT).alias("groups"))
+    sized = split.join(F.broadcast(opened), "key")
+    first, until = F.lit(0).cast("long"), lambda c: F.col(c) - 1
+    early = sized.withColumn("g", F.explode(F.sequence(first, until("groups")))).select(_cell(_block(F.col("blocks")), F.col("g")), *_POSTING, F.lit(EARLIER).cast("byte").alias("open"))
+    late = sized.where("open").withColumn("b", F.explode(F.sequence(first, until("blocks")))).select(_cell(F.col("b"), _block(F.col("groups"), 1)), *_POSTING, F.lit(LATER).cast("byte").alias("open"))
+    return early.unionByName(late)
+
+
+def _whole(postings: DataFrame) -> DataFrame:
+    return postings.withColumn("open", F.when(F.col("open"), F.lit(EARLIER + LATER)).otherwise(F.lit(EARLIER)).cast("byte"))
+
+
 def _candidates(postings: DataFrame, threshold: tuple[int, int], every: bool) -> DataFrame:
+    """Candidate pairs of postings whose ``open`` says what they are: EARLIER, LATER or both."""
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = postings.select("key", "id", "line", "marks", "n", "p", "open").repartition(parts, "key").sortWithinPartitions("key", "id", "line", "marks")
     pairs = dealt.mapInArrow(_pairs(threshold, every), "id_a long, line_a int, parity_a long, id_b long, line_b int, parity_b long, more boolean")
@@ -366,16 +451,34 @@ def removed_lines(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, id
     place = ["id", "line", "parity"]
     opened = classes.select(*place, "n", "marks", F.posexplode("prefix").alias("p", "key"), F.lit(True).alias("open"))
 
-    first_round = _candidates(opened, threshold, every=False)
-    gone = _verified(first_round, rows, rarity, threshold)
+    heavy = _heavy(lines, threshold)
+    split = not heavy.isEmpty()
+    if split:
+        whole, apart = _parted(opened, heavy)
+        blocks = apart.select(_cell(_block(F.col("blocks"))), *_POSTING, "open")
+        tried = _candidates(_whole(whole.unionByName(blocks)), threshold, every=False)
+    else:
+        tried = _candidates(_whole(opened), threshold, every=False)
+    gone = _verified(tried, rows, rarity, threshold)
+    if split:
+        # What has no match in its own block, against the other blocks.
+        apart = cut(apart.drop("open").join(gone.withColumn("gone", F.lit(True)), place, "left").withColumn("open", F.col("gone").isNull()).drop("gone"))
+        across = _candidates(_cells(apart), threshold, every=False)
+        gone = gone.unionByName(_verified(across, rows, rarity, threshold)).distinct()
+        tried = tried.unionByName(across)
     later = [F.col(f"{c}_b").alias(c) for c in place]
-    open_ = first_round.groupBy(*later).agg(F.max("more").alias("more")).where("more").drop("more")
+    open_ = tried.groupBy(*later).agg(F.max("more").alias("more")).where("more").drop("more")
     open_ = cut(open_.join(gone, place, "left_anti"))
     if not open_.isEmpty():
         is_open = classes.join(open_.withColumn("open", F.lit(True)), place, "left").withColumn("open", F.coalesce("open", F.lit(False)))
         keyed = is_open.select(*place, "n", "marks", F.posexplode("prefix").alias("p", "key"), "open")
         near = keyed.withColumn("word", _word(F.col("key"))).join(F.broadcast(_filter(keyed.where("open"), "key")), "word").where(F.col("bits").bitwiseAND(_bit(F.col("key"))) != 0)
-        second = _candidates(near, threshold, every=True)
+        if split:
+            whole, apart = _parted(near.select("key", *_POSTING, "open"), heavy)
+            met_all = _whole(whole).select("key", *_POSTING, "open").unionByName(_cells(cut(apart)))
+        else:
+            met_all = _whole(near)
+        second = _candidates(met_all, threshold, every=True)
         gone = gone.unionByName(_verified(second, rows, rarity, threshold)).distinct()
     late = classes.join(gone.withColumn("late", F.lit(True)), place, "left").select("sig", "sig2", F.col("id").alias("first_id"), F.col("line").alias("first_line"), F.coalesce("late", F.lit(False)).alias("late"))
     found = lines.select("id", "line", "sig", "sig2").join(late, ["sig", "sig2"])

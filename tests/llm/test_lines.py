@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridspark.llm import line_dedup
 
@@ -48,6 +49,29 @@ def test_equals_all_pairs(spark, documents, monkeypatch, short_list):
         assert r.text == (text if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if n not in want.get(r.doc_id, set())))
 
 
+def test_long_lists_are_split(spark, documents, monkeypatch):
+    """Template lines share a prefix word: no task gets the whole list, and the result is that of all pairs."""
+    monkeypatch.setattr(line_dedup, "SPLIT", 16)
+    monkeypatch.setattr(line_dedup, "SHORT_LIST", 4)
+    largest, found = [], line_dedup._candidates
+
+    def counted(postings, threshold, every):
+        largest.append(postings.groupBy("key").count().agg(F.max("count")).first()[0])
+        return found(postings, threshold, every)
+
+    monkeypatch.setattr(line_dedup, "_candidates", counted)
+    rng = random.Random(7)
+    lines = [f"Order {rng.randrange(10**6)} was shipped to the customer on Monday" for _ in range(150)]
+    lines += [f"Order {rng.randrange(10**6)} of {rng.randrange(10**6)} was sent to our customer on Friday" for _ in range(80)]
+    lines += [f"Order a{i % 9} b{i % 7} c{i % 5} d{i % 11} e{i % 4}" for i in range(200)]
+    rng.shuffle(lines)
+    rows = [(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(len(lines) // 3 + 1)]
+    want = plain_removed(rows)
+    got = line_dedup.line_dedup(documents(*rows)).collect()
+    assert {r.id: set(r.removed) for r in got if r.removed} == want
+    assert max(largest) <= 80
+
+
 def test_repeated_and_no_rows(spark, documents):
     docs = documents((1, "a b\na b"), (1, "a b\na b"), (2, "b a"))
     assert sorted((r.id, r.removed) for r in line_dedup.line_dedup(docs).collect()) == [(1, [1]), (1, [1]), (2, [0])]
