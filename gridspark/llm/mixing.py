@@ -61,7 +61,14 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
     and size are interchangeable; an empty table gives an empty result.  The
     outcome depends on the rows and the seed alone.
     """
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("src"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size")))
+    placed = _placed(docs, weights, cap, seed, id_col, text_col, source_col)
+    return placed.select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _placed(docs: DataFrame, weights: tuple[int, ...], cap: int, seed: int, id_col: str, text_col: str, source_col: str, *, whole: bool = False) -> DataFrame:
+    """The rows of ``mix``, with ``whole`` each with the row of ``docs`` it is for, as struct ``row``."""
+    row = [F.struct(*docs.columns).alias("row")] if whole else []
+    sized = cut(docs.select(*row, F.col(id_col).alias("id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("src"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size")))
     aims = targets(sized.groupBy("src").agg(F.sum("size").alias("source_size")), weights=weights, cap=cap)
     # Digits of the id's digest that split the rows of one source and size; more of them change no order.
     digits = max(1, math.ceil(math.log(max(1, sized.count()) / GROUP_ROWS, 16)))
@@ -72,25 +79,16 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
     per_size = per_size.select("src", "size", F.coalesce(F.sum("rows").over(Window.partitionBy("src").orderBy("size").rowsBetween(*before)), F.lit(0)).alias("base"))
     cells = cells.withColumn("within", F.coalesce(F.sum("rows").over(Window.partitionBy("src", "size").orderBy("part").rowsBetween(*before)), F.lit(0)))
     cells = cells.join(per_size, ["src", "size"]).join(aims, "src").select("src", "size", "part", "source_size", "target", (F.col("base") + F.col("within")).alias("base"))
-    placed = keyed.withColumn("place", F.row_number().over(Window.partitionBy("src", "size", "part").orderBy("digest", "id"))).join(cells, ["src", "size", "part"])
+    placed = keyed.withColumn("place", F.row_number().over(Window.partitionBy("src", "size", "part").orderBy("digest", "id", *([F.sha2(F.col("row")[text_col], 256)] if whole else [])))).join(cells, ["src", "size", "part"])
 
     expected = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(F.lit(0)).cast("long")
     offset = F.lit(random.Random(seed).randrange(UNIT)).cast("long")
     place = F.col("base") + F.col("place")
     crossed = F.shiftright(place * expected + offset, UNIT_BITS) - F.shiftright((place - 1) * expected + offset, UNIT_BITS)
-    return (
-        placed.withColumn("copies", crossed.cast("long"))
-        .select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-    )
+    return placed.withColumn("copies", crossed.cast("long"))
 
 
-def repeated(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, columns unchanged, each as often as the mix takes it.
-
-    Copies of rows with one id are summed and dealt out to those rows evenly;
-    ids identify documents, so that this is the mix itself but for repeats.
-    """
-    taken = mix(docs, id_col=id_col, **options).groupBy(F.col("id").alias("__id")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
-    dealt = docs.join(taken.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")))
-    copies = F.when(F.col("__rows") == 1, F.col("__copies")).otherwise(F.greatest(F.lit(1).cast("long"), F.floor(F.col("__copies") / F.col("__rows"))))
-    return dealt.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)
+def repeated(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, columns unchanged, each as often as the mix takes it, whether or not ids repeat."""
+    dealt = _placed(docs, weights, cap, seed, id_col, text_col, source_col, whole=True).where("copies > 0")
+    return dealt.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

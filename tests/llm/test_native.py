@@ -96,6 +96,18 @@ def test_mix_meets_targets(spark, documents):
     assert mixing.repeated(documents(*rows)).count() >= sum(r.copies for r in got) - 2
 
 
+def test_repeated_is_the_mix_where_ids_repeat(spark, documents):
+    rows = [(None if i % 3 else i % 7, f"t{i} " * (i % 5 + 1), "en", "abc"[i % 3] if i % 4 else "a") for i in range(120)]
+    want, got = {}, {}
+    for r in mixing.mix(documents(*rows)).where("copies > 0").collect():
+        key = (r.id, r.source, r["size"])
+        want[key] = want.get(key, 0) + r.copies
+    for r in mixing.repeated(documents(*rows)).collect():
+        key = (r.doc_id, r.source, len(r.text.split()))
+        got[key] = got.get(key, 0) + 1
+    assert got == want
+
+
 def test_exact_dedup(spark, documents):
     rows = [(7, "a  b"), (3, "a\tb"), (5, "a b"), (1, "c"), (1, "c"), (9, None), (8, ""), (None, "a b"), (None, "n"), (4, " a b"), (6, "a\u00a0b")]
     got = exact_dedup.exact_dedup(documents(*rows)).collect()
