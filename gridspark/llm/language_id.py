@@ -217,12 +217,13 @@ def train(labelled: DataFrame, *, rows_per_language: int = ROWS_PER_LANGUAGE, id
     """Learns from at most ``rows_per_language`` rows of each language, those with the smallest id digests.
 
     The sample's ids are chosen without texts and broadcast (their number is
-    the bound); n-grams are counted on the executors.  Null texts and languages
-    are passed over.  None if nothing is labelled.
+    the bound); n-grams are counted on the executors.  Null ids, texts and
+    languages are passed over.  None if nothing is labelled.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    labelled = labelled.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     chosen = smallest_digests(rows, "lang", "id", rows_per_language).groupBy("id").agg(F.min("place").alias("place"))
-    texts = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sample = texts.join(F.broadcast(chosen), "id")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

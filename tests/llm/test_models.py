@@ -197,6 +197,11 @@ def test_language_edge_cases(spark, documents):
     assert language_id.identify(docs.where("false"), None).count() == 0
 
 
+def test_languages_are_learned_beside_null_ids_and_texts(spark, documents):
+    rows = [(i, "the house of and to the", "en") for i in range(8)] + [(None, "der hund und das von", "de")] * 30 + [(100 + i, None, "de") for i in range(40)] + [(50 + i, "der hund und das von", "de") for i in range(8)]
+    assert language_id.train(documents(*rows), rows_per_language=8).languages == ["de", "en"]
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = toxicity.train(docs, labels.where(split_of(F.col("doc_id"), 5) != 0))
