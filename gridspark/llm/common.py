@@ -46,10 +46,30 @@ def cut(df: DataFrame) -> DataFrame:
     What follows no longer depends on executors that computed ``df``, is not
     computed again when read twice, and has a size that Spark knows.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gridspark/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/gridspark/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this application has cut: results that are still to be computed can't be after that."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def filter_bits(rows: int, most: int, per_row: int = 12) -> int | None:
+    """Bits of a filter of that many rows: a power of two, ``per_row`` a row at least; None where that exceeds ``most``."""
+    bits = 1 << max(16, (per_row * max(rows, 1) - 1).bit_length())
+    return bits if bits <= most else None
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -96,8 +116,10 @@ def smallest_digests(rows: DataFrame, group_col: str, id_col: str, most: int) ->
 
     Groups are few (classes, languages).  Their counts give a digest that about
     twice as many rows stay under, so that a group meets in one task only after
-    its rows are down to that; the choice is the same as without.
+    its rows are down to that; the choice is the same as without.  An id counts
+    once in a group, however many of its rows there are.
     """
+    rows = rows.select(group_col, id_col).distinct()
     digest = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
     sizes = {r[0]: r[1] for r in rows.groupBy(group_col).count().collect()}
     limit = F.coalesce(*[F.when(F.col(group_col) == g, F.lit(int(min(1.0, (2 * most + 100) / n) * (1 << 40)))) for g, n in sizes.items()], F.lit(0).cast("long"))

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import let, prefix_sums
+from gridspark.llm.common import cut, let, prefix_sums
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,8 @@ RULES = (
 )
 
 _SPANS = "array<struct<start:int,end:int>>"
+#: The columns of a ledger.
+LEDGER = f"blob_id string, rule string, version int, spans {_SPANS}"
 _RANKED = "array<struct<start:int,rank:int,end:int>>"
 
 
@@ -108,7 +111,9 @@ def findings_by_path(docs: DataFrame, ledger: DataFrame, *, rules: tuple[Rule, .
     """Every row's findings under the given rule versions: (path, blob_id, found).
 
     ``found`` is sorted by start, then by the order of ``rules``, and holds
-    structs (start, rank, end), rank being the rule's place.
+    structs (start, rank, end), rank being the rule's place.  Findings are
+    written before they are joined, so that Spark knows their size, and splits
+    the paths of a blob that very many have.
     """
     rank = F.coalesce(*[F.when((F.col("rule") == r.kind) & (F.col("version") == r.version), F.lit(i)) for i, r in enumerate(rules)])
     found = (
@@ -118,6 +123,7 @@ def findings_by_path(docs: DataFrame, ledger: DataFrame, *, rules: tuple[Rule, .
         .groupBy("blob_id")
         .agg(F.flatten(F.collect_set(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank").alias("rank"), s["end"].alias("end"))))).alias("found"))
     )
+    found = cut(found)
     paths = versions(docs, path_col, text_col).select("path", "blob_id")
     return paths.join(found, "blob_id", "left").select("path", "blob_id", F.array_sort(F.coalesce("found", F.array().cast(_RANKED))).alias("found"))
 
@@ -134,6 +140,23 @@ def secret_scan(docs: DataFrame, *, ledger: DataFrame | None = None, rules: tupl
     return findings_by_path(docs, known, rules=rules, path_col=path_col, text_col=text_col)
 
 
+def scan_into(docs: DataFrame, ledger_path: str, *, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Adds what the ledger at ``ledger_path`` lacks to it, if there is one, and returns what ``secret_scan`` does.
+
+    The folder is shared by driver and executors.  A scan that comes later finds
+    its blobs there and reads no text of theirs but to address it.
+    """
+    spark = docs.sparkSession
+    old = None
+    try:
+        old = spark.read.schema(LEDGER).parquet(ledger_path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    scan_unseen(docs, ledger=old, rules=rules, path_col=path_col, text_col=text_col).write.mode("append").parquet(ledger_path)
+    return findings_by_path(docs, spark.read.schema(LEDGER).parquet(ledger_path), rules=rules, path_col=path_col, text_col=text_col)
+
+
 def written(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """Findings as text: kind:start:end, comma-joined."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])
