@@ -446,7 +446,7 @@ def _pairs(threshold: tuple[int, int], every: bool):
     return run
 
 
-def _heavy(lines: DataFrame, threshold: tuple[int, int], most_rows: int) -> DataFrame:
+def _heavy(postings: DataFrame, count: Column, threshold: tuple[int, int], most_rows: int) -> DataFrame:
     """(key, n, blocks, most) of the words whose lists are split, by size of set.
 
     ``most`` is the last prefix place from which a line of that size can match
@@ -455,8 +455,8 @@ def _heavy(lines: DataFrame, threshold: tuple[int, int], most_rows: int) -> Data
     num, den = threshold
     # A key starts with the rank of its word's count, which no list of it exceeds.
     least = int(_rank(np.array([most_rows]))[0]) - 1
-    common = lines.select("sig", "n", F.posexplode("prefix").alias("p", "key")).where(F.shiftrightunsigned("key", 56) >= least)
-    large = cut(common.groupBy("key").agg(F.approx_count_distinct("sig").alias("rows")).where(F.col("rows") > most_rows))
+    common = postings.where(F.shiftrightunsigned("key", 56) >= least)
+    large = cut(common.groupBy("key").agg(count.alias("rows")).where(F.col("rows") > most_rows))
     if large.isEmpty():
         return large.select("key", F.lit(0).alias("n"), F.lit(0).cast("long").alias("blocks"), F.lit(0).alias("most"))
     sizes = cut(common.join(F.broadcast(large), "key").groupBy("key", "n").agg(F.min("p").alias("p"), F.ceil(F.max("rows") / most_rows).alias("blocks")))
@@ -570,7 +570,7 @@ def removed_lines(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, id
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     most_rows = min(SPLIT, max(LEAST_SPLIT, (lines.agg(F.sum(F.size("prefix"))).first()[0] or 0) // parts))
-    heavy = _heavy(lines, threshold, most_rows)
+    heavy = _heavy(lines.select("sig", "n", F.posexplode("prefix").alias("p", "key")), F.approx_count_distinct("sig"), threshold, most_rows)
     split = not heavy.isEmpty()
     if split:
         whole, apart = _parted(opened, heavy)
@@ -592,9 +592,12 @@ def removed_lines(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, id
     if left:
         is_open = classes.join(open_.withColumn("open", F.lit(True)), place, "left").withColumn("open", F.coalesce("open", F.lit(False)))
         keyed = is_open.select(*place, "n", "marks", F.posexplode("prefix").alias("p", "key"), "open")
-        near = _marked(keyed, "key", keyed.where("open"), 16 * left).where("known").drop("known")
-        if split:
-            whole, apart = _parted(near.select("key", *_POSTING, "open"), heavy)
+        near = cut(_marked(keyed, "key", keyed.where("open"), 16 * left).where("known").select("key", *_POSTING, "open"))
+        # Fewer postings than before: what is a long list among them may not have been one.
+        most_rows = min(SPLIT, max(LEAST_SPLIT, near.count() // parts))
+        heavy = _heavy(near, F.count("*"), threshold, most_rows)
+        if not heavy.isEmpty():
+            whole, apart = _parted(near, heavy)
             met_all = _whole(whole).select("key", *_POSTING, "open").unionByName(_cells(cut(apart), most_rows))
         else:
             met_all = _whole(near)
