@@ -1,28 +1,28 @@
 """Exact dedup over a log-structured merge index, in DataFrame functions only.
 
 Documents' digests are gathered in memtables (one per run), each flushed as a
-run sorted by digest, with a filter: a bitmap of fixed size over hashed
-digests.  Compaction merges runs and keeps the smallest identifier of each
+run sorted by digest, with a filter: a bitmap over hashed digests.  Compaction merges runs and keeps the smallest identifier of each
 digest; digests that no other run's filter knows skip the merge.  Where a
 digest was hit, the texts behind it are compared byte by byte.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import cut
+from gridspark.llm.common import cut, filter_bits
 
 #: White space runs that are not one plain space already; replacing them by a
 #: space equals replacing every run by a space.
 _UNEVEN_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
-#: Bits of a run's filter: 2**23 in 64-bit words, 131,072 words at most,
-#: however many digests the run holds.  This is what bounds the broadcast.
-FILTER_BITS = 1 << 23
+#: Most bits of a filter, which is sized by the digests it holds: in 64-bit words, 2**20 rows.  This is what bounds the
+#: broadcast; beyond, all digests take part in the merge, and all texts that occur in the verification.
+MOST_BITS = 1 << 26
 
 
 def normalised(text: Column) -> Column:
@@ -33,16 +33,12 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _slot(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
+def _word(digest: Column, bits: int) -> Column:
+    return F.shiftright(F.pmod(F.xxhash64(digest), F.lit(bits)), 6)
 
 
-def _word(digest: Column) -> Column:
-    return F.shiftright(_slot(digest), 6)
-
-
-def _bit(digest: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), (_slot(digest) % 64).cast("int"))
+def _bit(digest: Column, bits: int) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(F.xxhash64(digest), F.lit(bits)) % 64).cast("int"))
 
 
 def flush(manifest: DataFrame, runs: int) -> DataFrame:
@@ -55,18 +51,20 @@ def flush(manifest: DataFrame, runs: int) -> DataFrame:
     return cut(tables.sortWithinPartitions("run", "digest"))
 
 
-def filters(flushed: DataFrame, runs: int) -> DataFrame:
-    """(word, f0, f1, ...): 64 bits of every run's filter a row; at most FILTER_BITS / 64 rows."""
-    word, bit = _word(F.col("digest")), _bit(F.col("digest"))
+def filters(flushed: DataFrame, runs: int, bits: int) -> DataFrame:
+    """(word, f0, f1, ...): 64 bits of every run's filter a row; at most bits / 64 rows."""
+    word, bit = _word(F.col("digest"), bits), _bit(F.col("digest"), bits)
     return flushed.groupBy(word.alias("word")).agg(*[F.coalesce(F.bit_or(F.when(F.col("run") == r, bit)), F.lit(0).cast("long")).alias(f"f{r}") for r in range(runs)])
 
 
 def compact(flushed: DataFrame, runs: int) -> DataFrame:
     """One run of (digest, first_id, rows): the smallest identifier of each digest and its row count."""
-    known = F.lit(False)
+    known, bits = F.lit(False), filter_bits(math.ceil(flushed.count() / runs), MOST_BITS)
+    if bits is None:
+        return flushed.groupBy("digest").agg(F.min("first_id").alias("first_id"), F.sum("rows").alias("rows"))
     for r in range(runs):
-        known = known | ((F.col("run") != r) & (F.col(f"f{r}").bitwiseAND(_bit(F.col("digest"))) != 0))
-    probed = flushed.withColumn("word", _word(F.col("digest"))).join(F.broadcast(filters(flushed, runs)), "word").withColumn("known", known)
+        known = known | ((F.col("run") != r) & (F.col(f"f{r}").bitwiseAND(_bit(F.col("digest"), bits)) != 0))
+    probed = flushed.withColumn("word", _word(F.col("digest"), bits)).join(F.broadcast(filters(flushed, runs, bits)), "word").withColumn("known", known)
     merged = probed.where("known").groupBy("digest").agg(F.min("first_id").alias("first_id"), F.sum("rows").alias("rows"))
     return probed.where("not known").select("digest", "first_id", "rows").unionByName(merged)
 
@@ -96,8 +94,11 @@ def exact_dedup(
     index = cut(compact(flush(manifest, runs), runs))
 
     # Byte verification of the hits: extremes of the texts behind a digest differ unless all are equal.
-    hits = index.where("rows > 1").groupBy(_word(F.col("digest")).alias("word")).agg(F.bit_or(_bit(F.col("digest"))).alias("bits"))
-    behind = texts.withColumn("word", _word(F.col("digest"))).join(F.broadcast(hits), "word").where(F.col("bits").bitwiseAND(_bit(F.col("digest"))) != 0)
+    repeated = index.where("rows > 1")
+    bits, behind = filter_bits(repeated.count(), MOST_BITS), texts
+    if bits is not None:
+        hits = repeated.groupBy(_word(F.col("digest"), bits).alias("word")).agg(F.bit_or(_bit(F.col("digest"), bits)).alias("bits"))
+        behind = texts.withColumn("word", _word(F.col("digest"), bits)).join(F.broadcast(hits), "word").where(F.col("bits").bitwiseAND(_bit(F.col("digest"), bits)) != 0)
     extremes = behind.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     collided = cut(extremes.where("low != high").select("digest"))
 
