@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,9 @@ BOUNDARY = 32
 #: of them is held back from the counts, for calibration.
 ROWS_PER_LANGUAGE = 600
 
+#: Standard deviations from the mean cross-entropy of its language, by length, within which a text is accepted in any case.
+DEVIATIONS = 6
+
 #: Characters of text worked on at once; a longer text is read in such slices.
 SLICE_CHARS = 1 << 20
 
@@ -40,17 +44,23 @@ def _letters() -> np.ndarray:
     return np.array([unicodedata.category(chr(c))[0] == "L" if not 0xD800 <= c < 0xE000 else False for c in range(0x110000)])
 
 
-def characters(text: str) -> np.ndarray:
-    """Code points of the lower-cased letters, runs of others as one boundary, none at the start; empty without letters."""
-    points = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)
-    letter = _letters()[points]
-    if not letter.any():
-        return points[:0]
-    points = np.where(letter, points, BOUNDARY)
-    keep = np.ones(len(points), bool)
-    keep[1:] = letter[1:] | letter[:-1]
-    keep[0] = letter[0]
-    return points[keep]
+def windows(text: str) -> Iterator[np.ndarray]:
+    """Each character with the ORDER - 1 before it, in slices of a long text that go on where the last one ended.
+
+    Characters are the lower-cased letters; a run of others is one boundary,
+    none at the start.  A text without letters has none.
+    """
+    lowered = text.lower()
+    before, after_letter = np.full(ORDER - 1, BOUNDARY, np.uint32), False
+    for at in range(0, len(lowered), SLICE_CHARS):
+        points = np.frombuffer(lowered[at : at + SLICE_CHARS].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letter = _letters()[points]
+        keep = letter | np.concatenate([[after_letter], letter[:-1]])
+        points, after_letter = np.where(letter, points, BOUNDARY)[keep].astype(np.uint32), letter[-1]
+        if len(points):
+            whole = np.concatenate([before, points])
+            before = whole[len(whole) - ORDER + 1 :]
+            yield np.lib.stride_tricks.sliding_window_view(whole, ORDER)
 
 
 def _hash(grams: np.ndarray) -> np.ndarray:
@@ -68,12 +78,6 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
 
 
-def _windows(points: np.ndarray) -> np.ndarray:
-    """Each character with the ORDER - 1 before it."""
-    padded = np.concatenate([np.full(ORDER - 1, BOUNDARY, np.uint32), points])
-    return np.lib.stride_tricks.sliding_window_view(padded, ORDER)
-
-
 class _OneLanguage:
     """Counts and discounts of one language, per order: highest by occurrences, lower ones by distinct left neighbours."""
 
@@ -117,6 +121,8 @@ class Model:
     rests: dict[int, tuple[np.ndarray, np.ndarray]]
     floor: np.ndarray
     limit: np.ndarray | None = None
+    mean: np.ndarray | None = None
+    spread: np.ndarray | None = None
     sharpness: float = 1.0
 
     @classmethod
@@ -166,14 +172,12 @@ class Model:
 
         held = 0
         for i, text in enumerate(texts):
-            for at in range(0, len(text or ""), SLICE_CHARS):
-                points = characters(text[at : at + SLICE_CHARS])
-                if len(points):
-                    waiting.append((i, _windows(points)))
-                    held += len(points)
-                    if held >= SLICE_CHARS:
-                        work()
-                        held = 0
+            for some in windows(text or ""):
+                waiting.append((i, some))
+                held += len(some)
+                if held >= SLICE_CHARS:
+                    work()
+                    held = 0
         if waiting:
             work()
         return count, total / np.maximum(count, 1)[:, None]
@@ -184,7 +188,11 @@ class Model:
         true = np.array([self.languages.index(x) for x in languages], dtype=int)
         own = entropy[np.arange(len(true)), true]
         overall = own[count > 0].max(initial=np.log(_ALPHABET) / 2)
-        self.limit = np.array([own[(true == k) & (count > 0)].max(initial=0) or overall for k in range(len(self.languages))]) + 0.5
+        each = [(true == k) & (count > 0) for k in range(len(self.languages))]
+        self.limit = np.array([own[x].max(initial=0) or overall for x in each]) + 0.5
+        # The cross-entropy of n characters scatters around the language's own with the root of n: short texts may lie further out.
+        self.mean = np.array([own[x].mean() if x.any() else overall for x in each])
+        self.spread = np.array([max(1.0, np.sqrt(np.mean((own[x] - own[x].mean()) ** 2 * count[x]))) if x.any() else 1.0 for x in each])
         best = -np.inf
         for sharpness in (0.02, 0.05, 0.1, 0.2, 0.5, 1.0):
             score = np.log(self._scores(count, entropy, sharpness)[np.arange(len(true)), true] + 1e-9).sum()
@@ -208,7 +216,7 @@ class Model:
                 "lang_pred": np.where(some, np.array(self.languages, dtype=object)[best], "und"),
                 "score": np.where(some, self._scores(count, entropy, self.sharpness)[row, best], 0.0),
                 "cross_entropy": np.where(some, entropy[row, best], 0.0),
-                "accepted": some & (entropy[row, best] <= self.limit[best]),
+                "accepted": some & (entropy[row, best] <= np.maximum(self.limit[best], self.mean[best] + DEVIATIONS * self.spread[best] / np.sqrt(np.maximum(count, 1)))),
             }
         )
 
@@ -229,7 +237,7 @@ def train(labelled: DataFrame, *, rows_per_language: int = ROWS_PER_LANGUAGE, id
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, group in batch.groupby("lang"):
-                found = [_windows(p) for p in map(characters, group["text"]) if len(p)]
+                found = [w for t in group["text"] for w in windows(t)]
                 if found:
                     grams, counts = np.unique(np.concatenate(found), axis=0, return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": [g.tobytes() for g in grams.astype("<u4")], "n": counts})
@@ -244,24 +252,32 @@ def train(labelled: DataFrame, *, rows_per_language: int = ROWS_PER_LANGUAGE, id
 
 
 def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per input row: (id, lang_pred, score, cross_entropy, accepted), or with ``keep`` those columns before the four.
+    """One row per input row: (id, lang_pred, score, cross_entropy, accepted), or those columns of ``keep`` and the four in a struct ``__language``.
 
     ``und`` with score 0, not accepted, where the text is null or has no
     letter, and everywhere if there is no model.  Whole texts are read; no
     shuffle; repeated rows each have a row; an empty table gives an empty
-    result; further columns are ignored unless kept.
+    result; further columns are ignored unless kept, and then may have any
+    names but ``__text`` and ``__language``.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")) if keep is None else docs.select(*keep, F.col(text_col).alias("__text"))
+    kept = [F.col(id_col).alias("id")] if keep is None else [F.col(c) for c in keep]
+    rows = docs.select(*kept, F.col(text_col).alias("__text"))
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    fields = {"lang_pred": pa.string(), "score": pa.float64(), "cross_entropy": pa.float64(), "accepted": pa.bool_()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = list(batch.pop("__text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # kept columns stay as they came: pandas would turn ids beside nulls into floats
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             if shared.value is None:
                 found = pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "cross_entropy": 0.0, "accepted": False})
             else:
                 found = shared.value.predict(texts)
-            yield pd.concat([batch.reset_index(drop=True), found], axis=1)
-
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes if n != "__text"), "lang_pred string, score double, cross_entropy double, accepted boolean"])
-    return rows.mapInPandas(run, schema)
+            new = [pa.array(found[n], type=t) for n, t in fields.items()]
+            if keep is not None:
+                new = [pa.StructArray.from_arrays(new, names=list(fields))]
+            names = [*batch.schema.names[:-1], *(fields if keep is None else ["__language"])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=names)
+
+    given = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "__text")
+    four = "lang_pred string, score double, cross_entropy double, accepted boolean"
+    return rows.mapInArrow(run, f"{given}, {four}" if keep is None else f"{given}, __language struct<{four.replace(' ', ':').replace(',:', ',')}>")
