@@ -15,16 +15,18 @@ from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of a matrix, pieces a worker remembers, characters split at once, and
-#: row length from which a round merges every occurrence of the minimum rank.
+#: Cells of a matrix, pieces a worker remembers, and characters split at once.
 MATRIX_CELLS = 1 << 21
 MEMO_PIECES = 400_000
 SPLIT_CHARS = 1 << 21
-LONG_ROW = 64
+
+#: Row length from which a round merges every occurrence of the minimum rank where that comes to the same: one pair a
+#: round would take time with the square of the length, minutes for a piece of a hundred thousand letters.
+LONG_ROW = 2048
 _NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -191,7 +193,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     memo: dict[str, tuple[str, tuple[int, ...]]] = {}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         vocab, split = vocabulary(shared.value), regex.compile(pattern)
@@ -220,8 +222,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
                     ids += flat
             return count, ids_hash.hexdigest(), byte_hash.hexdigest(), byte_hash.digest() == hashlib.sha256(text.encode()).digest(), ids
 
-        for batch in batches:
-            out, texts, at = [], [t or "" for t in batch["text"]], 0
+        for batch in batches:  # ids stay as they came: pandas would turn those beside nulls into floats
+            out, texts, at = [], [t or "" for t in batch.column(1).to_pylist()], 0
             while at < len(texts):
                 # Texts whose new pieces are merged together: about SPLIT_CHARS, or one long text in slices.
                 to, held = at + 1, len(texts[at])
@@ -235,11 +237,11 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
                     learn(set(chain.from_iterable(pieces)))
                     out += [coded(t, p) for t, p in zip(texts[at:to], pieces, strict=True)]
                 at = to
-            frame = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", "identical", "ids"])
-            frame.insert(0, "id", batch["id"].to_numpy())
-            yield frame if with_ids else frame.drop(columns="ids")
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32())][: 4 + with_ids]
+            columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "identical", "ids"][: 5 + with_ids])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, identical boolean" + ", ids array<int>" * with_ids
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)

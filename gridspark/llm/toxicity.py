@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = ROWS_PER_
     """
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")).where("id is not null")
     size = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    chosen = smallest_digests(known, "label", "id", rows_per_class).drop("place")
+    chosen = smallest_digests(known, "label", "id", rows_per_class).select("label", "id")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     sample = texts.join(F.broadcast(chosen), "id").select("label", "text")
 
@@ -145,19 +146,15 @@ def score(docs: DataFrame, model: Model | None, *, offending: float = 0.5, id_co
     shared = docs.sparkSession.sparkContext.broadcast(model)
     memo: dict[str, tuple] = {}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                if shared.value is None or not text:
-                    out.append((0.0, []))
-                    continue
-                p, spans = shared.value.sentence_scores(text, memo)
-                whole = float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
-                out.append((whole, [(*spans[i], float(p[i])) for i in np.flatnonzero(p >= offending)]))
-            frame = pd.DataFrame(out, columns=["score", "offending"])
-            frame.insert(0, "id", batch["id"].to_numpy())
-            yield frame
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # ids stay as they came: pandas would turn those beside nulls into floats
+            whole, found = [], []
+            for text in batch.column(1).to_pylist():
+                p, spans = shared.value.sentence_scores(text, memo) if shared.value is not None and text else (np.zeros(0), [])
+                whole.append(float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())))
+                found.append([{"start": spans[i][0], "end": spans[i][1], "score": float(p[i])} for i in np.flatnonzero(p >= offending)])
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.float64()), pa.array(found, kind)], names=["id", "score", "offending"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, score double, offending array<struct<start:int,end:int,score:double>>")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, score double, offending array<struct<start:int,end:int,score:double>>")
