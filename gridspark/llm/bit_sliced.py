@@ -28,9 +28,9 @@ Bits = list[np.ndarray]
 
 
 def quantised(vector: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) of every component as array<bigint>; null if a component is null or not finite."""
+    """floor(scale * x) of every component as array<bigint>; null if a component is null or not finite, or its number no bigint."""
     x = F.transform(vector, lambda v: v.cast("double"))
-    sound = vector.isNotNull() & (F.size(vector) > 0) & F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < 1e15), F.lit(False)))
+    sound = vector.isNotNull() & (F.size(vector) > 0) & F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float(2**63) / scale), F.lit(False)))
     return F.when(sound, F.transform(x, lambda v: F.floor(v * scale)))
 
 
@@ -91,9 +91,9 @@ class Block:
         order = np.argsort(ids, kind="stable")
         self.ids, self.values = ids[order], values[order]
         self.low = values.min(axis=0)
-        span = int((values.max(axis=0) - self.low).max())
+        span = max(int(h) - int(m) for h, m in zip(values.max(axis=0), self.low, strict=True))
         self.cut = max(0, span.bit_length() - SLICES)
-        coarse = ((self.values - self.low) >> self.cut).astype(np.uint64)
+        coarse = (self.values - self.low).view(np.uint64) >> np.uint64(self.cut)
         width = -(-len(ids) // 64) * 64
         bits = min(SLICES, max(1, span.bit_length()))
         padded = np.zeros((values.shape[1], width), np.uint64)
@@ -131,10 +131,11 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 102
 
     Queries are the rows whose id is divisible by ``every``; candidates all
     rows but those with the query's id.  Vectors that are null, empty, hold a
-    null or non-finite component (or one of 1e15 or more) take no part, nor do
-    null ids; only vectors of equal length are compared.  A repeated row counts
-    once.  No vectors, no rows; further columns are ignored.  Scores are exact
-    below 2**63.
+    null or non-finite component (or one whose whole number no bigint holds)
+    take no part, nor do null ids; only vectors of equal length are compared.
+    A row that repeats another is a candidate as often as it is there, and a
+    query once.  No vectors, no rows; further columns are ignored.  Scores are
+    exact below 2**63.
     """
     spark = vectors.sparkSession
     ready = vectors.select(F.col(id_col).alias("id"), quantised(F.col(vector_col), scale).alias("v")).where("id is not null and v is not null")
@@ -157,13 +158,13 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 102
 
     def packed(ids: list, rows: list) -> pd.DataFrame:
         values = np.array(rows, np.int64)
-        kind = np.int16 if np.abs(values).max() < 2**15 else np.int64
+        kind = np.int16 if values.min() >= -(2**15) and values.max() < 2**15 else np.int64
         return pd.DataFrame({"dims": [values.shape[1]], "width": [np.dtype(kind).itemsize], "ids": [np.array(ids, np.int64).tobytes()], "data": [values.astype(kind).tobytes()]})
 
     schema = "dims int, width int, ids binary, data binary"
     count = math.ceil(total / BLOCK_ROWS)
     slots = min(count, SLOTS)
-    blocks = ready.distinct().repartition(count).mapInPandas(build, schema).withColumn("slot", F.spark_partition_id() % slots)
+    blocks = ready.repartition(count).mapInPandas(build, schema).withColumn("slot", F.spark_partition_id() % slots)
     part = F.pmod(F.xxhash64("id"), F.lit(query_blocks)).alias("part")
     asked_rows = ready.where(F.col("id") % every == 0).distinct().select(part, "id", "v", F.size("v").alias("dims"))
     queries = asked_rows.groupBy("part", "dims").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
@@ -181,6 +182,6 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 102
                     out.append(pd.DataFrame({"query_id": q["id"], "vec_id": ids, "score": scores}))
                 yield pd.concat(out)
 
-    found = pairs.select("dims", "width", "ids", "data", "queries").mapInPandas(search, "query_id long, vec_id long, score long").distinct()
+    found = pairs.select("dims", "width", "ids", "data", "queries").mapInPandas(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

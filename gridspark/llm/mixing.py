@@ -35,7 +35,8 @@ def targets(sources: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: in
     All words are shared by weight; no target exceeds ``cap`` times its
     source's size, and the excess is shared by weight among the others.  With
     the sources in order of size over weight, the capped ones come first: the
-    level is that of the first source that stays below its cap.
+    level is that of the first source that stays below its cap.  One task holds
+    one small row a source, which is meant for up to millions of sources.
     """
     by_name = Window.orderBy("src")
     filled = Window.orderBy(F.col("source_size") / F.col("weight"), "src")
@@ -58,7 +59,8 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
 
     ``copies`` is how often the mix takes the row, at most ``cap`` times.
     Null texts have size 0; a null source is a source; rows equal in id, source
-    and size are interchangeable; an empty table gives an empty result.  The
+    and size are interchangeable; a null id is an id like any other, and long
+    texts are counted whole; an empty table gives an empty result.  The
     outcome depends on the rows and the seed alone.
     """
     placed = _placed(docs, weights, cap, seed, id_col, text_col, source_col)
