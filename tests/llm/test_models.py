@@ -162,11 +162,12 @@ def test_top_k_equals_brute_force(spark):
     rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(vectors)]
     rows += [(800, None, 0), (900, [None] * 16, 0), (1000, [float("nan")] * 16, 0), (1001, [float("inf")] * 16, 0), (1100, [], 0), (None, [0.5] * 16, 0), rows[17], (1200, [40.0] * 16, 0), (1201, [-3000.5] * 16, 0), (1300, [1.0] * 3, 0), (1301, [2.0] * 3, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("id", F.lit(1)).withColumn("rank", F.lit(1))
-    sound = {i: np.floor(np.array(v, np.float32).astype(float) * 1024).astype(np.int64) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    # A repeated row is a candidate as often as it is there: every row but the query's own is one.
+    sound = [(i, np.floor(np.array(v, np.float32).astype(float) * 1024).astype(np.int64)) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, a in sound.items():
+    for q, a in sound:
         if q % 100 == 0:
-            best = sorted((-int(a @ b), i) for i, b in sound.items() if i != q and len(b) == len(a))[:10]
+            best = sorted((-int(a @ b), i) for i, b in sound if i != q and len(b) == len(a))[:10]
             want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
     for block in (16_384, 64):
         bit_sliced.BLOCK_ROWS = block
@@ -175,6 +176,12 @@ def test_top_k_equals_brute_force(spark):
     assert bit_sliced.top_k(df.where("false")).count() == 0
 
 
+def test_top_k_takes_large_components(spark):
+    rows = [(0, [0.001, 0.5]), (1, [2.0e15, 1.0]), (2, [-2.0e15, 1.0]), (3, [1.0, 1.0]), (4, [1e30, 0.0])]
+    got = bit_sliced.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1024 * 2 * 10**15 + 512 * 1024), (3, 1024 + 512 * 1024), (2, -1024 * 2 * 10**15 + 512 * 1024)]
+
+
 def test_languages_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language_id.train(docs.where(split_of(F.col("doc_id"), 4) != 2))
