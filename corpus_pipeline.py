@@ -22,7 +22,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go: no letter, or unlike every language learned."""
     model = language_id.train(docs.where(split_of(F.col("doc_id"), 4) != 2))
-    return language_id.identify(docs, model, keep=docs.columns).where("accepted").select(*docs.columns)
+    return language_id.identify(docs, model, keep=docs.columns).where("__language.accepted").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
