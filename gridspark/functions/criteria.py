@@ -7,17 +7,16 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridspark.functions.values import Value, parse_number
+from gridspark.functions.values import NUMBER, Value, parse_number
 
-_OPERATION = re.compile(r"\s*(<=|>=|<>|=|>|<)\s*(.*)", re.S)
-_NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
-_OPS = {
-    "=": lambda a, b: a == b,
+#: Comparisons a criterion may begin with; the longest that fits is read.
+COMPARISONS = {
     "<>": lambda a, b: a != b,
-    "<": lambda a, b: a < b,
     "<=": lambda a, b: a <= b,
-    ">": lambda a, b: a > b,
     ">=": lambda a, b: a >= b,
+    "<": lambda a, b: a < b,
+    ">": lambda a, b: a > b,
+    "=": lambda a, b: a == b,
 }
 
 
@@ -28,31 +27,55 @@ def criteria(v: Value, criterion: str | float | bool | None) -> Column:
     values only ``<>`` is true.  A text compares without case; a number never
     equals one.  There are no wildcards.
     """
-    return F.coalesce(_criteria(v, criterion), F.lit(False))
-
-
-def _criteria(v: Value, criterion: str | float | bool | None) -> Column:
-    blank = v.column.isNull() | (v.column == "") if v.kind == "text" else v.column.isNull()
     if criterion is None:
-        return blank | (v.column == 0) if v.kind == "number" else blank
-    if isinstance(criterion, bool):
-        return v.column == criterion if v.kind == "boolean" else F.lit(False)
-    if isinstance(criterion, int | float):
-        op, rest, strict = "=", str(criterion), True
+        meets = v.column.isNull() if v.kind == "boolean" else v.column.isNull() | (v.column == {"text": "", "number": 0.0}[v.kind])
+    elif isinstance(criterion, str):
+        meets = _TEXTS[v.kind](v.column, *_read(criterion))
     else:
-        m = _OPERATION.fullmatch(criterion)
-        op, rest, strict = (m[1], m[2], False) if m else ("=", criterion, False)
-    other = F.lit(op == "<>" and not strict)
-    if _NUMBER.fullmatch(rest.strip()):
-        number = float(rest)
-        if v.kind == "number":
-            return F.when(v.column.isNull(), other).otherwise(_OPS[op](v.column, F.lit(number)))
-        if v.kind == "text":
-            parsed = F.when(v.column != "", parse_number(v.column))
-            return F.when(parsed.isNull(), other).otherwise(_OPS[op](parsed, F.lit(number)))
-        return other
-    null = F.lit(rest == "" and op in ("=", "<=", ">="))
-    if v.kind == "number":
-        return F.when(v.column.isNull(), null).otherwise(F.lit(op == "<>"))
-    shown = F.upper(v.column.cast("string")) if v.kind == "boolean" else v.column
-    return F.when(v.column.isNull(), null).otherwise(_OPS[op](F.lower(shown), F.lit(rest.lower())))
+        meets = _SAME.get((v.kind, "boolean" if isinstance(criterion, bool) else "number"), _never)(v.column, F.lit(criterion))
+    return F.coalesce(meets, F.lit(False))
+
+
+def _never(cell: Column, wanted: Column) -> Column:
+    return F.lit(False)
+
+
+#: By kind of cell and of a criterion that is no text.
+_SAME = {
+    ("number", "number"): lambda cell, wanted: cell == wanted,
+    ("text", "number"): lambda cell, wanted: _spelt(cell) == wanted,
+    ("boolean", "boolean"): lambda cell, wanted: cell == wanted,
+}
+
+
+def _spelt(cell: Column) -> Column:
+    return F.when(cell != "", parse_number(cell))
+
+
+def _read(criterion: str) -> tuple[str, str, float | None]:
+    """(comparison, operand, the number that the operand spells) of a criterion's text."""
+    bare = criterion.lstrip()
+    sign = next((o for o in COMPARISONS if bare.startswith(o)), "")
+    operand = bare[len(sign) :].lstrip() if sign else criterion
+    spelt = operand.strip() or "0"
+    return sign or "=", operand, float(spelt) if operand and re.search(NUMBER, spelt) else None
+
+
+def _rule(as_number, as_text):
+    """How cells of a kind meet a text: by numbers where the text spells one, else by texts; nulls meet an empty operand."""
+
+    def meets(cell: Column, sign: str, operand: str, wanted: float | None) -> Column:
+        unlike, test = F.lit(sign == "<>"), COMPARISONS[sign]
+        if wanted is not None:
+            return F.coalesce(test(as_number(cell), F.lit(wanted)), unlike)
+        by_text = unlike if as_text is None else test(F.lower(as_text(cell)), F.lit(operand.lower()))
+        return F.when(cell.isNull(), F.lit(operand == "" and sign in ("=", "<=", ">="))).otherwise(by_text)
+
+    return meets
+
+
+_TEXTS = {
+    "number": _rule(lambda c: c, None),
+    "text": _rule(_spelt, lambda c: c),
+    "boolean": _rule(lambda c: F.lit(None).cast("double"), lambda c: c.cast("string")),
+}

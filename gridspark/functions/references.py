@@ -65,7 +65,14 @@ def index_column(letters: Column) -> Column:
 
 
 _A1 = re.compile(r"(?<![A-Za-z0-9_])(\$?)([A-Za-z]{1,3})(\$?)(\d+)(?![A-Za-z0-9_(])")
-_R1C1 = re.compile(r"(?<![A-Za-z0-9_])R(\[-?\d+\]|\d+)?C(\[-?\d+\]|\d+)?(?![A-Za-z0-9_(\[])")
+
+
+def _axis(name: str, letter: str) -> str:
+    """R or C, and how far from the anchor (in brackets) or which (bare) it is; the anchor's own if neither."""
+    return rf"{letter}(?:\[(?P<{name}_by>-?\d+)\]|(?P<{name}_at>\d+))?"
+
+
+_R1C1 = re.compile(rf"\b{_axis('row', 'R')}{_axis('col', 'C')}(?![\w(\[])", re.A)
 
 
 def a1_to_r1c1(formula: str, row: int, col: int) -> str:
@@ -79,13 +86,12 @@ def a1_to_r1c1(formula: str, row: int, col: int) -> str:
 
 
 def r1c1_to_a1(formula: str, row: int, col: int) -> str:
-    def axis(part: str | None, anchor: int) -> tuple[str, int]:
-        if not part:
-            return "", anchor
-        return ("", anchor + int(part[1:-1])) if part[0] == "[" else ("$", int(part) - 1)
+    def axis(m: re.Match, name: str, anchor: int) -> tuple[str, int]:
+        fixed = m[f"{name}_at"]
+        return ("", anchor + int(m[f"{name}_by"] or 0)) if fixed is None else ("$", int(fixed) - 1)
 
     def moved(m: re.Match) -> str:
-        (fixed_r, r), (fixed_c, c) = axis(m[1], row), axis(m[2], col)
+        (fixed_r, r), (fixed_c, c) = axis(m, "row", row), axis(m, "col", col)
         return m[0] if r < 0 or c < 0 else f"{fixed_c}{column_letters(c)}{fixed_r}{r + 1}"
 
     return _R1C1.sub(moved, formula)

@@ -114,25 +114,43 @@ def choose(condition: Value, then: Value, otherwise: Value | None = None) -> Val
     return Value(F.when(c.column, then.column).otherwise(other.column), then.kind, error)
 
 
+def _same_kind(values: list[Value]) -> list[Value]:
+    """Results of one kind; mixed kinds become texts."""
+    return values if len({v.kind for v in values}) == 1 else [as_text(v) for v in values]
+
+
+def _error_of(v: Value) -> Column:
+    return (v.error if v.error is not None else F.lit(None)).cast("string")
+
+
+def _first_hit(tests: list[tuple[Column, Column]], results: list[Value], rest: Value) -> Value:
+    """The result of the first test (hit, error) that hits; an error of a test before it, or of the result, is the outcome."""
+    *results, rest = _same_kind([*results, rest])
+    out, error = rest.column, _error_of(rest)
+    for (hit, bad), then in reversed(list(zip(tests, results, strict=True))):
+        out = F.when(hit, then.column).otherwise(out)
+        error = F.when(bad.isNotNull(), bad).when(hit, _error_of(then)).otherwise(error)
+    return Value(out, rest.kind, error)
+
+
+def _no_match(like: Value) -> Value:
+    return Value(F.lit(None).cast({"number": "double", "text": "string", "boolean": "boolean"}[like.kind]), like.kind, F.lit("#N/A"))
+
+
 def first_true(pairs: list[tuple[Value, Value]]) -> Value:
-    """IFS: #N/A where no condition holds."""
-    kind = pairs[0][1].kind
-    out, error, missing = None, [], F.lit(True)
-    for condition, then in reversed(pairs):
-        c = as_boolean(condition)
-        out = F.when(c.column, then.column) if out is None else F.when(c.column, then.column).otherwise(out)
-        missing = F.when(c.column, F.lit(False)).otherwise(missing)
-        error = [c, *error]
-    return Value(out, kind, first_error(*error, _code(missing, "#N/A")))
+    """IFS: #N/A where no condition holds; what follows the first that does is not looked at."""
+    if not pairs:
+        raise ValueError("IFS needs a condition")
+    tests = [(F.coalesce(c.column, F.lit(False)), _error_of(c)) for c in (as_boolean(c) for c, _ in pairs)]
+    return _first_hit(tests, [then for _, then in pairs], _no_match(pairs[0][1]))
 
 
 def switch(v: Value, cases: list[tuple[Value, Value]], default: Value | None = None) -> Value:
     """SWITCH: the first equal case; the default, or #N/A."""
-    out, missing = (default.column if default is not None else F.lit(None)), F.lit(default is None)
-    for case, then in reversed(cases):
-        hit = equal_values(v, case)
-        out, missing = F.when(hit, then.column).otherwise(out), F.when(hit, F.lit(False)).otherwise(missing)
-    return Value(out, cases[0][1].kind, first_error(v, *([] if default is not None else [_code(missing, "#N/A")])))
+    if not cases:
+        raise ValueError("SWITCH needs a case")
+    found = _first_hit([(equal_values(v, case), _error_of(case)) for case, _ in cases], [then for _, then in cases], default if default is not None else _no_match(cases[0][1]))
+    return Value(found.column, found.kind, first_error(v, found))
 
 
 def if_error(v: Value, fallback: Value, only: str | None = None) -> Value:
@@ -153,7 +171,8 @@ def negate(v: Value) -> Value:
 
 
 def all_of(*values: Value) -> Value:
-    out = [as_boolean(v) for v in values]
+    """AND; FALSE of nothing."""
+    out = [as_boolean(v) for v in values] or [boolean(False)]
     c = out[0].column
     for b in out[1:]:
         c = c & b.column
@@ -161,13 +180,23 @@ def all_of(*values: Value) -> Value:
 
 
 def any_of(*values: Value) -> Value:
-    out = [as_boolean(v) for v in values]
+    """OR; #VALUE! of nothing."""
+    out = [as_boolean(v) for v in values] or [Value(F.lit(None).cast("boolean"), "boolean", F.lit("#VALUE!"))]
     c = out[0].column
     for b in out[1:]:
         c = c | b.column
     return Value(c, "boolean", first_error(*out))
 
 
+def _down(x: Column) -> Column:
+    """The floor as a double; numbers of 2**53 and more are whole already, and Spark's floor ends at a long's bounds."""
+    return F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)
+
+
+def _up(x: Column) -> Column:
+    return -_down(-x)
+
+
 def _scaled(x: Value, digits: Value) -> tuple[Value, Value, Column]:
     a, d = as_number(x), as_number(digits)
     return a, d, F.pow(F.lit(10.0), F.floor(d.column))
@@ -176,19 +205,19 @@ def _scaled(x: Value, digits: Value) -> tuple[Value, Value, Column]:
 def round_half_up(x: Value, digits: Value) -> Value:
     """ROUND: halves go up, on the binary product, so that -2.5 gives -2 and 1.005 to two digits 1."""
     a, d, f = _scaled(x, digits)
-    return _numeric(F.floor(a.column * f + 0.5).cast("double") / f, a, d)
+    return _numeric(_down(a.column * f + 0.5) / f, a, d)
 
 
 def round_away(x: Value, digits: Value) -> Value:
     a, d, f = _scaled(x, digits)
     s = a.column * f
-    return _numeric(F.when(a.column >= 0, F.ceil(s)).otherwise(F.floor(s)).cast("double") / f, a, d)
+    return _numeric(F.when(a.column >= 0, _up(s)).otherwise(_down(s)) / f, a, d)
 
 
 def round_to_zero(x: Value, digits: Value) -> Value:
     a, d, f = _scaled(x, digits)
     s = a.column * f
-    return _numeric(F.when(a.column >= 0, F.floor(s)).otherwise(F.ceil(s)).cast("double") / f, a, d)
+    return _numeric(F.when(a.column >= 0, _down(s)).otherwise(_up(s)) / f, a, d)
 
 
 def absolute(v: Value) -> Value:
@@ -204,13 +233,13 @@ def square_root(v: Value) -> Value:
 def modulo(n: Value, d: Value) -> Value:
     """MOD: takes the divisor's sign."""
     a, b = as_number(n), as_number(d)
-    q = F.floor(F.try_divide(a.column, b.column)).cast("double")
+    q = _down(F.try_divide(a.column, b.column))
     return _numeric(a.column - q * b.column, a, b, error=_code(b.column == 0, "#DIV/0!"))
 
 
 def integer(v: Value) -> Value:
     a = as_number(v)
-    return _numeric(F.floor(a.column).cast("double"), a)
+    return _numeric(_down(a.column), a)
 
 
 def left(s: Value, count: Value) -> Value:

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The legacy palette of indexed colours, 8 to 63; 0 to 7 are the first eight again.
+# The legacy palette of indexed colours, 0 to 63.
 PALETTE = (
-    "000000 ffffff ff0000 00ff00 0000ff ffff00 ff00ff 00ffff 800000 008000 000080 808000 800080 008080 c0c0c0 808080 "
-    "9999ff 993366 ffffcc ccffff 660066 ff8080 0066cc ccccff 000080 ff00ff ffff00 00ffff 800080 800000 008080 0000ff "
-    "00ccff ccffff ccffcc ffff99 99ccff ff99cc cc99ff ffcc99 3366ff 33cccc 99cc00 ffcc00 ff9900 ff6600 666699 969696 "
-    "003366 339966 003300 333300 993300 993366 333399 333333"
-).split()
+    "#000000", "#ffffff", "#ff0000", "#00ff00", "#0000ff", "#ffff00", "#ff00ff", "#00ffff",
+    "#000000", "#ffffff", "#ff0000", "#00ff00", "#0000ff", "#ffff00", "#ff00ff", "#00ffff",
+    "#800000", "#008000", "#000080", "#808000", "#800080", "#008080", "#c0c0c0", "#808080",
+    "#9999ff", "#993366", "#ffffcc", "#ccffff", "#660066", "#ff8080", "#0066cc", "#ccccff",
+    "#000080", "#ff00ff", "#ffff00", "#00ffff", "#800080", "#800000", "#008080", "#0000ff",
+    "#00ccff", "#ccffff", "#ccffcc", "#ffff99", "#99ccff", "#ff99cc", "#cc99ff", "#ffcc99",
+    "#3366ff", "#33cccc", "#99cc00", "#ffcc00", "#ff9900", "#ff6600", "#666699", "#969696",
+    "#003366", "#339966", "#003300", "#333300", "#993300", "#993366", "#333399", "#333333",
+)
 
 #: Length units of drawings in a pixel, at 96 pixels an inch.
 EMU_PER_PIXEL = 9525
@@ -21,8 +25,7 @@ EMU_PER_PIXEL = 9525
 
 def indexed_colour(index: int) -> str | None:
     """The colour of the legacy palette, null outside of it."""
-    at = index if 0 <= index < 8 else index - 8
-    return f"#{PALETTE[at]}" if 0 <= index < 64 else None
+    return PALETTE[index] if 0 <= index < len(PALETTE) else None
 
 
 def hex_colour(raw: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 # The error codes of spreadsheets.
 ERRORS = ("#DIV/0!", "#VALUE!", "#REF!", "#NAME?", "#NUM!", "#N/A", "#NULL!")
 
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 @dataclass(frozen=True)
@@ -58,13 +58,18 @@ def boolean(c: Column | bool) -> Value:
 def parse_number(c: Column) -> Column:
     """The number a text spells, null if none: blank is 0, and ``1d``, ``inf`` and ``NaN`` spell nothing."""
     t = F.trim(c)
-    return F.when(t == "", F.lit(0.0)).when(t.rlike(_NUMBER), t.try_cast("double"))
+    return F.when(t == "", F.lit(0.0)).when(t.rlike(NUMBER), t.try_cast("double"))
 
 
 def number_text(c: Column) -> Column:
-    """A number as text: whole ones without a point, others to 15 significant digits."""
-    whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-    return F.when(whole, c.cast("bigint").cast("string")).otherwise(F.format_string("%.14e", c).cast("double").cast("string"))
+    """A number as text: to 15 significant digits, with an exponent from 1e21 on and below 1e-6 only."""
+    short = F.format_string("%.14e", c).cast("double")
+    plain = F.regexp_replace(short.cast("decimal(38,21)").cast("string"), r"\.?0+$", "")
+    mantissa, exponent = F.substring_index(short.cast("string"), "E", 1), F.substring_index(short.cast("string"), "E", -1)
+    scientific = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.when(exponent.startswith("-"), F.lit("e")).otherwise(F.lit("e+")), exponent)
+    far = (F.abs(short) >= 1e21) | ((F.abs(short) < 1e-6) & (short != 0))
+    small_whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
+    return F.when(small_whole, c.cast("bigint").cast("string")).when(far, scientific).when(F.abs(short) >= 1e15, short.cast("decimal(38,0)").cast("string")).otherwise(plain)
 
 
 def as_number(v: Value) -> Value:

@@ -27,13 +27,14 @@ def numeric(v: Value) -> Column:
 
 
 def _error(*values: Value) -> Column | None:
-    found = [F.first(v.error, ignorenulls=True) for v in values if v.error is not None]
+    # The smallest code of each column: which row holds it does not matter.
+    found = [F.min(v.error) for v in values if v.error is not None]
     return F.coalesce(*found) if found else None
 
 
 def total(*values: Value) -> Value:
     """SUM; 0 of nothing."""
-    return Value(reduce(lambda a, b: a + b, [F.coalesce(F.sum(numeric(v)), F.lit(0.0)) for v in values]), "number", _error(*values))
+    return Value(reduce(lambda a, b: a + b, [F.coalesce(F.sum(numeric(v)), F.lit(0.0)) for v in values], F.lit(0.0)), "number", _error(*values))
 
 
 def average(*values: Value) -> Value:
@@ -83,8 +84,8 @@ def count_if(tested: Value, criterion) -> Value:
 
 
 def every(v: Value) -> Value:
-    """AND over a range: nulls are passed over; TRUE of nothing."""
-    return Value(F.coalesce(F.bool_and(_truth(v)), F.lit(True)), "boolean", _error(v))
+    """AND over a range: nulls are passed over; FALSE of nothing."""
+    return Value(F.coalesce(F.bool_and(_truth(v)), F.lit(False)), "boolean", _error(v))
 
 
 def some(v: Value) -> Value:

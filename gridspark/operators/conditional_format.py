@@ -128,7 +128,14 @@ def order_statistic(df: DataFrame, value: str, place: int, *, descending: bool =
         elif low == high:
             return -low if descending else low
         elif inside == total:
-            break
+            # The sketch no longer narrows: halve what lies between the bounds.
+            middle = low / 2 + high / 2
+            if not low < middle < high:
+                found = low if place <= rows.where(F.col("v") == low).count() else high
+                return -found if descending else found
+            first = rows.where(F.col("v") <= middle).count()
+            upper = place > first
+            rows, place, total = rows.where(F.col("v") > middle if upper else F.col("v") <= middle), place - first * upper, total - first if upper else first
         else:
             rows, place, total = rows.where(F.col("v").between(low, high)), place - below, inside
     found = rows.orderBy("v").limit(place).agg(F.max("v")).first()[0]

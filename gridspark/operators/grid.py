@@ -60,9 +60,11 @@ def expanded(ranges: DataFrame) -> DataFrame:
 
 def header_zones(code: Column) -> Column:
     """struct(left, center, right) of a header or footer code: what follows &L, &C and &R; centre by default."""
-    marked = F.regexp_replace(code, "&([LCR])", "\u0001$1")
-    parts = F.split(F.when(code.rlike("^&[LCR]"), marked).otherwise(F.concat(F.lit("\u0001C"), marked)), "\u0001")
-    zone = lambda z: F.array_join(F.transform(F.filter(parts, lambda p: p.startswith(z)), lambda p: F.substring(p, F.lit(2), F.length(p))), "")
+    paired = F.replace(code, F.lit("&&"), F.lit("\u0002"))  # a written &, which marks nothing
+    marked = F.regexp_replace(paired, "&([LCR])", "\u0001$1")
+    parts = F.split(F.when(paired.rlike("^&[LCR]"), marked).otherwise(F.concat(F.lit("\u0001C"), marked)), "\u0001")
+    joined = lambda z: F.array_join(F.transform(F.filter(parts, lambda p: p.startswith(z)), lambda p: F.substring(p, F.lit(2), F.length(p))), "")
+    zone = lambda z: F.replace(joined(z), F.lit("\u0002"), F.lit("&&"))
     return F.struct(zone("L").alias("left"), zone("C").alias("center"), zone("R").alias("right"))
 
 

@@ -6,24 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Digits of an order in a path: as many as a bigint has, so that paths sort as their orders do.
+_DIGITS = 19
+
+
 def levels(nodes: DataFrame, edges: DataFrame, *, root: str = "doc", depth: int = 32) -> DataFrame:
     """(id, level, path) from ``nodes`` (id, kind) and ``edges`` (src, dst, ord).
 
-    Roots are the children of the node whose kind is ``root``; children come in
-    the order of ``ord``.  A node met again on its own path is left out, and
-    levels end at ``depth``.  One recursive query; each step is a join.
+    Roots are the children of the nodes whose kind is ``root``, or, where there
+    are none, the nodes that no edge leads to, with order 0.  Children come in
+    the order of ``ord``, a whole number from 0.  A node met again on its own
+    path is left out, and levels end at ``depth``.  One recursive query; each
+    step is a join.  Spark ends it with an error beyond
+    ``spark.sql.cteRecursionRowLimit`` rows (a million unless set).
     """
-    nodes.createOrReplaceTempView("__nodes")
-    edges.createOrReplaceTempView("__edges")
-    return nodes.sparkSession.sql(f"""
+    top = edges.join(nodes.where(F.col("kind") == root).select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"), F.col("ord").cast("long").alias("ord"))
+    loose = nodes.where(F.col("kind") != root).join(edges.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.lit(0).cast("long").alias("ord"))
+    counted = top.agg(F.count("*").alias("tops"))
+    starts = top.unionByName(loose.join(F.broadcast(counted), F.col("tops") == 0).drop("tops"))
+    step = lambda c: f"lpad(CAST({c} AS STRING), {_DIGITS}, '0')"
+    return nodes.sparkSession.sql(
+        f"""
         WITH RECURSIVE tree(id, level, path, seen) AS (
-          SELECT e.dst, 0, lpad(CAST(e.ord AS STRING), 6, '0'), concat('/', e.dst, '/')
-          FROM __edges e JOIN __nodes n ON e.src = n.id WHERE n.kind = '{root}'
+          SELECT id, 0, {step("ord")}, concat('/', id, '/') FROM {{starts}}
           UNION ALL
-          SELECT e.dst, t.level + 1, concat(t.path, '.', lpad(CAST(e.ord AS STRING), 6, '0')), concat(t.seen, e.dst, '/')
-          FROM tree t JOIN __edges e ON e.src = t.id
+          SELECT e.dst, t.level + 1, concat(t.path, '.', {step("e.ord")}), concat(t.seen, e.dst, '/')
+          FROM tree t JOIN {{edges}} e ON e.src = t.id
           WHERE t.level < {depth - 1} AND instr(t.seen, concat('/', e.dst, '/')) = 0)
-        SELECT id, level, path FROM tree""")
+        SELECT id, level, path FROM tree""",
+        starts=starts,
+        edges=edges,
+    )
 
 
 def threads(comments: DataFrame, by: list[str]) -> DataFrame:

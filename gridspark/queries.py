@@ -43,27 +43,27 @@ def _rounded(df: DataFrame, *names: str, digits: int = 2) -> DataFrame:
 @_query("""SELECT l_returnflag, round(sum(l_quantity), 2) AS total, round(avg(l_quantity), 6) AS mean, min(l_extendedprice) AS low, max(l_extendedprice) AS high
 FROM lineitem GROUP BY l_returnflag""")
 def sum_avg_min_max(spark, sf_dir):
-    out = aggregate_formulas(_t(spark, sf_dir, "lineitem"), {"total": "=SUM([l_quantity])", "mean": "=AVERAGE([l_quantity])", "low": "=MIN([l_extendedprice])", "high": "=MAX([l_extendedprice])"}, ["l_returnflag"])
+    out = aggregate_formulas(_t(spark, sf_dir, "lineitem"), {"total": "=SUM([l_quantity])", "mean": "=AVERAGE([l_quantity])", "low": "=MIN([l_extendedprice])", "high": "=MAX([l_extendedprice])"}, ["l_returnflag"], errors=False)
     return _rounded(_rounded(out, "total"), "mean", digits=6)
 
 
 @_query("""SELECT event_type, count(value) AS n_numbers, count(CASE WHEN props <> '' THEN 1 END) AS n_filled FROM events GROUP BY event_type""")
 def count_counta(spark, sf_dir):
-    return aggregate_formulas(_t(spark, sf_dir, "events"), {"n_numbers": "=COUNT([value])", "n_filled": "=COUNTA([props])"}, ["event_type"])
+    return aggregate_formulas(_t(spark, sf_dir, "events"), {"n_numbers": "=COUNT([value])", "n_filled": "=COUNTA([props])"}, ["event_type"], errors=False)
 
 
 @_query("""SELECT l_linestatus, round(sum(CASE WHEN lower(l_returnflag) = 'r' THEN l_extendedprice ELSE 0 END), 2) AS returned,
 round(sum(CASE WHEN l_quantity >= 25 THEN l_quantity ELSE 0 END), 2) AS large, round(sum(CASE WHEN lower(l_returnflag) <> 'r' THEN l_extendedprice ELSE 0 END), 2) AS others
 FROM lineitem GROUP BY l_linestatus""")
 def sumif(spark, sf_dir):
-    out = aggregate_formulas(_t(spark, sf_dir, "lineitem"), {"returned": '=SUMIF([l_returnflag],"r",[l_extendedprice])', "large": '=SUMIF([l_quantity],">=25")', "others": '=SUMIF([l_returnflag],"<>R",[l_extendedprice])'}, ["l_linestatus"])
+    out = aggregate_formulas(_t(spark, sf_dir, "lineitem"), {"returned": '=SUMIF([l_returnflag],"r",[l_extendedprice])', "large": '=SUMIF([l_quantity],">=25")', "others": '=SUMIF([l_returnflag],"<>R",[l_extendedprice])'}, ["l_linestatus"], errors=False)
     return _rounded(out, "returned", "large", "others")
 
 
 @_query("""SELECT count(CASE WHEN l_quantity >= 25 THEN 1 END) AS large, count(CASE WHEN lower(l_returnflag) <> 'a' THEN 1 END) AS not_a,
 count(CASE WHEN l_linenumber = 1 THEN 1 END) AS first_lines, count(*) AS odd FROM lineitem""")
 def countif(spark, sf_dir):
-    return aggregate_formulas(_t(spark, sf_dir, "lineitem"), {"large": '=COUNTIF([l_quantity],">=25")', "not_a": '=COUNTIF([l_returnflag],"<>A")', "first_lines": "=COUNTIF([l_linenumber],1)", "odd": '=COUNTIF([l_quantity],"<>foo")'})
+    return aggregate_formulas(_t(spark, sf_dir, "lineitem"), {"large": '=COUNTIF([l_quantity],">=25")', "not_a": '=COUNTIF([l_returnflag],"<>A")', "first_lines": "=COUNTIF([l_linenumber],1)", "odd": '=COUNTIF([l_quantity],"<>foo")'}, errors=False)
 
 
 @_query("""SELECT l_returnflag, bool_and(l_tax > 0) AS all_taxed, bool_or(l_discount > 0.09) AS any_high FROM lineitem GROUP BY l_returnflag""")
@@ -254,6 +254,32 @@ def numfmt_fraction(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", nf.format_code(F.col("o_totalprice"), "# ?/8")[0].alias("eighths"))
 
 
+@_query("""SELECT l_returnflag, round(sum(l_quantity) + sum(l_extendedprice) + sum(l_discount), 2) AS three_columns, max(greatest(l_quantity, l_discount)) AS largest FROM lineitem GROUP BY l_returnflag""")
+def range_sum(spark, sf_dir):
+    df = _t(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return _rounded(aggregate_formulas(df, {"three_columns": "=SUM(B:D)", "largest": "=MAX(B:B,D:D)"}, ["l_returnflag"], errors=False), "three_columns")
+
+
+@_query("""SELECT l_linestatus, round(sum(CASE WHEN l_quantity > 25 THEN l_extendedprice ELSE 0 END), 2) AS built, count(CASE WHEN l_discount = 0.05 THEN 1 END) AS computed, count(CASE WHEN l_tax <> -1 THEN 1 END) AS signed FROM lineitem GROUP BY l_linestatus""")
+def sumif_built(spark, sf_dir):
+    wanted = {"built": '=SUMIF([l_quantity],">"&20+5,[l_extendedprice])', "computed": "=COUNTIF([l_discount],10/200)", "signed": '=COUNTIF([l_tax],"<>"&-1)'}
+    return _rounded(aggregate_formulas(_t(spark, sf_dir, "lineitem"), wanted, ["l_linestatus"], errors=False), "built")
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_size > 40 THEN 'large' WHEN p_size > 20 THEN NULL ELSE CAST(p_size AS VARCHAR) END AS class, CASE WHEN p_size > 20 AND p_size <= 40 THEN '#DIV/0!' END AS class_error,
+  CASE p_size WHEN 1 THEN 10 WHEN 2 THEN NULL ELSE 0 END::DOUBLE AS code, CASE WHEN p_size = 2 THEN '#NUM!' END AS code_error FROM part""")
+def ifs_errors(spark, sf_dir):
+    df = _t(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return with_formulas(df, {"class": '=IFS([p_size]>40,"large",[p_size]>20,1/0,TRUE,[p_size])', "code": "=SWITCH([p_size],1,10,2,SQRT(-1),0)"}).drop("p_size")
+
+
+@_query("""SELECT l_linestatus, arg_min(l_extendedprice, l_orderkey * 10 + l_linenumber) FILTER (WHERE l_quantity = 7) AS price, CAST(NULL AS VARCHAR) AS price_error, CAST(NULL AS DOUBLE) AS missing, '#N/A' AS missing_error FROM lineitem GROUP BY l_linestatus""")
+def vlookup_formula(spark, sf_dir):
+    df = _t(spark, sf_dir, "lineitem").groupBy("l_linestatus", "l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_extendedprice").alias("price"))
+    df = df.select("l_linestatus", "q", "price", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"))
+    return aggregate_formulas(df, {"price": "=VLOOKUP(3+4,B:C,2)", "missing": "=VLOOKUP(-1,B:C,2)"}, ["l_linestatus"], row="line")
+
+
 @_query()
 def numfmt_scientific(spark, sf_dir):
     p = F.col("p_retailprice")
@@ -323,9 +349,9 @@ def thread_tree(spark, sf_dir):
     return hierarchy.threads(comments, ["conv_id"]).select("conv_id", F.col("id").cast("long").alias("turn"), F.size("replies").cast("long").alias("n_replies"))
 
 
-@_query("""SELECT 'r' || r_regionkey AS id, CAST(0 AS INTEGER) AS level, lpad(CAST(r_regionkey AS VARCHAR), 6, '0') AS path FROM region
-UNION ALL SELECT 'n' || n_nationkey, 1, lpad(CAST(n_regionkey AS VARCHAR), 6, '0') || '.' || lpad(CAST(n_nationkey AS VARCHAR), 6, '0') FROM nation
-UNION ALL SELECT 's' || s_suppkey, 2, lpad(CAST(n_regionkey AS VARCHAR), 6, '0') || '.' || lpad(CAST(n_nationkey AS VARCHAR), 6, '0') || '.' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+@_query("""SELECT 'r' || r_regionkey AS id, CAST(0 AS INTEGER) AS level, lpad(CAST(r_regionkey AS VARCHAR), 19, '0') AS path FROM region
+UNION ALL SELECT 'n' || n_nationkey, 1, lpad(CAST(n_regionkey AS VARCHAR), 19, '0') || '.' || lpad(CAST(n_nationkey AS VARCHAR), 19, '0') FROM nation
+UNION ALL SELECT 's' || s_suppkey, 2, lpad(CAST(n_regionkey AS VARCHAR), 19, '0') || '.' || lpad(CAST(n_nationkey AS VARCHAR), 19, '0') || '.' || lpad(CAST(s_suppkey AS VARCHAR), 19, '0') FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def hierarchy_recursive(spark, sf_dir):
     r, n, s = (_t(spark, sf_dir, x) for x in ("region", "nation", "supplier"))
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))

@@ -10,9 +10,9 @@ from gridspark.functions import number_format as nf
 from gridspark.functions.criteria import criteria
 from gridspark.functions.references import a1_to_r1c1, column_index, column_letters, index_column, letters_column, parse_range, r1c1_to_a1
 from gridspark.functions.values import number, text
-from gridspark.operators import charts, grid
+from gridspark.operators import charts, grid, hierarchy
 from gridspark.operators import conditional_format as cf
-from gridspark.plans.formula import formula
+from gridspark.plans.formula import aggregate_formulas, formula
 from gridspark.sources.xlsx import Workbooks, range_to_table
 
 FORMULAS = [
@@ -21,6 +21,10 @@ FORMULAS = [
     ('=LEFT("hello")', "h"), ('=RIGHT("hello",0)', ""), ('=MID("hello",2,3)', "ell"), ("=1/0", "#DIV/0!"), ("=SQRT(-1)", "#NUM!"), ("=NOPE(1)", "#NAME?"), ("=1+", "#VALUE!"), ("=Sheet2!A1", "#VALUE!"),
     ('="a"+1', "#VALUE!"), ('="3"+1', 4.0), ('="abc"="ABC"', True), ('=5="5"', False), ("=TRUE>5", True), ('="x"&1.5&TRUE', "x1.5TRUE"), ("=50%", 0.5), ("=IFNA(#N/A,1)", 1.0), ("=IFNA(1/0,1)", "#DIV/0!"),
     ("=IFS(FALSE,1)", "#N/A"), ("=AND(TRUE,1)", True), ("=OR(FALSE,0)", False), ("=0.1+0.2&\"\"", "0.3"), ('=LEFT("x",-1)', "#VALUE!"), ("=POWER(0,-1)", "#NUM!"), ("=IF(1,2,1/0)", 2.0), ("=#REF!", "#REF!"), ("=Z1", "#REF!"),
+    ("=IFS(TRUE,1/0)", "#DIV/0!"), ("=IFS(TRUE,1,1/0,2)", 1.0), ("=IFS(1/0,1,TRUE,2)", "#DIV/0!"), ('=IFS(FALSE,1,TRUE,"two")', "two"), ("=IFS()", "#VALUE!"), ("=IFS(TRUE)", "#VALUE!"), ("=SWITCH(1,1,1/0,5)", "#DIV/0!"),
+    ('=SWITCH(3,1,"a",7)', "7"), ("=SWITCH(1,2)", "#VALUE!"), ("=SWITCH(2,1/0,1,2,3)", "#DIV/0!"), ("=SWITCH(9,1,2)", "#N/A"), ("=ROUND(1e20,0)", 1e20), ("=INT(1e20)", 1e20), ("=ROUNDUP(-1e20,0)", -1e20), ("=MOD(1e20,7)", 1e20 - 7 * float(10**20 // 7)),
+    ('=0.00001&""', "0.00001"), ('=1e15&""', "1000000000000000"), ('=1.5e22&""', "1.5e+22"), ('=-1e-7&""', "-1e-7"), ('=123456.789&""', "123456.789"), ('=1e20&""', "100000000000000000000"), ('=0.00012345&""', "0.00012345"),
+    ("=AND()", False), ("=OR()", "#VALUE!"), ("=A:B+1", "#VALUE!"), ("=A:B", "#VALUE!"), ("=ROUND(A:B,1)", "#VALUE!"),
 ]
 
 
@@ -33,6 +37,41 @@ def test_formulas(spark):
         assert (got == pytest.approx(want) if isinstance(want, float) else got == want) or (want in (False, "") and row[f"v{i}"] == want), (source, got)
 
 
+def test_aggregates_over_ranges(spark):
+    rows = [(1, 1.0, 10.0, "x"), (2, -5.0, 20.0, "Y"), (3, 2.0, None, "x"), (4, None, 40.0, None), (5, -5.0, 50.0, "7")]
+    df = spark.createDataFrame(rows, "n int, a double, b double, t string").select("a", "b", "t", "n")
+    wanted = {
+        "=SUM(A:B)": 113.0, "=SUM(A1:A2)": -4.0, "=SUM(B:A,A3:B3)": 115.0, "=SUM()": 0.0, "=AVERAGE(B2:B4)": 30.0, "=MAX(A2:B3)": 20.0, "=COUNT(A:C)": 8, "=COUNTA(C1:C4)": 3, '=SUMIF(A:A,">"&1)': 2.0, "=SUMIF(A:A,-5)": -10.0, "=COUNTIF(A:A,-5)": 2,
+        "=COUNTIF(A:A,1+1)": 1, '=SUMIF(C:C,"x",B:B)': 10.0, '=COUNTIF(A:B,">=10")': 4, "=SUMIF(A:A)": "#VALUE!", "=COUNTIF(C:C,7)": 1, '=COUNTIF(C:C,"<>x")': 2, '=COUNTIF(C:C,"")': 1, "=AND(A:A)": True, "=OR(B:B)": True, "=CONCAT(C:C)": "xYx7",
+        '=VLOOKUP(-5,A:C,3)': "Y", '=VLOOKUP("X",C:C,1)': "x", "=VLOOKUP(99,A:B,2)": "#N/A", "=VLOOKUP(1,A:B,3)": "#REF!", "=VLOOKUP(1,A:B,0)": "#VALUE!", "=VLOOKUP(1,A:B,2,FALSE)": "#VALUE!", "=VLOOKUP(1,A:B,2,TRUE)": 10.0, "=AVERAGE(C1:C2)": "#DIV/0!",
+    }
+    made = aggregate_formulas(df, {f"f{i}": f for i, f in enumerate(wanted)}, row="n").first().asDict()
+    for i, (source, want) in enumerate(wanted.items()):
+        assert (made.get(f"f{i}_error") or made[f"f{i}"]) == want, source
+    no_rows = aggregate_formulas(df, {"x": "=SUM(A1:A2)", "y": "=SUM(A:A)"}).first()
+    assert no_rows.x_error == "#VALUE!" and no_rows.y == -7.0
+
+
+def test_trees_without_a_top_and_large_orders(spark):
+    edges = spark.createDataFrame([("r", "b", 1000001), ("r", "a", 1000000), ("r", "c", 999999)], "src string, dst string, ord long")
+    nodes = spark.createDataFrame([(x, "pt") for x in "rabc"], "id string, kind string")
+    got = hierarchy.levels(nodes, edges).orderBy("path").collect()
+    assert [(r.id, r.level) for r in got] == [("r", 0), ("c", 1), ("a", 1), ("b", 1)]
+    topped = hierarchy.levels(nodes.union(spark.createDataFrame([("top", "doc")], nodes.schema)), edges.union(spark.createDataFrame([("top", "r", 3)], edges.schema)))
+    assert [r.id for r in topped.orderBy("path").collect()] == ["r", "c", "a", "b"]
+
+
+def test_ampersands_of_zones(spark):
+    row = spark.range(1).select(grid.header_zones(F.lit("&LA&&Left&RB&&&C&&C")).alias("z")).first().z
+    assert tuple(row) == ("A&&Left", "&&C", "B&&")
+
+
+def test_order_statistics_of_few_values(spark, monkeypatch):
+    monkeypatch.setattr(cf, "_SORTED", 50)
+    df = spark.range(4000).select((F.col("id") % 2).cast("double").alias("v"))
+    assert [cf.order_statistic(df, "v", k) for k in (1, 2000, 2001, 4000)] == [0.0, 0.0, 1.0, 1.0] and cf.order_statistic(df, "v", 2000, descending=True) == 1.0
+
+
 @pytest.mark.parametrize(("criterion", "want"), [(">=15", [20, 30, 15]), ("<>5", [None, 10, 20, 30, 15]), ("<>foo", [10, 20, 30, 5, 15]), (5, [5]), ("5", [5]), ("", [None]), (None, [None])])
 def test_number_criteria(spark, criterion, want):
     df = spark.createDataFrame([(x,) for x in (10.0, 20.0, 30.0, 5.0, 15.0, None)], "x double")
