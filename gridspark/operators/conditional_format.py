@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.functions.values import parse_number
+
 #: Accuracy of the sketches, and rows that one task may sort.
 _ACCURACY = 10_000
 _SORTED = 100_000
@@ -57,6 +59,11 @@ def blank(value: Column) -> Column:
     return value.isNull() | (value.cast("string") == "")
 
 
+def erroneous(kind: Column) -> Column:
+    """containsErrors; a cell that is absent holds none."""
+    return _sure(kind == "error")
+
+
 def _with(df: DataFrame, by: list[str], stats: DataFrame) -> DataFrame:
     """Joins a range's statistics to its rows; one row of them for a whole table is broadcast."""
     if by:
@@ -272,6 +279,68 @@ def winner(df: DataFrame, rules: list[Rule], *, into: str = "rule") -> DataFrame
     return df.select(*df.columns, name.alias(into), style.alias(f"{into}_style"))
 
 
+def last_graphic(hits: DataFrame, *, by: list[str], kind: str = "kind", priority: str = "priority", place: str = "place") -> DataFrame:
+    """Of the graphics (colour scale, data bar, icon set) that hit a cell, one of each kind: that of the highest priority number, and of equal ones the last.
+
+    ``by`` names the cell.  An aggregate with partial results on the map side:
+    a cell's hits are never sorted, however many rules overlap.
+    """
+    rest = [c for c in hits.columns if c not in (*by, kind)]
+    last = F.max_by(F.struct(*rest), F.struct(priority, place))
+    return hits.groupBy(*by, kind).agg(last.alias("__last")).select(*by, kind, *[F.col("__last")[c].alias(c) for c in rest])
+
+
+def bar_look(df: DataFrame, value: str, *, fill: str, negative: str | None = None, percent: str = "percent", into: str = "bar_colour") -> DataFrame:
+    """The colour of a data bar: ``negative`` below zero where the rule gives one; null where there is no bar."""
+    colour = F.when(F.col(value) < 0, F.lit(negative or fill)).otherwise(F.lit(fill))
+    return df.withColumn(into, F.when(F.col(percent).isNotNull(), colour))
+
+
+def with_extensions(rules: DataFrame, extensions: DataFrame, *, by: list[str], guid: str = "guid") -> DataFrame:
+    """Data-bar rules with the settings that an extension of the same GUID adds; GUIDs compare without case and braces.
+
+    The first of several extensions of one GUID counts (by its other columns);
+    rules without a GUID or without an extension keep nulls there.
+    """
+    plain = lambda c: F.regexp_replace(F.upper(c), "[{}]", "")
+    more = [c for c in extensions.columns if c not in (*by, guid)]
+    keyed = extensions.where(F.col(guid).isNotNull()).groupBy(*by, plain(F.col(guid)).alias("__guid")).agg(F.min(F.struct(*more)).alias("__more"))
+    joined = rules.withColumn("__guid", plain(F.col(guid))).join(keyed, [*by, "__guid"], "left")
+    return joined.select(*[F.col(c) for c in rules.columns], *[F.col("__more")[c].alias(c) for c in more])
+
+
+_ROW_KINDS = ("cellIs", "containsText", "notContainsText", "beginsWith", "endsWith", "containsBlanks", "notContainsBlanks", "containsErrors", "notContainsErrors")
+
+
+def holding(hits: DataFrame, *, value: str = "value", kind: str = "kind", type: str = "type", operator: str = "operator", first: str = "first", second: str = "second", text: str = "text") -> Column:
+    """Whether the rule that a row carries (columns ``type``, ``operator``, ``first``, ``second``, ``text``) holds for its cell.
+
+    Cells meet rules by ``grid.in_ranges``; nothing of the rules goes through
+    the driver.  Types that need the whole range have operators of their own;
+    any other type, known or not, never holds.
+    """
+    v, low, high, op = F.col(value), F.col(first), F.col(second), F.col(operator)
+    number = F.when(F.col(kind) == "boolean", (F.upper(v) == "TRUE").cast("double")).otherwise(parse_number(F.coalesce(v, F.lit(""))))
+    a, b = low.try_cast("double"), high.try_cast("double")
+    quoted = F.lower(F.regexp_replace(F.regexp_extract(low, r'^"(.*)"$', 1), '""', '"'))
+    as_text = F.lower(F.coalesce(v, F.lit("")))
+    numeric, inside = F.lit(False), number.between(a, b)
+    for name, compare in _COMPARE.items():
+        numeric = F.when(op == name, compare(number, a)).otherwise(numeric)
+    numeric = F.when(op == "between", inside).when(op == "notBetween", ~inside).otherwise(numeric)
+    literal = F.when(op == "equal", as_text == quoted).when(op == "notEqual", as_text != quoted)
+    t = F.lower(F.coalesce(F.col(text), F.lit("")))
+    empty = blank(v) | (F.col(kind) == "empty")
+    tests = (
+        F.when(low.startswith('"'), literal).otherwise(numeric), (t != "") & F.contains(as_text, t), (t == "") | ~F.contains(as_text, t), (t != "") & F.startswith(as_text, t),
+        (t != "") & F.endswith(as_text, t), empty, ~empty, F.col(kind) == "error", F.coalesce(F.col(kind) != "error", F.lit(True)),
+    )
+    holds = F.lit(False)
+    for name, test in zip(_ROW_KINDS, tests, strict=True):
+        holds = F.when(F.col(type) == name, test).otherwise(holds)
+    return _sure(holds)
+
+
 def banded(number: Column, every: int, remainder: int) -> Column:
     """MOD(ROW(), every) = remainder, or of COLUMN()."""
     return number % every == remainder

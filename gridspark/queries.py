@@ -12,9 +12,10 @@ from gridspark.functions import number_format as nf
 from gridspark.functions.references import letters_column
 from gridspark.functions.values import number, text
 from gridspark.operators import aggregates as agg
-from gridspark.operators import charts, grid, hierarchy, lookup, pivot_filters
+from gridspark.operators import charts, grid, hierarchy, lookup, pivot_filters, sheet
 from gridspark.operators import conditional_format as cf
 from gridspark.plans.formula import aggregate_formulas, with_formulas
+from gridspark.plans.rule_expression import Cell, rule_expression
 from gridspark.streaming import selections
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -280,7 +281,8 @@ def vlookup_formula(spark, sf_dir):
     return aggregate_formulas(df, {"price": "=VLOOKUP(3+4,B:C,2)", "missing": "=VLOOKUP(-1,B:C,2)"}, ["l_linestatus"], row="line")
 
 
-@_query()
+@_query("""WITH p AS (SELECT p_partkey, p_retailprice AS x, CASE WHEN p_retailprice < 1000 THEN 0 ELSE 3 END AS e3, floor(log10(p_retailprice)) AS e FROM part)
+SELECT p_partkey, format('{:.2f}', floor(x / power(10, e - 2) + 0.5) / 100) || 'E+' || printf('%02d', CAST(e AS INTEGER)) AS scientific, format('{:.1f}', floor(x / power(10, e3 - 1) + 0.5) / 10) || 'E+' || e3 AS engineering, CAST(floor(x) AS INTEGER) || ':' || printf('%02d', CAST(floor(round((x - floor(x)) * 3600) / 60) AS INTEGER)) AS elapsed FROM p""")
 def numfmt_scientific(spark, sf_dir):
     p = F.col("p_retailprice")
     return _t(spark, sf_dir, "part").select("p_partkey", nf.format_code(p, "0.00E+00")[0].alias("scientific"), nf.format_code(p, "##0.0E+0")[0].alias("engineering"), nf.format_code(p / 24, "[h]:mm")[0].alias("elapsed"))
@@ -402,3 +404,135 @@ def windowed_counts(spark, sf_dir):
 def criteria_filter(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     return e.where(crit.criteria(text(F.col("event_type")), "Click") | crit.criteria(number(F.col("value")), ">50")).select("event_id")
+
+
+# Orders as the cells of five sheets, eight columns wide, one order a place.
+_CELLS_SQL = """cells AS (SELECT o_orderkey % 5 AS sheet, o_orderkey // 40 AS "row", o_orderkey // 5 % 8 AS col, o_orderkey,
+CASE o_custkey % 5 WHEN 0 THEN o_orderpriority WHEN 1 THEN CAST(o_custkey AS VARCHAR) WHEN 2 THEN CASE WHEN o_custkey % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END WHEN 3 THEN '#N/A' ELSE '' END AS value,
+CASE o_custkey % 5 WHEN 0 THEN 'string' WHEN 1 THEN 'number' WHEN 2 THEN 'boolean' WHEN 3 THEN 'error' ELSE 'empty' END AS kind FROM orders)"""
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey").cast("long"), F.col("o_custkey")
+    value = F.when(c % 5 == 0, F.col("o_orderpriority")).when(c % 5 == 1, c.cast("string")).when(c % 5 == 2, F.when(c % 2 == 0, F.lit("TRUE")).otherwise(F.lit("FALSE"))).when(c % 5 == 3, F.lit("#N/A")).otherwise(F.lit(""))
+    kind = F.when(c % 5 == 0, F.lit("string")).when(c % 5 == 1, F.lit("number")).when(c % 5 == 2, F.lit("boolean")).when(c % 5 == 3, F.lit("error")).otherwise(F.lit("empty"))
+    return _t(spark, sf_dir, "orders").select((k % 5).alias("sheet"), F.floor(k / 40).alias("row"), (F.floor(k / 5) % 8).alias("col"), k.alias("o_orderkey"), value.alias("value"), kind.alias("kind"))
+
+
+def _boxes(spark: SparkSession, sf_dir: str, *, every: int, height: int, col: int, width: int) -> DataFrame:
+    """A range a nation, on the sheet of its region."""
+    n = F.col("n_nationkey").cast("long")
+    return _t(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("sheet"), n.alias("n"), (n * every).alias("row"), (n * every + height - 1).alias("end_row"), (n % col).alias("col"), (n % col + width - 1).alias("end_col"))
+
+
+@_query(f"""WITH {_CELLS_SQL}, n AS (SELECT *, CASE WHEN kind = 'boolean' THEN CASE WHEN value = 'TRUE' THEN 1 ELSE 0 END WHEN value = '' THEN 0 ELSE try_cast(value AS DOUBLE) END AS v FROM cells)
+SELECT o_orderkey, "row" % 2 = 1 AND kind <> 'empty' AS filled_even_row, kind = 'error' OR contains(lower(value), 'urgent') AS error_or_urgent, contains(lower(value), 'high') AS high, NOT contains(lower(value), 'high') AS not_high,
+left(value, 2) = '1-' AS first_two, right(value, 1) <> 'E' AS last_one, (col + 1) % 3 = 1 AS third_column, coalesce(v >= 100, false) AS large, NOT coalesce(v >= 100, false) AS not_large, kind IN ('number', 'boolean') AS numeric, coalesce(v % 2 = 1, false) AS odd, false AS unknown FROM n""")
+def cf_expression_forms(spark, sf_dir):
+    df = _cells(spark, sf_dir)
+    cell = Cell(F.col("value"), F.col("kind"), F.col("row") + 1, F.col("col") + 1)
+    forms = {
+        "filled_even_row": "=AND(ISEVEN(ROW()),NOT(ISBLANK(A1)))", "error_or_urgent": '=OR(ISERROR(B2),SEARCH("Urgent",$B2))', "high": '=ISNUMBER(SEARCH("high",A1))', "not_high": 'SEARCH("high",A1)<>1',
+        "first_two": 'LEFT(A1,2)="1-"', "last_one": 'RIGHT(A1)<>"E"', "third_column": "MOD(COLUMN(),3)=1", "large": "$A$1>=100", "not_large": "NOT(A1>=100)", "numeric": "ISNUMBER(C3)", "odd": "ISODD(C3)", "unknown": "VLOOKUP(A1,B1:C9,2)=1",
+    }
+    return df.select("o_orderkey", *[rule_expression(f, cell).alias(n) for n, f in forms.items()])
+
+
+@_query(f"""WITH {_CELLS_SQL}, size AS (SELECT sheet, max("row") + 1 AS rows FROM cells GROUP BY sheet), spine AS (SELECT sheet, r AS "row", c AS col FROM size, unnest(range(0, rows)) AS a(r), unnest(range(0, 8)) AS b(c))
+SELECT sheet, "row", col, coalesce(kind = 'empty' OR value = '', true) AS is_blank, coalesce(kind = 'error', false) AS is_error FROM spine LEFT JOIN cells USING (sheet, "row", col)""")
+def cf_blanks_errors(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    size = cells.groupBy("sheet").agg((F.max("row") + 1).alias("rows")).withColumn("cols", F.lit(8))
+    places = sheet.dense(size, cells, by=["sheet"])
+    return places.select("sheet", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), (cf.blank(F.col("value")) | (F.col("kind") == "empty")).alias("is_blank"), cf.erroneous(F.col("kind")).alias("is_error"))
+
+
+@_query(f"""WITH {_CELLS_SQL}, size AS (SELECT sheet, max("row") + 1 AS rows FROM cells GROUP BY sheet), spine AS (SELECT sheet, r AS "row", c AS col FROM size, unnest(range(0, rows)) AS a(r), unnest(range(0, 8)) AS b(c)),
+m AS (SELECT n_regionkey AS sheet, n_nationkey * 3 AS "row", n_nationkey * 3 + 1 AS end_row, n_nationkey % 5 AS col, n_nationkey % 5 + 2 AS end_col FROM nation),
+l AS (SELECT n_regionkey AS sheet, n_nationkey * 5 AS "row", n_nationkey * 5 + 2 AS end_row, n_nationkey % 4 AS col, n_nationkey % 4 + 1 AS end_col FROM nation),
+notes AS (SELECT s_suppkey % 5 AS sheet, s_suppkey // 40 AS "row", s_suppkey // 5 % 8 AS col, s_name AS author FROM supplier)
+SELECT sheet, "row", col, value, CASE WHEN m.sheet IS NULL THEN 1 ELSE 2 END AS row_span, CASE WHEN m.sheet IS NULL THEN 1 ELSE 3 END AS col_span, author,
+EXISTS (SELECT 1 FROM l WHERE l.sheet = s.sheet AND s."row" BETWEEN l."row" AND l.end_row AND s.col BETWEEN l.col AND l.end_col) AS listed
+FROM spine s LEFT JOIN cells USING (sheet, "row", col) LEFT JOIN notes USING (sheet, "row", col) LEFT JOIN m USING (sheet, "row", col)
+WHERE NOT EXISTS (SELECT 1 FROM m c WHERE c.sheet = s.sheet AND s."row" BETWEEN c."row" AND c.end_row AND s.col BETWEEN c.col AND c.end_col AND NOT (c."row" = s."row" AND c.col = s.col))""")
+def dense_grid(spark, sf_dir):
+    cells, k = _cells(spark, sf_dir), F.col("s_suppkey").cast("long")
+    size = cells.groupBy("sheet").agg((F.max("row") + 1).alias("rows")).withColumn("cols", F.lit(8))
+    notes = _t(spark, sf_dir, "supplier").select((k % 5).alias("sheet"), F.floor(k / 40).alias("row"), (F.floor(k / 5) % 8).alias("col"), F.col("s_name").alias("author"))
+    merges = _boxes(spark, sf_dir, every=3, height=2, col=5, width=3).drop("n")
+    lists = _boxes(spark, sf_dir, every=5, height=3, col=4, width=2).drop("n")
+    out = sheet.dense(size, cells.select("sheet", "row", "col", "value"), by=["sheet"], merges=merges, sides={"note": notes}, ranges={"listed": lists})
+    return out.select("sheet", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value", F.col("row_span").cast("int").alias("row_span"), F.col("col_span").cast("int").alias("col_span"), F.col("note.author").alias("author"), "listed")
+
+
+@_query(f"""WITH {_CELLS_SQL} SELECT o_orderkey, CASE WHEN col < 2 AND "row" < 3 THEN 'both' WHEN "row" < 3 THEN 'row' WHEN col < 2 THEN 'col' END AS frozen, "row" = 1 AND col BETWEEN 2 AND 5 AS header,
+col BETWEEN sheet AND sheet + 1 OR EXISTS (SELECT 1 FROM nation WHERE n_regionkey = sheet AND n_nationkey * 2 = "row") AS hidden FROM cells""")
+def grid_flags(spark, sf_dir):
+    region = F.col("r_regionkey").cast("long")
+    columns = _t(spark, sf_dir, "region").select(region.alias("sheet"), region.alias("first_col"), (region + 1).alias("last_col"))
+    rows = _t(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("sheet"), (F.col("n_nationkey").cast("long") * 2).alias("row"))
+    places = sheet.with_hidden(_cells(spark, sf_dir), by=["sheet"], rows=rows, columns=columns)
+    r, c = F.col("row"), F.col("col")
+    return places.select("o_orderkey", sheet.frozen(r, c, F.lit(2), F.lit(3)).alias("frozen"), sheet.filter_header(r, c, first_row=F.lit(1), first_col=F.lit(2), last_col=F.lit(5)).alias("header"), "hidden")
+
+
+@_query(r"""WITH p AS (SELECT p_partkey, p_retailprice AS x, CASE p_partkey % 5 WHEN 0 THEN '' ELSE CAST(p_retailprice AS VARCHAR) END AS value, CASE WHEN p_partkey % 3 = 0 THEN 'A' || p_partkey || '*2' END AS formula, p_partkey % 4 AS f FROM part)
+SELECT p_partkey, CASE WHEN value = '' THEN coalesce('=' || formula, '') WHEN f = 0 THEN regexp_replace(CAST(x AS VARCHAR), '\.0$', '') WHEN f = 1 THEN format('{:.2f}', x) WHEN f = 2 THEN format('{:,.2f}', x) ELSE format('{:.2f}', x * 100) || '%' END AS shown,
+value = '' AND formula IS NOT NULL AS is_formula, NOT (value = '' AND formula IS NOT NULL) AS is_numeric FROM p""")
+def displayed_value(spark, sf_dir):
+    k, x = F.col("p_partkey"), F.col("p_retailprice")
+    value = F.when(k % 5 == 0, F.lit("")).otherwise(x.cast("string"))
+    formula = F.when(k % 3 == 0, F.concat(F.lit("A"), k.cast("string"), F.lit("*2")))
+    # Built-in formats by number: none (99 is no format), 0.00, #,##0.00, 0.00%.
+    code = nf.code_of(F.element_at(F.array(*[F.lit(i) for i in (99, 2, 4, 10)]), (k % 4 + 1).cast("int")))
+    shown, _ = nf.format_by(x, code, ["0.00", "#,##0.00", "0.00%"])
+    d = sheet.displayed(value, F.lit("number"), formula, shown)
+    return _t(spark, sf_dir, "part").select("p_partkey", d["text"].alias("shown"), d["formula"].alias("is_formula"), d["numeric"].alias("is_numeric"))
+
+
+@_query("""SELECT o_custkey, o_orderstatus AS kind, o_orderkey AS place, o_totalprice AS value FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey % 3 DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1""")
+def cf_graphic_winner(spark, sf_dir):
+    hits = _t(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderstatus").alias("kind"), (F.col("o_orderkey") % 3).alias("priority"), F.col("o_orderkey").alias("place"), F.col("o_totalprice").alias("value"))
+    return cf.last_graphic(hits, by=["o_custkey"]).select("o_custkey", "kind", "place", "value")
+
+
+@_query(f"""WITH {_CELLS_SQL}, c AS (SELECT *, CASE WHEN kind = 'boolean' THEN CASE WHEN value = 'TRUE' THEN 1 ELSE 0 END WHEN value = '' THEN 0 ELSE try_cast(value AS DOUBLE) END AS v FROM cells),
+r AS (SELECT n_nationkey AS n, n_regionkey AS sheet, n_nationkey * 2 AS "row", n_nationkey * 2 + 19 AS end_row, n_nationkey % 3 AS col, n_nationkey % 3 + 5 AS end_col FROM nation)
+SELECT n, o_orderkey, coalesce(CASE n % 8 WHEN 0 THEN v BETWEEN 100 AND 900 WHEN 1 THEN v > 500 WHEN 2 THEN lower(value) = '#n/a' WHEN 3 THEN contains(lower(value), 'high') WHEN 4 THEN NOT contains(lower(value), 'high') WHEN 5 THEN starts_with(lower(value), '1-u') WHEN 6 THEN value <> '' ELSE false END, false) AS holds
+FROM c JOIN r ON c.sheet = r.sheet AND c."row" BETWEEN r."row" AND r.end_row AND c.col BETWEEN r.col AND r.end_col""")
+def cf_rules_by_range(spark, sf_dir):
+    # type, operator, first, second, text of a rule, by the nation's number
+    rules = [("cellIs", "between", "100", "900", None), ("cellIs", "greaterThan", "500", None, None), ("cellIs", "equal", '"#n/a"', None, None), ("containsText", None, None, None, "High"), ("notContainsText", None, None, None, "High"), ("beginsWith", None, None, None, "1-U"), ("notContainsBlanks", None, None, None, None), ("sparkle", None, None, None, None)]
+    rule = F.element_at(F.array(*[F.struct(*[F.lit(x).cast("string").alias(n) for n, x in zip(("type", "operator", "first", "second", "text"), r, strict=True)]) for r in rules]), (F.col("n") % 8 + 1).cast("int"))
+    ranges = _boxes(spark, sf_dir, every=2, height=20, col=3, width=6).withColumn("rule", rule)
+    hits = grid.in_ranges(_cells(spark, sf_dir), ranges, by=["sheet"]).select("*", "range_rule.*")
+    return hits.select(F.col("range_n").alias("n"), "o_orderkey", cf.holding(hits).alias("holds"))
+
+
+@_query("""SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '#' || n_regionkey END AS negative FROM nation""")
+def cf_bar_extension(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation")
+    rules = n.select("n_nationkey", F.lit(1).alias("book"), F.concat(F.lit("{"), F.lower("n_name"), F.lit("}")).alias("guid"))
+    extensions = n.where("n_nationkey % 2 = 0").select(F.lit(1).alias("book"), F.upper("n_name").alias("guid"), F.concat(F.lit("#"), F.col("n_regionkey").cast("string")).alias("negative"))
+    return cf.with_extensions(rules, extensions, by=["book"]).select("n_nationkey", "negative")
+
+
+@_query("""SELECT n_nationkey, '<ruby>' || substr(n_name, 1, 2) || '<rt>a</rt></ruby>' || substr(n_name, 3, 1) || '<ruby>' || substr(n_name, 4, 2) || '<rt>c</rt></ruby>' || substr(n_name, 6) AS html FROM nation""")
+def phonetic_ruby(spark, sf_dir):
+    run = lambda a, b, p: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(p).alias("phonetic"))
+    runs = F.array(run(3, 5, "c"), run(1, 3, "b"), run(-1, 2, "a"), run(4, 4, "d"), run(90, 99, "e"))
+    return _t(spark, sf_dir, "nation").select("n_nationkey", sheet.ruby_html(sheet.ruby(F.col("n_name"), runs)).alias("html"))
+
+
+@_query(f"""WITH {_CELLS_SQL} SELECT n_nationkey AS control, string_agg(value, '|' ORDER BY "row", col) AS offered FROM cells JOIN nation ON n_regionkey = sheet AND "row" BETWEEN n_nationkey * 2 AND n_nationkey * 2 + 5 AND col BETWEEN n_nationkey % 3 AND n_nationkey % 3 + 1 WHERE value <> '' GROUP BY 1""")
+def control_values(spark, sf_dir):
+    ranges = _boxes(spark, sf_dir, every=2, height=6, col=3, width=2).withColumnRenamed("n", "control")
+    return sheet.input_values(_cells(spark, sf_dir), by=["sheet"], ranges=ranges).select("control", F.array_join("values", "|").alias("offered"))
+
+
+@_query(f"""WITH {_CELLS_SQL} SELECT o_orderkey, CASE WHEN s_suppkey IS NULL THEN value ELSE s_name END AS text FROM cells LEFT JOIN supplier ON s_suppkey = o_orderkey""")
+def control_update(spark, sf_dir):
+    places = _cells(spark, sf_dir).withColumnRenamed("value", "text")
+    k = F.col("s_suppkey").cast("long")
+    updates = _t(spark, sf_dir, "supplier").select((k % 5).alias("sheet"), F.floor(k / 40).alias("row"), (F.floor(k / 5) % 8).alias("col"), F.col("s_name").alias("new"))
+    return sheet.with_updates(places, updates, by=["sheet"]).select("o_orderkey", "text")
