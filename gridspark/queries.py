@@ -281,8 +281,10 @@ def vlookup_formula(spark, sf_dir):
     return aggregate_formulas(df, {"price": "=VLOOKUP(3+4,B:C,2)", "missing": "=VLOOKUP(-1,B:C,2)"}, ["l_linestatus"], row="line")
 
 
-@_query("""WITH p AS (SELECT p_partkey, p_retailprice AS x, CASE WHEN p_retailprice < 1000 THEN 0 ELSE 3 END AS e3, floor(log10(p_retailprice)) AS e FROM part)
-SELECT p_partkey, format('{:.2f}', floor(x / power(10, e - 2) + 0.5) / 100) || 'E+' || printf('%02d', CAST(e AS INTEGER)) AS scientific, format('{:.1f}', floor(x / power(10, e3 - 1) + 0.5) / 10) || 'E+' || e3 AS engineering, CAST(floor(x) AS INTEGER) || ':' || printf('%02d', CAST(floor(round((x - floor(x)) * 3600) / 60) AS INTEGER)) AS elapsed FROM p""")
+@_query("""WITH p AS (SELECT p_partkey, p_retailprice AS x, CASE WHEN p_retailprice < 1000 THEN 0 ELSE 3 END AS e3, CASE WHEN p_retailprice > 999.5 AND p_retailprice < 1000 THEN 3 ELSE floor(log10(p_retailprice)) END AS e FROM part),
+m AS (SELECT *, x / power(10, e) AS m, x / power(10, e3) AS n FROM p)
+SELECT p_partkey, format('{:.2f}', CASE WHEN m * 200 = floor(m * 200) AND m * 8 = floor(m * 8) THEN m + 0.001 ELSE m END) || 'E+' || printf('%02d', CAST(e AS INTEGER)) AS scientific,
+format('{:.1f}', CASE WHEN n * 20 = floor(n * 20) AND n * 4 = floor(n * 4) THEN n + 0.01 ELSE n END) || 'E+' || e3 AS engineering, CAST(floor(x) AS INTEGER) || ':' || printf('%02d', CAST(floor(round((x - floor(x)) * 3600) / 60) AS INTEGER)) AS elapsed FROM m""")
 def numfmt_scientific(spark, sf_dir):
     p = F.col("p_retailprice")
     return _t(spark, sf_dir, "part").select("p_partkey", nf.format_code(p, "0.00E+00")[0].alias("scientific"), nf.format_code(p, "##0.0E+0")[0].alias("engineering"), nf.format_code(p / 24, "[h]:mm")[0].alias("elapsed"))
