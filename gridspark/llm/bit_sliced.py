@@ -34,27 +34,47 @@ def quantised(vector: Column, scale: int = 1024) -> Column:
     return F.when(sound, F.transform(x, lambda v: F.floor(v * scale)))
 
 
-def add(total: Bits, term: Bits, at: int) -> None:
-    """total += term * 2**at, slice by slice with a carry."""
-    while len(total) < at:
-        total.append(np.zeros_like(term[0]))
-    carry = None
-    for i, t in enumerate(term):
-        if at + i == len(total):
-            total.append(np.zeros_like(t))
-        s = total[at + i]
-        half = s ^ t
-        if carry is None:
-            total[at + i], carry = half, s & t
-        else:
-            total[at + i], carry = half ^ carry, (s & t) | (half & carry)
-    i = at + len(term)
-    while carry.any():
-        if i == len(total):
-            total.append(carry)
-            return
-        total[i], carry = total[i] ^ carry, total[i] & carry
-        i += 1
+def digits(weight: int) -> list[tuple[int, bool]]:
+    """(place, whether negative) of the non-adjacent binary digits of a weight: a third of its places at the mean, where plain binary has a half."""
+    found, at = [], 0
+    while weight:
+        if weight & 1:
+            digit = 2 - (weight & 3)
+            found.append((at, digit < 0))
+            weight -= digit
+        weight >>= 1
+        at += 1
+    return found
+
+
+def added(terms: dict[int, list[np.ndarray]]) -> Bits:
+    """The slices of the sum of bitmaps, given by place as stacks of rows.
+
+    At each place, thirds of the stack go through full adders at once, which
+    leave a stack of sums and one of carries for the next place, until one
+    bitmap is left.
+    """
+    total: Bits = []
+    while terms:
+        stacks = terms.pop(len(total), [])
+        stack = np.concatenate(stacks) if stacks else None
+        if stack is None:
+            total.append(np.zeros_like(next(iter(terms.values()))[0][0]))
+            continue
+        carries = []
+        while len(stack) > 2:
+            n = len(stack) // 3
+            a, b, c = stack[:n], stack[n : 2 * n], stack[2 * n : 3 * n]
+            half = a ^ b
+            carries.append((a & b) | (half & c))
+            stack = np.concatenate((half ^ c, stack[3 * n :]))
+        if len(stack) == 2:
+            carries.append(stack[:1] & stack[1:])
+            stack = stack[:1] ^ stack[1:]
+        total.append(stack[0])
+        if carries:
+            terms.setdefault(len(total), []).extend(carries)
+    return total
 
 
 def _count(words: np.ndarray) -> int:
@@ -98,7 +118,9 @@ class Block:
         bits = min(SLICES, max(1, span.bit_length()))
         padded = np.zeros((values.shape[1], width), np.uint64)
         padded[:, : len(ids)] = coarse.T
-        self.slices = [[np.packbits((c >> np.uint64(b) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64) for b in range(bits)] for c in padded]
+        plain = np.array([[np.packbits((c >> np.uint64(b) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64) for b in range(bits)] for c in padded])
+        # Slice by slice, every component's bitmap and then every component's complement.
+        self.slices = np.ascontiguousarray(np.concatenate((plain, ~plain)).transpose(1, 0, 2))
         self.rows = np.packbits(np.arange(width) < len(ids), bitorder="little").view(np.uint64)
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,16 +130,16 @@ class Block:
         if len(own):
             among = among.copy()
             np.bitwise_and.at(among, own // 64, ~(np.uint64(1) << (own % 64).astype(np.uint64)))
-        total: Bits = [np.zeros_like(among)]
-        for component, q in zip(self.slices, query.tolist(), strict=True):
-            if q == 0:
-                continue
-            # For a negative weight the complement counts, which shifts all sums alike.
-            term = component if q > 0 else [~s for s in component]
-            weight = abs(q)
-            for b in range(weight.bit_length()):
-                if weight >> b & 1:
-                    add(total, term, b)
+        # For a negative digit the complement counts, which shifts all sums alike.
+        places: dict[int, list[int]] = {}
+        for c, q in enumerate(query.tolist()):
+            for at, negative in digits(q):
+                places.setdefault(at, []).append(c + len(query) * negative)
+        terms: dict[int, list[np.ndarray]] = {}
+        for at, components in places.items():
+            for b, component in enumerate(self.slices):
+                terms.setdefault(at + b, []).append(component[components])
+        total = added(terms) or [np.zeros_like(among)]
         # The bits cut off change a sum by less than this, in units of what is kept.
         slack = int(np.abs(query).sum()) if self.cut else 0
         chosen = np.flatnonzero(np.unpackbits(top_rows(total, among, k, slack).view(np.uint8), bitorder="little"))
