@@ -34,7 +34,8 @@ def dense(sheets: DataFrame, cells: DataFrame, *, by: list[str], merges: DataFra
     ``sides`` are tables by place, with at most one row each (comments, links,
     styles): their other columns come along as a struct under their name.
     ``ranges`` give a flag under their name: whether some range holds the place.
-    All joins of one place share one shuffle by (by, row, col).
+    The joins by place share one shuffle of the grid; ranges and merges, which
+    meet it by stripe, take one more each.
     """
     place = [*by, "row", "col"]
     out = spine(sheets, by=by)
