@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import bit_sliced, byte_bpe, chat_format, exact_dedup, language_id, line_dedup, mixing, secret_scan, simhash, toxicity
+from gridspark.llm import alignment, bit_sliced, byte_bpe, chat_format, exact_dedup, language_id, line_dedup, mixing, secret_scan, simhash, toxicity
 from gridspark.llm.common import new_path, split_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (split_of(F.col("id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    sides = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align(table(spark, sf_dir, "documents"), *sides).withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_byte_bpe, op4_exact_dedup, op5_line_dedup, op6_chat_format, op7_language_id, op8_exact_top_k, op9_simhash, op10_toxicity, pipeline)
+    f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_byte_bpe, op4_exact_dedup, op5_line_dedup, op6_chat_format, op7_language_id, op8_exact_top_k, op9_simhash, op10_toxicity, op13_token_alignment, pipeline)
 }
 
 _OP2_SQL = f"""
