@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import alignment, bit_sliced, byte_bpe, chat_format, exact_dedup, language_id, line_dedup, mixing, secret_scan, simhash, toxicity
+from gridspark.llm import alignment, bit_sliced, byte_bpe, chat_format, exact_dedup, language_id, line_dedup, mixing, parity_join, secret_scan, simhash, toxicity
 from gridspark.llm.common import new_path, split_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (split_of(F.col("id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.near_join(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -98,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_byte_bpe, op4_exact_dedup, op5_line_dedup, op6_chat_format, op7_language_id, op8_exact_top_k, op9_simhash, op10_toxicity, op13_token_alignment, pipeline)
+    f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_byte_bpe, op4_exact_dedup, op5_line_dedup, op6_chat_format, op7_language_id, op8_exact_top_k, op9_simhash, op10_toxicity, op12_jaccard_join, op13_token_alignment, pipeline)
 }
 
 _OP2_SQL = f"""
@@ -162,6 +166,20 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+_OP12_SQL = """
+WITH RECURSIVE cased AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingled AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM cased),
+classes AS (SELECT s, min(doc_id) AS class FROM shingled WHERE len(s) > 0 GROUP BY s),
+tokens AS (SELECT class, len(s) AS n, unnest(s) AS token FROM classes),
+shared AS (SELECT x.class AS a, y.class AS b, x.n + y.n AS sizes, count(*) AS common FROM tokens x JOIN tokens y ON x.token = y.token AND x.class < y.class GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * common >= 80 * (sizes - common)),
+steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM steps UNION SELECT reach.a, steps.b FROM reach JOIN steps ON reach.b = steps.a),
+firsts AS (SELECT a AS class, min(b) AS low FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(shingled.s) AS BIGINT) AS n_shingles, coalesce(least(low, class), class, doc_id) AS component_id
+FROM shingled LEFT JOIN classes USING (s) LEFT JOIN firsts USING (class)
+"""
+
 
 def _oracles() -> dict[str, str]:
     import random
@@ -171,6 +189,7 @@ def _oracles() -> dict[str, str]:
         "op4_exact_dedup": _OP4_SQL,
         "op6_chat_format": _OP6_SQL,
         "op8_exact_top_k": _OP8_SQL,
+        "op12_jaccard_join": _OP12_SQL,
     }
 
 
