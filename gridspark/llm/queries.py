@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import alignment, bit_sliced, byte_bpe, chat_format, exact_dedup, language_id, line_dedup, mixing, parity_join, secret_scan, simhash, toxicity
+from gridspark.llm import alignment, bit_sliced, byte_bpe, chat_format, exact_dedup, language_id, line_dedup, mixing, parity_join, pivot_table, secret_scan, simhash, toxicity
 from gridspark.llm.common import new_path, split_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (split_of(F.col("id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return pivot_table.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.near_join(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -102,7 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_byte_bpe, op4_exact_dedup, op5_line_dedup, op6_chat_format, op7_language_id, op8_exact_top_k, op9_simhash, op10_toxicity, op12_jaccard_join, op13_token_alignment, pipeline)
+    f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_byte_bpe, op4_exact_dedup, op5_line_dedup, op6_chat_format, op7_language_id, op8_exact_top_k, op9_simhash, op10_toxicity, op11_hard_negatives, op12_jaccard_join, op13_token_alignment, pipeline)
 }
 
 _OP2_SQL = f"""
@@ -166,6 +171,19 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+_OP11_SQL = """
+WITH given AS (SELECT row_number() OVER () AS place, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0),
+cells AS (SELECT place, len(embedding) AS dims, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM given),
+unsound AS (SELECT place FROM cells WHERE x IS NULL OR NOT isfinite(x)),
+parts AS (SELECT place, dims, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM cells WHERE place NOT IN (SELECT place FROM unsound)),
+anchors AS (SELECT min(place) AS anchor, vec_id AS anchor_id, label FROM given WHERE vec_id % 100 = 0 AND place NOT IN (SELECT place FROM unsound) GROUP BY vec_id, label, CAST(embedding AS VARCHAR)),
+products AS (SELECT q.place AS anchor, c.place, CAST(sum(q.x * c.x) AS BIGINT) AS score FROM parts q JOIN anchors ON q.place = anchor JOIN parts c ON q.i = c.i AND q.dims = c.dims GROUP BY ALL),
+scored AS (SELECT anchor, anchor_id, g.vec_id, g.label = a.label AS same, score FROM products p JOIN anchors a USING (anchor) JOIN given g ON g.place = p.place WHERE g.vec_id <> anchor_id),
+positives AS (SELECT anchor, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS positive_rank FROM scored WHERE same QUALIFY positive_rank <= 5)
+SELECT anchor_id, CAST(positive_rank AS INTEGER) AS positive_rank, positive_id, CAST(row_number() OVER (PARTITION BY anchor, positive_rank ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+"""
+
 _OP12_SQL = """
 WITH RECURSIVE cased AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 shingled AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM cased),
@@ -189,6 +207,7 @@ def _oracles() -> dict[str, str]:
         "op4_exact_dedup": _OP4_SQL,
         "op6_chat_format": _OP6_SQL,
         "op8_exact_top_k": _OP8_SQL,
+        "op11_hard_negatives": _OP11_SQL,
         "op12_jaccard_join": _OP12_SQL,
     }
 
