@@ -73,14 +73,21 @@ def count_all(*values: Value) -> Value:
     return Value(reduce(lambda a, b: a + b, each), "number")
 
 
-def sum_if(tested: Value, criterion, summed: Value | None = None) -> Value:
-    """SUMIF: what stands beside values that meet the criterion."""
-    return Value(F.coalesce(F.sum(F.when(criteria(tested, criterion), numeric(summed or tested))), F.lit(0.0)), "number", _error(*([summed] if summed else [])))
+def _meets(tested: Value, criterion, inside: Column | None) -> Column:
+    """Rows outside the range don't count, whatever a criterion says of nulls."""
+    met = criteria(tested, criterion)
+    return met if inside is None else met & F.coalesce(inside, F.lit(False))
 
 
-def count_if(tested: Value, criterion) -> Value:
+def sum_if(tested: Value, criterion, summed: Value | None = None, inside: Column | None = None) -> Value:
+    """SUMIF: what stands beside values that meet the criterion; of a range of rows those ``inside``."""
+    met = _meets(tested, criterion, inside)
+    return Value(F.coalesce(F.sum(F.when(met, numeric(summed or tested))), F.lit(0.0)), "number", _error(*([summed] if summed else [])))
+
+
+def count_if(tested: Value, criterion, inside: Column | None = None) -> Value:
     """COUNTIF."""
-    return Value(F.count_if(criteria(tested, criterion)), "number")
+    return Value(F.count_if(_meets(tested, criterion, inside)), "number")
 
 
 def every(v: Value) -> Value:

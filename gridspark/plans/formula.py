@@ -15,7 +15,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions import scalar as s
@@ -53,9 +53,11 @@ class FormulaError(ValueError):
 
 @dataclass(frozen=True)
 class _Range:
-    """The values of a range, a column each."""
+    """The values of a range, a column each; which rows are in it, and its first row, where it doesn't have all."""
 
     columns: list[Value]
+    inside: Column | None = None
+    first: int = 1
 
 
 def _failed(code: str) -> Value:
@@ -137,7 +139,7 @@ class _Reader:
         if len(rows) == 1 or self.row is None:
             raise FormulaError("rows of a range need the column of row numbers")
         inside = F.col(f"`{self.row}`").between(min(rows), max(rows))
-        return _Range([Value(F.when(inside, v.column), v.kind, None if v.error is None else F.when(inside, v.error)) for v in found])
+        return _Range([Value(F.when(inside, v.column), v.kind, None if v.error is None else F.when(inside, v.error)) for v in found], inside, min(rows))
 
     def look_up(self, arguments: list, raw: list[tuple[str, str]]) -> Value:
         """VLOOKUP of a constant in a range: what stands in the first row whose first cell is equal."""
@@ -196,7 +198,7 @@ class _Reader:
         if name == "VLOOKUP":
             return self.look_up(arguments, raw)
         if name in ("SUMIF", "COUNTIF"):
-            return self.conditional(name, [x.columns if isinstance(x, _Range) else [x] for x in arguments], spans)
+            return self.conditional(name, [x if isinstance(x, _Range) else _Range([x]) for x in arguments], spans)
         if ranged and name in ("AND", "OR"):
             each = [(a.every if name == "AND" else a.some)(v) for v in flat]
             return (s.all_of if name == "AND" else s.any_of)(*each)
@@ -220,15 +222,21 @@ class _Reader:
         error = F.lit(None) if v.error is None else v.error
         return tuple(self.session.sql("SELECT * FROM VALUES (0) AS one(x)").select(v.plain(), error.cast("string")).first())
 
-    def conditional(self, name: str, ranges: list[list[Value]], spans: list[list[tuple[str, str]]]) -> Value:
-        """SUMIF and COUNTIF by a constant: ranges of several columns pair column by column."""
-        if not 2 <= len(ranges) <= (3 if name == "SUMIF" else 2) or len(ranges[1]) != 1:
+    def conditional(self, name: str, ranges: list[_Range], spans: list[list[tuple[str, str]]]) -> Value:
+        """SUMIF and COUNTIF by a constant: ranges of several columns pair column by column.
+
+        Rows pair by position, so that a summed range must start in the row
+        that the tested one starts in: one row of the table has both values.
+        """
+        if not 2 <= len(ranges) <= (3 if name == "SUMIF" else 2) or len(ranges[1].columns) != 1:
             return _failed("#VALUE!")
-        criterion, error = self.constant(ranges[1][0], spans[1])
+        criterion, error = self.constant(ranges[1].columns[0], spans[1])
         if error is not None:
             return _failed(error)
         tested, summed = ranges[0], ranges[2] if len(ranges) == 3 else ranges[0]
-        parts = [a.count_if(v, criterion) if name == "COUNTIF" else a.sum_if(v, criterion, w) for v, w in zip(tested, summed, strict=False)]
+        if tested.first != summed.first:
+            return _failed("#VALUE!")
+        parts = [a.count_if(v, criterion, tested.inside) if name == "COUNTIF" else a.sum_if(v, criterion, w, tested.inside) for v, w in zip(tested.columns, summed.columns, strict=False)]
         total = parts[0].column
         for part in parts[1:]:
             total = total + part.column

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions import criteria as crit
@@ -67,6 +67,18 @@ def countif(spark, sf_dir):
     return aggregate_formulas(_t(spark, sf_dir, "lineitem"), {"large": '=COUNTIF([l_quantity],">=25")', "not_a": '=COUNTIF([l_returnflag],"<>A")', "first_lines": "=COUNTIF([l_linenumber],1)", "odd": '=COUNTIF([l_quantity],"<>foo")'}, errors=False)
 
 
+@_query("""WITH numbered AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS r FROM lineitem)
+SELECT count(*) FILTER (WHERE r BETWEEN 11 AND 400 AND l_quantity <> 5) AS unlike, count(*) FILTER (WHERE r BETWEEN 11 AND 400 AND l_returnflag = '') AS blank,
+round(coalesce(sum(l_extendedprice) FILTER (WHERE r BETWEEN 11 AND 400 AND l_quantity <> 5), 0), 2) AS paired,
+round(coalesce(sum(l_extendedprice) FILTER (WHERE r BETWEEN 11 AND 200 AND lower(l_returnflag) <> 'r'), 0), 2) AS shorter FROM numbered""")
+def countif_row_ranges(spark, sf_dir):
+    """Criteria that nulls meet, on ranges of rows: what is outside is no blank cell."""
+    order = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
+    li = _t(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(order)).select("l_quantity", "l_returnflag", "l_extendedprice", "r")
+    formulas = {"unlike": '=COUNTIF(A11:A400,"<>5")', "blank": '=COUNTIF(B11:B400,"")', "paired": '=SUMIF(A11:A400,"<>5",C11:C400)', "shorter": '=SUMIF(B11:B400,"<>r",C11:C200)'}
+    return _rounded(aggregate_formulas(li, formulas, row="r", errors=False), "paired", "shorter")
+
+
 @_query("""SELECT l_returnflag, bool_and(l_tax > 0) AS all_taxed, bool_or(l_discount > 0.09) AS any_high FROM lineitem GROUP BY l_returnflag""")
 def and_or_agg(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem").withColumns({"taxed": F.col("l_tax") > 0, "high": F.col("l_discount") > 0.09})
