@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.values import parse_number
+from gridspark.operators.order_statistics import order_statistics as _statistics
+from gridspark.operators.order_statistics import percentiles
 
 #: Accuracy of the sketches, and rows that one task may sort.
 _ACCURACY = 10_000
@@ -91,19 +93,17 @@ def repeated(df: DataFrame, value: str, *, by: list[str] | None = None, unique:
 def top(df: DataFrame, value: str, rank: int = 10, *, percent: bool = False, bottom: bool = False, by: list[str] | None = None, into: str = "match") -> DataFrame:
     """top10: values not below the n-th highest, ties included; n is ``rank``, or that percentage of the values.
 
-    Over a whole table the n-th value is an order statistic (see above) or the
-    end of a short top-k; with ``by``, counted values are ordered per group.
+    The n-th value is an order statistic, of all groups at once with ``by``; over
+    a whole table it may be the end of a short top-k.
     """
     by = by or []
     v = F.col(value)
     sized = df.groupBy(*by).agg(F.count(v).alias("__count"))
     n = F.greatest(F.lit(1.0), F.ceil(F.col("__count") * rank / 100)) if percent else F.least(F.lit(float(rank)), F.col("__count").cast("double"))
-    counts = df.where(v.isNotNull()).groupBy(*by, v.alias("__v")).agg(F.count("*").alias("__n"))
-    place = Window.partitionBy(*by).orderBy(F.col("__v") if bottom else F.desc("__v")) if by else None
-    if place is not None:
-        ranked = counts.withColumn("__upto", F.sum("__n").over(place.rowsBetween(Window.unboundedPreceding, 0)))
-        reached = _with(ranked, by, sized.withColumn("__rank", n)).where(F.col("__upto") >= F.col("__rank"))
-        limit = reached.groupBy(*by).agg((F.min if bottom else F.max)("__v").alias("__limit"))
+    if by:
+        place = n if bottom else F.col("__count") - n + 1
+        wanted = sized.where("__count > 0").select(*by, place.cast("long").alias("__place"))
+        limit = _statistics(df, wanted, by=by, value=value, place="__place", into="__limit").drop("__place")
     elif percent:
         found = order_statistic(df, value, max(1, math.ceil(df.where(v.isNotNull()).count() * rank / 100)), descending=not bottom)
         return df.select(*df.columns, _sure(v <= F.lit(found) if bottom else v >= F.lit(found)).alias(into))
@@ -199,7 +199,7 @@ class Stop:
 
 
 def thresholds(df: DataFrame, value: str, stops: list[Stop], by: list[str] | None = None) -> DataFrame:
-    """Per range, columns t0, t1, ...: each stop's threshold, from one pass of aggregates."""
+    """Per range, columns t0, t1, ...: each stop's threshold, from one pass of aggregates and one of order statistics."""
     low, high = F.min(value), F.max(value)
 
     def one(s: Stop) -> Column:
@@ -211,11 +211,15 @@ def thresholds(df: DataFrame, value: str, stops: list[Stop], by: list[str] | Non
             return F.lit(float(s.value))
         if s.kind == "percent":
             return low + (high - low) * (s.value / 100)
-        if s.kind == "percentile":
-            return F.percentile(value, s.value / 100) if by else F.lit(percentile_of(df, value, s.value / 100))
+        if s.kind == "percentile" and not by:
+            return F.lit(percentile_of(df, value, s.value / 100))
         return F.lit(None).cast("double")
 
-    return df.groupBy(*(by or [])).agg(*[one(s).cast("double").alias(f"t{i}") for i, s in enumerate(stops)])
+    found = df.groupBy(*(by or [])).agg(*[one(s).cast("double").alias(f"t{i}") for i, s in enumerate(stops)])
+    shares = {f"t{i}": s.value / 100 for i, s in enumerate(stops) if s.kind == "percentile"}
+    if not by or not shares:
+        return found
+    return found.drop(*shares).join(percentiles(df, by=by, value=value, shares=shares), by, "left").select(*by, *[f"t{i}" for i in range(len(stops))])
 
 
 def _hex(c: Column) -> Column:
@@ -341,6 +345,41 @@ def holding(hits: DataFrame, *, value: str = "value", kind: str = "kind", type:
     return _sure(holds)
 
 
+def holding_in_range(
+    hits: DataFrame, *, by: list[str], value: str = "value", type: str = "type", rank: str = "rank", percent: str = "percent", bottom: str = "bottom",
+    below: str = "below", equal: str = "equal", deviations: str = "deviations", into: str = "holds",
+) -> DataFrame:
+    """``hits`` with whether the rule that a row carries holds for its cell, for the types that need all cells of the range.
+
+    A row is a cell beside a rule whose range it is in; ``by`` names the rule.
+    top10 has ``rank``, ``percent`` and ``bottom``; aboveAverage ``below``,
+    ``equal`` and ``deviations`` (null: none); duplicateValues and uniqueValues
+    nothing more.  Rules stay rows: all ranges are counted, averaged and put in
+    order together.  Texts that spell numbers count as such for top10 and
+    aboveAverage, others not at all.  Any other type never holds.
+    """
+    kind, number = dict(hits.dtypes)[value], F.col(value)
+    number = F.when(F.trim(number) != "", parse_number(number)) if kind == "string" else number.cast("double")
+    on = lambda c: F.coalesce(F.col(c), F.lit(False))
+    numbered = hits.withColumn("__number", number)
+    rules = numbered.groupBy(*by).agg(F.count("__number").alias("__count"), F.avg("__number").alias("__mean"), F.stddev_pop("__number").alias("__spread"), F.first(F.struct(type, rank, percent, bottom)).alias("__rule"))
+    k = F.when(F.col(f"__rule.{percent}"), F.greatest(F.lit(1.0), F.ceil(F.col("__count") * F.col(f"__rule.{rank}") / 100))).otherwise(F.least(F.col(f"__rule.{rank}").cast("double"), F.col("__count").cast("double")))
+    place = F.when(F.coalesce(F.col(f"__rule.{bottom}"), F.lit(False)), k).otherwise(F.col("__count") - k + 1)
+    ordered = rules.where((F.col(f"__rule.{type}") == "top10") & (F.col("__count") > 0)).select(*by, place.cast("long").alias("__place"))
+    # Only ranges of such rules are put in order.
+    limits = _statistics(numbered.join(ordered.select(*by), by, "left_semi"), ordered, by=by, value="__number", place="__place", into="__limit").drop("__place")
+    same = numbered.where(F.col(type).isin("duplicateValues", "uniqueValues") & F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__same"))
+    joined = numbered.join(rules.select(*by, "__mean", "__spread"), by, "left").join(limits, by, "left").join(same, [*by, value], "left")
+    v, t = F.col("__number"), F.col(type)
+    average = F.col("__mean") + F.coalesce(F.col(deviations).cast("double") * F.col("__spread"), F.lit(0.0))
+    above = F.when(on(below), F.when(on(equal), v <= average).otherwise(v < average)).otherwise(F.when(on(equal), v >= average).otherwise(v > average))
+    holds = (
+        F.when(t == "top10", F.when(on(bottom), v <= F.col("__limit")).otherwise(v >= F.col("__limit"))).when(t == "aboveAverage", above)
+        .when(t == "duplicateValues", F.col("__same") > 1).when(t == "uniqueValues", F.col("__same") == 1)
+    )
+    return joined.select(*[F.col(f"`{c}`") for c in hits.columns], _sure(holds).alias(into))
+
+
 def banded(number: Column, every: int, remainder: int) -> Column:
     """MOD(ROW(), every) = remainder, or of COLUMN()."""
     return number % every == remainder

@@ -12,7 +12,7 @@ from gridspark.functions import number_format as nf
 from gridspark.functions.references import letters_column
 from gridspark.functions.values import number, text
 from gridspark.operators import aggregates as agg
-from gridspark.operators import charts, grid, hierarchy, lookup, pivot_filters, sheet
+from gridspark.operators import charts, grid, hierarchy, lookup, pivot_filters, range_criteria, recalculate, rectangles, sheet
 from gridspark.operators import conditional_format as cf
 from gridspark.plans.formula import aggregate_formulas, with_formulas
 from gridspark.plans.rule_expression import Cell, rule_expression
@@ -550,3 +550,114 @@ def control_update(spark, sf_dir):
     k = F.col("s_suppkey").cast("long")
     updates = _t(spark, sf_dir, "supplier").select((k % 5).alias("sheet"), F.floor(k / 40).alias("row"), (F.floor(k / 5) % 8).alias("col"), F.col("s_name").alias("new"))
     return sheet.with_updates(places, updates, by=["sheet"]).select("o_orderkey", "text")
+
+
+#: A sheet for each nation, a row for each of its customers: balances, segments, a text and a number in the first columns.
+_SHEETS = """WITH placed AS (SELECT 'n' || c_nationkey AS sheet, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS row, c_acctbal AS a, c_mktsegment AS b, c_custkey % 7 AS c FROM customer),
+noted AS (SELECT *, row + 1 AS r, regexp_replace(CAST(floor(a * 10 + 0.5) / 10 AS VARCHAR), '\\.0$', '') AS tenth FROM placed)"""
+
+
+def _nation_sheets(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    return _t(spark, sf_dir, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("sheet"), place.alias("row"), F.col("c_acctbal").alias("a"), F.col("c_mktsegment").alias("b"), (F.col("c_custkey") % 7).alias("c"))
+
+
+def _sheet_cells(spark, sf_dir, formulas, cached=None):
+    """Cells of the sheets of nations: values in A to C, then formulas, in which ``#`` stands for the row's number; ``cached`` columns hold a value."""
+    rows, cached = _nation_sheets(spark, sf_dir), cached or {}
+    cell = lambda col, kind, value, formula: F.struct(F.lit(col).alias("col"), F.lit(kind).alias("kind"), value.cast("string").alias("value"), formula.cast("string").alias("formula"))
+    none, number = F.lit(None), (F.col("row") + 1).cast("string")
+    cells = [cell(0, "number", F.col("a"), none), cell(1, "string", F.col("b"), none), cell(2, "number", F.col("c"), none)]
+    cells += [cell(3 + i, "number" if i in cached else "empty", F.lit(cached.get(i, "")), F.replace(F.lit(f), F.lit("#"), number)) for i, f in enumerate(formulas)]
+    return rows.select("sheet", "row", F.explode(F.array(*cells)).alias("cell")).select("sheet", "row", "cell.*")
+
+
+@_query(_SHEETS + """, made AS (
+SELECT sheet, row, 3 AS col, tenth AS value, 'number' AS kind FROM noted
+UNION ALL SELECT sheet, row, 4, CASE WHEN a < 0 THEN 'debt' WHEN c = 0 THEN '#DIV/0!' ELSE b END, CASE WHEN a >= 0 AND c = 0 THEN 'error' ELSE 'string' END FROM noted
+UNION ALL SELECT sheet, row, 5, CAST(sum(c) OVER w AS VARCHAR), 'number' FROM noted WINDOW w AS (PARTITION BY sheet ORDER BY row)
+UNION ALL SELECT sheet, row, 6, CAST(count(*) OVER (PARTITION BY sheet, b ORDER BY row) AS VARCHAR), 'number' FROM noted
+UNION ALL SELECT sheet, row, 7, CAST(first_value(c) OVER (PARTITION BY sheet, b ORDER BY row) AS VARCHAR), 'number' FROM noted
+UNION ALL SELECT sheet, row, 8, CAST(max(c) OVER (PARTITION BY sheet ORDER BY row ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS VARCHAR), 'number' FROM noted QUALIFY row >= 2
+UNION ALL SELECT sheet, row, 9, CAST(coalesce(sum(CASE WHEN c > 3 THEN c END) OVER (PARTITION BY sheet ORDER BY row), 0) AS VARCHAR), 'number' FROM noted
+UNION ALL SELECT sheet, row, 10, '7', 'number' FROM noted
+UNION ALL SELECT sheet, row, 11, '8', 'number' FROM noted
+UNION ALL SELECT sheet, row, 12, '1', 'number' FROM noted)
+SELECT sheet, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, kind, value FROM made""")
+def sheet_recalculation(spark, sf_dir):
+    """One pass: what has a value keeps it, and a formula sees other formulas' cells as they were."""
+    formulas = ["=ROUND(A#,1)", '=IF(A#<0,"debt",IF(C#=0,1/0,B#))', "=SUM(C$1:C#)", "=COUNTIF(B$1:B#,B#)", "=VLOOKUP(B#,$B$1:$C$99999,2)", "=MAX(OFF)", '=SUMIF(C$1:C#,">3")', "=1/0", "=K#+1", "=M#+1"]
+    cells = _sheet_cells(spark, sf_dir, formulas, {7: "7"})
+    third = F.when(F.col("row") >= 2, F.concat(F.lit("=MAX(C"), (F.col("row") - 1).cast("string"), F.lit(":C"), (F.col("row") + 1).cast("string"), F.lit(")")))
+    cells = cells.withColumn("formula", F.when(F.col("col") == 8, third).otherwise(F.col("formula"))).where("NOT (col = 8 AND row < 2)")
+    return recalculate.recalculate(cells).where("col > 2").select("sheet", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "kind", "value")
+
+
+@_query(_SHEETS + """SELECT sheet, CAST(row AS BIGINT) AS row, CAST(c * 2 AS VARCHAR) AS twice, CAST(6 AS VARCHAR) AS next FROM noted""")
+def sheet_recalculation_forced(spark, sf_dir):
+    """``force``: cached values are replaced; the formula beside still sees the cached one."""
+    cells = _sheet_cells(spark, sf_dir, ["=C#*2", "=D#+1"], {0: "5", 1: "9"})
+    out = recalculate.recalculate(cells, force=True).where("col > 2")
+    return out.groupBy("sheet", F.col("row").cast("long").alias("row")).agg(F.max(F.when(F.col("col") == 3, F.col("value"))).alias("twice"), F.max(F.when(F.col("col") == 4, F.col("value"))).alias("next"))
+
+
+@_query("""WITH placed AS (SELECT l_returnflag AS sheet, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS row, l_quantity, l_tax FROM lineitem),
+ranges AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS sheet, p_partkey * 3 % 900 AS low, p_partkey * 3 % 900 + p_size * 40 AS high, p_partkey % 2 AS first, 1 AS last FROM part)
+SELECT id, round(coalesce(sum(CASE WHEN first = 0 THEN l_quantity ELSE 0 END + l_tax), 0), 2) AS total, CAST(count(row) * (last - first + 1) AS DOUBLE) AS n FROM ranges LEFT JOIN placed ON placed.sheet = ranges.sheet AND row BETWEEN low AND high GROUP BY id, first, last""")
+def rectangle_totals(spark, sf_dir):
+    """Sums and counts of a rectangle for each part, over sheets of line items with two columns."""
+    order = Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
+    rows = _t(spark, sf_dir, "lineitem").withColumn("row", F.row_number().over(order) - 1)
+    cells = rows.select(F.col("l_returnflag").alias("sheet"), "row", F.posexplode(F.array("l_quantity", "l_tax")).alias("col", "total")).withColumn("n", F.lit(1.0))
+    key = F.col("p_partkey")
+    ranges = _t(spark, sf_dir, "part").select(key.alias("id"), F.when(key % 3 == 0, "A").when(key % 3 == 1, "N").otherwise("R").alias("sheet"), (key * 3 % 900).alias("row"), (key % 2).alias("col"), (key * 3 % 900 + F.col("p_size") * 40).alias("end_row"), F.lit(1).alias("end_col"))
+    return _rounded(rectangles.rectangle_sums(cells, ranges, ["total", "n"]).select("id", "total", "n"), "total")
+
+
+@_query("""WITH amounts AS (SELECT l_returnflag AS flag, l_quantity AS q, count(*) AS n, sum(l_extendedprice) AS s FROM lineitem GROUP BY ALL),
+asked AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS flag, p_partkey % 7 AS k, p_size AS w FROM part),
+met AS (SELECT id, n, s FROM asked JOIN amounts USING (flag) WHERE CASE k WHEN 0 THEN q = w WHEN 1 THEN q <> w WHEN 2 THEN q < w WHEN 3 THEN q <= w WHEN 4 THEN q > w WHEN 5 THEN q >= w ELSE q = w END)
+SELECT id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n, round(coalesce(sum(s), 0), 2) AS total FROM asked LEFT JOIN met USING (id) GROUP BY id""")
+def criteria_per_row(spark, sf_dir):
+    """A criterion for each part, over the quantities of the line items of a flag."""
+    key = F.col("p_partkey")
+    sign = F.element_at(F.array(*map(F.lit, ("=", "<>", "<", "<=", ">", ">=", ""))), (key % 7 + 1).cast("int"))
+    asked = _t(spark, sf_dir, "part").select(key.alias("id"), F.when(key % 3 == 0, "A").when(key % 3 == 1, "N").otherwise("R").alias("l_returnflag"), F.concat(sign, F.col("p_size").cast("string")).alias("criterion"))
+    out = range_criteria.by_criteria(asked, _t(spark, sf_dir, "lineitem"), by=["l_returnflag"], criterion="criterion", value="l_quantity", summed="l_extendedprice")
+    return _rounded(out.select("id", "n", "total"), "total")
+
+
+@_query("""WITH names AS (SELECT p_size AS size, lower(p_brand) AS brand FROM part),
+asked AS (SELECT s_suppkey AS id, s_suppkey % 50 + 1 AS size, s_suppkey % 6 AS k, 'brand#' || (s_suppkey % 25) AS w FROM supplier),
+met AS (SELECT id FROM asked JOIN names USING (size) WHERE CASE k WHEN 0 THEN brand = w WHEN 1 THEN brand <> w WHEN 2 THEN brand < w WHEN 3 THEN brand <= w WHEN 4 THEN brand > w ELSE brand >= w END)
+SELECT asked.id AS id, count(met.id) AS n FROM asked LEFT JOIN met ON asked.id = met.id GROUP BY asked.id""")
+def criteria_per_row_text(spark, sf_dir):
+    """Criteria that are texts: a brand for each supplier, among the parts of a size."""
+    key = F.col("s_suppkey")
+    sign = F.element_at(F.array(*map(F.lit, ("", "<>", "<", "<=", ">", ">="))), (key % 6 + 1).cast("int"))
+    asked = _t(spark, sf_dir, "supplier").select(key.alias("id"), (key % 50 + 1).alias("p_size"), F.concat(sign, F.lit("Brand#"), (key % 25).cast("string")).alias("criterion"))
+    parts = _t(spark, sf_dir, "part").withColumn("p_size", F.col("p_size").cast("long"))
+    return range_criteria.by_criteria(asked, parts, by=["p_size"], criterion="criterion", value="p_brand").select("id", "n")
+
+
+@_query("""WITH g AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC) AS r, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS b, count(*) OVER (PARTITION BY o_orderpriority) AS n,
+avg(o_totalprice) OVER (PARTITION BY o_orderpriority) + stddev_pop(o_totalprice) OVER (PARTITION BY o_orderpriority) AS t, count(*) OVER (PARTITION BY o_orderpriority, o_totalprice) AS same, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS p FROM orders),
+l AS (SELECT o_orderpriority, min(o_totalprice) FILTER (WHERE r <= greatest(1, ceil(n * 15 / 100.0))) AS high, max(o_totalprice) FILTER (WHERE b <= 25) AS low FROM g GROUP BY 1)
+SELECT o_orderkey, CASE p WHEN 1 THEN o_totalprice >= high WHEN 2 THEN o_totalprice <= low WHEN 3 THEN o_totalprice > t WHEN 4 THEN same > 1 ELSE same = 1 END AS holds FROM g JOIN l USING (o_orderpriority)""")
+def cf_rules_of_ranges(spark, sf_dir):
+    """Rules as rows, one for each range of orders: top 15 %, lowest 25, above average by a deviation, duplicates, unique values."""
+    p = F.substring("o_orderpriority", 1, 1).cast("int")
+    hits = _t(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderpriority", F.col("o_totalprice").alias("value"),
+        F.when(p <= 2, "top10").when(p == 3, "aboveAverage").when(p == 4, "duplicateValues").otherwise("uniqueValues").alias("type"),
+        F.when(p == 1, 15).otherwise(25).alias("rank"), (p == 1).alias("percent"), (p == 2).alias("bottom"), F.lit(False).alias("below"), F.lit(False).alias("equal"), F.when(p == 3, 1.0).alias("deviations"),
+    )
+    return cf.holding_in_range(hits, by=["o_orderpriority"]).select("o_orderkey", "holds")
+
+
+@_query("""WITH t AS (SELECT l_returnflag, min(l_extendedprice) AS t0, quantile_cont(l_extendedprice, 0.5) AS t1, quantile_cont(l_extendedprice, 0.9) AS t2, max(l_extendedprice) AS t3 FROM lineitem GROUP BY 1)
+SELECT l_returnflag, round(t0, 4) AS t0, round(t1, 4) AS t1, round(t2, 4) AS t2, round(t3, 4) AS t3 FROM t""")
+def cf_percentiles_by_range(spark, sf_dir):
+    """Thresholds of ranges that hold a third of all rows each."""
+    stops = [cf.Stop("min"), cf.Stop("percentile", 50), cf.Stop("percentile", 90), cf.Stop("max")]
+    return _rounded(cf.thresholds(_t(spark, sf_dir, "lineitem"), "l_extendedprice", stops, ["l_returnflag"]), "t0", "t1", "t2", "t3", digits=4)
