@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.llm.common import cut
+
 #: Rows of an index block, queries of a query block, tasks that a query block's
 #: search is spread over at most, and bits a component keeps as slices.
 BLOCK_ROWS = 16_384
@@ -156,7 +158,8 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 102
     null or non-finite component (or one whose whole number no bigint holds)
     take no part, nor do null ids; only vectors of equal length are compared.
     A row that repeats another is a candidate as often as it is there, and a
-    query once.  No vectors, no rows; further columns are ignored.  Scores are
+    query once; unlike vectors on one id are queries of their own, each with
+    its own ranks under that id.  No vectors, no rows; further columns are ignored.  Scores are
     exact below 2**63.
     """
     spark = vectors.sparkSession
@@ -188,8 +191,8 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 102
     slots = min(count, SLOTS)
     blocks = ready.repartition(count).mapInPandas(build, schema).withColumn("slot", F.spark_partition_id() % slots)
     part = F.pmod(F.xxhash64("id"), F.lit(query_blocks)).alias("part")
-    asked_rows = ready.where(F.col("id") % every == 0).distinct().select(part, "id", "v", F.size("v").alias("dims"))
-    queries = asked_rows.groupBy("part", "dims").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
+    asked_rows = cut(ready.where(F.col("id") % every == 0).distinct().withColumn("query", F.monotonically_increasing_id())).select(part, "query", "id", "v", F.size("v").alias("dims"))
+    queries = asked_rows.groupBy("part", "dims").agg(F.collect_list(F.struct("query", "id", "v")).alias("queries"))
     queries = queries.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     # A stated query set against all rows, in blocks: every index block meets every query block.
     pairs = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long")))).join(queries, ["slot", "part", "dims"])
@@ -201,9 +204,9 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 102
                 block, out = Block(np.frombuffer(row.ids, np.int64), values), []
                 for q in row.queries:
                     ids, scores = block.top(q["id"], np.array(q["v"], np.int64), k)
-                    out.append(pd.DataFrame({"query_id": q["id"], "vec_id": ids, "score": scores}))
+                    out.append(pd.DataFrame({"query": q["query"], "query_id": q["id"], "vec_id": ids, "score": scores}))
                 yield pd.concat(out)
 
-    found = pairs.select("dims", "width", "ids", "data", "queries").mapInPandas(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.select("dims", "width", "ids", "data", "queries").mapInPandas(search, "query long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

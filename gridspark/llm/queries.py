@@ -165,9 +165,9 @@ unsound AS (SELECT place FROM cells WHERE x IS NULL OR NOT isfinite(x)),
 parts AS (SELECT place, vec_id, dims, i, CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM cells WHERE place NOT IN (SELECT place FROM unsound)),
 asked AS (SELECT * FROM parts WHERE place IN (SELECT min(place) FROM given WHERE vec_id % 100 = 0 GROUP BY vec_id, CAST(embedding AS VARCHAR))),
 scored AS (
-  SELECT q.vec_id AS query_id, c.place, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  SELECT q.place AS query, q.vec_id AS query_id, c.place, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
   FROM asked q JOIN parts c ON q.i = c.i AND q.dims = c.dims AND q.vec_id <> c.vec_id GROUP BY ALL),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 

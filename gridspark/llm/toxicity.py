@@ -1,8 +1,11 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences.  Each sentence has a logistic score of its
-words and word stems; noisy-or joins them: a document is toxic unless every
-sentence is not.  Weights are learned from document labels alone, and the
+A document is a bag of sentences.  Each sentence that has a telling word or
+word stem has a logistic score of them; noisy-or joins them: a document is
+toxic unless every sentence is not, and unless a base chance does not hold,
+which rises with the number of sentences to a level below a half.  Sentences
+that tell nothing add nothing else, so that clean texts stay clean however long
+they are.  Weights are learned from document labels alone, and the
 sentence scores then tell which sentences made a document toxic.
 """
 
@@ -27,8 +30,12 @@ ROWS_PER_CLASS = 2000
 #: share of documents differs between the classes by fewer standard errors.
 LEAST_DOCUMENTS = 4
 LEAST_DIFFERENCE = 3.5
-STEM = 4
+STEM = 6
 ROUNDS = 150
+
+#: Sentences that give half of the slope, and the most log-odds that a text without a feature can have.
+HALF_SLOPE = 200.0
+MOST_LEAK = -0.5
 MEMO_WORDS = 300_000
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -41,13 +48,19 @@ def _features(word: str) -> tuple[str, ...]:
 
 @dataclass
 class Model:
-    """Log-odds of a sentence: bias plus the weights of its distinct features."""
+    """Log-odds of a sentence: bias plus the weights of its distinct features.
+
+    A document without any feature has the log-odds ``leak``, and up to
+    ``slope`` more with the number of its sentences.
+    """
 
     weights: dict[str, float]
     bias: float
+    leak: float = -40.0
+    slope: float = 0.0
 
     def sentence_scores(self, text: str, memo: dict[str, tuple]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-        """Scores of the sentences with any word, and their spans (code points, end exclusive)."""
+        """Scores of the sentences with any feature, and their spans (code points, end exclusive)."""
         scores, spans = [], []
         for m in _SENTENCE.finditer(text):
             words = set(_WORD.findall(m.group().lower()))
@@ -61,11 +74,27 @@ class Model:
                     if f not in counted:
                         counted.add(f)
                         total += x
-            scores.append(total)
-            spans.append((m.start(), m.end()))
+            if counted:
+                scores.append(total)
+                spans.append((m.start(), m.end()))
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        return 1 / (1 + np.exp(-np.clip(np.array(scores), -40, 40))), spans
+        return _sigmoid(np.array(scores)), spans
+
+    def document_score(self, text: str, p: np.ndarray) -> float:
+        """Noisy-or of the sentences and the base chance; 0 for a text without words."""
+        if not _WORD.search(text):
+            return 0.0
+        leak = self.leak + self.slope * _rise(sum(1 for m in _SENTENCE.finditer(text) if _WORD.search(m.group())))
+        return float(1 - (1 - _sigmoid(leak)) * np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
+
+
+def _sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def _rise(sentences):
+    return sentences / (sentences + HALF_SLOPE)
 
 
 def fit(docs: list[list[list[str]]], labels: np.ndarray, weight: np.ndarray) -> Model:
@@ -85,26 +114,32 @@ def fit(docs: list[list[list[str]]], labels: np.ndarray, weight: np.ndarray) ->
     for k, d in enumerate(docs):
         for s in d:
             ids = [index[f] for f in s if f in index]
+            if not ids:
+                continue
             cell += ids
             sentence += [len(owner)] * len(ids)
             owner.append(k)
     cell, sentence, owner = np.array(cell, np.int64), np.array(sentence, np.int64), np.array(owner, np.int64)
-    w, bias = np.zeros(len(index)), -4.0
-    mean, square, mean_b, square_b = np.zeros(len(index)), np.zeros(len(index)), 0.0, 0.0
+    w, both = np.zeros(len(index)), np.array([-4.0, -4.0, 0.0])  # bias, leak and slope
+    mean, square, mean_b, square_b = np.zeros(len(index)), np.zeros(len(index)), np.zeros(3), np.zeros(3)
+    rise = _rise(np.array([len(d) for d in docs]))
     for t in range(1, ROUNDS + 1):
-        z = bias + np.bincount(sentence, weights=w[cell], minlength=len(owner))
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        none = np.exp(-np.bincount(owner, weights=np.logaddexp(0, z), minlength=len(docs)))
+        z = both[0] + np.bincount(sentence, weights=w[cell], minlength=len(owner))
+        p = _sigmoid(z)
+        none = np.exp(-np.bincount(owner, weights=np.logaddexp(0, z), minlength=len(docs)) - np.logaddexp(0, both[1] + both[2] * rise))
         per_doc = np.where(labels == 1, -none / np.maximum(1 - none, 1e-6), 1.0) * weight
         pull = p * per_doc[owner]
         g = np.bincount(cell, weights=pull[sentence], minlength=len(index)) + 0.05 * w
-        gb = pull.sum()
+        leaking = _sigmoid(both[1] + both[2] * rise) * per_doc
+        gb = np.array([pull.sum(), leaking.sum(), (leaking * rise).sum()])
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
         mean_b, square_b = 0.9 * mean_b + 0.1 * gb, 0.99 * square_b + 0.01 * gb * gb
         fix = np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
         w -= 0.1 * fix * mean / (np.sqrt(square) + 1e-8)
-        bias -= 0.05 * fix * mean_b / (np.sqrt(square_b) + 1e-8)
-    return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}, float(bias))
+        both -= 0.05 * fix * mean_b / (np.sqrt(square_b) + 1e-8)
+        both[1] = min(both[1], MOST_LEAK)
+        both[2] = min(both[2], MOST_LEAK - both[1])
+    return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}, *(float(x) for x in both))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = ROWS_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
@@ -151,7 +186,7 @@ def score(docs: DataFrame, model: Model | None, *, offending: float = 0.5, id_co
             whole, found = [], []
             for text in batch.column(1).to_pylist():
                 p, spans = shared.value.sentence_scores(text, memo) if shared.value is not None and text else (np.zeros(0), [])
-                whole.append(float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())))
+                whole.append(shared.value.document_score(text, p) if shared.value is not None and text else 0.0)
                 found.append([{"start": spans[i][0], "end": spans[i][1], "score": float(p[i])} for i in np.flatnonzero(p >= offending)])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.float64()), pa.array(found, kind)], names=["id", "score", "offending"])

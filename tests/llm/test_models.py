@@ -176,6 +176,13 @@ def test_top_k_equals_brute_force(spark):
     assert bit_sliced.top_k(df.where("false")).count() == 0
 
 
+def test_unlike_vectors_on_one_id_are_queries_of_their_own(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (100, [0.0, 1.0])] + [(i, [i / 64, (29 - i) / 64]) for i in range(1, 30)]
+    got = bit_sliced.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(100, r + 1, i, 1024 * 16 * i) for r, i in enumerate(range(29, 19, -1))] + [(100, r + 1, i, 1024 * 16 * (29 - i)) for r, i in enumerate(range(1, 11))]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_top_k_takes_large_components(spark):
     rows = [(0, [0.001, 0.5]), (1, [2.0e15, 1.0]), (2, [-2.0e15, 1.0]), (3, [1.0, 1.0]), (4, [1e30, 0.0])]
     got = bit_sliced.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()
@@ -210,16 +217,17 @@ def test_languages_are_learned_beside_null_ids_and_texts(spark, documents):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.train(docs, labels.where(split_of(F.col("doc_id"), 5) != 0))
     held_out = toxicity.score(docs, model).join(labels.select(F.col("doc_id").alias("id"), "toxic"), "id").where(split_of(F.col("id"), 5) == 0).collect()
     positive, negative = [r.score for r in held_out if r.toxic], [r.score for r in held_out if not r.toxic]
-    assert np.mean([p > n for p in positive for n in negative]) > 0.9
+    assert np.mean([p > n for p in positive for n in negative]) > 0.95
+    assert np.mean([p >= 0.5 for p in positive]) > 0.85 and np.mean([n < 0.5 for n in negative]) > 0.98
 
 
 def test_toxicity_finds_sentences(spark, documents):
     rows = [(i, f"A calm day {i}. The sky is blue.{' You utter gronk here!' if i % 3 == 0 else ''} Nice weather.") for i in range(90)]
-    rows += [(200, None), (201, ""), (202, "..."), (203, "Fine. " * 3000 + "What a gronk. " + "Fine. " * 3000), (203, "x"), (None, "gronk")]
+    rows += [(200, None), (201, ""), (202, "..."), (203, "Fine. " * 3000 + "What a gronk. " + "Fine. " * 3000), (203, "x"), (None, "gronk"), (204, "Fine. " * 3000 + "You utter gronk here! " + "Fine. " * 3000), (205, "Fine. " * 6000)]
     docs = documents(*rows)
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(None, 1), (201, None)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
@@ -230,5 +238,19 @@ def test_toxicity_finds_sentences(spark, documents):
             assert (r.score >= 0.5) == (r.id % 3 == 0)
             assert all("gronk" in dict(rows)[r.id][s.start : s.end] for s in r.offending)
     assert [r.score for r in got if r.id in (200, 201, 202)] == [0, 0, 0]
+    by_id = {r.id: r for r in got if r.id != 203}
+    gronk = max(r.score for r in got if r.id == 203)
+    assert by_id[204].score >= 0.5 and len(by_id[204].offending) == 1
+    assert by_id[205].score < 0.5 and not by_id[205].offending and by_id[205].score < gronk
     assert toxicity.train(docs, labels.where("false")) is None
     assert toxicity.score(docs.where("false"), model).count() == 0
+
+
+def test_clean_texts_of_any_length_stay_clean(spark, documents):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.train(docs, labels.where(split_of(F.col("doc_id"), 5) != 0))
+    plain = "It is a calm day by the sea. "
+    rows = [(n, plain * n) for n in (1, 10, 100, 1000, 10_000)] + [(-1, plain * 10_000 + "You idiot and moron.")]
+    got = {r.id: r for r in toxicity.score(documents(*rows), model).collect()}
+    assert all(got[n].score < 0.5 and not got[n].offending for n, _ in rows if n > 0)
+    assert got[-1].score >= 0.5 and len(got[-1].offending) == 1
