@@ -51,6 +51,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def as_row(df: DataFrame) -> Column:
+    """All columns in one struct, by place: names of theirs can't meet those beside it."""
+    return F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+
+
+def from_row(df: DataFrame, row: str, names: list[str]) -> DataFrame:
+    """The columns that ``as_row`` has put into ``row``, under their names."""
+    return df.select(*[F.col(f"{row}.c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/gridspark/{spark.sparkContext.applicationId}"
 
@@ -60,6 +75,14 @@ def new_path(spark: SparkSession) -> str:
     return f"{_folder(spark)}/{uuid.uuid4().hex}"
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes the table that ``cut`` has written for ``df``: nothing that is still to be computed may read it."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes what this application has cut: results that are still to be computed can't be after that."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))

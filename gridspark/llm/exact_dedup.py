@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import cut, filter_bits
+from gridspark.llm.common import as_row, cut, filter_bits, from_row, quoted
 
 #: White space runs that are not one plain space already; replacing them by a
 #: space equals replacing every run by a space.
@@ -87,7 +87,7 @@ def exact_dedup(
     function of the normal form: texts that share a digest without being equal
     are told apart by their bytes.
     """
-    texts = docs.select(F.col(id_col).alias("id"), normalise(F.col(text_col)).alias("norm")).withColumn("digest", digest(F.col("norm")))
+    texts = docs.select(quoted(id_col).alias("id"), normalise(quoted(text_col)).alias("norm")).withColumn("digest", digest(F.col("norm")))
     manifest = cut(texts.select("id", "digest", F.unhex(F.sha2("norm", 256)).alias("sha256")) if digest is not sha256 else texts.select("id", "digest"))
     if digest is sha256:
         manifest = manifest.withColumn("sha256", F.col("digest"))
@@ -125,9 +125,9 @@ def exact_dedup(
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, columns unchanged, that ``exact_dedup`` keeps: one of each text."""
-    kept = exact_dedup(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha256"))
-    columns = docs.columns
-    keyed = docs.withColumn("__sha256", F.sha2(normalised(F.col(text_col)), 256))
-    same = F.col(id_col).eqNullSafe(F.col("__kept_id")) & (F.col("__sha256") == F.col("__kept_sha256"))
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), as_row(docs).alias("row"))
+    kept = exact_dedup(rows, id_col="id", text_col="text").where("kept").select(F.col("id").alias("kept_id"), F.col("text_sha256").alias("kept_sha256"))
+    keyed = rows.withColumn("sha256", F.sha2(normalised(F.col("text")), 256))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha256") == F.col("kept_sha256"))
     # Repeated rows share id and text; they meet in the join's own partitioning.
-    return keyed.join(kept.hint("shuffle_hash"), same).dropDuplicates([id_col, "__sha256"]).select(*columns)
+    return from_row(keyed.join(kept.hint("shuffle_hash"), same).dropDuplicates(["id", "sha256"]), "row", docs.columns)

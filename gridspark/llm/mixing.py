@@ -14,7 +14,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import WORD, cut
+from gridspark.llm.common import WORD, as_row, cut, from_row, quoted
 
 #: Expected copies are whole numbers of 2**-24: sums are exact, and fit a long up to 10**11 rows a source.
 UNIT_BITS = 24
@@ -69,8 +69,8 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
 
 def _placed(docs: DataFrame, weights: tuple[int, ...], cap: int, seed: int, id_col: str, text_col: str, source_col: str, *, whole: bool = False) -> DataFrame:
     """The rows of ``mix``, with ``whole`` each with the row of ``docs`` it is for, as struct ``row``."""
-    row = [F.struct(*docs.columns).alias("row")] if whole else []
-    sized = cut(docs.select(*row, F.col(id_col).alias("id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("src"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size")))
+    row = [as_row(docs).alias("row"), F.sha2(quoted(text_col), 256).alias("text_sha256")] if whole else []
+    sized = cut(docs.select(*row, quoted(id_col).alias("id"), quoted(source_col).alias("source"), source_key(quoted(source_col)).alias("src"), F.regexp_count(F.coalesce(quoted(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size")))
     aims = targets(sized.groupBy("src").agg(F.sum("size").alias("source_size")), weights=weights, cap=cap)
     # Digits of the id's digest that split the rows of one source and size; more of them change no order.
     digits = max(1, math.ceil(math.log(max(1, sized.count()) / GROUP_ROWS, 16)))
@@ -81,7 +81,7 @@ def _placed(docs: DataFrame, weights: tuple[int, ...], cap: int, seed: int, id_c
     per_size = per_size.select("src", "size", F.coalesce(F.sum("rows").over(Window.partitionBy("src").orderBy("size").rowsBetween(*before)), F.lit(0)).alias("base"))
     cells = cells.withColumn("within", F.coalesce(F.sum("rows").over(Window.partitionBy("src", "size").orderBy("part").rowsBetween(*before)), F.lit(0)))
     cells = cells.join(per_size, ["src", "size"]).join(aims, "src").select("src", "size", "part", "source_size", "target", (F.col("base") + F.col("within")).alias("base"))
-    placed = keyed.withColumn("place", F.row_number().over(Window.partitionBy("src", "size", "part").orderBy("digest", "id", *([F.sha2(F.col("row")[text_col], 256)] if whole else [])))).join(cells, ["src", "size", "part"])
+    placed = keyed.withColumn("place", F.row_number().over(Window.partitionBy("src", "size", "part").orderBy("digest", "id", *(["text_sha256"] if whole else [])))).join(cells, ["src", "size", "part"])
 
     expected = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(F.lit(0)).cast("long")
     offset = F.lit(random.Random(seed).randrange(UNIT)).cast("long")
@@ -93,4 +93,4 @@ def _placed(docs: DataFrame, weights: tuple[int, ...], cap: int, seed: int, id_c
 def repeated(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, columns unchanged, each as often as the mix takes it, whether or not ids repeat."""
     dealt = _placed(docs, weights, cap, seed, id_col, text_col, source_col, whole=True).where("copies > 0")
-    return dealt.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+    return from_row(dealt.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))), "row", docs.columns)

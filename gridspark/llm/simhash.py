@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import cut
+from gridspark.llm.common import as_row, cut, from_row, quoted
 
 BITS = 64
 SEED = 42
@@ -220,12 +220,13 @@ def keep_one(docs: DataFrame, *, radius: int = 3, id_col: str = "doc_id", text_c
     no other), then fingerprint, then digest of the text; ids need not be
     unique.  Of rows that repeat id and text, one.
     """
-    marked = fingerprints(docs, id_col=id_col, text_col=text_col, digests=True)
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), as_row(docs).alias("row"))
+    marked = fingerprints(rows, id_col="id", text_col="text", digests=True)
     order = [F.col("id").isNull().alias("no_id"), F.col("id")]
     distinct = cut(marked.groupBy("fp").agg(F.min(F.struct(*order, F.col("digest"))).alias("best")))
     best = F.struct("best.no_id", "best.id", "fp", "best.digest")
     chosen = _placed(distinct, radius).groupBy("root").agg(F.min(best).alias("best"))
-    kept = chosen.select(F.col("best.id").alias("__kept_id"), F.col("best.digest").alias("__kept_digest"))
-    keyed = docs.withColumn("__digest", _text_digest(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest"))
-    return keyed.join(kept.hint("shuffle_hash"), same).dropDuplicates([id_col, "__digest"]).select(*docs.columns)
+    kept = chosen.select(F.col("best.id").alias("kept_id"), F.col("best.digest").alias("kept_digest"))
+    keyed = rows.withColumn("digest", _text_digest(F.col("text")))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))
+    return from_row(keyed.join(kept.hint("shuffle_hash"), same).dropDuplicates(["id", "digest"]), "row", docs.columns)

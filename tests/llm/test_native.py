@@ -3,9 +3,11 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from gridspark.llm import chat_format, exact_dedup, mixing, secret_scan
+import corpus_pipeline
+from gridspark.llm import chat_format, exact_dedup, line_dedup, mixing, secret_scan, simhash
 
 PLAIN = (
     ("assign", re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8),
@@ -150,3 +152,17 @@ def test_chat_round_trip(spark):
         assert "".join(re.sub(r"<\\(\\*)\|", r"<\1|", r.formatted[s.start : s.end]) for s in r.loss_spans) == r.loss_text
         assert len(re.findall(r"<\|im_(?:start|end)\|>", r.formatted)) == 2 * len(source)
     assert chat_format.chat_format(df.where("false")).count() == 0
+
+
+NAMES = ("a.b", "__sha256", "__digest", "__id", "__kept_id", "__kept_sha256", "__lines", "__text", "__language", "row", "sha256", "lines", "kept_id", "a`b")
+
+
+@pytest.mark.parametrize("stage", ["exact", "near", "mix", "lines", "language"])
+def test_columns_of_any_name_stay(spark, documents, stage):
+    docs = documents((1, "the house by the sea", "en", "x"), (2, "the house  by the sea", "en", "x"), (3, "der hund und das haus", "de", "y"), (4, "one line\nthe same line of words here\nthe same line of words here", "en", "y"))
+    for n in NAMES:
+        docs = docs.withColumn(n, F.lit(f"own {n}"))
+    made = {"exact": exact_dedup.keep_one, "near": simhash.keep_one, "mix": mixing.repeated, "lines": line_dedup.without_lines, "language": lambda d: corpus_pipeline.identify_language(spark, d, "")}[stage](docs)
+    assert made.columns == docs.columns
+    rows = made.collect()
+    assert rows and all(r[n] == f"own {n}" for r in rows for n in NAMES)
