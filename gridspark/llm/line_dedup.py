@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import cut, filter_bits
+from gridspark.llm.common import as_row, cut, filter_bits, quoted
 
 #: Similarity at which lines match, as a fraction: exact in integers.
 THRESHOLD = (4, 5)
@@ -459,7 +459,7 @@ def _heavy(postings: DataFrame, count: Column, threshold: tuple[int, int], most_
     large = cut(common.groupBy("key").agg(count.alias("rows")).where(F.col("rows") > most_rows))
     if large.isEmpty():
         return large.select("key", F.lit(0).alias("n"), F.lit(0).cast("long").alias("blocks"), F.lit(0).alias("most"))
-    sizes = cut(common.join(F.broadcast(large), "key").groupBy("key", "n").agg(F.min("p").alias("p"), F.ceil(F.max("rows") / most_rows).alias("blocks")))
+    sizes = cut(common.join(large, "key").groupBy("key", "n").agg(F.min("p").alias("p"), F.ceil(F.max("rows") / most_rows).alias("blocks")))
     other = sizes.select("key", F.col("n").alias("m"), F.col("p").alias("q"))
     need = F.ceil(num * (F.col("n") + F.col("m")) / (num + den))
     meets = (den * F.least("n", "m") >= num * F.greatest("n", "m")) & (F.col("m") - F.col("q") >= need)
@@ -480,14 +480,14 @@ _POSTING = ["id", "line", "parity", "marks", "n", "p"]
 
 def _parted(postings: DataFrame, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Postings of lists that stay whole, and those of split ones (with blocks) that can match anything."""
-    joined = postings.join(F.broadcast(heavy), ["key", "n"], "left")
+    joined = postings.join(heavy, ["key", "n"], "left")
     return joined.where("blocks IS NULL").select(postings.columns), joined.where("p <= most").drop("most")
 
 
 def _cells(split: DataFrame, most_rows: int) -> DataFrame:
     """Postings of split lists, those that are open against all: each cell has one block of all and one of the open ones."""
     opened = split.where("open").groupBy("key").agg(F.ceil(F.count("*") / most_rows).alias("groups"))
-    sized = split.join(F.broadcast(opened), "key")
+    sized = split.join(opened, "key")
     first, until = F.lit(0).cast("long"), lambda c: F.col(c) - 1
     early = sized.withColumn("g", F.explode(F.sequence(first, until("groups")))).select(_cell(_block(F.col("blocks")), F.col("g")), *_POSTING, F.lit(EARLIER).cast("byte").alias("open"))
     late = sized.where("open").withColumn("b", F.explode(F.sequence(first, until("blocks")))).select(_cell(F.col("b"), _block(F.col("groups"), 1)), *_POSTING, F.lit(LATER).cast("byte").alias("open"))
@@ -631,7 +631,9 @@ def line_dedup(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, id_co
 
 def without_lines(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, columns unchanged, with the removed lines cut out of the texts."""
-    per_doc = removed_lines(docs, threshold=threshold, id_col=id_col, text_col=text_col).where("removed").groupBy(F.col("id").alias("__id")).agg(F.collect_set("line").alias("__lines"))
-    joined = docs.join(per_doc, F.col(id_col) == F.col("__id"), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains("__lines", i)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), as_row(docs).alias("row"))
+    per_doc = removed_lines(rows, threshold=threshold, id_col="id", text_col="text").where("removed").groupBy("id").agg(F.collect_set("line").alias("lines"))
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("lines", i)), "\n")
+    text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(kept)
+    joined = rows.join(per_doc, "id", "left").withColumn("text", text)
+    return joined.select(*[(F.col("text") if c == text_col else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
