@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.llm import byte_bpe, exact_dedup, language_id, mixing, simhash
-from gridspark.llm.common import cut, split_of, table
+from gridspark.llm.common import as_row, cut, from_row, split_of, table
 from gridspark.llm.queries import _ranks
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,7 +22,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go: no letter, or unlike every language learned."""
     model = language_id.train(docs.where(split_of(F.col("doc_id"), 4) != 2))
-    return language_id.identify(docs, model, keep=docs.columns).where("__language.accepted").select(*docs.columns)
+    rows = docs.select(as_row(docs).alias("row"), "doc_id", "text")
+    return from_row(language_id.identify(rows, model, keep=["row"]).where("__language.accepted"), "row", docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
