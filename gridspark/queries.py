@@ -12,7 +12,7 @@ from gridspark.functions import number_format as nf
 from gridspark.functions.references import letters_column
 from gridspark.functions.values import number, text
 from gridspark.operators import aggregates as agg
-from gridspark.operators import charts, grid, hierarchy, lookup, pivot_filters, range_criteria, recalculate, rectangles, sheet
+from gridspark.operators import charts, grid, hierarchy, lookup, outline, pivot_filters, range_criteria, recalculate, rectangles, sheet
 from gridspark.operators import conditional_format as cf
 from gridspark.plans.formula import aggregate_formulas, with_formulas
 from gridspark.plans.rule_expression import Cell, rule_expression
@@ -661,3 +661,28 @@ def cf_percentiles_by_range(spark, sf_dir):
     """Thresholds of ranges that hold a third of all rows each."""
     stops = [cf.Stop("min"), cf.Stop("percentile", 50), cf.Stop("percentile", 90), cf.Stop("max")]
     return _rounded(cf.thresholds(_t(spark, sf_dir, "lineitem"), "l_extendedprice", stops, ["l_returnflag"]), "t0", "t1", "t2", "t3", digits=4)
+
+
+_OUTLINE = """WITH placed AS (SELECT l_returnflag AS sheet, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS row, l_linenumber - 1 AS level, l_linenumber = 1 AND l_quantity > 40 AS collapsed FROM lineitem),
+deep AS (SELECT sheet, row, collapsed, unnest(range(1, level + 1)) AS level FROM placed),
+runs AS (SELECT *, row - row_number() OVER (PARTITION BY sheet, level ORDER BY row) AS island FROM deep),
+found AS (SELECT sheet, level, min(row) AS first_row, max(row) AS last_row FROM runs GROUP BY sheet, level, island),
+shut AS (SELECT found.*, coalesce(placed.collapsed, false) AS collapsed FROM found LEFT JOIN placed ON placed.sheet = found.sheet AND placed.row = found.last_row + 1)
+"""
+
+
+def _outline_rows(spark, sf_dir):
+    order = Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
+    level = F.col("l_linenumber") - 1
+    return _t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("sheet"), F.row_number().over(order).alias("row"), level.alias("level"), ((level == 0) & (F.col("l_quantity") > 40)).alias("collapsed"))
+
+
+@_query(_OUTLINE + "SELECT sheet, CAST(level AS INTEGER) AS level, first_row, last_row, collapsed FROM shut")
+def outline_groups(spark, sf_dir):
+    """Nested groups of rows from their levels, over sheets of line items."""
+    return outline.groups(_outline_rows(spark, sf_dir))
+
+
+@_query(_OUTLINE + """SELECT sheet, row, level, EXISTS (SELECT 1 FROM shut WHERE shut.sheet = placed.sheet AND shut.collapsed AND row BETWEEN first_row AND last_row) AS hidden FROM placed""")
+def outline_hidden_rows(spark, sf_dir):
+    return outline.with_hidden(_outline_rows(spark, sf_dir)).select("sheet", F.col("row").cast("long").alias("row"), "level", "hidden")

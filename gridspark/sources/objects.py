@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.sources.compound import streams_of
-from gridspark.sources.xlsx import Workbooks, _bounds, _read
+from gridspark.sources.xlsx import DAMAGED, Workbooks, _bounds, _read, damage
 
 #: An embedded file or picture beyond this size is reported, not returned.
 MOST_MEDIA = 32 << 20
@@ -104,19 +104,25 @@ def content_types(books: Workbooks) -> DataFrame:
 
 
 def binaries(spark: SparkSession, path: str, wanted: str = r"(^|/)(media|embeddings)/[^/]+$") -> DataFrame:
-    """(workbook, part, type, data, error): pictures and embedded files; one beyond MOST_MEDIA has error ``too large`` and no data."""
+    """(workbook, part, type, data, error): pictures and embedded files; one beyond MOST_MEDIA has error ``too large`` and no data, a damaged or encrypted one says so."""
     pattern = re.compile(wanted)
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for workbook, data in zip(batch["path"], batch["content"], strict=True):
-                if not zipfile.is_zipfile(io.BytesIO(data)):
+                try:
+                    package = zipfile.ZipFile(io.BytesIO(data))
+                except DAMAGED:  # ``xlsx.parts`` has a row for it
                     continue
-                with zipfile.ZipFile(io.BytesIO(data)) as package:
+                with package:
                     for entry in package.infolist():
                         if pattern.search(entry.filename):
-                            fits = entry.file_size <= MOST_MEDIA
-                            yield pd.DataFrame({"workbook": [workbook], "part": [entry.filename], "data": [package.read(entry) if fits else None], "error": [None if fits else "too large"]})
+                            content, error = None, "too large" if entry.file_size > MOST_MEDIA else None
+                            try:
+                                content = None if error else package.read(entry)
+                            except DAMAGED as e:
+                                error = damage(e)
+                            yield pd.DataFrame({"workbook": [workbook], "part": [entry.filename], "data": [content], "error": [error]})
 
     found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "workbook string, part string, data binary, error string")
     kinds = F.create_map(*[F.lit(x) for pair in MEDIA.items() for x in pair])

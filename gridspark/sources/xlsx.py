@@ -11,6 +11,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,8 +49,16 @@ CHARTS = {"barChart": "bar", "lineChart": "line", "pieChart": "pie", "doughnutCh
 _CHART = "chart struct<plotArea:struct<" + ",".join(f"{name}:struct<barDir:struct<_val:string>,grouping:struct<_val:string>,{_SERIES}>" for name in CHARTS) + ">>"
 
 
+#: What reading a member raises where it is damaged, encrypted or compressed in an unknown way.
+DAMAGED = (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, OSError, ValueError)
+
+
+def damage(e: Exception) -> str:
+    return "encrypted" if isinstance(e, RuntimeError) and not isinstance(e, NotImplementedError) else "damaged"
+
+
 def parts(spark: SparkSession, path: str, wanted: str = r"\.(xml|rels)$") -> DataFrame:
-    """(workbook, part, content) of the parts whose name matches; an encrypted or broken file has one row with ``error``.
+    """(workbook, part, content) of the parts whose name matches; an encrypted or broken file has one row with ``error``, and so has a damaged member.
 
     A file is unpacked in one task, part by part; a DOCTYPE is refused.
     """
@@ -72,9 +81,13 @@ def parts(spark: SparkSession, path: str, wanted: str = r"\.(xml|rels)$") -> Dat
                                 if entry.file_size > MOST_BYTES:
                                     yield row(workbook, entry.filename, None, "too large")
                                     continue
-                                content = package.read(entry).decode("utf-8-sig", "replace")
+                                try:
+                                    content = package.read(entry).decode("utf-8-sig", "replace")
+                                except DAMAGED as e:
+                                    yield row(workbook, entry.filename, None, damage(e))
+                                    continue
                                 yield row(workbook, entry.filename, None if "<!DOCTYPE" in content[:1000] else content, "doctype" if "<!DOCTYPE" in content[:1000] else None)
-                except zipfile.BadZipFile:
+                except DAMAGED:
                     yield row(workbook, None, None, "not a package")
 
     return files.mapInPandas(unpack, "workbook string, part string, content string, error string")
@@ -114,7 +127,7 @@ class Workbooks:
         book = _read(self.parts, r"^xl/workbook\.xml$", _BOOK)
         named = book.select("workbook", F.coalesce(F.col("x.workbookPr._date1904").isin("1", "true"), F.lit(False)).alias("date1904"), F.posexplode("x.sheets.sheet").alias("sheet_index", "s"))
         targets = _read(self.parts, r"^xl/_rels/workbook\.xml\.rels$", _RELATIONS).select("workbook", F.explode("x.Relationship").alias("r"))
-        targets = targets.select("workbook", F.col("r._Id").alias("id"), F.when(F.col("r._Target").startswith("/"), F.substring("r._Target", 2, 10_000)).otherwise(F.concat(F.lit("xl/"), F.regexp_replace("r._Target", r"^\./", ""))).alias("part"))
+        targets = targets.select("workbook", F.col("r._Id").alias("id"), F.when(F.col("r._Target").startswith("/"), F.substr("r._Target", F.lit(2))).otherwise(F.concat(F.lit("xl/"), F.regexp_replace("r._Target", r"^\./", ""))).alias("part"))
         joined = named.withColumn("id", F.col("s._id")).join(targets, ["workbook", "id"], "left")
         fallback = F.concat(F.lit("xl/worksheets/sheet"), (F.col("sheet_index") + 1).cast("string"), F.lit(".xml"))
         return joined.select("workbook", "sheet_index", F.col("s._name").alias("sheet"), F.coalesce("s._state", F.lit("visible")).alias("state"), F.coalesce("part", fallback).alias("part"), "date1904")
@@ -193,7 +206,7 @@ class Workbooks:
         target = F.concat(F.regexp_replace("source", r"[^/]*$", ""), F.regexp_replace("r._Target", r"^\./", ""))
         for _ in range(6):  # no part lies deeper
             target = F.regexp_replace(target, r"[^/]+/\.\./", "")
-        target = F.when(F.col("r._Target").startswith("/"), F.substring("r._Target", 2, 10_000)).when(F.col("r._Target").contains("://"), F.col("r._Target")).otherwise(target)
+        target = F.when(F.col("r._Target").startswith("/"), F.substr("r._Target", F.lit(2))).when(F.col("r._Target").contains("://"), F.col("r._Target")).otherwise(target)
         return found.select("workbook", "source", F.col("r._Id").alias("id"), F.regexp_extract("r._Type", "([^/]*)$", 1).alias("type"), target.alias("target"), F.col("r._Target").alias("written"))
 
     def _of_sheets(self, found: DataFrame) -> DataFrame:

@@ -86,3 +86,26 @@ def test_styles(spark):
     assert [one(styles.font_family(F.lit(x))) for x in (" Times New Roman ", "Arial; x", "")] == ['"Times New Roman"', None, None]
     assert one(nf.format_code(F.lit(1.0), "[Color 3]0")[1]) == "#ff0000" and one(styles.emu_to_pixels(F.lit(19050))) == 2
     assert [one(grid.safe_link(F.lit(x))) for x in ("https://a", "javascript:x", "java\tscript:x", "tel:1", "a/b:c", "#x", "", None, "file:///x")] == [True, False, False, True, True, True, True, True, False]
+
+
+def test_damaged_members_have_a_row_each(spark, tmp_path):
+    from gridspark.sources import objects
+
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, xml in PARTS.items():
+            z.writestr(name, xml)
+        z.writestr("xl/media/image1.png", b"pixels" * 400)
+    raw = bytearray(data.getvalue())
+    with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
+        for name in ("xl/comments1.xml", "xl/media/image1.png"):
+            entry = z.getinfo(name)
+            at = entry.header_offset + 30 + len(entry.filename)
+            raw[at : at + entry.compress_size] = b"\xff" * entry.compress_size
+    (tmp_path / "a.xlsx").write_bytes(bytes(raw))
+    (tmp_path / "b.xlsx").write_bytes(b"PK\x03\x04 cut short")
+    books = Workbooks(spark, str(tmp_path))
+    errors = {(r.workbook.rsplit("/", 1)[1], r.part, r.error) for r in books.errors().collect()}
+    assert errors == {("a.xlsx", "xl/comments1.xml", "damaged"), ("b.xlsx", None, "not a package")}
+    assert books.sheets().count() == 1
+    assert [(r.part, r.data, r.error) for r in objects.binaries(spark, str(tmp_path)).collect()] == [("xl/media/image1.png", None, "damaged")]
