@@ -25,7 +25,7 @@ from gridspark.operators import grid
 MOST_BYTES = 512 << 20
 
 _CELL = "struct<_r:string,_t:string,_s:int,v:string,f:string,is:struct<t:string,r:array<struct<t:string>>>>"
-_SHEET = f"sheetData struct<row:array<struct<_r:int,_hidden:string,_ht:double,c:array<{_CELL}>>>>, mergeCells struct<mergeCell:array<struct<_ref:string>>>, cols struct<col:array<struct<_min:int,_max:int,_width:double,_hidden:string>>>, autoFilter struct<_ref:string>, dataValidations struct<dataValidation:array<struct<_type:string,_sqref:string,formula1:string>>>, "
+_SHEET = f"sheetPr struct<outlinePr:struct<_summaryBelow:string,_summaryRight:string>>, sheetFormatPr struct<_outlineLevelRow:int,_outlineLevelCol:int>, sheetData struct<row:array<struct<_r:int,_hidden:string,_ht:double,_outlineLevel:int,_collapsed:string,c:array<{_CELL}>>>>, mergeCells struct<mergeCell:array<struct<_ref:string>>>, cols struct<col:array<struct<_min:int,_max:int,_width:double,_hidden:string>>>, autoFilter struct<_ref:string>, dataValidations struct<dataValidation:array<struct<_type:string,_sqref:string,formula1:string>>>, "
 _SHEET += "hyperlinks struct<hyperlink:array<struct<_ref:string,_id:string,_location:string,_tooltip:string,_display:string>>>, sheetViews struct<sheetView:array<struct<_showGridLines:string,_zoomScale:int,_rightToLeft:string,pane:struct<_state:string,_xSplit:double,_ySplit:double>>>>, "
 _SHEET += "rowBreaks struct<brk:array<struct<_id:int>>>, colBreaks struct<brk:array<struct<_id:int>>>, sheetProtection struct<_sheet:string>, headerFooter struct<oddHeader:string,oddFooter:string>"
 _STRINGS = "si array<struct<t:string,r:array<struct<t:string>>>>"
@@ -169,6 +169,28 @@ class Workbooks:
         found = self._sheet_parts().select("workbook", "sheet_index", "sheet", F.explode(each).alias("m"))
         return found.select("workbook", "sheet_index", "sheet", *_bounds(F.col(f"m.{ref}")), *more)
 
+    def rows(self) -> DataFrame:
+        """(workbook, sheet_index, sheet, row, height, hidden, level, collapsed) of the rows that are written, 0-based; heights in points, null where usual."""
+        on = lambda c: F.coalesce(c.isin("1", "true"), F.lit(False))
+        found = self._sheet_parts().select("workbook", "sheet_index", "sheet", F.posexplode("x.sheetData.row").alias("p", "r"))
+        return found.select("workbook", "sheet_index", "sheet", (F.coalesce("r._r", F.col("p") + 1) - 1).alias("row"), F.col("r._ht").alias("height"), on(F.col("r._hidden")).alias("hidden"), F.coalesce("r._outlineLevel", F.lit(0)).alias("level"), on(F.col("r._collapsed")).alias("collapsed"))
+
+    def outlines(self) -> DataFrame:
+        """(workbook, sheet_index, sheet, max_row_level, max_col_level, summary_below, summary_right); with ``rows`` the input of ``outline.groups``."""
+        on = lambda c: ~F.coalesce(c.isin("0", "false"), F.lit(False))
+        most = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))
+        form, shown = F.col("x.sheetFormatPr"), F.col("x.sheetPr.outlinePr")
+        return self._sheet_parts().select("workbook", "sheet_index", "sheet", most(form["_outlineLevelRow"]).alias("max_row_level"), most(form["_outlineLevelCol"]).alias("max_col_level"), on(shown["_summaryBelow"]).alias("summary_below"), on(shown["_summaryRight"]).alias("summary_right"))
+
+    def recalculated(self, *, force: bool = False) -> DataFrame:
+        """``cells`` with the values that their formulas have (see ``recalculate``): those without a cached one, or with ``force`` all."""
+        from gridspark.operators.recalculate import recalculate
+
+        cells = self.cells()
+        own = F.concat_ws("|", "workbook", F.col("sheet_index").cast("string"))
+        done = recalculate(cells.withColumnRenamed("sheet", "name").withColumn("sheet", own), force=force)
+        return done.drop("sheet").withColumnRenamed("name", "sheet").select(*cells.columns)
+
     def merges(self) -> DataFrame:
         return self._ranges(F.col("x.mergeCells.mergeCell"), "_ref")
 

@@ -109,3 +109,26 @@ def test_damaged_members_have_a_row_each(spark, tmp_path):
     assert errors == {("a.xlsx", "xl/comments1.xml", "damaged"), ("b.xlsx", None, "not a package")}
     assert books.sheets().count() == 1
     assert [(r.part, r.data, r.error) for r in objects.binaries(spark, str(tmp_path)).collect()] == [("xl/media/image1.png", None, "damaged")]
+
+
+def test_rows_outlines_and_formulas_of_a_package(spark, tmp_path):
+    from gridspark.operators import outline
+
+    row = lambda n, level, cells="", more="": f'<row r="{n}" outlineLevel="{level}"{more}>{cells}</row>'
+    number = lambda ref, v: f'<c r="{ref}"><v>{v}</v></c>'
+    body = row(1, 1, number("A1", 4)) + row(2, 2, number("A2", 6.5), ' hidden="1" ht="21"') + row(3, 1, number("A3", -2)) + row(4, 0, '<c r="A4"><f>SUM(A1:A3)</f></c><c r="B4"><f>IF(A1&gt;3,A1*2,"low")</f><v>1</v></c>', ' collapsed="1"')
+    sheet = f'<worksheet {M}><sheetPr><outlinePr summaryRight="0"/></sheetPr><sheetFormatPr outlineLevelRow="2"/><sheetData>{body}</sheetData></worksheet>'
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for name in ("xl/workbook.xml", "xl/_rels/workbook.xml.rels"):
+            z.writestr(name, PARTS[name])
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+    (tmp_path / "o.xlsx").write_bytes(data.getvalue())
+    books = Workbooks(spark, str(tmp_path))
+    assert [tuple(r)[3:] for r in books.rows().orderBy("row").collect()] == [(0, None, False, 1, False), (1, 21.0, True, 2, False), (2, None, False, 1, False), (3, None, False, 0, True)]
+    assert [tuple(r)[3:] for r in books.outlines().collect()] == [(2, 0, True, False)]
+    assert sorted(tuple(r)[1:] for r in outline.groups(books.rows(), by="sheet").collect()) == [(1, 0, 2, True), (2, 1, 1, False)]
+    assert [r.hidden for r in outline.with_hidden(books.rows().drop("hidden")).orderBy("row").collect()] == [True, True, True, False]
+    values = lambda df: {(r.row, r.col): (r.value, r.kind) for r in df.collect()}
+    assert values(books.recalculated())[3, 0] == ("8.5", "number") and values(books.recalculated())[3, 1][0] == "1"
+    assert values(books.recalculated(force=True))[3, 1] == ("8", "number")
