@@ -360,18 +360,19 @@ _ASK = f"struct<call:int,name:string,area:int,other:int,first:{_CELL_KIND},secon
 
 
 def _range_states(areas: DataFrame, known: DataFrame) -> DataFrame:
-    """(key, area, state) of areas (key, area, r1, c1, r2, c2, whether their cells are wanted and not only sums)."""
+    """(key, area, state) of areas (key, area, r1, c1, r2, c2, whether their cells are wanted and not only sums, and their texts)."""
     layered = known.select(*_KEY, F.coalesce(_numeric(F.col("v")), F.lit(0.0)).alias("num"), _numeric(F.col("v")).isNotNull().cast("double").alias("n"), (F.col("v.kind") == "number").cast("double").alias("numbers"), (F.col("v.kind").isin("number", "boolean") | ((F.col("v.kind") == "text") & (F.col("v.txt") != ""))).cast("double").alias("filled"), (F.col("v.kind") == "error").cast("double").alias("bad"))
-    rects = areas.select(F.col("sheet"), F.col("r1").alias("row"), F.col("c1").alias("col"), F.col("r2").alias("end_row"), F.col("c2").alias("end_col"), "wanted").groupBy("sheet", "row", "col", "end_row", "end_col").agg(F.max("wanted").alias("wanted"))
+    rects = areas.select(F.col("sheet"), F.col("r1").alias("row"), F.col("c1").alias("col"), F.col("r2").alias("end_row"), F.col("c2").alias("end_col"), "wanted", "texts").groupBy("sheet", "row", "col", "end_row", "end_col").agg(F.max("wanted").alias("wanted"), F.max("texts").alias("texts"))
     sums = rectangle_sums(layered, rects, _LAYERS)
     # The cells of a range themselves: where their order or extremes count, and for the code of an error.
-    open_ = sums.where("wanted OR bad > 0").select("sheet", "row", "col", "end_row", "end_col")
+    open_ = sums.where("wanted OR bad > 0").select("sheet", "row", "col", "end_row", "end_col", "texts")
     striped = open_.withColumn("stripe", F.explode(F.sequence(F.floor(F.col("row") / STRIPE), F.floor(F.col("end_row") / STRIPE))))
     cells = known.select("sheet", F.col("row").alias("r"), F.col("col").alias("c"), "v", F.floor(F.col("row") / STRIPE).alias("stripe"))
     inside = striped.join(cells, ["sheet", "stripe"]).where("r BETWEEN row AND end_row AND c BETWEEN col AND end_col")
     v, place = F.col("v"), F.struct("r", "c")
     box = ["sheet", "row", "col", "end_row", "end_col"]
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "c", _shown(v).alias("t")))), lambda x: x["t"]), "")
+    # Only CONCAT needs a range's texts together: they are one cell's text in the end.
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("texts"), F.struct("r", "c", _shown(v).alias("t"))))), lambda x: x["t"]), "")
     more = inside.groupBy(*box).agg(
         F.min(_numeric(v)).alias("least"), F.max(_numeric(v)).alias("greatest"), F.bool_and(_truth(v)).alias("every"), F.bool_or(_truth(v)).alias("some"),
         texts.alias("text"), F.min_by(v["txt"], F.when(v["kind"] == "error", place)).alias("error"),
@@ -475,10 +476,11 @@ def recalculate(cells: DataFrame, *, force: bool = False) -> DataFrame:
     wanted = {}
     for (text, _), m in made.items():
         for i, uses in (m.uses if m else {}).items():
-            wanted[text, i] = wanted.get((text, i), False) or uses != {"sums"}
+            cells_too, texts = wanted.get((text, i), (False, False))
+            wanted[text, i] = cells_too or uses != {"sums"}, texts or "text" in uses
     if wanted:
-        uses = spark.createDataFrame([(t, i, w) for (t, i), w in wanted.items()], "shape string, area int, wanted boolean")
-        used = ready.select(*_KEY, "shape", F.posexplode("boxes").alias("area", "box")).join(uses, ["shape", "area"]).select(*_KEY, "area", "box.*", "wanted")
+        uses = spark.createDataFrame([(t, i, *w) for (t, i), w in wanted.items()], "shape string, area int, wanted boolean, texts boolean")
+        used = ready.select(*_KEY, "shape", F.posexplode("boxes").alias("area", "box")).join(uses, ["shape", "area"]).select(*_KEY, "area", "box.*", "wanted", "texts")
         states = _range_states(used, known)
         filled = states.groupBy(*_KEY).agg(F.map_from_entries(F.collect_list(F.struct("area", "state"))).alias("states"))
         ready = ready.join(filled, _KEY, "left")
