@@ -45,7 +45,7 @@ def tokens(rows):
 
 
 def lines(rows):
-    removed = plain_removed(rows)
+    removed = plain_removed(list(dict.fromkeys(rows)))  # repeated rows share their lines
     out = []
     for i, t in rows:
         gone = sorted(removed.get(i, ())) if i is not None else []
