@@ -39,6 +39,11 @@ _SUMS = ("SUM", "AVERAGE", "COUNT", "COUNTA")
 _CALLS = ("SUMIF", "COUNTIF", "VLOOKUP")
 _LAYERS = ["num", "n", "numbers", "filled", "bad"]
 
+#: Sums of a summed-area table are differences of large ones: they are exact for numbers of so many ten-thousandths,
+#: up to this sum over a sheet.  Other numbers are added up from the cells of their range.
+UNIT = 10_000.0
+EXACT = float(1 << 53)
+
 
 def typed(kind: Column, value: Column) -> Column:
     """A cell as struct(kind, num, txt, flag); kinds are empty, number, text, boolean and error."""
@@ -361,11 +366,16 @@ _ASK = f"struct<call:int,name:string,area:int,other:int,first:{_CELL_KIND},secon
 
 def _range_states(areas: DataFrame, known: DataFrame) -> DataFrame:
     """(key, area, state) of areas (key, area, r1, c1, r2, c2, whether their cells are wanted and not only sums, and their texts)."""
-    layered = known.select(*_KEY, F.coalesce(_numeric(F.col("v")), F.lit(0.0)).alias("num"), _numeric(F.col("v")).isNotNull().cast("double").alias("n"), (F.col("v.kind") == "number").cast("double").alias("numbers"), (F.col("v.kind").isin("number", "boolean") | ((F.col("v.kind") == "text") & (F.col("v.txt") != ""))).cast("double").alias("filled"), (F.col("v.kind") == "error").cast("double").alias("bad"))
+    number = F.coalesce(_numeric(F.col("v")), F.lit(0.0))
+    units = F.floor(number * UNIT + 0.5).cast("double")
+    whole = (F.abs(number) < EXACT / UNIT / UNIT) & (units / UNIT == number)
+    layered = known.select(*_KEY, F.when(whole, units).otherwise(0.0).alias("num"), (~whole).cast("double").alias("odd"), _numeric(F.col("v")).isNotNull().cast("double").alias("n"), (F.col("v.kind") == "number").cast("double").alias("numbers"), (F.col("v.kind").isin("number", "boolean") | ((F.col("v.kind") == "text") & (F.col("v.txt") != ""))).cast("double").alias("filled"), (F.col("v.kind") == "error").cast("double").alias("bad"))
     rects = areas.select(F.col("sheet"), F.col("r1").alias("row"), F.col("c1").alias("col"), F.col("r2").alias("end_row"), F.col("c2").alias("end_col"), "wanted", "texts").groupBy("sheet", "row", "col", "end_row", "end_col").agg(F.max("wanted").alias("wanted"), F.max("texts").alias("texts"))
-    sums = rectangle_sums(layered, rects, _LAYERS)
+    sheets = layered.groupBy("sheet").agg(F.sum(F.abs("num")).alias("most"))
+    sums = rectangle_sums(layered, rects, [*_LAYERS, "odd"]).join(sheets, "sheet", "left")
+    sums = sums.withColumn("apart", (F.col("odd") > 0) | F.coalesce(F.col("most") >= EXACT, F.lit(False))).drop("most", "odd")
     # The cells of a range themselves: where their order or extremes count, and for the code of an error.
-    open_ = sums.where("wanted OR bad > 0").select("sheet", "row", "col", "end_row", "end_col", "texts")
+    open_ = sums.where("wanted OR apart OR bad > 0").select("sheet", "row", "col", "end_row", "end_col", "texts")
     striped = open_.withColumn("stripe", F.explode(F.sequence(F.floor(F.col("row") / STRIPE), F.floor(F.col("end_row") / STRIPE))))
     cells = known.select("sheet", F.col("row").alias("r"), F.col("col").alias("c"), "v", F.floor(F.col("row") / STRIPE).alias("stripe"))
     inside = striped.join(cells, ["sheet", "stripe"]).where("r BETWEEN row AND end_row AND c BETWEEN col AND end_col")
@@ -374,10 +384,11 @@ def _range_states(areas: DataFrame, known: DataFrame) -> DataFrame:
     # Only CONCAT needs a range's texts together: they are one cell's text in the end.
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("texts"), F.struct("r", "c", _shown(v).alias("t"))))), lambda x: x["t"]), "")
     more = inside.groupBy(*box).agg(
-        F.min(_numeric(v)).alias("least"), F.max(_numeric(v)).alias("greatest"), F.bool_and(_truth(v)).alias("every"), F.bool_or(_truth(v)).alias("some"),
+        F.sum(_numeric(v)).alias("added"), F.min(_numeric(v)).alias("least"), F.max(_numeric(v)).alias("greatest"), F.bool_and(_truth(v)).alias("every"), F.bool_or(_truth(v)).alias("some"),
         texts.alias("text"), F.min_by(v["txt"], F.when(v["kind"] == "error", place)).alias("error"),
     )
-    full = sums.join(more, box, "left").select(*box, F.struct(*_LAYERS, "least", "greatest", "every", "some", "text", "error").alias("state"))
+    num = F.when(F.col("apart"), F.coalesce("added", F.lit(0.0))).otherwise(F.col("num") / UNIT)
+    full = sums.join(more, box, "left").withColumn("num", num).select(*box, F.struct(*_LAYERS, "least", "greatest", "every", "some", "text", "error").alias("state"))
     keyed = full.select(F.col("sheet"), *[F.col(a).alias(b) for a, b in (("row", "r1"), ("col", "c1"), ("end_row", "r2"), ("end_col", "c2"))], "state")
     return areas.join(keyed, ["sheet", "r1", "c1", "r2", "c2"]).select(*_KEY, "area", "state")
 

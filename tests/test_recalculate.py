@@ -79,3 +79,10 @@ def test_sheets_are_apart_and_columns_stay(spark):
 @pytest.mark.parametrize("cells", [{}, {"A1": 1}])
 def test_without_formulas(spark, cells):
     assert recalculate(sheet(spark, cells)).count() == len(cells)
+
+
+def test_sums_are_exact_beside_large_numbers(spark):
+    cells = {"A1": 123456789.37, "A2": 98765432.11, "A3": 1e13, "B1": 0.1, "B2": 0.2, "B3": 1 / 3, "B4": 1e-12, "C1": 2.5, "C2": -2.5, "C3": 7}
+    wanted = {"=SUM(B1:B2)": "0.3", "=SUM(C1:C3)": "7", "=SUM(A1:B2)": "222222221.78", "=SUM(B1:B4)": "0.633333333334333", "=AVERAGE(C2:C3)": "2.25", "=SUM(A3:C3)": "10000000000007.3", "=SUM(B4:B4)": "1e-12"}
+    got = {r.row: r.value for r in recalculate(sheet(spark, cells | {f"F{i}": f for i, f in enumerate(wanted, 1)})).where("col = 5").collect()}
+    assert {f: got[i] for i, f in enumerate(wanted)} == wanted
