@@ -3,16 +3,17 @@
 Every token of a set (the hash of a shingle) flips one bit of a sketch, so two
 sketches differ in at most as many bits as the sets differ in tokens.  Sets of
 Jaccard similarity t differ in at most (1 - t) / (1 + t) of their sizes' sum.
-For each band of sizes the sketch has one word of 64 bits for each part that a
-difference can spoil, and some more: a set hands on its first words that are
-not zero, one more than can differ (two more, so that large lists can be split
-once), and similar sets meet in one of those at least.  Pairs that meet are
+For each band of sizes the tokens are dealt into as many parts as a difference
+can spoil, and some more, each with the parity of its own bits (of 2**64, held
+as the xor of the hashes of those that are set): a set hands on its first words
+that are not zero, two more than can differ, and similar sets meet in two of those at
+least.  Pairs that meet are
 held against wider sketches, whose Hamming distance bounds the difference from
 below, and what is left is verified on the sets.
 
 Equal sets are one class from the start.  Sets that are linked already need no
-further pairs, so that long lists meet their first member first, and only those
-that still hold several components go on.
+further pairs: the members of each list meet its first one, and only lists that
+still hold several components go on to all their pairs.
 """
 
 from __future__ import annotations
@@ -25,23 +26,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import cut, filter_bits
+from gridspark.llm.common import cut, drop, filter_bits
 from gridspark.llm.simhash import components
 
 THRESHOLD = (4, 5)
 SHINGLE = 5
 
-#: Words of a set's sketch that agree at least, of those that it hands on: two, since a list that is too long is split by a second word.
+#: Words of a set's sketch that agree at least, of those that it hands on: a pair that meets in short lists alone meets
+#: in as many, and a list that is too long is split by a second word.
 AGREE = 2
 
-#: Sets of a list up to which all its pairs are held against each other, and of a block of a longer one.
-SHORT_LIST = 64
+#: Sets of a list up to which its pairs are written, and up to which it is not split by a second word; sets of a block of it.
+SHORT_LIST = 32
+LONG_LIST = 1 << 13
 BLOCK = 1024
 
 #: Postings of one key in one task from which the key counts as hot; its list never meets in one task.
 HOT = 64
 HOT_BITS = 1 << 22
 
+#: Sets of one task that hold a token from which it counts as frequent: it goes into no word.
+FREQUENT = 12
+
 #: Bits of the filter that tells which sets are wanted: more wanted sets let more others through, which a join then drops.
 MOST_BITS = 1 << 28
 
@@ -60,10 +66,10 @@ def _mixed(x: np.ndarray, k: int = 0) -> np.ndarray:
 
 
 def _tops() -> np.ndarray:
-    """The largest size of each band: half as large again as the one before."""
+    """The largest size of each band: a quarter more than the one before, so that a set has partners in its own and the next."""
     out = [1]
     while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
     return np.array(out)
 
 
@@ -142,9 +148,18 @@ class Sets:
         np.bitwise_xor.at(out, ends[self.owner] + (place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
         return out, ends
 
-    def keys(self, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, owners): what each set hands on, for its own band of sizes and the next one if a partner can be in it."""
+    def keys(self, threshold: tuple[int, int], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, owners): what each set hands on, for its own band of sizes and the next one if a partner can be in it.
+
+        Words are of rare tokens alone (of slots that ``frequent`` lacks): without
+        the others two sets differ in no more, and a passage that many texts
+        share makes no word of its own.
+        """
         num, den = threshold
+        common = frequent[_slot(self.tokens)]
+        rank = np.empty(len(self.tokens), np.int64)  # rare tokens first, then by hash
+        rank[np.lexsort((self.tokens, common, self.owner))] = np.arange(len(self.tokens))
+        rank -= self.starts[self.owner]
         band = np.searchsorted(TOPS, self.sizes)
         reach = np.searchsorted(TOPS, self.sizes * den // num)
         keys, owners = [], []
@@ -154,13 +169,13 @@ class Sets:
             use = (reach >= band + step) & (differ > 0)
             need = np.where(use, differ + AGREE, 0)
             most = room(2 * top, threshold) + AGREE
-            parts = np.where(use, most + np.maximum(6, most // 8), 0)
+            parts = np.where(use, most + 3 + most // 16, 0)
             base = np.cumsum(parts) - parts
-            inside = use[self.owner]
+            inside = use[self.owner] & ~common
             token, owner = self.tokens[inside], self.owner[inside]
             part = ((token >> np.uint64(40)).astype(np.int64) * parts[owner]) >> 24
             words = np.zeros(parts.sum(), np.uint64)
-            np.bitwise_xor.at(words, base[owner] + part, np.uint64(1) << (token & np.uint64(63)))
+            np.bitwise_xor.at(words, base[owner] + part, _mixed(token, 1))
             of = np.repeat(np.arange(len(parts)), parts)
             filled = np.concatenate([[0], np.cumsum(words != 0)])
             taken = (words != 0) & (filled[:-1] - filled[base][of] < need[of])
@@ -168,10 +183,9 @@ class Sets:
             name = (top[of[where]].astype(np.uint64) << np.uint64(24)) + (where - base[of[where]]).astype(np.uint64)
             keys.append(_mixed(words[where] * _MIX[1] ^ _mixed(name)))
             owners.append(of[where])
-            # Sets with too few words that are not zero hand on their first tokens too, and meet others of the kind there.
+            # Sets with too few words that are not zero hand on their rarest tokens too, and meet others of the kind there.
             few = use & (filled[base + parts] - filled[base] < need)
-            order = np.arange(len(self.tokens)) - self.starts[self.owner]
-            single = few[self.owner] & (order < need[self.owner])
+            single = few[self.owner] & (rank < need[self.owner])
             keys.append(_mixed(self.tokens[single] ^ _mixed(top[self.owner[single]].astype(np.uint64), 1), 1))
             owners.append(self.owner[single])
         all_, of = np.concatenate(keys), np.concatenate(owners)
@@ -196,28 +210,94 @@ def _binary(words: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(words))])
 
 
-def _marked(docs: DataFrame, threshold: tuple[int, int], shingle: int) -> DataFrame:
-    """(id, n, sig, sig2, marks, keys) of every row (id, text); a task gives the keys of each set once."""
+def _marked(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, n, sig, sig2, marks, new) of every row (id, text); ``new`` and a sketch where a task has a set for the first time.
+
+    A last row of each task, with n = -1, has the slots of the tokens that FREQUENT of its sets hold.
+    """
+    kind = dict(docs.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        names, tally, id_kind = ["id", "n", "sig", "sig2", "marks", "new"], _Tally(), pa.null()
         for rows, raw, ends in _texts(batches):
-            sets = Sets(raw, ends, shingle)
+            sets, id_kind = Sets(raw, ends, shingle), rows.column(0).type
             sigs = [sets.sums(k) for k in (0, 1)]
-            keys, of = sets.keys(threshold)
-            new = np.zeros(len(ends), bool)
-            for i, both in enumerate(zip(*(s.tolist() for s in sigs), strict=True)):
-                if sets.sizes[i] and both not in seen:
-                    seen.add(both)
-                    new[i] = True
-            kept = new[of]
-            stops = np.concatenate([[0], np.cumsum(np.bincount(of[kept], minlength=len(ends)))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(stops), pa.array(keys[kept]), mask=pa.array(~new))
             words, at = sets.sketches()
-            columns = [rows.column(0), pa.array(sets.sizes), *map(pa.array, sigs), _binary(words, at), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "sig", "sig2", "marks", "keys"])
+            new = _unseen(sets, sigs, seen)
+            tally.add(sets.tokens[new[sets.owner]])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets.sizes), *map(pa.array, sigs), _binary(words, at), pa.array(new)], names=names)
+        if not pa.types.is_null(id_kind):
+            slots = np.unique(_slot(tally.at_least(FREQUENT)))
+            none = pa.array([0], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_kind), pa.array([-1], pa.int64()), none, none, pa.array([slots.tobytes()], pa.binary()), pa.array([False])], names=names)
+
+    return docs.mapInArrow(run, f"id {kind}, n long, sig long, sig2 long, marks binary, new boolean").withColumn("marks", F.when(F.col("new") | (F.col("n") < 0), F.col("marks")))
+
+
+class _Tally:
+    """Counts of numbers, kept as distinct ones."""
+
+    def __init__(self) -> None:
+        self.held, self.count, self.new = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    def add(self, numbers: np.ndarray) -> None:
+        self.new.append(numbers.view(np.uint64))
+        if sum(map(len, self.new)) > max(1 << 22, len(self.held)):
+            self._merge()
+
+    def _merge(self) -> None:
+        numbers = np.concatenate([self.held, *self.new])
+        order = np.argsort(numbers)
+        each = np.concatenate([self.count, np.ones(len(numbers) - len(self.count), np.int64)])[order]
+        numbers = numbers[order]
+        starts = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])[: len(numbers)])
+        self.held, self.count, self.new = numbers[starts], np.add.reduceat(each, starts) if len(starts) else each, []
+
+    def at_least(self, least: int) -> np.ndarray:
+        self._merge()
+        return self.held[self.count >= least]
+
+
+def _frequent(marked: DataFrame) -> np.ndarray:
+    """Which slots have a token that is frequent in some task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64))], names=["slot"])
+
+    out = np.zeros(HOT_BITS, bool)
+    out[marked.where("n < 0").select("marks").mapInArrow(run, "slot long").distinct().toArrow().column(0).to_numpy()] = True
+    return out
+
+
+def _unseen(sets: Sets, sigs: list[np.ndarray], seen: set[tuple[int, int]]) -> np.ndarray:
+    new = np.zeros(len(sets.sizes), bool)
+    for i, both in enumerate(zip(*(x.tolist() for x in sigs), strict=True)):
+        if sets.sizes[i] and both not in seen:
+            seen.add(both)
+            new[i] = True
+    return new
+
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, sig long, sig2 long, marks binary, keys array<bigint>")
+def _keys(docs: DataFrame, frequent: np.ndarray, threshold: tuple[int, int], shingle: int) -> DataFrame:
+    """(keys, node): what the sets of rows (id, text) hand on; a task gives those of each set once."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        common = np.unpackbits(shared.value).astype(bool)
+        for _, raw, ends in _texts(batches):
+            sets = Sets(raw, ends, shingle)
+            sigs = [sets.sums(k) for k in (0, 1)]
+            new = _unseen(sets, sigs, seen)
+            keys, of = sets.keys(threshold, common)
+            count = np.bincount(of[new[of]], minlength=len(ends))[new]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(keys[new[of]]))
+            yield pa.RecordBatch.from_arrays([lists, pa.array(sigs[0][new])], names=["keys", "node"])
+
+    return docs.mapInArrow(run, "keys array<bigint>, node long")
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
@@ -239,22 +319,10 @@ def _hot(keyed: DataFrame) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, new = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-
-        def counted() -> tuple[np.ndarray, np.ndarray]:
-            keys = np.concatenate([held, *new])
-            order = np.argsort(keys)
-            keys = keys[order]
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
-            each = np.concatenate([count, np.ones(len(keys) - len(count), np.int64)])[order]
-            return keys[starts], np.add.reduceat(each, starts) if len(starts) else each
-
+        tally = _Tally()
         for batch in batches:
-            new.append(_keys_and_nodes(batch)[0])
-            if sum(map(len, new)) > max(1 << 22, len(held)):
-                (held, count), new = counted(), []
-        held, count = counted()
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(held[count >= HOT])))], names=["slot"])
+            tally.add(_keys_and_nodes(batch)[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(tally.at_least(HOT))))], names=["slot"])
 
     out = np.zeros(HOT_BITS, bool)
     out[keyed.mapInArrow(run, "slot long").distinct().toArrow().column(0).to_numpy()] = True
@@ -278,58 +346,73 @@ def _split_hot(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return postings.where("not hot").drop("hot"), postings.where("hot").select("key", "node").distinct() if hot.any() else None
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads postings sorted by key and yields (key, a, b): all pairs of short lists without their key, of longer ones each member beside the first.
-
-    A list's first member is its smallest node.  Of a list that goes on in the
-    next batch, members are held until it is known to be long.
-    """
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Whole lists, as columns, of rows sorted by their first column."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        now = [c.to_numpy() for c in batch.columns]
+        done = int(np.searchsorted(now[0], now[0][-1]))
+        if held and (done or held[-1][0][-1] != now[0][0]):
+            done = max(done, int(np.searchsorted(now[0], held[-1][0][-1], side="right"))) if held[-1][0][-1] == now[0][0] else done
+            held.append([x[:done] for x in now])
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        elif done:
+            yield [x[:done] for x in now]
+        else:
+            done = 0
+        held.append([x[done:] for x in now])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
-    def out(key, a, b, known: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64(), mask=np.full(len(key), not known)), pa.array(a), pa.array(b)], names=["key", "a", "b"])
 
-    def found(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads postings (key, node) sorted by both and yields (key, first, node, size) of lists with several sets; the first is the smallest."""
+    for key, node in _by_key(batches):
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
         key, node = key[new], node[new]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(start, len(key)))
-        long_ = np.repeat(size > SHORT_LIST, size)
-        if long_.any():
-            yield out(key[long_], np.repeat(node[start], size)[long_], node[long_], True)
-        for m in np.unique(size[(size > 1) & (size <= SHORT_LIST)]):
-            i, j = np.triu_indices(m, 1)
-            lists = start[size == m]
-            step = max(1, SLICE_WORDS // len(i))
-            for at in range(0, len(lists), step):
-                part = lists[at : at + step, None]
-                a, b = node[(part + i).ravel()], node[(part + j).ravel()]
-                yield out(a, a, b, False)
-
-    held: tuple[np.ndarray, np.ndarray] | None = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        now = tuple(batch.column(k).to_numpy() for k in (0, 1))
-        held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
-        done = int(np.searchsorted(held[0], held[0][-1]))
-        if done:
-            yield from found(*(x[:done] for x in held))
-            held = tuple(x[done:] for x in held)
-    if held is not None:
-        yield from found(*held)
+        kept = np.repeat(size > 1, size)
+        columns = key[kept], np.repeat(node[start], size)[kept], node[kept], np.repeat(size, size)[kept]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "first", "node", "size"])
 
 
 def _met(keyed: DataFrame) -> DataFrame:
-    """(key, a, b): pairs to compare of postings ``keyed`` (keys or key, node); with the key where the list is long and a its first member."""
+    """(key, first, node, size) of the lists of postings ``keyed`` (keys or key, node) that have several sets."""
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain, hot = _split_hot(keyed)
-    found = plain.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_lists, "key long, a long, b long")
+    found = plain.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_lists, "key long, first long, node long, size long")
     if hot is not None:
-        first = hot.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1").drop("members")
-        found = found.unionByName(hot.withColumnRenamed("node", "b").join(first, "key").select("key", "a", "b"))
+        first = hot.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
+        found = found.unionByName(hot.join(first, "key").select("key", "first", "node", "size"))
     return cut(found)
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads short lists (first, key, node) sorted by first and key and yields their pairs (a, b, n), counted over the lists with one first member.
+
+    Copies meet in many lists, most of which begin with the same one of them.
+    """
+    for first, key, node in _by_key(batches):
+        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (first[1:] != first[:-1])]))
+        size, found = np.diff(np.append(start, len(key))), []
+        for m in np.unique(size[size > 1]):
+            i, j = np.triu_indices(m, 1)
+            lists = start[size == m][:, None]
+            x, y = node[(lists + i).ravel()], node[(lists + j).ravel()]
+            found.append((np.minimum(x, y), np.maximum(x, y)))
+        if not found:
+            continue
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(np.diff(np.append(new, len(a))))], names=["a", "b", "n"])
+
+
 def _sketch_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, words, all words) of sketches."""
     _, offsets, data = column.buffers()
@@ -404,7 +487,7 @@ def _wanted_sets(rows: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     return found.groupBy("sig", "sig2").agg(F.first("tokens").alias("tokens"))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, threshold: tuple[int, int], shingle: int) -> DataFrame:
+def _similar(pairs: DataFrame, rows: DataFrame, threshold: tuple[int, int], shingle: int) -> DataFrame:
     """Links (a, b) between sets (sig, sig2) for the pairs whose sets are similar."""
     num, den = threshold
     nodes = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
@@ -425,9 +508,29 @@ def _verified(pairs: DataFrame, rows: DataFrame, threshold: tuple[int, int], shi
     return cut(joined.mapInArrow(run, f"a {kind}, b {kind}"))
 
 
-def _cells(members: DataFrame, sketches: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _roots(links: DataFrame) -> DataFrame:
+    """(node, root) of linked nodes; equal components have equal roots."""
+    return components(links).select(F.col("node.sig").alias("node"), F.xxhash64("root").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
+
+
+def _rooted(rows: DataFrame, roots: DataFrame, column: str, into: str) -> DataFrame:
+    named = roots.select(F.col("node").alias(column), F.col("root").alias(into))
+    return rows.join(named, column, "left").withColumn(into, F.coalesce(into, F.xxhash64(column)))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, threshold: tuple[int, int], shingle: int) -> DataFrame:
+    """Links with the components of all similar ``pairs``: first each set's with its smallest partner, then what those leave apart."""
+    first = _similar(cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), rows, threshold, shingle)
+    roots = cut(_roots(first))
+    apart = cut(_rooted(_rooted(pairs, roots, "a", "root_a"), roots, "b", "root_b").where("root_a != root_b").select("a", "b"))
+    return first if apart.isEmpty() else cut(first.unionByName(_similar(apart, rows, threshold, shingle)))
+
+
+def _cells(members: DataFrame, sketches: DataFrame, threshold: tuple[int, int], *, forest: bool) -> DataFrame:
     """Pairs (a, b) of unlike roots within long lists (key, node, root), which sizes and sketches leave.
 
+    With ``forest`` those of a cell that join what is still apart in it: fewer than its members.
+
     A list is dealt into blocks, and each cell of two blocks is one group of at
     most about twice BLOCK members, compared where it is.
     """
@@ -442,12 +545,17 @@ def _cells(members: DataFrame, sketches: DataFrame, threshold: tuple[int, int])
         node, n, root, block = (batch.column(c).to_numpy() for c in ("node", "n", "root", "block"))
         parts = _sketch_parts(batch.column("marks"))
         crossing = len(np.unique(block)) > 1
+        label = np.unique(root, return_inverse=True)[1]
         low, out = np.searchsorted(n, -(-num * n // den)), [np.zeros((2, 0), np.int64)]
         for j in range(len(n)):
             i = np.arange(low[j], j)
-            i = i[(root[i] != root[j]) & ((block[i] != block[j]) | (not crossing))]
+            i = i[(label[i] != label[j]) & ((block[i] != block[j]) | (not crossing))]
             if len(i):
                 good = i[_alike(parts, parts, i, np.full(len(i), j), n[i], n[np.full(len(i), j)], threshold)]
+                if forest and len(good):
+                    met, first = np.unique(label[good], return_index=True)
+                    good = good[first]
+                    label[np.isin(label, met)] = label[j]
                 out.append(np.stack([node[good], np.full(len(good), node[j])]))
         a, b = np.concatenate(out, axis=1)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -455,44 +563,49 @@ def _cells(members: DataFrame, sketches: DataFrame, threshold: tuple[int, int])
     return cells.select("cell", "node", "n", "root", "block", "marks").groupBy("cell").applyInArrow(run, "a long, b long")
 
 
-def similar_sets(rows: DataFrame, marked: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """Links (a, b) between sets, as structs of sig and sig2, with the components of all similar pairs."""
-    first = marked.where("keys IS NOT NULL")
-    keyed = first.select("keys", F.col("sig").alias("node"))
+def similar_sets(rows: DataFrame, marked: DataFrame, keyed: DataFrame, frequent: np.ndarray, *, threshold: tuple[int, int] = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+    """Links (a, b) between sets, as structs of sig and sig2, with the components of all similar pairs; ``keyed``, a table of their own, goes."""
+    first = marked.where("new")
     sketches = first.select(F.col("sig").alias("node"), "n", "marks").dropDuplicates(["node", "n", "marks"])
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = _met(keyed)
+    drop(keyed)
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        left = cut(_near(pairs.where("a != b").select("a", "b").distinct(), sketches, threshold))
-        return _verified(left, rows, threshold, shingle)
+    def near(pairs: DataFrame) -> DataFrame:
+        return cut(_near(pairs.select("a", "b"), sketches, threshold))
 
     def live(members: DataFrame, links: DataFrame) -> DataFrame:
         """Members (key, node, root) of the lists that hold several components."""
-        roots = components(links).select(F.col("node.sig").alias("node"), F.xxhash64("root").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
-        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.xxhash64("node")))
-        open_ = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-        return cut(placed.join(open_, "key").select("key", "node", "root"))
-
-    def long_lists(met: DataFrame) -> DataFrame:
-        return met.where("key IS NOT NULL").select("key", F.col("b").alias("node")).distinct()
-
-    met = _met(keyed)
-    links = linked(met)
-    members = cut(long_lists(met))
-    if members.isEmpty():
+        placed = _rooted(members, _roots(links), "node", "root")
+        several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+        return cut(placed.join(several, "key").select("key", "node", "root"))
+
+    # Pairs that short lists have are in AGREE of them, unless a long list has them too.  Members of long lists meet the first one.
+    short = met.where(F.col("size") <= SHORT_LIST).select("first", "key", "node").repartition(parts, "first").sortWithinPartitions("first", "key")
+    counted = short.mapInArrow(_pairs, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= AGREE)
+    beside = met.where((F.col("size") > SHORT_LIST) & (F.col("first") != F.col("node"))).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    links = _verified(near(counted.select("a", "b").unionByName(beside).distinct()), rows, threshold, shingle)
+    long_ = met.where(F.col("size") > SHORT_LIST).select("key", "node")
+    if long_.isEmpty():
         return links
-    members = live(members, links)
-    if members.isEmpty():
+    long_ = live(long_, links)
+    sized = long_.join(long_.groupBy("key").agg(F.count("*").alias("size")), "key")
+    compared = sized.where(F.col("size") <= LONG_LIST).select("key", "node", "root")
+    longest = cut(sized.where(F.col("size") > LONG_LIST).select("key", "node"))
+    if not longest.isEmpty():
+        # Similar sets of a list share one more word: the longest lists are split by it.
+        again = _keys(rows, frequent, threshold, shingle).join(longest.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", F.explode("keys").alias("second"))
+        finer = longest.join(again, "node").where("second != key").select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "node").distinct()
+        compared = compared.unionByName(live(_met(cut(finer.select("key", "node"))).select("key", "node"), links))
+    compared = cut(compared)
+    if compared.isEmpty():
         return links
-    # Similar sets of a list share one more word: the lists are split by it.
-    other = keyed.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", F.explode("keys").alias("second"))
-    finer = members.join(other, "node").where("second != key").select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "node").distinct()
-    met = _met(cut(finer.select("key", "node")))
-    links = cut(links.unionByName(linked(met)))
-    members = live(long_lists(met), links)
-    if members.isEmpty():
+    links = cut(links.unionByName(_similar(cut(_cells(compared, sketches, threshold, forest=True).distinct()), rows, threshold, shingle)))
+    # What the sets themselves hold apart, or a pair that failed: all pairs of what is left.
+    compared = live(compared.select("key", "node"), links)
+    if compared.isEmpty():
         return links
-    last = _verified(cut(_cells(members, sketches, threshold).distinct()), rows, threshold, shingle)
-    return cut(links.unionByName(last))
+    return cut(links.unionByName(_similar(cut(_cells(compared, sketches, threshold, forest=False).distinct()), rows, threshold, shingle)))
 
 
 def near_join(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -508,8 +621,10 @@ def near_join(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, shingl
     columns are ignored.  Shingles are told apart by 64-bit hashes.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    marked = cut(_marked(rows, threshold, shingle))
-    links = similar_sets(rows, marked, threshold=threshold, shingle=shingle)
+    marked = cut(_marked(rows, shingle))
+    frequent = _frequent(marked)
+    marked = marked.where("n >= 0")
+    links = similar_sets(rows, marked, cut(_keys(rows, frequent, threshold, shingle)), frequent, threshold=threshold, shingle=shingle)
     roots = components(links)
     classes = marked.where("n > 0").groupBy("sig", "sig2").agg(F.min("id").alias("first_id")).withColumn("node", F.struct("sig", "sig2"))
     placed = cut(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))

@@ -63,11 +63,11 @@ def made(rng, count):
     return [" ".join(w) for w in out]
 
 
-@pytest.mark.parametrize("settings", [{}, {"SHORT_LIST": 2, "BLOCK": 4}, {"SHORT_LIST": 3, "HOT": 2, "BLOCK": 2}, {"SLICE_BYTES": 200, "MOST_BITS": 1 << 16}])
+@pytest.mark.parametrize("settings", [{}, {"SHORT_LIST": 2, "LONG_LIST": 3, "BLOCK": 4, "HOT": 2, "FREQUENT": 3}, {"FREQUENT": 2}, {"SLICE_BYTES": 200, "MOST_BITS": 1 << 16, "SHORT_LIST": 3, "BLOCK": 2}])
 def test_join_equals_all_pairs(spark, documents, monkeypatch, settings):
     for name, value in settings.items():
         monkeypatch.setattr(parity_join, name, value)
-    texts = made(random.Random(len(settings)), 160)
+    texts = made(random.Random(sum(map(len, settings))), 160)
     rows = list(enumerate(texts)) + [(900, None), (901, ""), (902, " \n"), (None, texts[0]), (None, "all of its own kind here"), (3, texts[3]), (3, texts[8]), (903, texts[5].upper()), (904, texts[5] + "\t\n")]
     docs = documents(*rows).withColumn("a.b", F.lit(1)).withColumn("n", F.lit("x")).withColumn("sig", F.lit("x"))
     assert Counter(map(tuple, parity_join.near_join(docs).select("id", "n_shingles", "component_id").collect())) == plain(rows)
