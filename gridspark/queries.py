@@ -14,6 +14,7 @@ from gridspark.functions.values import number, text
 from gridspark.operators import aggregates as agg
 from gridspark.operators import charts, grid, hierarchy, lookup, outline, pivot_filters, range_criteria, recalculate, rectangles, sheet
 from gridspark.operators import conditional_format as cf
+from gridspark.operators.numbering import numbered
 from gridspark.plans.formula import aggregate_formulas, with_formulas
 from gridspark.plans.rule_expression import Cell, rule_expression
 from gridspark.streaming import selections
@@ -37,6 +38,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# The order of line items, and what is read of them to number them.
+_LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
+_LINES = (*_LINE_ORDER, "l_returnflag")
+
+
 def _rounded(df: DataFrame, *names: str, digits: int = 2) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
@@ -73,8 +79,7 @@ round(coalesce(sum(l_extendedprice) FILTER (WHERE r BETWEEN 11 AND 400 AND l_qua
 round(coalesce(sum(l_extendedprice) FILTER (WHERE r BETWEEN 11 AND 200 AND lower(l_returnflag) <> 'r'), 0), 2) AS shorter FROM numbered""")
 def countif_row_ranges(spark, sf_dir):
     """Criteria that nulls meet, on ranges of rows: what is outside is no blank cell."""
-    order = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
-    li = _t(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(order)).select("l_quantity", "l_returnflag", "l_extendedprice", "r")
+    li = numbered(_t(spark, sf_dir, "lineitem").select(*_LINES), *_LINE_ORDER, into="r").select("l_quantity", "l_returnflag", "l_extendedprice", "r")
     formulas = {"unlike": '=COUNTIF(A11:A400,"<>5")', "blank": '=COUNTIF(B11:B400,"")', "paired": '=SUMIF(A11:A400,"<>5",C11:C400)', "shorter": '=SUMIF(B11:B400,"<>r",C11:C200)'}
     return _rounded(aggregate_formulas(li, formulas, row="r", errors=False), "paired", "shorter")
 
@@ -606,8 +611,7 @@ ranges AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THE
 SELECT id, round(coalesce(sum(CASE WHEN first = 0 THEN l_quantity ELSE 0 END + l_tax), 0), 2) AS total, CAST(count(row) * (last - first + 1) AS DOUBLE) AS n FROM ranges LEFT JOIN placed ON placed.sheet = ranges.sheet AND row BETWEEN low AND high GROUP BY id, first, last""")
 def rectangle_totals(spark, sf_dir):
     """Sums and counts of a rectangle for each part, over sheets of line items with two columns."""
-    order = Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
-    rows = _t(spark, sf_dir, "lineitem").withColumn("row", F.row_number().over(order) - 1)
+    rows = numbered(_t(spark, sf_dir, "lineitem").select(*_LINES, "l_tax"), *_LINE_ORDER, by=["l_returnflag"]).withColumn("row", F.col("row") - 1)
     cells = rows.select(F.col("l_returnflag").alias("sheet"), "row", F.posexplode(F.array("l_quantity", "l_tax")).alias("col", "total")).withColumn("n", F.lit(1.0))
     key = F.col("p_partkey")
     ranges = _t(spark, sf_dir, "part").select(key.alias("id"), F.when(key % 3 == 0, "A").when(key % 3 == 1, "N").otherwise("R").alias("sheet"), (key * 3 % 900).alias("row"), (key % 2).alias("col"), (key * 3 % 900 + F.col("p_size") * 40).alias("end_row"), F.lit(1).alias("end_col"))
@@ -672,9 +676,9 @@ shut AS (SELECT found.*, coalesce(placed.collapsed, false) AS collapsed FROM fou
 
 
 def _outline_rows(spark, sf_dir):
-    order = Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
     level = F.col("l_linenumber") - 1
-    return _t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("sheet"), F.row_number().over(order).alias("row"), level.alias("level"), ((level == 0) & (F.col("l_quantity") > 40)).alias("collapsed"))
+    rows = numbered(_t(spark, sf_dir, "lineitem").select(*_LINES), *_LINE_ORDER, by=["l_returnflag"])
+    return rows.select(F.col("l_returnflag").alias("sheet"), "row", level.alias("level"), ((level == 0) & (F.col("l_quantity") > 40)).alias("collapsed"))
 
 
 @_query(_OUTLINE + "SELECT sheet, CAST(level AS INTEGER) AS level, first_row, last_row, collapsed FROM shut")
