@@ -8,6 +8,8 @@ that many large ranges over the same cells cost no more than small ones.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,19 +21,33 @@ SPAN = 4096
 
 
 def _local(layers: list[str]):
-    def places(cells: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def places(one: pd.DataFrame) -> pd.DataFrame:
         """The sums of one stripe up to each place asked for."""
-        columns, at = np.unique(cells["col"].to_numpy(np.int64), return_inverse=True)
-        out = asked[["sheet", "stripe", "r", "c"]].copy()
-        to = np.searchsorted(columns, asked["c"].to_numpy(np.int64), side="right")
-        rows = asked["r"].to_numpy(np.int64) % STRIPE
+        asked, rows = one["asked"].to_numpy(bool), one["r"].to_numpy(np.int64) % STRIPE
+        columns, at = np.unique(one["c"].to_numpy(np.int64), return_inverse=True)
+        width, out = len(columns), one.loc[asked, ["sheet", "stripe", "r", "c"]].copy()
+        cells = ~asked
+        flat = rows[cells] * width + at[cells]
         for name in layers:
-            table = np.zeros((STRIPE, len(columns) + 1))
-            np.add.at(table, (cells["row"].to_numpy(np.int64) % STRIPE, at + 1), cells[name].fillna(0).to_numpy(np.float64))
-            out[name] = table.cumsum(axis=0).cumsum(axis=1)[rows, to]
+            table = np.bincount(flat, weights=np.nan_to_num(one[name].to_numpy(np.float64)[cells]), minlength=STRIPE * width).reshape(STRIPE, width)
+            out[name] = table.cumsum(axis=0).cumsum(axis=1)[rows[asked], at[asked]]
         return out
 
-    return places
+    def stripes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come in order of their stripes; one stripe is held at a time."""
+        held: list[pd.DataFrame] = []
+        key = None
+        for batch in batches:
+            for own, rows in batch.groupby(["sheet", "stripe"], sort=False, dropna=False):
+                if held and own != key:
+                    yield places(pd.concat(held))
+                    held = []
+                key = own
+                held.append(rows)
+        if held:
+            yield places(pd.concat(held))
+
+    return stripes
 
 
 def rectangle_sums(cells: DataFrame, ranges: DataFrame, layers: list[str]) -> DataFrame:
@@ -50,13 +66,18 @@ def rectangle_sums(cells: DataFrame, ranges: DataFrame, layers: list[str]) -> Da
     stripe = lambda r: F.floor(F.col(r) / STRIPE).alias("stripe")
     points = corners.select("sheet", stripe("r"), "r", "c").distinct()
     some = cells.select(F.col("sheet").cast("string").alias("sheet"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), *[F.col(c).cast("double").alias(c) for c in layers]).withColumn("stripe", F.floor(F.col("row") / STRIPE))
-    # Each stripe's own sums, at the columns that corners have: its last row's.
-    ends = some.select("sheet", "stripe").distinct().join(points.select("sheet", "c").distinct(), "sheet")
-    bottoms = ends.select("sheet", "stripe", (F.col("stripe") * STRIPE + STRIPE - 1).alias("r"), "c")
     schema = "sheet string, stripe long, r long, c long, " + ", ".join(f"{c} double" for c in layers)
-    asked = points.unionByName(bottoms).distinct()
-    local = some.groupBy("sheet", "stripe").cogroup(asked.groupBy("sheet", "stripe")).applyInPandas(_local(layers), schema)
-    own = local.join(bottoms, ["sheet", "stripe", "r", "c"], "left_semi").select("sheet", "c", "stripe", *layers)
+    # Sums up to places within their stripe: only stripes that have places.
+    near = some.join(points.select("sheet", "stripe").distinct(), ["sheet", "stripe"], "left_semi")
+    met = near.select("sheet", "stripe", F.col("row").alias("r"), F.col("col").alias("c"), F.lit(False).alias("asked"), *layers)
+    met = met.unionByName(points.withColumns({"asked": F.lit(True), **{c: F.lit(0.0) for c in layers}}))
+    local = met.repartition("sheet", "stripe").sortWithinPartitions("sheet", "stripe").mapInPandas(_local(layers), schema)
+    # Each stripe's own sums, at the columns that corners have.
+    columns = some.groupBy("sheet", "stripe", F.col("col").alias("c")).agg(*[F.sum(c).alias(c) for c in layers])
+    ends = columns.select("sheet", "stripe").distinct().join(points.select("sheet", "c").distinct(), "sheet")
+    wide = columns.withColumn("asked", F.lit(False)).unionByName(ends.withColumns({"asked": F.lit(True), **{c: F.lit(0.0) for c in layers}}))
+    upto = Window.partitionBy("sheet", "stripe").orderBy("c").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = wide.select("sheet", "c", "stripe", "asked", *[F.sum(c).over(upto).alias(c) for c in layers]).where("asked").drop("asked")
     rest = points.select("sheet", "c", "stripe", *[F.lit(0.0).alias(c) for c in layers])
     stripes = own.unionByName(rest).groupBy("sheet", "c", "stripe").agg(*[F.sum(c).alias(c) for c in layers]).withColumn("span", F.floor(F.col("stripe") / SPAN))
     before = (Window.unboundedPreceding, -1)
