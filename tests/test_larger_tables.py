@@ -1,7 +1,12 @@
 """Queries against their SQL on values and sizes that the small tables don't have."""
 
+import random
+
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from gridspark.operators import outline, rectangles
 from gridspark.queries import ORACLE_SQL, QUERIES
 
 
@@ -20,3 +25,46 @@ def compared(spark, folder, name, **tables):
 def test_exact_halves_of_formats(spark, tmp_path):
     got, want = compared(spark, tmp_path, "numfmt_thousands_pct_neg", customer="select i as c_custkey, i * 12.5 :: double as c_acctbal from range(-80, 800) t(i)")
     assert len(got) == 880 and got == want
+
+
+LINES = """select i as l_orderkey, i % 5 + 1 :: integer as l_linenumber, 3 as l_partkey, 4 as l_suppkey, 900.0 + i % 77 as l_extendedprice, (i * 7 % 50) :: double as l_quantity, 0.05 as l_discount, (i % 9) / 100.0 as l_tax,
+case when i % 10 < 8 then 'A' when i % 10 = 8 then 'N' else 'R' end as l_returnflag, 'O' as l_linestatus, timestamp '1996-01-01' as l_shipdate from range(3000) t(i)"""
+PARTS = "select i as p_partkey, (i % 50 + 1) :: integer as p_size from range(60) t(i)"
+
+
+@pytest.mark.parametrize("name", ["countif_row_ranges", "rectangle_totals", "outline_groups", "outline_hidden_rows"])
+def test_rows_are_numbered_by_ranges(spark, tmp_path, name, monkeypatch):
+    """Four fifths of the rows are one sheet: no window may hold it, and results are those of the SQL."""
+    monkeypatch.setattr(outline, "BAND", 16)
+    made = {"lineitem": LINES} | ({"part": PARTS} if name == "rectangle_totals" else {})
+    got, want = compared(spark, tmp_path, name, **made)
+    assert got and got == want
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "row_number(" not in plan
+
+
+def test_runs_across_bands(spark, monkeypatch):
+    monkeypatch.setattr(outline, "BAND", 8)
+    rng = random.Random(6)
+    level = {(s, r): rng.choice([0, 1, 1, 2, 2, 3]) if s == "a" else 2 for s in "ab" for r in range(100) if s == "b" or r % 31}
+    rows = spark.createDataFrame([(s, r, n, r % 9 == 0) for (s, r), n in level.items()] + [("a", 40, 1, False)], "sheet string, row long, level int, collapsed boolean")
+    wanted = set()
+    for s in "ab":
+        for k in (1, 2, 3):
+            inside = [r for r in range(101) if level.get((s, r), 0) >= k]
+            for first in (r for r in inside if r - 1 not in inside):
+                last = next(r for r in range(first, 102) if r + 1 not in inside)
+                wanted.add((s, k, first, last, (s, last + 1) in level and (last + 1) % 9 == 0))
+    got = [tuple(r) for r in outline.groups(rows).collect()]
+    assert len(got) == len(wanted) and set(got) == wanted
+
+
+def test_stripes_that_span_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        cells = spark.range(1000).select(F.lit("s").alias("sheet"), F.col("id").alias("row"), (F.col("id") % 3).alias("col"), F.lit(1.0).alias("n"))
+        ranges = spark.range(0, 900, 11).select(F.lit("s").alias("sheet"), F.col("id").alias("row"), F.lit(0).alias("col"), (F.col("id") + 80).alias("end_row"), F.lit(2).alias("end_col"))
+        assert {r.n for r in rectangles.rectangle_sums(cells, ranges, ["n"]).collect()} == {81.0}
+        assert "CoGroup" not in rectangles.rectangle_sums(cells, ranges, ["n"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
