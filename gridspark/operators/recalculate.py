@@ -84,22 +84,34 @@ def _equal(a: Column, b: Column) -> Column:
     return F.coalesce(both, F.lit(False))
 
 
-def _meets(v: Column, criterion: Column) -> Column:
-    """Whether a cell (null: none there) meets a criterion that is a cell itself."""
-    kind = F.coalesce(v["kind"], F.lit("empty"))
-    sign, operand, wanted = read_criterion(criterion["txt"])
+def _criterion(c: Column) -> Column:
+    """What a criterion that is a cell itself asks for, read once for all cells that it meets."""
+    sign, operand, wanted = read_criterion(c["txt"])
+    return F.struct(c["kind"].alias("kind"), c["num"].alias("num"), c["flag"].alias("flag"), sign.alias("sign"), F.lower(operand).alias("operand"), wanted.alias("wanted"))
+
+
+def _tested(v: Column) -> Column:
+    """What criteria compare of a cell."""
+    kind = v["kind"]
     spelt = F.when(kind == "number", v["num"]).when((kind == "text") & (v["txt"] != ""), parse_number(v["txt"]))
     cell = F.when(kind == "boolean", F.when(v["flag"], "true").otherwise("false")).when(kind == "text", F.lower(v["txt"]))
+    return F.struct(kind.alias("kind"), spelt.alias("spelt"), cell.alias("cell"), v["flag"].alias("flag"))
+
+
+def _meets(tested: Column, criterion: Column) -> Column:
+    """Whether a cell (null: none there) meets a criterion, both as read above."""
+    kind, spelt, cell = F.coalesce(tested["kind"], F.lit("empty")), tested["spelt"], tested["cell"]
+    sign, operand, wanted = criterion["sign"], criterion["operand"], criterion["wanted"]
 
     def compared(a: Column, b: Column) -> Column:
         return F.when(sign == "=", a == b).when(sign == "<>", a != b).when(sign == "<", a < b).when(sign == "<=", a <= b).when(sign == ">", a > b).otherwise(a >= b)
 
     unlike = sign == "<>"
     by_number = F.coalesce(compared(spelt, wanted), unlike)
-    by_text = F.when(kind == "empty", (operand == "") & sign.isin("=", "<=", ">=")).when(kind == "number", unlike).otherwise(compared(cell, F.lower(operand)))
+    by_text = F.when(kind == "empty", (operand == "") & sign.isin("=", "<=", ">=")).when(kind == "number", unlike).otherwise(compared(cell, operand))
     text = F.when(wanted.isNotNull(), by_number).otherwise(by_text)
-    same = F.when(criterion["kind"] == "number", spelt == criterion["num"]).when(criterion["kind"] == "boolean", (kind == "boolean") & (v["flag"] == criterion["flag"]))
-    blank = (kind == "empty") | ((kind == "number") & (v["num"] == 0)) | ((kind == "text") & (v["txt"] == ""))
+    same = F.when(criterion["kind"] == "number", spelt == criterion["num"]).when(criterion["kind"] == "boolean", (kind == "boolean") & (tested["flag"] == criterion["flag"]))
+    blank = (kind == "empty") | ((kind == "number") & (spelt == 0)) | ((kind == "text") & (cell == ""))
     return F.coalesce(F.when(criterion["kind"] == "text", text).when(criterion["kind"] == "empty", blank).otherwise(same), F.lit(False))
 
 
@@ -364,6 +376,13 @@ _CELL_KIND = "struct<kind:string,num:double,txt:string,flag:boolean>"
 _ASK = f"struct<call:int,name:string,area:int,other:int,first:{_CELL_KIND},second:{_CELL_KIND},third:{_CELL_KIND}>"
 
 
+def _striped(rows: DataFrame, known: DataFrame, first: Column, last: Column) -> DataFrame:
+    """``rows`` once for each stripe of their range, as far down as their sheet has cells."""
+    used = known.groupBy("sheet").agg(F.max("row").alias("__used"))
+    clipped = rows.join(used, "sheet").where(first <= F.col("__used"))
+    return clipped.withColumn("stripe", F.explode(F.sequence(F.floor(first / STRIPE), F.floor(F.least(last, F.col("__used")) / STRIPE)))).drop("__used")
+
+
 def _range_states(areas: DataFrame, known: DataFrame) -> DataFrame:
     """(key, area, state) of areas (key, area, r1, c1, r2, c2, whether their cells are wanted and not only sums, and their texts)."""
     number = F.coalesce(_numeric(F.col("v")), F.lit(0.0))
@@ -376,9 +395,9 @@ def _range_states(areas: DataFrame, known: DataFrame) -> DataFrame:
     sums = sums.withColumn("apart", (F.col("odd") > 0) | F.coalesce(F.col("most") >= EXACT, F.lit(False))).drop("most", "odd")
     # The cells of a range themselves: where their order or extremes count, and for the code of an error.
     open_ = sums.where("wanted OR apart OR bad > 0").select("sheet", "row", "col", "end_row", "end_col", "texts")
-    striped = open_.withColumn("stripe", F.explode(F.sequence(F.floor(F.col("row") / STRIPE), F.floor(F.col("end_row") / STRIPE))))
+    striped = _striped(open_, known, F.col("row"), F.col("end_row"))
     cells = known.select("sheet", F.col("row").alias("r"), F.col("col").alias("c"), "v", F.floor(F.col("row") / STRIPE).alias("stripe"))
-    inside = striped.join(cells, ["sheet", "stripe"]).where("r BETWEEN row AND end_row AND c BETWEEN col AND end_col")
+    inside = striped.join(cells.hint("merge"), ["sheet", "stripe"]).where("r BETWEEN row AND end_row AND c BETWEEN col AND end_col")
     v, place = F.col("v"), F.struct("r", "c")
     box = ["sheet", "row", "col", "end_row", "end_col"]
     # Only CONCAT needs a range's texts together: they are one cell's text in the end.
@@ -390,17 +409,20 @@ def _range_states(areas: DataFrame, known: DataFrame) -> DataFrame:
     num = F.when(F.col("apart"), F.coalesce("added", F.lit(0.0))).otherwise(F.col("num") / UNIT)
     full = sums.join(more, box, "left").withColumn("num", num).select(*box, F.struct(*_LAYERS, "least", "greatest", "every", "some", "text", "error").alias("state"))
     keyed = full.select(F.col("sheet"), *[F.col(a).alias(b) for a, b in (("row", "r1"), ("col", "c1"), ("end_row", "r2"), ("end_col", "c2"))], "state")
-    return areas.join(keyed, ["sheet", "r1", "c1", "r2", "c2"]).select(*_KEY, "area", "state")
+    return areas.join(keyed.hint("merge"), ["sheet", "r1", "c1", "r2", "c2"]).select(*_KEY, "area", "state")
 
 
 def _answers(asks: DataFrame, known: DataFrame) -> DataFrame:
-    """(key, call, v) of what is asked of the cells of ranges (key, ask, a: the area's corners, b: the other's)."""
-    cells = known.select("sheet", F.col("row").alias("r"), F.col("col").alias("c"), "v", F.floor(F.col("row") / STRIPE).alias("stripe"))
+    """(key, call, v) of what is asked of the cells of ranges (key, ask, a: the area's corners, b: the other's).
+
+    Cells and formulas meet by merges: what grows with a sheet is not broadcast.
+    What many formulas ask alike, lookups and first cells, is looked for once.
+    """
+    cells = known.select("sheet", F.col("row").alias("r"), F.col("col").alias("c"), "v", _tested(F.col("v")).alias("w"), F.floor(F.col("row") / STRIPE).alias("stripe"))
     key = [*_KEY, "ask", "a", "b"]
 
     def within(rows: DataFrame, area: str) -> DataFrame:
-        striped = rows.withColumn("stripe", F.explode(F.sequence(F.floor(F.col(f"{area}.r1") / STRIPE), F.floor(F.col(f"{area}.r2") / STRIPE))))
-        met = striped.join(cells, ["sheet", "stripe"])
+        met = _striped(rows, known, F.col(f"{area}.r1"), F.col(f"{area}.r2")).join(cells.hint("merge"), ["sheet", "stripe"])
         return met.where(F.col("r").between(F.col(f"{area}.r1"), F.col(f"{area}.r2")) & F.col("c").between(F.col(f"{area}.c1"), F.col(f"{area}.c2"))).drop("stripe")
 
     def width(area: str) -> Column:
@@ -414,42 +436,45 @@ def _answers(asks: DataFrame, known: DataFrame) -> DataFrame:
     failed = _failed_cell
 
     # COUNTIF: the cells that are there, and those that are not where a blank meets.
-    counted = asks.where(name == "COUNTIF")
-    hits = within(counted, "a").groupBy(*_KEY, "ask.call").agg(F.count_if((F.col("v.kind") != "error") & _meets(F.col("v"), crit)).alias("hits"), F.count("*").alias("there"))
+    counted = asks.where(name == "COUNTIF").withColumn("asked", _criterion(crit))
+    hits = within(counted, "a").groupBy(*_KEY, "ask.call").agg(F.count_if((F.col("v.kind") != "error") & _meets(F.col("w"), F.col("asked"))).alias("hits"), F.count("*").alias("there"))
     size = (F.col("a.r2") - F.col("a.r1") + 1) * width("a")
-    blank = _meets(F.lit(None).cast(_CELL_KIND), crit)
-    counts = counted.withColumn("call", F.col("ask.call")).join(hits, [*_KEY, "call"], "left").select(
+    blank = _meets(_tested(F.lit(None).cast(_CELL_KIND)), F.col("asked"))
+    counts = counted.withColumn("call", F.col("ask.call")).join(hits.hint("merge"), [*_KEY, "call"], "left").select(
         *_KEY, "call", F.when(crit["kind"] == "error", failed(crit["txt"])).otherwise(as_number(F.coalesce("hits", F.lit(0)) + F.when(blank, size - F.coalesce("there", F.lit(0))).otherwise(0))).alias("v"))
 
     # SUMIF: the summed cells with the tested ones in the same place of their range, and errors among the tested.
-    summed = asks.where(name == "SUMIF")
+    summed = asks.where(name == "SUMIF").withColumn("asked", _criterion(crit))
     beside = within(summed, "b").withColumn("i", order("b"))
-    tested = cells.select("sheet", F.col("r").alias("tr"), F.col("c").alias("tc"), F.col("v").alias("t"))
-    paired = beside.withColumns({"tr": F.col("a.r1") + F.floor(F.col("i") / width("a")), "tc": F.col("a.c1") + F.col("i") % width("a")}).where("tr <= a.r2").join(tested, ["sheet", "tr", "tc"], "left")
-    met = _meets(F.col("t"), crit) & ~F.coalesce(F.col("t.kind") == "error", F.lit(False))
+    tested = cells.select("sheet", F.col("r").alias("tr"), F.col("c").alias("tc"), F.col("w").alias("t"))
+    paired = beside.withColumns({"tr": F.col("a.r1") + F.floor(F.col("i") / width("a")), "tc": F.col("a.c1") + F.col("i") % width("a")}).where("tr <= a.r2").join(tested.hint("merge"), ["sheet", "tr", "tc"], "left")
+    met = _meets(F.col("t"), F.col("asked")) & ~F.coalesce(F.col("t.kind") == "error", F.lit(False))
     sums = paired.groupBy(*_KEY, "ask.call").agg(F.sum(F.when(met, _numeric(F.col("v")))).alias("total"), F.min(F.when(met & (F.col("v.kind") == "error"), F.struct("i", "v.txt"))).alias("bad"))
     probes = within(summed, "a").where("v.kind = 'error'").groupBy(*_KEY, "ask.call").agg(F.min(F.struct(order("a").alias("i"), F.col("v.txt"))).alias("probe"))
     first_bad = F.least("bad", "probe")
-    totals = summed.withColumn("call", F.col("ask.call")).join(sums, [*_KEY, "call"], "left").join(probes, [*_KEY, "call"], "left").select(
+    totals = summed.withColumn("call", F.col("ask.call")).join(sums.hint("merge"), [*_KEY, "call"], "left").join(probes.hint("merge"), [*_KEY, "call"], "left").select(
         *_KEY, "call", F.when(crit["kind"] == "error", failed(crit["txt"])).when(first_bad.isNotNull(), failed(first_bad["txt"])).otherwise(as_number(F.coalesce("total", F.lit(0.0)))).alias("v"))
 
     # VLOOKUP: the first row of the range whose first cell is equal, then the cell beside it.
     looked = asks.where(name == "VLOOKUP").withColumn("index", F.floor(F.col("ask.second.num")))
     exact = F.col("ask.third").isNull() | F.coalesce(F.col("ask.third.flag"), F.col("ask.third.num") != 0, F.lit(False))
     wrong = F.when(crit["kind"] == "error", crit["txt"]).when(F.col("ask.second.kind") == "error", F.col("ask.second.txt")).when(F.col("index").isNull() | (F.col("index") < 1) | ~exact, F.lit("#VALUE!")).when(F.col("index") > width("a"), F.lit("#REF!"))
-    keys = looked.withColumn("k", F.struct(F.col("a.r1").alias("r1"), F.col("a.c1").alias("c1"), F.col("a.r2").alias("r2"), F.col("a.c1").alias("c2")))
-    hit = within(keys, "k").where((F.col("v.kind") == "error") | _equal(crit, F.col("v"))).groupBy(*_KEY, "ask.call").agg(F.min(F.struct("r", F.when(F.col("v.kind") == "error", F.col("v.txt")).alias("bad"))).alias("hit"))
-    found = looked.withColumn("call", F.col("ask.call")).join(hit, [*_KEY, "call"], "left")
+    # Equal searches of one column have one key: its corners, and what is looked for as text.
+    search = ["sheet", "k", "wanted"]
+    keys = looked.withColumns({"k": F.struct(F.col("a.r1").alias("r1"), F.col("a.c1").alias("c1"), F.col("a.r2").alias("r2"), F.col("a.c1").alias("c2")), "wanted": F.to_json(crit)})
+    once = keys.groupBy(*search).agg(F.first(crit).alias("crit"))
+    hit = within(once, "k").where((F.col("v.kind") == "error") | _equal(F.col("crit"), F.col("v"))).groupBy(*search).agg(F.min(F.struct("r", F.when(F.col("v.kind") == "error", F.col("v.txt")).alias("bad"))).alias("hit"))
+    found = keys.withColumn("call", F.col("ask.call")).join(hit.hint("merge"), search, "left")
     target = cells.select("sheet", F.col("r").alias("tr"), F.col("c").alias("tc"), F.col("v").alias("t"))
-    fetched = found.withColumns({"tr": F.col("hit.r"), "tc": F.col("a.c1") + F.col("index") - 1}).join(target, ["sheet", "tr", "tc"], "left")
+    fetched = found.withColumns({"tr": F.col("hit.r"), "tc": F.col("a.c1") + F.col("index") - 1}).join(target.hint("merge"), ["sheet", "tr", "tc"], "left")
     empty = typed(F.lit("empty"), F.lit(None).cast("string"))
     lookups = fetched.select(*_KEY, "call", F.when(wrong.isNotNull(), failed(wrong)).when(F.col("hit").isNull(), failed(F.lit("#N/A"))).when(F.col("hit.bad").isNotNull(), failed(F.col("hit.bad"))).otherwise(F.coalesce(F.col("t"), empty)).alias("v"))
 
     # The first cell of a range, or the first error in it.
     firsts = asks.where(name == "FIRST")
-    some = within(firsts, "a").withColumn("at", F.struct("r", "c"))
-    best = some.groupBy(*_KEY, "ask.call").agg(F.min_by("v", F.when((F.col("v.kind") == "error") | ((F.col("r") == F.col("a.r1")) & (F.col("c") == F.col("a.c1"))), F.struct((F.col("v.kind") != "error").alias("x"), "at"))).alias("v"))
-    tops = firsts.withColumn("call", F.col("ask.call")).join(best, [*_KEY, "call"], "left").select(*_KEY, "call", F.coalesce("v", empty).alias("v"))
+    some = within(firsts.select("sheet", "a").distinct(), "a").withColumn("at", F.struct("r", "c"))
+    best = some.groupBy("sheet", "a").agg(F.min_by("v", F.when((F.col("v.kind") == "error") | ((F.col("r") == F.col("a.r1")) & (F.col("c") == F.col("a.c1"))), F.struct((F.col("v.kind") != "error").alias("x"), "at"))).alias("v"))
+    tops = firsts.withColumn("call", F.col("ask.call")).join(best.hint("merge"), ["sheet", "a"], "left").select(*_KEY, "call", F.coalesce("v", empty).alias("v"))
     return counts.unionByName(totals).unionByName(lookups).unionByName(tops)
 
 
@@ -464,21 +489,21 @@ def recalculate(cells: DataFrame, *, force: bool = False) -> DataFrame:
     """
     spark, keep = cells.sparkSession, written
     base = cells.select(F.col("sheet").cast("string").alias("sheet"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "kind", "value", "formula")
-    known = base.where("kind <> 'empty'").select(*_KEY, typed(F.col("kind"), F.col("value")).alias("v"))
+    known = keep(base.where("kind <> 'empty'").select(*_KEY, typed(F.col("kind"), F.col("value")).alias("v")))
     due = (F.length(F.coalesce("formula", F.lit(""))) > 0) & (F.lit(force) | (F.coalesce("value", F.lit("")) == ""))
     shape, areas, singles, numbers = lexed(F.col("formula"))
     todo = base.where(due).select(*_KEY, shape.alias("shape"), areas.alias("areas"), singles.alias("singles"), F.transform(numbers, lambda n: n.try_cast("double")).alias("numbers"))
 
     row, col = _place(F.col("text"))
     single = todo.select(*_KEY, F.posexplode("singles").alias("i", "text")).select(*_KEY, "i", row.alias("r"), col.alias("c"))
-    there = single.join(known.select("sheet", F.col("row").alias("r"), F.col("col").alias("c"), "v"), ["sheet", "r", "c"], "left")
+    there = single.join(known.select("sheet", F.col("row").alias("r"), F.col("col").alias("c"), "v").hint("merge"), ["sheet", "r", "c"], "left")
     empty = typed(F.lit("empty"), F.lit(None).cast("string"))
     by_key = there.groupBy(*_KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("v", empty).alias("v")))), lambda x: x["v"]).alias("cells"))
     ends = lambda t: [_place(F.regexp_extract(t, rf"^({_PLACE})\s*:\s*({_PLACE})$", k)) for k in (1, 2)]
     (ra, ca), (rb, cb) = ends(F.col("text"))
     corner = todo.select(*_KEY, F.posexplode("areas").alias("area", "text")).select(*_KEY, "area", F.least(ra, rb).alias("r1"), F.least(ca, cb).alias("c1"), F.greatest(ra, rb).alias("r2"), F.greatest(ca, cb).alias("c2"))
     boxes = corner.groupBy(*_KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("area", "r1", "c1", "r2", "c2"))), lambda x: F.struct(x["r1"].alias("r1"), x["c1"].alias("c1"), x["r2"].alias("r2"), x["c2"].alias("c2"))).alias("boxes"))
-    ready = keep(todo.join(by_key, _KEY, "left").join(boxes, _KEY, "left").withColumn("kinds", F.array_join(F.transform(F.coalesce("cells", F.array().cast(f"array<{_CELL_KIND}>")), lambda x: x["kind"]), ",")))
+    ready = keep(todo.join(by_key.hint("merge"), _KEY, "left").join(boxes.hint("merge"), _KEY, "left").withColumn("kinds", F.array_join(F.transform(F.coalesce("cells", F.array().cast(f"array<{_CELL_KIND}>")), lambda x: x["kind"]), ",")))
 
     # A shape and the kinds of its cells: as many as there are different formulas, whatever the number of cells.
     signatures = [(r.shape, r.kinds) for r in ready.select("shape", "kinds").distinct().collect()]
@@ -494,7 +519,7 @@ def recalculate(cells: DataFrame, *, force: bool = False) -> DataFrame:
         used = ready.select(*_KEY, "shape", F.posexplode("boxes").alias("area", "box")).join(uses, ["shape", "area"]).select(*_KEY, "area", "box.*", "wanted", "texts")
         states = _range_states(used, known)
         filled = states.groupBy(*_KEY).agg(F.map_from_entries(F.collect_list(F.struct("area", "state"))).alias("states"))
-        ready = ready.join(filled, _KEY, "left")
+        ready = ready.join(filled.hint("merge"), _KEY, "left")
 
     asking = [x for x, m in made.items() if m and m.calls]
     if asking:
@@ -514,7 +539,7 @@ def recalculate(cells: DataFrame, *, force: bool = False) -> DataFrame:
         asks = reduce(DataFrame.unionByName, [batch(asking[i : i + SHAPES]) for i in range(0, len(asking), SHAPES)])
         asks = keep(asks.select(*_KEY, "ask", F.col("boxes")[F.col("ask.area")].alias("a"), F.col("boxes")[F.col("ask.other")].alias("b")))
         answers = _answers(asks, known).groupBy(*_KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("call", "v"))), lambda x: x["v"]).alias("answers"))
-        ready = keep(ready.join(answers, _KEY, "left"))
+        ready = keep(ready.join(answers.hint("merge"), _KEY, "left"))
         kinds_of = F.array_join(F.transform(F.coalesce("answers", F.array().cast(f"array<{_CELL_KIND}>")), lambda x: x["kind"]), ",")
         ready = ready.withColumn("found", kinds_of)
     else:
@@ -535,6 +560,6 @@ def recalculate(cells: DataFrame, *, force: bool = False) -> DataFrame:
     is_error = (v["kind"] == "error") | infinite | ((v["kind"] == "text") & v["txt"].startswith("#"))
     named = results.select(*[F.col(k).alias(f"__{k}") for k in _KEY], F.when(infinite, "#NUM!").otherwise(_shown(v)).alias("__value"), F.when(is_error, "error").when(v["kind"].isin("text", "empty"), "string").otherwise(v["kind"]).alias("__kind"))
     same = [F.col(k).cast("string" if k == "sheet" else "long") == F.col(f"__{k}") for k in _KEY]
-    joined = cells.join(named, same, "left")
+    joined = cells.join(named.hint("merge"), same, "left")
     new = {"kind": F.coalesce("__kind", "kind"), "value": F.coalesce("__value", "value")}
     return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in cells.columns])

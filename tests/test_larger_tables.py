@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridspark.operators import outline, rectangles
+from gridspark.operators import recalculate as rc
 from gridspark.queries import ORACLE_SQL, QUERIES
 
 
@@ -68,3 +69,16 @@ def test_stripes_that_span_batches(spark):
         assert "CoGroup" not in rectangles.rectangle_sums(cells, ranges, ["n"])._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_recalculation_looks_no_further_than_the_sheet(spark, monkeypatch):
+    """Ranges end with the sheet, equal lookups are made once, and nothing of a sheet's size is broadcast."""
+    made = []
+    striped = rc._striped
+    monkeypatch.setattr(rc, "_striped", lambda *x: made.append(striped(*x)) or made[-1])
+    cells = [("s", r, 0, "string", f"k{r % 3}", None) for r in range(200)] + [("s", r, 1, "number", str(r), None) for r in range(200)]
+    cells += [("s", r, 2, "empty", "", f"=VLOOKUP(A{r + 1},$A$1:$B$900000,2)") for r in range(200)] + [("s", r, 3, "empty", "", f'=COUNTIF(A{r + 1}:A900000,"k1")') for r in range(200)]
+    out = rc.recalculate(spark.createDataFrame(cells, "sheet string, row long, col long, kind string, value string, formula string"))
+    got = {(r.row, r.col): r.value for r in out.where("col > 1").collect()}
+    assert got == {(r, 2): str(r % 3) for r in range(200)} | {(r, 3): str(sum(q % 3 == 1 for q in range(r, 200))) for r in range(200)}
+    assert sorted(x.count() for x in made) == [0, 0, 0, 3 * 4, sum(4 - r // 64 for r in range(200))]
