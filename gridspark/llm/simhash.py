@@ -29,6 +29,9 @@ SEED = 42
 BUCKET = 512
 SPLIT_GROUPS = 6
 
+#: Links of a graph that one task joins up at most.
+FEW_LINKS = 1 << 16
+
 
 def _fingerprint(text: str | None) -> int:
     import xxhash
@@ -160,17 +163,40 @@ def links(distinct: DataFrame, *, radius: int = 3) -> DataFrame:
     return dealt.mapInPandas(_bucket_links(radius), "a long, b long").distinct()
 
 
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, to) of every node of links (a, b), of which there are few: ``to`` is the same for connected nodes."""
+    links = pa.Table.from_batches(list(batches))
+    values = pa.concat_arrays([*links.column(0).chunks, *links.column(1).chunks])
+    keys = zip(*[x.to_pylist() for x in values.flatten()], strict=True) if pa.types.is_struct(values.type) else values.to_pylist()
+    at: dict[object, int] = {}
+    number = [at.setdefault(key, len(at)) for key in keys]
+    root = list(range(len(at)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in zip(number[: len(links)], number[len(links) :], strict=True):
+        root[top(a)] = top(b)
+    places = np.unique(number, return_index=True)[1]
+    tops = np.array([top(x) for x in range(len(root))])
+    yield pa.RecordBatch.from_arrays([values.take(pa.array(places)), values.take(pa.array(places[tops]))], names=["node", "to"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): equal roots for connected nodes.
 
     Each round maps every node to the neighbour (or itself) that a random order
     of that round puts first, and contracts the graph along that map; nodes of
     a component fall by a constant factor a round, whatever its shape.  Rounds
-    are written to the shared folder.
+    are written to the shared folder.  The last FEW_LINKS links are joined up
+    in one task, since a round costs the driver as much for few as for many.
     """
     maps: list[DataFrame] = []
     edges = cut(edges.where("a != b").select("a", "b"))
-    while not edges.isEmpty():
+    while (count := edges.count()) > FEW_LINKS:
         order = F.xxhash64(F.lit(len(maps)), F.col("b"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(F.struct(order.alias("o"), F.col("b").alias("to"))).alias("best"))
@@ -181,6 +207,9 @@ def components(edges: DataFrame) -> DataFrame:
         right = step.select(F.col("node").alias("b"), F.col("to").alias("y"))
         moved = edges.join(left, "a").join(right, "b").where("x != y")
         edges = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    if count:
+        kind = dict(edges.dtypes)["a"]
+        maps.append(cut(edges.coalesce(1).mapInArrow(_joined_up, f"node {kind}, to {kind}")))
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = maps[-1].select("node", F.col("to").alias("root"))
