@@ -41,6 +41,9 @@ SHORT_LIST = 32
 LONG_LIST = 1 << 13
 BLOCK = 1024
 
+#: Lists that a set names, the smallest of its keys, for a pair to be compared in the first one that both name.
+NAMED = 16
+
 #: Postings of one key in one task from which the key counts as hot; its list never meets in one task.
 HOT = 64
 HOT_BITS = 1 << 22
@@ -526,16 +529,29 @@ def _verified(pairs: DataFrame, rows: DataFrame, threshold: tuple[int, int], shi
     return first if apart.isEmpty() else cut(first.unionByName(_similar(apart, rows, threshold, shingle)))
 
 
+def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, flags): lists of keys as rows of numbers from 1, filled up with 0, and a flag for each number, none set."""
+    size = column.value_lengths().to_numpy()
+    keys, number = np.unique(column.flatten().to_numpy(), return_inverse=True)
+    out = np.zeros((len(size), int(size.max(initial=0))), np.int64)
+    out[np.arange(out.shape[1]) < size[:, None]] = number + 1
+    return out, np.zeros(len(keys) + 1, bool)
+
+
 def _cells(members: DataFrame, sketches: DataFrame, threshold: tuple[int, int], *, forest: bool) -> DataFrame:
     """Pairs (a, b) of unlike roots within long lists (key, node, root), which sizes and sketches leave.
 
     With ``forest`` those of a cell that join what is still apart in it: fewer than its members.
 
     A list is dealt into blocks, and each cell of two blocks is one group of at
-    most about twice BLOCK members, compared where it is.
+    most about twice BLOCK members, compared where it is.  Near copies share
+    many lists; each set brings the names of its first ones, and a pair that
+    has a smaller one in common is left to that.
     """
     sized = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = members.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(sketches, "node")
+    names = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, NAMED).alias("names"))
+    dealt = members.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(sketches, "node").join(names, "node")
+    dealt = dealt.withColumn("names", F.filter("names", lambda x: x < F.col("key")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     cells = dealt.withColumn("other", other).withColumn("cell", F.struct("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")))
     num, den = threshold
@@ -544,12 +560,16 @@ def _cells(members: DataFrame, sketches: DataFrame, threshold: tuple[int, int],
         batch = table.combine_chunks().sort_by([("n", "ascending"), ("node", "ascending")]).to_batches()[0]
         node, n, root, block = (batch.column(c).to_numpy() for c in ("node", "n", "root", "block"))
         parts = _sketch_parts(batch.column("marks"))
+        names, named = _padded(batch.column("names"))
         crossing = len(np.unique(block)) > 1
         label = np.unique(root, return_inverse=True)[1]
         low, out = np.searchsorted(n, -(-num * n // den)), [np.zeros((2, 0), np.int64)]
         for j in range(len(n)):
             i = np.arange(low[j], j)
             i = i[(label[i] != label[j]) & ((block[i] != block[j]) | (not crossing))]
+            named[names[j]] = names[j] > 0
+            i = i[~named[names[i]].any(axis=1)]
+            named[names[j]] = False
             if len(i):
                 good = i[_alike(parts, parts, i, np.full(len(i), j), n[i], n[np.full(len(i), j)], threshold)]
                 if forest and len(good):
@@ -560,7 +580,7 @@ def _cells(members: DataFrame, sketches: DataFrame, threshold: tuple[int, int],
         a, b = np.concatenate(out, axis=1)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return cells.select("cell", "node", "n", "root", "block", "marks").groupBy("cell").applyInArrow(run, "a long, b long")
+    return cells.select("cell", "node", "n", "root", "block", "marks", "names").groupBy("cell").applyInArrow(run, "a long, b long")
 
 
 def similar_sets(rows: DataFrame, marked: DataFrame, keyed: DataFrame, frequent: np.ndarray, *, threshold: tuple[int, int] = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:

@@ -94,3 +94,31 @@ def test_query_equals_its_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{path}/documents.parquet'")
     assert got == Counter(con.sql(f"select doc_id, n_shingles, component_id from ({queries.ORACLE_SQL['op12_jaccard_join']})").fetchall())
+
+
+@pytest.mark.parametrize(("named", "block"), [(64, 1024), (2, 1024), (0, 1024), (2, 4)])
+def test_a_pair_is_compared_in_its_first_list(spark, monkeypatch, named, block):
+    """Near copies share many lists: a pair of them is written once, not once for each."""
+    monkeypatch.setattr(parity_join, "NAMED", named, raising=False)
+    monkeypatch.setattr(parity_join, "BLOCK", block)
+    rng = random.Random(5)
+    lists = [rng.sample(range(24), 22) for _ in range(30)] + [rng.sample(range(30), 2) for _ in range(20)]
+    keys = [rng.randrange(-(2**63), 2**63) for _ in lists]
+    members = [(key, x, x) for key, nodes in zip(keys, lists, strict=True) for x in nodes]
+    sketches = spark.createDataFrame([(x, 10, bytes(8)) for x in range(30)], "node long, n long, marks binary")
+    found = parity_join._cells(spark.createDataFrame(members, "key long, node long, root long"), sketches, parity_join.THRESHOLD, forest=False)
+    got = Counter(map(tuple, found.collect()))
+    want = {(a, b) for nodes in lists for a in nodes for b in nodes if a < b}
+    assert set(got) == want
+    if named == 64:
+        assert got.total() == len(want)
+    elif named and block == 1024:
+        assert got.total() < 2 * len(want)
+
+
+@pytest.mark.parametrize("settings", [{"SHORT_LIST": 2, "NAMED": 1}, {"SHORT_LIST": 3, "BLOCK": 8, "NAMED": 3}])
+def test_join_equals_all_pairs_with_few_names(spark, documents, monkeypatch, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(parity_join, name, value)
+    rows = list(enumerate(made(random.Random(sum(settings.values())), 120)))
+    assert Counter(map(tuple, parity_join.near_join(documents(*rows)).select("id", "n_shingles", "component_id").collect())) == plain(rows)
