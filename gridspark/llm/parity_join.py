@@ -538,35 +538,44 @@ def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.zeros(len(keys) + 1, bool)
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members (key, node, ...) of long lists by ``cell``, with their ``block`` and whether its own pairs are compared in the cell (``within``).
+
+    A list is dealt into blocks, and each two blocks are a cell, one group of at
+    most about twice BLOCK members; the next block's cell has a block's own
+    pairs, too.  So a list of two blocks is one cell, and one of k blocks has
+    each member k - 1 times.
+    """
+    sized = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = members.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: (x != F.col("block")) | (F.col("blocks") == 1))
+    cells = dealt.withColumn("other", F.explode(others)).withColumn("within", F.col("other") == (F.col("block") + 1) % F.col("blocks"))
+    return cells.withColumn("cell", F.struct("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))).drop("blocks", "other")
+
+
 def _cells(members: DataFrame, sketches: DataFrame, threshold: tuple[int, int], *, forest: bool) -> DataFrame:
     """Pairs (a, b) of unlike roots within long lists (key, node, root), which sizes and sketches leave.
 
     With ``forest`` those of a cell that join what is still apart in it: fewer than its members.
 
-    A list is dealt into blocks, and each cell of two blocks is one group of at
-    most about twice BLOCK members, compared where it is.  Near copies share
-    many lists; each set brings the names of its first ones, and a pair that
-    has a smaller one in common is left to that.
+    Near copies share many lists; each set brings the names of its first ones,
+    and a pair that has a smaller one in common is left to that.
     """
-    sized = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     names = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, NAMED).alias("names"))
-    dealt = members.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(sketches, "node").join(names, "node")
-    dealt = dealt.withColumn("names", F.filter("names", lambda x: x < F.col("key")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    cells = dealt.withColumn("other", other).withColumn("cell", F.struct("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")))
+    cells = _dealt(members).join(sketches, "node").join(names, "node").withColumn("names", F.filter("names", lambda x: x < F.col("key")))
     num, den = threshold
 
     def run(table: pa.Table) -> pa.Table:
         batch = table.combine_chunks().sort_by([("n", "ascending"), ("node", "ascending")]).to_batches()[0]
         node, n, root, block = (batch.column(c).to_numpy() for c in ("node", "n", "root", "block"))
+        within = batch.column("within").to_numpy(zero_copy_only=False)
         parts = _sketch_parts(batch.column("marks"))
         names, named = _padded(batch.column("names"))
-        crossing = len(np.unique(block)) > 1
         label = np.unique(root, return_inverse=True)[1]
         low, out = np.searchsorted(n, -(-num * n // den)), [np.zeros((2, 0), np.int64)]
         for j in range(len(n)):
             i = np.arange(low[j], j)
-            i = i[(label[i] != label[j]) & ((block[i] != block[j]) | (not crossing))]
+            i = i[(label[i] != label[j]) & ((block[i] != block[j]) | within[j])]
             named[names[j]] = names[j] > 0
             i = i[~named[names[i]].any(axis=1)]
             named[names[j]] = False
@@ -580,7 +589,7 @@ def _cells(members: DataFrame, sketches: DataFrame, threshold: tuple[int, int],
         a, b = np.concatenate(out, axis=1)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return cells.select("cell", "node", "n", "root", "block", "marks", "names").groupBy("cell").applyInArrow(run, "a long, b long")
+    return cells.select("cell", "node", "n", "root", "block", "within", "marks", "names").groupBy("cell").applyInArrow(run, "a long, b long")
 
 
 def similar_sets(rows: DataFrame, marked: DataFrame, keyed: DataFrame, frequent: np.ndarray, *, threshold: tuple[int, int] = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:

@@ -96,7 +96,7 @@ def test_query_equals_its_sql(spark):
     assert got == Counter(con.sql(f"select doc_id, n_shingles, component_id from ({queries.ORACLE_SQL['op12_jaccard_join']})").fetchall())
 
 
-@pytest.mark.parametrize(("named", "block"), [(64, 1024), (2, 1024), (0, 1024), (2, 4)])
+@pytest.mark.parametrize(("named", "block"), [(64, 1024), (2, 1024), (0, 1024), (2, 4), (64, 4)])
 def test_a_pair_is_compared_in_its_first_list(spark, monkeypatch, named, block):
     """Near copies share many lists: a pair of them is written once, not once for each."""
     monkeypatch.setattr(parity_join, "NAMED", named, raising=False)
@@ -112,10 +112,23 @@ def test_a_pair_is_compared_in_its_first_list(spark, monkeypatch, named, block):
     assert set(got) == want
     if named == 64:
         assert got.total() == len(want)
-    elif named and block == 1024:
+    elif named:
         assert got.total() < 2 * len(want)
 
 
+def test_cells_hold_a_member_no_oftener_than_pairs_need(spark, monkeypatch):
+    """A list of two blocks is one cell; each pair of a list is compared in one cell, of about two blocks."""
+    monkeypatch.setattr(parity_join, "BLOCK", 20)
+    members = spark.createDataFrame([(size, x) for size in (2, 20, 40, 41, 100) for x in range(size)], "key long, node long")
+    cells: dict[tuple[int, int, int], list] = {}
+    for r in parity_join._dealt(members).collect():
+        cells.setdefault(tuple(r.cell), []).append(r)
+    held = Counter((r.key, r.node) for rows in cells.values() for r in rows)
+    assert {size: {n for (key, _), n in held.items() if key == size} for size in (2, 20, 40, 41, 100)} == {2: {1}, 20: {1}, 40: {1}, 41: {2}, 100: {4}}
+    pairs = Counter((a.key, a.node, b.node) for rows in cells.values() for a in rows for b in rows if a.node < b.node and (a.block != b.block or a.within))
+    assert pairs == Counter((size, a, b) for size in (2, 20, 40, 41, 100) for b in range(size) for a in range(b))
+
+
 @pytest.mark.parametrize("settings", [{"SHORT_LIST": 2, "NAMED": 1}, {"SHORT_LIST": 3, "BLOCK": 8, "NAMED": 3}])
 def test_join_equals_all_pairs_with_few_names(spark, documents, monkeypatch, settings):
     for name, value in settings.items():
