@@ -248,7 +248,7 @@ def timeline_filter(spark, sf_dir):
 @_query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN format('({:,.2f})', -c_acctbal) ELSE format('{:,.2f}', c_acctbal) END AS money,
 CASE WHEN c_acctbal < 0 THEN '#ff0000' END AS money_colour, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || format('{:.1f}', abs(c_acctbal) / 10000 * 100) || '%' AS share FROM customer""")
 def numfmt_thousands_pct_neg(spark, sf_dir):
-    money, colour = nf.format_code(F.col("c_acctbal"), "#,##0.00;[Red](#,##0.00)", half_even=True)
+    money, colour = nf.format_code(F.col("c_acctbal"), "#,##0.00;[Red](#,##0.00)", half_even=True, signed_zero=True)
     share, _ = nf.format_code(F.col("c_acctbal") / 10000, "0.0%", half_even=True)
     return _t(spark, sf_dir, "customer").select("c_custkey", money.alias("money"), colour.alias("money_colour"), share.alias("share"))
 

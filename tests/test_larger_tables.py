@@ -28,6 +28,13 @@ def test_exact_halves_of_formats(spark, tmp_path):
     assert len(got) == 880 and got == want
 
 
+def test_negative_zeros_of_formats(spark, tmp_path):
+    """Rounding a small debt to cents leaves -0.0, which the SQL's format shows with its sign."""
+    made = "select i as c_custkey, [round(-0.004 :: double, 2), 0.0, -0.0, -0.001, 0.001, -0.01, null][i + 1] :: double as c_acctbal from range(7) t(i)"
+    got, want = compared(spark, tmp_path, "numfmt_thousands_pct_neg", customer=made)
+    assert got == want and ("0", "-0.00", "None", "0.0%") in {tuple(map(str, r)) for r in got}
+
+
 LINES = """select i as l_orderkey, i % 5 + 1 :: integer as l_linenumber, 3 as l_partkey, 4 as l_suppkey, 900.0 + i % 77 as l_extendedprice, (i * 7 % 50) :: double as l_quantity, 0.05 as l_discount, (i % 9) / 100.0 as l_tax,
 case when i % 10 < 8 then 'A' when i % 10 = 8 then 'N' else 'R' end as l_returnflag, 'O' as l_linestatus, timestamp '1996-01-01' as l_shipdate from range(3000) t(i)"""
 PARTS = "select i as p_partkey, (i % 50 + 1) :: integer as p_size from range(60) t(i)"
