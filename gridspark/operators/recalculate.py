@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions import scalar as s
@@ -20,12 +20,19 @@ from gridspark.functions.references import index_column
 from gridspark.functions.values import ERRORS, Value, as_boolean, as_text, boolean, first_error, number_text, parse_number
 from gridspark.operators.range_criteria import read_criterion
 from gridspark.operators.rectangles import STRIPE, rectangle_sums
-from gridspark.operators.stage import written
+from gridspark.operators.stage import partitions, written
 from gridspark.plans import formula as reader
 
 #: Shapes compiled into one plan; more are evaluated in as many further ones.
 SHAPES = 40
 
+#: In sheets of so many rows at most, COUNTIF and SUMIF compare the cells of each range; in larger ones, criteria are met once.
+NEAR = 256
+#: Rows of a block: sums run down within it, and from block to block.
+BLOCK = 4096
+#: Ranges of so many places at most meet their cells by place.
+PLACES = 64
+
 # Marks that stand for references and numbers in a shape.
 _CELL, _AREA, _NUMBER = "\x01", "\x02", "\x03"
 _UNQUOTED = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
@@ -115,14 +122,15 @@ def _meets(tested: Column, criterion: Column) -> Column:
     return F.coalesce(F.when(criterion["kind"] == "text", text).when(criterion["kind"] == "empty", blank).otherwise(same), F.lit(False))
 
 
-def lexed(formula: Column) -> tuple[Column, Column, Column, Column]:
-    """(shape, areas, cells, numbers) of a formula's text; quoted texts stay in the shape."""
-    areas = F.regexp_extract_all(formula, F.lit(_AREA_RE), F.lit(0))
-    without = F.regexp_replace(formula, _AREA_RE, _AREA)
-    cells = F.regexp_extract_all(without, F.lit(_CELL_RE), F.lit(0))
-    without = F.regexp_replace(without, _CELL_RE, _CELL)
-    numbers = F.regexp_extract_all(without, F.lit(_NUMBER_RE), F.lit(0))
-    return F.regexp_replace(without, _NUMBER_RE, _NUMBER), areas, cells, numbers
+def lexed(rows: DataFrame, formula: str) -> DataFrame:
+    """``rows`` with (shape, areas, singles, numbers) of a formula's text; quoted texts stay in the shape.
+
+    A step a column, so that each text is searched once.
+    """
+    found = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    rows = rows.withColumns({"areas": found(F.col(formula), _AREA_RE), "__bare": F.regexp_replace(formula, _AREA_RE, _AREA)})
+    rows = rows.withColumns({"singles": found(F.col("__bare"), _CELL_RE), "__barer": F.regexp_replace("__bare", _CELL_RE, _CELL)}).drop("__bare")
+    return rows.withColumns({"numbers": found(F.col("__barer"), _NUMBER_RE), "shape": F.regexp_replace("__barer", _NUMBER_RE, _NUMBER)}).drop("__barer")
 
 
 def _place(text: Column) -> tuple[Column, Column]:
@@ -383,31 +391,144 @@ def _striped(rows: DataFrame, known: DataFrame, first: Column, last: Column) ->
     return clipped.withColumn("stripe", F.explode(F.sequence(F.floor(first / STRIPE), F.floor(F.least(last, F.col("__used")) / STRIPE)))).drop("__used")
 
 
-def _range_states(areas: DataFrame, known: DataFrame) -> DataFrame:
-    """(key, area, state) of areas (key, area, r1, c1, r2, c2, whether their cells are wanted and not only sums, and their texts)."""
-    number = F.coalesce(_numeric(F.col("v")), F.lit(0.0))
+def _covered(rows: DataFrame, by: list[str], first: Column, last: Column) -> DataFrame:
+    """(by, stripe) of the stripes that the ranges of a group touch, each once: where more ranges have begun than ended."""
+    step = lambda at, n: F.struct(F.floor(at / STRIPE).alias("stripe"), F.lit(n).alias("open"))
+    ends = rows.select(*by, F.explode(F.array(step(first, 1), step(last + STRIPE, -1))).alias("at")).groupBy(*by, "at.stripe").agg(F.sum("at.open").alias("open"))
+    down = Window.partitionBy(*by).orderBy("stripe")
+    spans = ends.select(*by, "stripe", F.sum("open").over(down).alias("open"), F.lead("stripe").over(down).alias("until")).where("open > 0")
+    return spans.select(*by, F.explode(F.sequence(F.col("stripe"), F.col("until") - 1)).alias("stripe"))
+
+
+def _equal_to(criterion: Column) -> Column:
+    """What a cell that meets a criterion of equality has among its keys; null for other criteria, and those that blanks meet."""
+    kind, wanted, operand = criterion["kind"], criterion["wanted"], criterion["operand"]
+    number = lambda n: F.concat(F.lit("n"), (n + F.lit(0.0)).cast("string"))
+    text = F.when(wanted.isNotNull(), number(wanted)).when(operand != "", F.concat(F.lit("t"), operand))
+    return F.when(kind == "number", number(criterion["num"])).when(kind == "boolean", F.concat(F.lit("b"), criterion["flag"].cast("string"))).when((kind == "text") & (criterion["sign"] == "="), text)
+
+
+def _equals(tested: Column) -> Column:
+    number, text, flag = F.concat(F.lit("n"), (tested["spelt"] + F.lit(0.0)).cast("string")), F.concat(F.lit("t"), tested["cell"]), F.concat(F.lit("b"), tested["flag"].cast("string"))
+    return F.array_compact(F.array(number, text, flag))
+
+
+_MET = ["hits", "there", "num", "odd", "bad", "most"]
+
+
+def _met_once(asks: DataFrame, known: DataFrame, cells: DataFrame) -> DataFrame:
+    """(key, call, hits, there, num, odd, bad, most) of COUNTIF and SUMIF (key, ask, a, b, asked, blank), both ranges of one width.
+
+    Ranges of the same columns with the same criterion are a set.  The cells
+    that meet the criterion are found once a set, those equal to a value by
+    it; a range is the difference of two sums down the set's rows.  Numbers
+    are ten-thousandths; ``odd`` counts those that are none, ``bad`` errors.
+    """
+    at, to = F.col("a.r1") - F.col("b.r1"), F.col("a.c1") - F.col("b.c1")
+    sets = asks.select(*_KEY, F.col("ask.call").alias("call"), "asked", "blank", "a", F.col("b.r1").alias("lo"), F.least(F.col("b.r2"), F.col("a.r2") - at).alias("hi"), F.col("b.c1").alias("c1"), F.col("b.c2").alias("c2"), at.alias("dr"), to.alias("dc"), _equal_to(F.col("asked")).alias("key"), (F.col("ask.name") == "SUMIF").alias("sums"))
+    sets = written(sets.withColumn("set", F.to_json(F.struct("asked", "c1", "c2", "dr", "dc"))))
+    used = known.groupBy("sheet").agg(F.max("row").alias("used"))
+    by = ["sheet", "set", "asked", "blank", "key", "c1", "c2", "dr", "dc"]
+    own, equal = (F.col("dr") == 0) & (F.col("dc") == 0), F.col("key").isNotNull()
+    # What is searched for equal values are the tested cells, otherwise the summed ones.
+    shift = F.when(equal, F.col("dr")).otherwise(F.lit(0))
+    clipped = sets.join(used, "sheet").select(*by, (F.col("lo") + shift).alias("from"), F.least(F.col("hi") + shift, "used").alias("till")).where("`from` <= till")
+    covered = written(_covered(clipped, by, F.col("from"), F.col("till")))
+    one = cells.select("sheet", "r", "c", "v", "w", "stripe")
+    tested = cells.select("sheet", F.col("r").alias("tr"), F.col("c").alias("tc"), "w")
+    there = ["sheet", "set", "asked", "blank", "r", "v", "w"]
+    parts = []
+    for by_value, same in [(r[0], r[1]) for r in covered.select(equal, own).distinct().collect()]:
+        some = covered.where((equal == by_value) & (own == same))
+        if by_value:
+            keyed = one.select("*", F.explode(_equals(F.col("w"))).alias("key"))
+            found = some.join(keyed.hint("merge"), ["sheet", "key", "stripe"]).where((F.col("c") - F.col("dc")).between(F.col("c1"), F.col("c2")))
+            if not same:
+                moved = found.drop("v").withColumns({"r": F.col("r") - F.col("dr"), "c": F.col("c") - F.col("dc")})
+                found = moved.join(one.select("sheet", "r", "c", "v").hint("merge"), ["sheet", "r", "c"])
+        else:
+            found = some.join(one.hint("merge"), ["sheet", "stripe"]).where(F.col("c").between(F.col("c1"), F.col("c2")))
+            if not same:
+                moved = found.drop("w").withColumns({"tr": F.col("r") + F.col("dr"), "tc": F.col("c") + F.col("dc")})
+                found = moved.join(tested.hint("merge"), ["sheet", "tr", "tc"], "left")
+        parts.append(found.select(*there))
+    hit = _meets(F.col("w"), F.col("asked")) & ~F.coalesce(F.col("w.kind") == "error", F.lit(False))
+    units, whole = _in_units(_numeric(F.col("v")))
+    layers = {
+        "hits": hit.cast("double"), "there": F.lit(1.0), "num": F.when(hit & whole, units).otherwise(0.0), "odd": (hit & ~whole).cast("double"), "bad": (hit & (F.col("v.kind") == "error")).cast("double"),
+    }
+    bad = known.where("v.kind = 'error'")
+    errors = not bad.isEmpty()
+    # Errors among tested cells fail a sum wherever they are in their range: a set of their own for each width of it.
+    tests = F.to_json(F.struct(F.col("a.c1").alias("errors"), F.col("a.c2").alias("to")))
+    none = {n: F.lit(0.0) for n in ("hits", "there", "num", "odd")}
+    if errors:
+        widths = sets.where("sums").select("sheet", tests.alias("set"), F.col("a.c1").alias("c1"), F.col("a.c2").alias("c2")).distinct()
+        amiss = widths.join(bad.select("sheet", "row", "col"), "sheet").where("col BETWEEN c1 AND c2").select("sheet", "set", F.col("row").alias("r"), *[c.alias(n) for n, c in (none | {"bad": F.lit(1.0)}).items()])
+    met = [p.where(hit | F.col("blank")).select("sheet", "set", "r", *[c.alias(n) for n, c in layers.items()]) for p in parts] + ([amiss] if errors else [])
+    point = lambda name, r, sign: F.struct(name.alias("set"), r.alias("r"), F.lit(sign).alias("sign"))
+    points = F.array(point(F.col("set"), F.col("hi"), 1.0), point(F.col("set"), F.col("lo") - 1, -1.0))
+    if errors:
+        points = F.when(F.col("sums"), F.concat(points, F.array(point(tests, F.col("a.r2"), 1.0), point(tests, F.col("a.r1") - 1, -1.0)))).otherwise(points)
+    wanted = sets.select(*_KEY, "call", F.explode(points).alias("at")).select("sheet", "at.set", "at.r", "at.sign", F.struct("row", "col", "call").alias("of")).where("r >= 0")
+    names = _MET[:-1]
+    zeros = {n: F.lit(0.0) for n in names}
+    nothing = wanted.limit(0).select("sheet", "set", "r", *[c.alias(n) for n, c in zeros.items()])
+    met = reduce(DataFrame.unionByName, met or [nothing]).withColumn("block", F.floor(F.col("r") / BLOCK))
+    every = met.withColumns({"sign": F.lit(None).cast("double"), "of": F.lit(None).cast("struct<row:bigint,col:bigint,call:int>")}).unionByName(wanted.withColumns(zeros | {"block": F.floor(F.col("r") / BLOCK)}))
+    down = Window.partitionBy("sheet", "set", "block").orderBy("r").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = every.select("sheet", "set", "block", "sign", "of", *[F.sum(n).over(down).alias(n) for n in names]).where("of IS NOT NULL")
+    # Blocks before: as many as a set's rows have blocks of cells or of ends.
+    totals = met.select("sheet", "set", "block", *names, F.abs("num").alias("most")).unionByName(wanted.select("sheet", "set", F.floor(F.col("r") / BLOCK).alias("block"), *[F.lit(0.0).alias(n) for n in _MET]))
+    totals = totals.groupBy("sheet", "set", "block").agg(*[F.sum(n).alias(n) for n in _MET])
+    before = Window.partitionBy("sheet", "set").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = totals.select("sheet", "set", "block", *[F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(f"{n}_ahead") for n in names], F.sum("most").over(Window.partitionBy("sheet", "set")).alias("most"))
+    placed = upto.join(ahead.hint("merge"), ["sheet", "set", "block"])
+    return placed.groupBy("sheet", "of").agg(*[F.sum(F.col("sign") * (F.col(n) + F.col(f"{n}_ahead"))).alias(n) for n in names], F.max("most").alias("most")).select("sheet", "of.*", *_MET)
+
+
+def _in_units(numeric: Column) -> tuple[Column, Column]:
+    """(ten-thousandths of a number, 0 if there is none; whether they are the number exactly)."""
+    number = F.coalesce(numeric, F.lit(0.0))
     units = F.floor(number * UNIT + 0.5).cast("double")
-    whole = (F.abs(number) < EXACT / UNIT / UNIT) & (units / UNIT == number)
-    layered = known.select(*_KEY, F.when(whole, units).otherwise(0.0).alias("num"), (~whole).cast("double").alias("odd"), _numeric(F.col("v")).isNotNull().cast("double").alias("n"), (F.col("v.kind") == "number").cast("double").alias("numbers"), (F.col("v.kind").isin("number", "boolean") | ((F.col("v.kind") == "text") & (F.col("v.txt") != ""))).cast("double").alias("filled"), (F.col("v.kind") == "error").cast("double").alias("bad"))
-    rects = areas.select(F.col("sheet"), F.col("r1").alias("row"), F.col("c1").alias("col"), F.col("r2").alias("end_row"), F.col("c2").alias("end_col"), "wanted", "texts").groupBy("sheet", "row", "col", "end_row", "end_col").agg(F.max("wanted").alias("wanted"), F.max("texts").alias("texts"))
-    sheets = layered.groupBy("sheet").agg(F.sum(F.abs("num")).alias("most"))
-    sums = rectangle_sums(layered, rects, [*_LAYERS, "odd"]).join(sheets, "sheet", "left")
-    sums = sums.withColumn("apart", (F.col("odd") > 0) | F.coalesce(F.col("most") >= EXACT, F.lit(False))).drop("most", "odd")
-    # The cells of a range themselves: where their order or extremes count, and for the code of an error.
-    open_ = sums.where("wanted OR apart OR bad > 0").select("sheet", "row", "col", "end_row", "end_col", "texts")
-    striped = _striped(open_, known, F.col("row"), F.col("end_row"))
-    cells = known.select("sheet", F.col("row").alias("r"), F.col("col").alias("c"), "v", F.floor(F.col("row") / STRIPE).alias("stripe"))
-    inside = striped.join(cells.hint("merge"), ["sheet", "stripe"]).where("r BETWEEN row AND end_row AND c BETWEEN col AND end_col")
-    v, place = F.col("v"), F.struct("r", "c")
-    box = ["sheet", "row", "col", "end_row", "end_col"]
+    return units, (F.abs(number) < EXACT / UNIT / UNIT) & (units / UNIT == number)
+
+
+def _range_states(areas: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, area, state) of areas (key, area, r1, c1, r2, c2, whether their cells are wanted and not only sums, and their texts).
+
+    Small ranges meet their cells by place; of larger ones, sums come from a
+    summed-area table and the rest from stripes of rows.
+    """
+    v, place, box = F.col("v"), F.struct("r", "c"), ["sheet", "row", "col", "end_row", "end_col"]
+    units, whole = _in_units(_numeric(v))
+    layers = {
+        "num": F.when(whole, units).otherwise(0.0), "n": _numeric(v).isNotNull().cast("double"), "numbers": (v["kind"] == "number").cast("double"),
+        "filled": (v["kind"].isin("number", "boolean") | ((v["kind"] == "text") & (v["txt"] != ""))).cast("double"), "bad": (v["kind"] == "error").cast("double"), "odd": (~whole).cast("double"),
+    }
     # Only CONCAT needs a range's texts together: they are one cell's text in the end.
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("texts"), F.struct("r", "c", _shown(v).alias("t"))))), lambda x: x["t"]), "")
-    more = inside.groupBy(*box).agg(
+    own = [
         F.sum(_numeric(v)).alias("added"), F.min(_numeric(v)).alias("least"), F.max(_numeric(v)).alias("greatest"), F.bool_and(_truth(v)).alias("every"), F.bool_or(_truth(v)).alias("some"),
         texts.alias("text"), F.min_by(v["txt"], F.when(v["kind"] == "error", place)).alias("error"),
-    )
-    num = F.when(F.col("apart"), F.coalesce("added", F.lit(0.0))).otherwise(F.col("num") / UNIT)
-    full = sums.join(more, box, "left").withColumn("num", num).select(*box, F.struct(*_LAYERS, "least", "greatest", "every", "some", "text", "error").alias("state"))
+    ]
+    rects = areas.select(F.col("sheet"), F.col("r1").alias("row"), F.col("c1").alias("col"), F.col("r2").alias("end_row"), F.col("c2").alias("end_col"), "wanted", "texts").groupBy(*box).agg(F.max("wanted").alias("wanted"), F.max("texts").alias("texts"))
+    rects = rects.withColumn("near", (F.col("end_row") - F.col("row") + 1) * (F.col("end_col") - F.col("col") + 1) <= PLACES)
+    cells = known.select("sheet", F.col("row").alias("r"), F.col("col").alias("c"), "v")
+    near = rects.where("near").withColumn("r", F.explode(F.sequence("row", "end_row"))).withColumn("c", F.explode(F.sequence("col", "end_col"))).join(cells.hint("merge"), ["sheet", "r", "c"], "left")
+    there = {n: F.sum(F.when(v.isNotNull(), c).otherwise(0.0)) for n, c in layers.items()} | {"most": F.sum(F.when(v.isNotNull(), F.abs(layers["num"])).otherwise(0.0))}
+    small = near.groupBy(*box).agg(*[c.alias(n) for n, c in there.items()], *own)
+
+    layered = known.select(*_KEY, *[c.alias(n) for n, c in layers.items()])
+    sheets = layered.groupBy("sheet").agg(F.sum(F.abs("num")).alias("most"))
+    sums = written(rectangle_sums(layered, rects.where("NOT near"), [*_LAYERS, "odd"]).join(sheets, "sheet", "left"))
+    apart = (F.col("odd") > 0) | F.coalesce(F.col("most") >= EXACT, F.lit(False))
+    # The cells of a range themselves: where their order or extremes count, and for the code of an error.
+    open_ = sums.where(F.col("wanted") | apart | (F.col("bad") > 0)).select(*box, "texts")
+    inside = _striped(open_, known, F.col("row"), F.col("end_row")).join(cells.withColumn("stripe", F.floor(F.col("r") / STRIPE)).hint("merge"), ["sheet", "stripe"]).where("r BETWEEN row AND end_row AND c BETWEEN col AND end_col")
+    large = sums.join(inside.groupBy(*box).agg(*own), box, "left").select(small.columns)
+    num = F.when(apart, F.coalesce("added", F.lit(0.0))).otherwise(F.col("num") / UNIT)
+    full = small.unionByName(large).withColumn("num", num).select(*box, F.struct(*_LAYERS, "least", "greatest", "every", "some", "text", "error").alias("state"))
     keyed = full.select(F.col("sheet"), *[F.col(a).alias(b) for a, b in (("row", "r1"), ("col", "c1"), ("end_row", "r2"), ("end_col", "c2"))], "state")
     return areas.join(keyed.hint("merge"), ["sheet", "r1", "c1", "r2", "c2"]).select(*_KEY, "area", "state")
 
@@ -416,7 +537,8 @@ def _answers(asks: DataFrame, known: DataFrame) -> DataFrame:
     """(key, call, v) of what is asked of the cells of ranges (key, ask, a: the area's corners, b: the other's).
 
     Cells and formulas meet by merges: what grows with a sheet is not broadcast.
-    What many formulas ask alike, lookups and first cells, is looked for once.
+    What many formulas ask alike, lookups and first cells, is looked for once;
+    so is what meets a criterion, but in small sheets.
     """
     cells = known.select("sheet", F.col("row").alias("r"), F.col("col").alias("c"), "v", _tested(F.col("v")).alias("w"), F.floor(F.col("row") / STRIPE).alias("stripe"))
     key = [*_KEY, "ask", "a", "b"]
@@ -435,16 +557,31 @@ def _answers(asks: DataFrame, known: DataFrame) -> DataFrame:
     as_number = lambda n: F.struct(F.lit("number").alias("kind"), n.cast("double").alias("num"), F.lit(None).cast("string").alias("txt"), F.lit(None).cast("boolean").alias("flag"))
     failed = _failed_cell
 
+    blank = _meets(_tested(F.lit(None).cast(_CELL_KIND)), F.col("asked"))
+    size = (F.col("a.r2") - F.col("a.r1") + 1) * width("a")
+    code = F.when(crit["kind"] == "error", crit["txt"])
+    conditional = asks.where(name.isin("COUNTIF", "SUMIF")).withColumn("asked", _criterion(crit)).withColumn("blank", blank)
+    # Sheets where criteria are met once: in small ones, and for ranges that pair in another way, cells are compared one by one.
+    large = known.groupBy("sheet").agg(F.max("row").alias("__used")).where(F.col("__used") >= NEAR).select("sheet")
+    summable = code.isNull() & (width("a") == width("b"))
+    first = conditional.where(summable).join(large, "sheet", "left_semi")
+    apart, once_met = conditional, None
+    if not first.isEmpty():
+        sums = written(_met_once(first, known, cells))
+        clean = (name == "COUNTIF") | ((F.col("bad") == 0) & (F.col("odd") == 0) & (F.col("most") < EXACT))
+        both = conditional.withColumn("call", F.col("ask.call")).join(sums.hint("merge"), [*_KEY, "call"], "left")
+        total = F.when(name == "COUNTIF", F.col("hits") + F.when(F.col("blank"), size - F.col("there")).otherwise(0.0)).otherwise(F.col("num") / UNIT)
+        once_met = both.where(F.col("hits").isNotNull() & clean).select(*_KEY, "call", as_number(total).alias("v"))
+        apart = both.where(F.col("hits").isNull() | ~clean).select(*conditional.columns)
+
     # COUNTIF: the cells that are there, and those that are not where a blank meets.
-    counted = asks.where(name == "COUNTIF").withColumn("asked", _criterion(crit))
+    counted = apart.where(name == "COUNTIF")
     hits = within(counted, "a").groupBy(*_KEY, "ask.call").agg(F.count_if((F.col("v.kind") != "error") & _meets(F.col("w"), F.col("asked"))).alias("hits"), F.count("*").alias("there"))
-    size = (F.col("a.r2") - F.col("a.r1") + 1) * width("a")
-    blank = _meets(_tested(F.lit(None).cast(_CELL_KIND)), F.col("asked"))
     counts = counted.withColumn("call", F.col("ask.call")).join(hits.hint("merge"), [*_KEY, "call"], "left").select(
-        *_KEY, "call", F.when(crit["kind"] == "error", failed(crit["txt"])).otherwise(as_number(F.coalesce("hits", F.lit(0)) + F.when(blank, size - F.coalesce("there", F.lit(0))).otherwise(0))).alias("v"))
+        *_KEY, "call", F.when(crit["kind"] == "error", failed(crit["txt"])).otherwise(as_number(F.coalesce("hits", F.lit(0)) + F.when(F.col("blank"), size - F.coalesce("there", F.lit(0))).otherwise(0))).alias("v"))
 
     # SUMIF: the summed cells with the tested ones in the same place of their range, and errors among the tested.
-    summed = asks.where(name == "SUMIF").withColumn("asked", _criterion(crit))
+    summed = apart.where(name == "SUMIF")
     beside = within(summed, "b").withColumn("i", order("b"))
     tested = cells.select("sheet", F.col("r").alias("tr"), F.col("c").alias("tc"), F.col("w").alias("t"))
     paired = beside.withColumns({"tr": F.col("a.r1") + F.floor(F.col("i") / width("a")), "tc": F.col("a.c1") + F.col("i") % width("a")}).where("tr <= a.r2").join(tested.hint("merge"), ["sheet", "tr", "tc"], "left")
@@ -475,7 +612,8 @@ def _answers(asks: DataFrame, known: DataFrame) -> DataFrame:
     some = within(firsts.select("sheet", "a").distinct(), "a").withColumn("at", F.struct("r", "c"))
     best = some.groupBy("sheet", "a").agg(F.min_by("v", F.when((F.col("v.kind") == "error") | ((F.col("r") == F.col("a.r1")) & (F.col("c") == F.col("a.c1"))), F.struct((F.col("v.kind") != "error").alias("x"), "at"))).alias("v"))
     tops = firsts.withColumn("call", F.col("ask.call")).join(best.hint("merge"), ["sheet", "a"], "left").select(*_KEY, "call", F.coalesce("v", empty).alias("v"))
-    return counts.unionByName(totals).unionByName(lookups).unionByName(tops)
+    out = counts.unionByName(totals).unionByName(lookups).unionByName(tops)
+    return out if once_met is None else out.unionByName(once_met)
 
 
 def recalculate(cells: DataFrame, *, force: bool = False) -> DataFrame:
@@ -488,22 +626,27 @@ def recalculate(cells: DataFrame, *, force: bool = False) -> DataFrame:
     COUNTIF and arguments of VLOOKUP may be computed, but from no other range.
     """
     spark, keep = cells.sparkSession, written
+    cells = keep(cells)
     base = cells.select(F.col("sheet").cast("string").alias("sheet"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "kind", "value", "formula")
     known = keep(base.where("kind <> 'empty'").select(*_KEY, typed(F.col("kind"), F.col("value")).alias("v")))
     due = (F.length(F.coalesce("formula", F.lit(""))) > 0) & (F.lit(force) | (F.coalesce("value", F.lit("")) == ""))
-    shape, areas, singles, numbers = lexed(F.col("formula"))
-    todo = base.where(due).select(*_KEY, shape.alias("shape"), areas.alias("areas"), singles.alias("singles"), F.transform(numbers, lambda n: n.try_cast("double")).alias("numbers"))
+    # Formulas are read in as many tasks as there are rows for, whatever the files they come from.
+    found = lexed(base.where(due).select(*_KEY, "formula").repartition(partitions(spark, cells.count()), *_KEY), "formula")
+    ends = lambda t: [_place(F.regexp_extract(t, rf"^({_PLACE})\s*:\s*({_PLACE})$", k)) for k in (1, 2)]
+
+    def box(text: Column) -> Column:
+        (ra, ca), (rb, cb) = ends(text)
+        return F.struct(F.least(ra, rb).alias("r1"), F.least(ca, cb).alias("c1"), F.greatest(ra, rb).alias("r2"), F.greatest(ca, cb).alias("c2"))
+
+    boxes = F.when(F.size("areas") > 0, F.transform("areas", box))
+    todo = keep(found.select(*_KEY, "shape", boxes.alias("boxes"), "singles", F.transform("numbers", lambda n: n.try_cast("double")).alias("numbers")))
 
     row, col = _place(F.col("text"))
     single = todo.select(*_KEY, F.posexplode("singles").alias("i", "text")).select(*_KEY, "i", row.alias("r"), col.alias("c"))
     there = single.join(known.select("sheet", F.col("row").alias("r"), F.col("col").alias("c"), "v").hint("merge"), ["sheet", "r", "c"], "left")
     empty = typed(F.lit("empty"), F.lit(None).cast("string"))
     by_key = there.groupBy(*_KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("v", empty).alias("v")))), lambda x: x["v"]).alias("cells"))
-    ends = lambda t: [_place(F.regexp_extract(t, rf"^({_PLACE})\s*:\s*({_PLACE})$", k)) for k in (1, 2)]
-    (ra, ca), (rb, cb) = ends(F.col("text"))
-    corner = todo.select(*_KEY, F.posexplode("areas").alias("area", "text")).select(*_KEY, "area", F.least(ra, rb).alias("r1"), F.least(ca, cb).alias("c1"), F.greatest(ra, rb).alias("r2"), F.greatest(ca, cb).alias("c2"))
-    boxes = corner.groupBy(*_KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("area", "r1", "c1", "r2", "c2"))), lambda x: F.struct(x["r1"].alias("r1"), x["c1"].alias("c1"), x["r2"].alias("r2"), x["c2"].alias("c2"))).alias("boxes"))
-    ready = keep(todo.join(by_key.hint("merge"), _KEY, "left").join(boxes.hint("merge"), _KEY, "left").withColumn("kinds", F.array_join(F.transform(F.coalesce("cells", F.array().cast(f"array<{_CELL_KIND}>")), lambda x: x["kind"]), ",")))
+    ready = keep(todo.join(by_key.hint("merge"), _KEY, "left").withColumn("kinds", F.array_join(F.transform(F.coalesce("cells", F.array().cast(f"array<{_CELL_KIND}>")), lambda x: x["kind"]), ",")))
 
     # A shape and the kinds of its cells: as many as there are different formulas, whatever the number of cells.
     signatures = [(r.shape, r.kinds) for r in ready.select("shape", "kinds").distinct().collect()]
@@ -516,7 +659,7 @@ def recalculate(cells: DataFrame, *, force: bool = False) -> DataFrame:
             wanted[text, i] = cells_too or uses != {"sums"}, texts or "text" in uses
     if wanted:
         uses = spark.createDataFrame([(t, i, *w) for (t, i), w in wanted.items()], "shape string, area int, wanted boolean, texts boolean")
-        used = ready.select(*_KEY, "shape", F.posexplode("boxes").alias("area", "box")).join(uses, ["shape", "area"]).select(*_KEY, "area", "box.*", "wanted", "texts")
+        used = ready.select(*_KEY, "shape", F.posexplode("boxes").alias("area", "box")).join(F.broadcast(uses), ["shape", "area"]).select(*_KEY, "area", "box.*", "wanted", "texts")
         states = _range_states(used, known)
         filled = states.groupBy(*_KEY).agg(F.map_from_entries(F.collect_list(F.struct("area", "state"))).alias("states"))
         ready = ready.join(filled.hint("merge"), _KEY, "left")
@@ -534,7 +677,7 @@ def recalculate(cells: DataFrame, *, force: bool = False) -> DataFrame:
 
         def batch(some: list[tuple[str, str]]) -> DataFrame:
             mine = spark.createDataFrame(some, "shape string, kinds string")
-            return ready.join(mine, ["shape", "kinds"], "left_semi").select(*_KEY, "boxes", F.explode(_chosen([(is_(x), asks_of(x)) for x in some], f"array<{_ASK}>")).alias("ask"))
+            return ready.join(F.broadcast(mine), ["shape", "kinds"], "left_semi").select(*_KEY, "boxes", F.explode(_chosen([(is_(x), asks_of(x)) for x in some], f"array<{_ASK}>")).alias("ask"))
 
         asks = reduce(DataFrame.unionByName, [batch(asking[i : i + SHAPES]) for i in range(0, len(asking), SHAPES)])
         asks = keep(asks.select(*_KEY, "ask", F.col("boxes")[F.col("ask.area")].alias("a"), F.col("boxes")[F.col("ask.other")].alias("b")))
@@ -550,7 +693,7 @@ def recalculate(cells: DataFrame, *, force: bool = False) -> DataFrame:
     def evaluated(some: list[tuple[str, str, str]]) -> DataFrame:
         mine = spark.createDataFrame(some, "shape string, kinds string, found string")
         values = [(is_(x) & (F.col("found") == x[2]), _as_cell(compiled(x[0], x[1].split(",") if x[1] else [], x[2].split(",") if x[2] else [])[0])) for x in some]
-        return ready.join(mine, ["shape", "kinds", "found"], "left_semi").select(*_KEY, _chosen(values, _CELL_KIND).alias("v"))
+        return ready.join(F.broadcast(mine), ["shape", "kinds", "found"], "left_semi").select(*_KEY, _chosen(values, _CELL_KIND).alias("v"))
 
     if not final:
         return cells

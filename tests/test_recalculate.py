@@ -1,7 +1,10 @@
 """Formulas in cells: one pass over a sheet, by joins."""
 
+import random
+
 import pytest
 
+from gridspark.operators import recalculate as rc
 from gridspark.operators.recalculate import recalculate
 
 SCHEMA = "sheet string, row long, col long, kind string, value string, formula string, extra string"
@@ -86,3 +89,41 @@ def test_sums_are_exact_beside_large_numbers(spark):
     wanted = {"=SUM(B1:B2)": "0.3", "=SUM(C1:C3)": "7", "=SUM(A1:B2)": "222222221.78", "=SUM(B1:B4)": "0.633333333334333", "=AVERAGE(C2:C3)": "2.25", "=SUM(A3:C3)": "10000000000007.3", "=SUM(B4:B4)": "1e-12"}
     got = {r.row: r.value for r in recalculate(sheet(spark, cells | {f"F{i}": f for i, f in enumerate(wanted, 1)})).where("col = 5").collect()}
     assert {f: got[i] for i, f in enumerate(wanted)} == wanted
+
+
+CRITERIA = ['">3"', '"<>3"', "3", '"x"', '"<>x"', '""', "TRUE", "A#", "F#", '"<=x"', "1/0"]
+ASKS = ["=COUNTIF(A$1:A#,?)", "=COUNTIF(B@:C#,?)", "=SUMIF(A$1:A#,?)", "=SUMIF(A$2:A#,?,C@:C30)", "=SUMIF(D@:D#,?,A1:A9)", "=SUMIF(B@:C#,?,A@:A#)"]
+
+
+def test_criteria_that_are_met_once_a_set(spark, monkeypatch):
+    """What a criterion finds down a sheet is what comparing each range's cells finds."""
+    rng = random.Random(3)
+    values = [1, 3, 3.0, 4.25, 7, "3", "x", "X", "y", "", True, False, 0, -2.5]
+    cells = {f"{c}{r}": rng.choice(values) for c in "ABCD" for r in range(1, 25) if rng.random() < 0.8}
+    cells |= {"D17": "#N/A", "A21": "#REF!", "C19": 0.123456789}
+    n = 0
+    for ask in ASKS:
+        for criterion in CRITERIA:
+            for row in rng.sample(range(3, 30), 3):
+                n += 1
+                cells[f"H{n}"] = ask.replace("?", criterion).replace("@", str(rng.randint(1, row))).replace("#", str(row))
+    read = lambda: {r.row: (r.value, r.kind) for r in recalculate(sheet(spark, cells)).where("col = 7").collect()}
+    wanted = read()
+    monkeypatch.setattr(rc, "NEAR", 0)
+    monkeypatch.setattr(rc, "STRIPE", 2)
+    monkeypatch.setattr(rc, "BLOCK", 8)
+    got = read()
+    assert len(wanted) == n and {cells[f"H{i + 1}"]: (got[i], wanted[i]) for i in range(n) if got[i] != wanted[i]} == {}
+
+
+def test_criteria_grow_with_a_sheet_not_its_square(spark, monkeypatch):
+    """Ranges that grow down a sheet meet none of its cells one by one, with few criteria or as many as rows."""
+    made = []
+    striped = rc._striped
+    monkeypatch.setattr(rc, "_striped", lambda *x: made.append(striped(*x)) or made[-1])
+    rows = 600
+    cells = {f"A{r}": f"k{r % 3}" for r in range(1, rows + 1)} | {f"B{r}": r // 2 for r in range(1, rows + 1)} | {f"C{r}": 0.1 for r in range(1, rows + 1)}
+    cells |= {f"D{r}": f"=COUNTIF(A$1:A{r},A{r})" for r in range(1, rows + 1)} | {f"E{r}": f"=SUMIF(B$1:B{r},B{r},C$1:C{r})" for r in range(1, rows + 1)}
+    got = {(r.row + 1, r.col): r.value for r in recalculate(sheet(spark, cells)).where("col > 2").collect()}
+    assert got == {(r, 3): str((r - r % 3) // 3 + (r % 3 > 0)) for r in range(1, rows + 1)} | {(r, 4): "0.2" if r % 2 and r > 1 else "0.1" for r in range(1, rows + 1)}
+    assert made and not any(x.count() for x in made)
