@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions import scalar as s
-from gridspark.functions.references import index_column
 from gridspark.functions.values import ERRORS, Value, as_boolean, as_text, boolean, first_error, number_text, parse_number
 from gridspark.operators.range_criteria import read_criterion
 from gridspark.operators.rectangles import STRIPE, rectangle_sums
@@ -128,15 +127,29 @@ def lexed(rows: DataFrame, formula: str) -> DataFrame:
     A step a column, so that each text is searched once.
     """
     found = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rows = rows.withColumns({"areas": found(F.col(formula), _AREA_RE), "__bare": F.regexp_replace(formula, _AREA_RE, _AREA)})
+    ranges = F.col(formula).contains(":")
+    rows = rows.withColumns({"areas": F.when(ranges, found(F.col(formula), _AREA_RE)).otherwise(F.array().cast("array<string>")), "__bare": F.when(ranges, F.regexp_replace(formula, _AREA_RE, _AREA)).otherwise(F.col(formula))})
     rows = rows.withColumns({"singles": found(F.col("__bare"), _CELL_RE), "__barer": F.regexp_replace("__bare", _CELL_RE, _CELL)}).drop("__bare")
     return rows.withColumns({"numbers": found(F.col("__barer"), _NUMBER_RE), "shape": F.regexp_replace("__barer", _NUMBER_RE, _NUMBER)}).drop("__barer")
 
 
+def _column(letters: Column) -> Column:
+    """The number of a column, from 0, by its letters, of which there are three at most."""
+    upper, place = F.upper(letters), lambda i: F.ascii(F.substring(F.upper(letters), i, 1)) - 64
+    two = place(1) * 26 + place(2)
+    return (F.when(F.length(upper) == 1, place(1)).when(F.length(upper) == 2, two).otherwise(two * 26 + place(3)) - 1).cast("long")
+
+
 def _place(text: Column) -> tuple[Column, Column]:
     """(row, column) of a reference, from 0."""
-    bare = F.regexp_replace(text, r"[\$\s]", "")
-    return F.regexp_extract(bare, r"(\d+)$", 1).cast("long") - 1, index_column(F.regexp_extract(bare, r"^([A-Za-z]+)", 1)).cast("long")
+    return F.regexp_extract(text, r"(\d+)$", 1).cast("long") - 1, _column(F.regexp_extract(text, r"^\$?([A-Za-z]+)", 1))
+
+
+def _boxes(areas: Column) -> Column:
+    """Corners of ranges, from 0; a step a transform, so that each text is searched once."""
+    halves = F.transform(areas, lambda t: F.struct(*[F.regexp_extract(t, rf"^({_PLACE})\s*:\s*({_PLACE})$", k).alias(n) for k, n in ((1, "a"), (2, "b"))]))
+    ends = F.transform(halves, lambda x: F.struct(*[c.alias(n + m) for n in "ab" for c, m in zip(_place(x[n]), "rc", strict=True)]))
+    return F.transform(ends, lambda x: F.struct(F.least(x["ar"], x["br"]).alias("r1"), F.least(x["ac"], x["bc"]).alias("c1"), F.greatest(x["ar"], x["br"]).alias("r2"), F.greatest(x["ac"], x["bc"]).alias("c2")))
 
 
 def _value(cell: Column, kind: str) -> Value:
@@ -632,13 +645,7 @@ def recalculate(cells: DataFrame, *, force: bool = False) -> DataFrame:
     due = (F.length(F.coalesce("formula", F.lit(""))) > 0) & (F.lit(force) | (F.coalesce("value", F.lit("")) == ""))
     # Formulas are read in as many tasks as there are rows for, whatever the files they come from.
     found = lexed(base.where(due).select(*_KEY, "formula").repartition(partitions(spark, cells.count()), *_KEY), "formula")
-    ends = lambda t: [_place(F.regexp_extract(t, rf"^({_PLACE})\s*:\s*({_PLACE})$", k)) for k in (1, 2)]
-
-    def box(text: Column) -> Column:
-        (ra, ca), (rb, cb) = ends(text)
-        return F.struct(F.least(ra, rb).alias("r1"), F.least(ca, cb).alias("c1"), F.greatest(ra, rb).alias("r2"), F.greatest(ca, cb).alias("c2"))
-
-    boxes = F.when(F.size("areas") > 0, F.transform("areas", box))
+    boxes = F.when(F.size("areas") > 0, _boxes(F.col("areas")))
     todo = keep(found.select(*_KEY, "shape", boxes.alias("boxes"), "singles", F.transform("numbers", lambda n: n.try_cast("double")).alias("numbers")))
 
     row, col = _place(F.col("text"))

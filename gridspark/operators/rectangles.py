@@ -18,34 +18,50 @@ from pyspark.sql import functions as F
 #: Rows of a stripe, and stripes that one task sums up before their totals are.
 STRIPE = 64
 SPAN = 4096
+#: Places of stripes that a task adds up at once, unless one stripe has more.
+TABLE = 1 << 20
 
 
 def _local(layers: list[str]):
-    def places(one: pd.DataFrame) -> pd.DataFrame:
-        """The sums of one stripe up to each place asked for."""
-        asked, rows = one["asked"].to_numpy(bool), one["r"].to_numpy(np.int64) % STRIPE
-        columns, at = np.unique(one["c"].to_numpy(np.int64), return_inverse=True)
-        width, out = len(columns), one.loc[asked, ["sheet", "stripe", "r", "c"]].copy()
-        cells = ~asked
-        flat = rows[cells] * width + at[cells]
+    # Inside, so that tasks need no module but this function's.
+    def begins(rows: pd.DataFrame) -> np.ndarray:
+        """Whether a row's stripe is another than that of the row before."""
+        sheets, stripes = pd.factorize(rows["sheet"])[0], rows["stripe"].to_numpy(np.int64)
+        return np.concatenate([[False], (sheets[1:] != sheets[:-1]) | (stripes[1:] != stripes[:-1])])
+
+    def places(some: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """The sums of whole stripes up to each place asked for."""
+        own = np.cumsum(begins(some))
+        columns, at = np.unique(some["c"].to_numpy(np.int64), return_inverse=True)
+        shape = (int(own[-1]) + 1, STRIPE, len(columns))
+        if shape[0] > 1 and np.prod(shape) > TABLE:
+            half = int(np.searchsorted(own, shape[0] // 2))
+            yield from places(some.iloc[:half])
+            yield from places(some.iloc[half:])
+            return
+        asked, rows = some["asked"].to_numpy(bool), some["r"].to_numpy(np.int64) % STRIPE
+        out, cells = some.loc[asked, ["sheet", "stripe", "r", "c"]].copy(), ~asked
+        flat = ((own * STRIPE + rows) * shape[2] + at)[cells]
         for name in layers:
-            table = np.bincount(flat, weights=np.nan_to_num(one[name].to_numpy(np.float64)[cells]), minlength=STRIPE * width).reshape(STRIPE, width)
-            out[name] = table.cumsum(axis=0).cumsum(axis=1)[rows[asked], at[asked]]
-        return out
+            table = np.bincount(flat, weights=np.nan_to_num(some[name].to_numpy(np.float64)[cells]), minlength=int(np.prod(shape))).reshape(shape)
+            out[name] = table.cumsum(axis=1).cumsum(axis=2)[own[asked], rows[asked], at[asked]]
+        yield out
 
     def stripes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come in order of their stripes; one stripe is held at a time."""
+        """Rows come in order of their stripes; of those that a batch ends, one is held."""
         held: list[pd.DataFrame] = []
-        key = None
         for batch in batches:
-            for own, rows in batch.groupby(["sheet", "stripe"], sort=False, dropna=False):
-                if held and own != key:
-                    yield places(pd.concat(held))
-                    held = []
-                key = own
-                held.append(rows)
+            if not len(batch):
+                continue
+            starts = np.flatnonzero(begins(batch))
+            more = bool(held) and not begins(pd.concat([held[-1].iloc[-1:], batch.iloc[:1]], ignore_index=True))[1]
+            if held and not (more and not len(starts)):
+                cut = starts[-1] if len(starts) else 0
+                yield from places(pd.concat([*held, batch.iloc[:cut]], ignore_index=True))
+                held, batch = [], batch.iloc[cut:]
+            held.append(batch)
         if held:
-            yield places(pd.concat(held))
+            yield from places(pd.concat(held, ignore_index=True))
 
     return stripes
 

@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,22 @@ def test_stripes_that_span_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("table", [1, 300, 1 << 20])
+def test_stripes_are_added_up_together(monkeypatch, table):
+    """One frame of sums for many stripes, whatever batches they come in; no more places at once than a table has."""
+    monkeypatch.setattr(rectangles, "TABLE", table)
+    rng = random.Random(table)
+    rows = [(s, k, k * 64 + rng.randrange(64), rng.randrange(6), rng.random() < 0.4) for s in (None, "a", "b") for k in range(5) for _ in range(rng.randint(1, 20))]
+    met = pd.DataFrame(rows, columns=["sheet", "stripe", "r", "c", "asked"])
+    met["n"] = (~met["asked"]).astype(float)
+    cells = [x for x in rows if not x[4]]
+    wanted = [sum(x[:2] == (s, k) and x[2] <= r and x[3] <= c for x in cells) for s, k, r, c, asked in rows if asked]
+    for size in (1, 3, 17, len(rows)):
+        frames = list(rectangles._local(["n"])(met.iloc[i : i + size] for i in range(0, len(rows), size)))
+        assert list(pd.concat(frames)["n"]) == wanted
+    assert table == 1 or len(frames) < 15
+
+
 def test_recalculation_looks_no_further_than_the_sheet(spark, monkeypatch):
     """Ranges end with the sheet, equal lookups are made once, and nothing of a sheet's size is broadcast."""
     made = []
