@@ -92,7 +92,7 @@ def test_stripes_are_added_up_together(monkeypatch, table):
     for size in (1, 3, 17, len(rows)):
         frames = list(rectangles._local(["n"])(met.iloc[i : i + size] for i in range(0, len(rows), size)))
         assert list(pd.concat(frames)["n"]) == wanted
-    assert table < 1000 or len(frames) == 2  # the last stripe is held until nothing follows it
+    assert table < 1000 or len(frames) == 1
 
 
 def test_recalculation_looks_no_further_than_the_sheet(spark, monkeypatch):
