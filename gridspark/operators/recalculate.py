@@ -19,7 +19,7 @@ from gridspark.functions import scalar as s
 from gridspark.functions.values import ERRORS, Value, as_boolean, as_text, boolean, first_error, number_text, parse_number
 from gridspark.operators.range_criteria import read_criterion
 from gridspark.operators.rectangles import STRIPE, rectangle_sums
-from gridspark.operators.stage import partitions, written
+from gridspark.operators.stage import folder, partitions, written
 from gridspark.plans import formula as reader
 
 #: Shapes compiled into one plan; more are evaluated in as many further ones.
@@ -51,6 +51,11 @@ UNIT = 10_000.0
 EXACT = float(1 << 53)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written once, or kept in the session where there is no shared folder."""
+    return written(df) if folder(df.sparkSession) else df.persist()
+
+
 def typed(kind: Column, value: Column) -> Column:
     """A cell as struct(kind, num, txt, flag); kinds are empty, number, text, boolean and error."""
     plain = F.coalesce(value, F.lit(""))
@@ -439,14 +444,14 @@ def _met_once(asks: DataFrame, known: DataFrame, cells: DataFrame) -> DataFrame:
     """
     at, to = F.col("a.r1") - F.col("b.r1"), F.col("a.c1") - F.col("b.c1")
     sets = asks.select(*_KEY, F.col("ask.call").alias("call"), "asked", "blank", "a", F.col("b.r1").alias("lo"), F.least(F.col("b.r2"), F.col("a.r2") - at).alias("hi"), F.col("b.c1").alias("c1"), F.col("b.c2").alias("c2"), at.alias("dr"), to.alias("dc"), _equal_to(F.col("asked")).alias("key"), (F.col("ask.name") == "SUMIF").alias("sums"))
-    sets = written(sets.withColumn("set", F.to_json(F.struct("asked", "c1", "c2", "dr", "dc"))))
+    sets = _kept(sets.withColumn("set", F.to_json(F.struct("asked", "c1", "c2", "dr", "dc"))))
     used = known.groupBy("sheet").agg(F.max("row").alias("used"))
     by = ["sheet", "set", "asked", "blank", "key", "c1", "c2", "dr", "dc"]
     own, equal = (F.col("dr") == 0) & (F.col("dc") == 0), F.col("key").isNotNull()
     # What is searched for equal values are the tested cells, otherwise the summed ones.
     shift = F.when(equal, F.col("dr")).otherwise(F.lit(0))
     clipped = sets.join(used, "sheet").select(*by, (F.col("lo") + shift).alias("from"), F.least(F.col("hi") + shift, "used").alias("till")).where("`from` <= till")
-    covered = written(_covered(clipped, by, F.col("from"), F.col("till")))
+    covered = _kept(_covered(clipped, by, F.col("from"), F.col("till")))
     one = cells.select("sheet", "r", "c", "v", "w", "stripe")
     tested = cells.select("sheet", F.col("r").alias("tr"), F.col("c").alias("tc"), "w")
     there = ["sheet", "set", "asked", "blank", "r", "v", "w"]
@@ -534,7 +539,7 @@ def _range_states(areas: DataFrame, known: DataFrame) -> DataFrame:
 
     layered = known.select(*_KEY, *[c.alias(n) for n, c in layers.items()])
     sheets = layered.groupBy("sheet").agg(F.sum(F.abs("num")).alias("most"))
-    sums = written(rectangle_sums(layered, rects.where("NOT near"), [*_LAYERS, "odd"]).join(sheets, "sheet", "left"))
+    sums = _kept(rectangle_sums(layered, rects.where("NOT near"), [*_LAYERS, "odd"]).join(sheets, "sheet", "left"))
     apart = (F.col("odd") > 0) | F.coalesce(F.col("most") >= EXACT, F.lit(False))
     # The cells of a range themselves: where their order or extremes count, and for the code of an error.
     open_ = sums.where(F.col("wanted") | apart | (F.col("bad") > 0)).select(*box, "texts")
@@ -580,7 +585,7 @@ def _answers(asks: DataFrame, known: DataFrame) -> DataFrame:
     first = conditional.where(summable).join(large, "sheet", "left_semi")
     apart, once_met = conditional, None
     if not first.isEmpty():
-        sums = written(_met_once(first, known, cells))
+        sums = _kept(_met_once(first, known, cells))
         clean = (name == "COUNTIF") | ((F.col("bad") == 0) & (F.col("odd") == 0) & (F.col("most") < EXACT))
         both = conditional.withColumn("call", F.col("ask.call")).join(sums.hint("merge"), [*_KEY, "call"], "left")
         total = F.when(name == "COUNTIF", F.col("hits") + F.when(F.col("blank"), size - F.col("there")).otherwise(0.0)).otherwise(F.col("num") / UNIT)
@@ -638,7 +643,7 @@ def recalculate(cells: DataFrame, *, force: bool = False) -> DataFrame:
     Absent cells are blank; null formulas are none.  Criteria of SUMIF and
     COUNTIF and arguments of VLOOKUP may be computed, but from no other range.
     """
-    spark, keep = cells.sparkSession, written
+    spark, keep = cells.sparkSession, _kept
     cells = keep(cells)
     base = cells.select(F.col("sheet").cast("string").alias("sheet"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "kind", "value", "formula")
     known = keep(base.where("kind <> 'empty'").select(*_KEY, typed(F.col("kind"), F.col("value")).alias("v")))
